@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints/lumengraph"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it is there too."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{paths}:{root}".strip(":")
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -29,6 +38,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     when the session's JVM ends.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
@@ -39,4 +49,5 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables by name."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
