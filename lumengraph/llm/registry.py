@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fingerprints",)
+MODULES = ("fingerprints", "ngram_join")
 
 
 def _merged(name: str) -> dict:
