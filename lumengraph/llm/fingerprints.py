@@ -14,6 +14,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,8 +27,8 @@ LEVELS = (2, 3, 4, 5, 6, 7, 8, 9)
 #: Share of documents that hold a term, lowest and highest: the IDF band as document frequencies.
 BAND = (0.002, 0.1)
 #: The lexicon holds at most (mean distinct terms of a document) / BAND[0] terms whatever the
-#: corpus size. It is counted, and broadcast only up to this many.
-BROADCAST_TERMS = 400_000
+#: corpus size. It is counted; up to this many terms it is held as a constant, beyond it is joined.
+HELD_TERMS = 400_000
 #: Groups of neighbouring ids; each is one sort group of the next-document window.
 RANGES = 1024
 #: What a subset that leaves no term hashes to: the start of MD5 of the empty string.
@@ -130,22 +131,45 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+def _table_lookup(words: list, text: Column) -> Column:
+    """Sorted (term, mask) pairs of a text's lexicon terms, from a hash table held as a constant.
+
+    The table is one JSON constant that the optimizer folds into an array of buckets, so a look-up
+    is an array access and a comparison or two; no row leaves its task.
+    """
+    buckets: list[list] = [[] for _ in range(1 << max(4, len(words).bit_length()))]
+    for term, mask, bucket in words:
+        buckets[bucket % len(buckets)].append({"term": term, "mask": mask})
+    held = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<term: string, mask: bigint>>>")
+    at = lambda t: F.element_at(held, (F.pmod(F.hash(t).cast("bigint"), F.lit(len(buckets)).cast("bigint")) + 1).cast("int"))
+    return F.array_sort(F.flatten(F.transform(terms(text), lambda t: F.filter(at(t), lambda x: x["term"] == t))))
+
+
+def _joined_lookup(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The same pairs for `text` and `edit` by a join with the lexicon, where it is too large to hold."""
+    keys = ["range", "rn", "extra", "doc_id"]
+    each = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edit").alias("body")))).alias("v"))
+    each = each.select(*keys, "v.kind", F.explode(terms(F.col("v.body"))).alias("term")).join(words, "term")
+    pairs = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("term", "mask"))))
+    found = each.groupBy("range", "rn").agg(pairs(0).alias("f0"), pairs(1).alias("f1"))
+    none = F.array().cast("array<struct<term: string, mask: bigint>>")
+    return rows.join(found, ["range", "rn"], "left").withColumns({f: F.coalesce(f, none) for f in ("f0", "f1")})
+
+
+def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND, most_held: int = HELD_TERMS) -> DataFrame:
     """Fingerprints of `docs(doc_id, text)` and of their edited texts, with likenesses."""
     words = durable(lexicon(docs.select(F.coalesce("text", F.lit("")).alias("text")), band), "lexicon")
-    if words.count() <= BROADCAST_TERMS:
-        words = F.broadcast(words)
     rows = with_next(docs).withColumn("edit", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    rows = rows.select("range", "rn", "extra", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edit").alias("body")))).alias("v"))
-    rows = rows.select("range", "rn", "extra", "doc_id", "n_chars", "v.kind", F.sha2(F.col("v.body").cast("binary"), 256).alias("sha"), F.posexplode_outer(terms(F.col("v.body"))).alias("pos", "term"))
-    rows = rows.withColumn("sha", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("sha")))
-    rows = rows.join(words, "term", "left")
-    found = lambda kind: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("mask").isNotNull(), F.struct("term", "mask"))))
-    sha = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("sha")))
-    docs = rows.groupBy("range", "rn", "extra", "doc_id", "n_chars").agg(found(0).alias("f0"), found(1).alias("f1"), sha(0).alias("s0"), sha(1).alias("s1"))
-    docs = docs.select("range", "rn", "extra", "doc_id", "n_chars", "s1", marks(F.col("f0"), F.substring("s0", 1, 16)).alias("m0"), marks(F.col("f1"), F.substring("s1", 1, 16)).alias("m1"))
-    docs = docs.withColumn("m2", F.lead("m0").over(Window.partitionBy("range").orderBy("rn"))).where(~F.col("extra"))
-    return docs.select(
+    if words.count() <= most_held:
+        held = [tuple(r) for r in words.select("term", "mask", F.pmod(F.hash("term").cast("bigint"), F.lit(1 << 31)).alias("b")).collect()]
+        rows = rows.withColumns({"f0": _table_lookup(held, F.col("text")), "f1": _table_lookup(held, F.col("edit"))})
+    else:
+        rows = _joined_lookup(rows, words)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    rows = rows.select("range", "rn", "extra", "doc_id", F.length("text").cast("bigint").alias("n_chars"), sha("text").alias("s0"), sha("edit").alias("s1"), "f0", "f1")
+    rows = rows.select("range", "rn", "extra", "doc_id", "n_chars", "s1", marks(F.col("f0"), F.substring("s0", 1, 16)).alias("m0"), marks(F.col("f1"), F.substring("s1", 1, 16)).alias("m1"))
+    rows = rows.withColumn("m2", F.lead("m0").over(Window.partitionBy("range").orderBy("rn"))).where(~F.col("extra"))
+    return rows.select(
         "doc_id", "n_chars", F.col("s1").alias("edited_sha256"),
         F.concat_ws("-", "m0").alias("fingerprint"), F.concat_ws("-", "m1").alias("edited_fingerprint"),
         likeness(F.col("m0"), F.col("m1")).alias("near_edited"), likeness(F.col("m0"), F.col("m2")).alias("near_next"),
