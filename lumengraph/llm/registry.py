@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fingerprints", "ngram_join", "embedding_join", "packing", "language_id")
+MODULES = ("fingerprints", "secrets", "ngram_join", "embedding_join", "packing", "language_id", "toxicity")
 
 
 def _merged(name: str) -> dict:
