@@ -36,6 +36,8 @@ from lumengraph.runtime import durable, table
 TRAIN_DOCS, WORDS, GRAMS = 20_000, 30_000, 20_000
 LONGEST = 4
 UNDETERMINED = "und"
+#: A language is taken as told from this score on.
+LEAST = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHED_WORDS = 1_000_000
 
@@ -166,6 +168,24 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*kept, "text").mapInPandas(run, schema)
 
 
+def recognised(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of `docs` whose language is told with a score of `least` or more; texts without letters go."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def split() -> Iterator[pd.DataFrame]:
+            for part in parts:
+                waiting.append(part)
+                yield part[["text"]]
+
+        waiting: list[pd.DataFrame] = []
+        for told in _predictor(held.value)(split()):
+            part = waiting.pop(0)
+            yield part[((told["lang_pred"] != UNDETERMINED) & (told["score"] >= least)).to_numpy()]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; a fifth of them is held out from training."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)

@@ -242,6 +242,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     return labelled(signed.select("doc_id", "ck"), classes.select("ck", "label", "copies"), found, "doc_id").withColumnRenamed("component_id", "class_id")
 
 
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without the near-copies: of every class the document with the smallest id stays.
+
+    Of exactly repeated rows one stays; rows whose id is null stay.
+    """
+    found = ngram_jaccard_join(docs, n, threshold)
+    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every document: runs of five words, similarity of 0.8 or more."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))

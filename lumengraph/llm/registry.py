@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fingerprints", "secrets", "ngram_join", "embedding_join", "packing", "language_id", "toxicity")
+MODULES = ("fingerprints", "secrets", "url_rules", "embedding_join", "ngram_join", "packing", "language_id", "mixing", "toxicity", "chat")
 
 
 def _merged(name: str) -> dict:
