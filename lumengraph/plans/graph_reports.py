@@ -80,7 +80,7 @@ def three_hop_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = D.load(spark, sf_dir)
-    path = G.shortest_path(g.nodes, g.edges.where("relation = 'Imports'"), START, "file:crates/r2/src/n21.rs") or []
+    path = G.shortest_path(g.nodes, g.edges.where("relation = 'Imports'"), START, "file:crates/r1/src/n21.rs") or []
     return spark.createDataFrame([(len(path), path[0] if path else None, path[-1] if path else None)], "n long, first string, last string")
 
 
@@ -146,7 +146,7 @@ ORACLES = {
     "graphrank_joins": _rank_sql("kind IN ('Crate', 'File', 'Function')", "relation IN ('Contains', 'Imports', 'DependsOn', 'Calls')"),
     "reachable_set": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start=f"'{START}'", kinds="'Imports', 'Contains'", most=12)} SELECT id, min(hops)::INTEGER AS hops FROM w GROUP BY id",
     "three_hop_calls": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start="(SELECT arg_min(id, ord) FROM nodes WHERE kind = 'Function')", kinds="'Calls'", most=3)} SELECT id, min(hops)::INTEGER AS hops FROM w GROUP BY id",
-    "shortest_route": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start=f"'{START}'", kinds="'Imports'", most=12)} SELECT (min(hops) + 1)::BIGINT AS n, '{START}' AS first, 'file:crates/r2/src/n21.rs' AS last FROM w WHERE id = 'file:crates/r2/src/n21.rs'",
+    "shortest_route": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start=f"'{START}'", kinds="'Imports'", most=12)} SELECT (min(hops) + 1)::BIGINT AS n, '{START}' AS first, 'file:crates/r1/src/n21.rs' AS last FROM w WHERE id = 'file:crates/r1/src/n21.rs'",
     "edge_directions": f"WITH {D.SQL} SELECT source, target, relation, CASE WHEN source = target THEN 'loop' WHEN source = '{START}' THEN 'out' ELSE 'in' END AS direction FROM edges WHERE source = '{START}' OR target = '{START}'",
     "source_hub_leaf": f"""WITH {D.SQL} SELECT id, coalesce(refs, 0) AS refs, coalesce(uses, 0) AS uses, CASE WHEN refs IS NULL AND uses IS NULL THEN 'isolated' WHEN refs IS NULL THEN 'source' WHEN uses IS NULL THEN 'leaf' ELSE 'hub' END AS role
       FROM nodes LEFT JOIN {_REFS} USING (id) LEFT JOIN (SELECT source AS id, count(*) AS uses FROM edges GROUP BY source) USING (id)""",
