@@ -5,8 +5,9 @@ onto the principal directions (covariance summed over all vectors) keeps distanc
 sorted by their grid cells of width eps on the leading principal dimensions and cut into blocks
 along that order. Two blocks meet only if their cells on the first dimension touch (an equi-join)
 and their bounding boxes are at most eps apart. Within a meeting, both intervals are halved
-recursively, parts whose boxes are more than eps apart are skipped, and what is left is compared in
-double precision. Tasks return link counts and local components, never pairs. Equal vectors are one
+recursively and parts whose boxes are more than eps apart are skipped. In what is left a product over
+the leading dimensions plus the product of the remaining lengths bounds each cosine from above; pairs
+that pass the bound are compared in double precision. Tasks return link counts and local components, never pairs. Equal vectors are one
 class and are compared once.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with
@@ -16,6 +17,7 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +31,37 @@ from lumengraph.runtime import durable, table
 
 COSINE = 0.9
 #: Vectors in a block, in a recursion leaf, and the dimensions that order the sequence.
-BLOCK, LEAF, LEADING = 2048, 256, 6
+BLOCK, LEAF, LEADING = 4096, 512, 6
+#: Share of the dimensions whose products bound a cosine from above (the rest by its length).
+HEAD = 0.375
+#: What the bound's single precision may be short of.
+BOUND_SLACK = 1e-4
+#: Block pairs that one task compares.
+PAIRS_IN_TASK = 3
 #: Slack on distances for the rounding of rotation and boxes; comparisons themselves have none.
 SLACK = 1e-9
 
 
-def _unit(rows: list, size: int) -> np.ndarray:
-    grid = np.zeros((len(rows), size))
+def _scaled(grid: np.ndarray) -> np.ndarray:
+    """Rows at unit length; very small and very large rows are first brought into range."""
+    norm = np.sqrt((grid * grid).sum(1, keepdims=True))
+    if not np.isfinite(norm).all() or (norm < 1e-150).any():
+        grid = grid / np.maximum(np.abs(grid).max(1, keepdims=True), np.finfo(float).tiny)
+        norm = np.sqrt((grid * grid).sum(1, keepdims=True))
+    return grid / norm
+
+
+def _grid(rows: list, size: int) -> np.ndarray:
+    if rows and all(len(r) == size for r in rows):
+        return np.stack(rows)
+    grid = np.zeros((len(rows), size), rows[0].dtype if rows else float)
     for k, row in enumerate(rows):
         grid[k, : len(row)] = row
-    norm = np.sqrt((grid * grid).sum(1, keepdims=True))
-    tiny = np.abs(grid).max(1, keepdims=True)
-    odd = ~np.isfinite(norm) | (norm < 1e-150)
-    scaled = np.where(odd, grid / np.where(tiny == 0, 1, tiny), grid)
-    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+    return grid
+
+
+def _unit(rows: list, size: int) -> np.ndarray:
+    return _scaled(_grid(rows, size).astype(np.float64))
 
 
 def _moments(size: int):
@@ -91,9 +110,7 @@ def _blocks(turn: np.ndarray, eps: float, block: int):
             x = _unit(frame["vector"].tolist(), len(turn)) @ turn
             low, high = x.min(0), x.max(0)
             number += 1
-            raw = np.zeros((len(frame), len(turn)), frame["vector"].iat[0].dtype)
-            for k, v in enumerate(frame["vector"]):
-                raw[k, : len(v)] = v
+            raw = _grid(frame["vector"].tolist(), len(turn))
             return pd.DataFrame(
                 {"block": [number], "size": [int(frame["size"].iat[0])], "low": [low], "high": [high], "first": [int(np.floor(low[0] / eps))], "last": [int(np.floor(high[0] / eps))],
                  "cks": [b"".join(frame["ck"])], "copies": [frame["copies"].to_numpy(np.int64)], "vectors": [raw.astype(np.float64).tobytes() if raw.dtype != np.float32 else raw.tobytes()], "wide": [raw.dtype != np.float32]}
@@ -127,12 +144,26 @@ def _apart(low1: np.ndarray, high1: np.ndarray, low2: np.ndarray, high2: np.ndar
 
 def _joiner(turn: np.ndarray, cosine: float, leaf: int):
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+    head = max(1, round(HEAD * len(turn)))
 
     def load(row, side: str):  # noqa: ANN001, ANN202
         raw = np.frombuffer(getattr(row, f"vectors{side}"), np.float64 if getattr(row, f"wide{side}") else np.float32)
-        unit = _unit(list(raw.reshape(-1, len(turn)).astype(np.float64)), len(turn))
+        unit = _scaled(raw.reshape(-1, len(turn)).astype(np.float64))
+        turned = unit @ turn
+        tail = np.sqrt(np.maximum(0, (turned[:, head:] ** 2).sum(1, keepdims=True)))
         cks = getattr(row, f"cks{side}")
-        return unit, unit @ turn, [cks[k : k + 16] for k in range(0, len(cks), 16)], np.asarray(getattr(row, f"copies{side}"), float)
+        return unit, turned, [cks[k : k + 16] for k in range(0, len(cks), 16)], np.asarray(getattr(row, f"copies{side}"), float), np.hstack([turned[:, :head], tail]).astype(np.float32)
+
+    def compare(one: tuple, two: tuple, a: int, b: int, c: int, d: int, upper: bool) -> np.ndarray:
+        """Links of two intervals: a bound from the leading dimensions, then exact cosines of what passes it."""
+        rows, cols = np.nonzero(one[4][a:b] @ two[4][c:d].T >= np.float32(cosine - BOUND_SLACK))
+        links = np.zeros((b - a, d - c), bool)
+        for at in range(0, len(rows), 1 << 16):
+            r, k = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
+            if upper:
+                r, k = r[r < k], k[r < k]
+            links[r, k] = np.einsum("ij,ij->i", one[0][a + r], two[0][c + k]) >= cosine
+        return links
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -147,17 +178,13 @@ def _joiner(turn: np.ndarray, cosine: float, leaf: int):
                 stack = [(0, n, 0, len(two[2]))]
                 while stack:
                     a, b, c, d = stack.pop()
-                    if same and c >= b and a < c:
-                        pass
-                    elif same and a > c:
+                    if same and a > c:
                         continue
                     p, q = one[1][a:b], two[1][c:d]
                     if _apart(p.min(0), p.max(0), q.min(0), q.max(0)) > eps:
                         continue
                     if b - a <= leaf and d - c <= leaf:
-                        links = one[0][a:b] @ two[0][c:d].T >= cosine
-                        if same and a == c:
-                            links = np.triu(links, 1)
+                        links = compare(one, two, a, b, c, d, same and a == c)
                         if links.any():
                             rows, cols = np.arange(a, b), np.arange(c, d) + shift
                             counts[rows] += links @ two[3][c:d]
@@ -202,7 +229,7 @@ def epsilon_join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     side = lambda k: data.select(*[F.col(c).alias(f"{c}{k}") for c in data.columns])
     tasks = durable(pairs, "pairs")
     full = tasks.join(side(1), "block1").join(side(2), "block2")
-    found = full.repartition(max(1, min(4096, tasks.count())), F.xxhash64("block1", "block2")).mapInPandas(_joiner(turn, cosine, leaf), result)
+    found = full.repartition(max(1, math.ceil(tasks.count() / PAIRS_IN_TASK)), F.xxhash64("block1", "block2")).mapInPandas(_joiner(turn, cosine, leaf), result)
     return labelled(members.select("vec_id", "ck"), classes.select("ck", "label", "copies"), found, "vec_id")
 
 

@@ -7,22 +7,51 @@ rows (member, representative) are the edges from which `components` builds the g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.runtime import durable
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Up to this many distinct edges one task joins them; the bound is counted, not assumed.
+ONE_TASK_EDGES = 200_000
+
+
+def _one_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict = {}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for part in parts:
+        for a, b in zip(part["a"], part["b"], strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pd.DataFrame([(x, root(x)) for x in up], columns=["node", "component"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for every node of `edges(a, b)`; the component is its smallest node.
 
-    Alternates large-star and small-star steps, each a grouped minimum and an equi-join, until the
+    Up to `one_task` distinct edges are joined in one task. Beyond that, alternates large-star and small-star steps, each a grouped minimum and an equi-join, until the
     edges no longer change. Every round is written to the shared folder. Loops and repeated edges
     are ignored; an empty table gives an empty result.
     """
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
+    if state[0] <= one_task:
+        kind = dict(now.dtypes)["a"]
+        return now.repartition(1).mapInPandas(_one_task, f"node {kind}, component {kind}")
     while state[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
