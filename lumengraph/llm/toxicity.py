@@ -61,7 +61,7 @@ class Machine:
 
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        found = [sorted({s for w in set(_WORD.findall((t or "").lower())) for s in slots(w)}) for t in part["text"]]
+        found = [np.unique([s for w in set(_WORD.findall((t or "").lower())) for s in slots(w)]).astype("<i4").tobytes() for t in part["text"]]
         yield pd.DataFrame({"label": part["label"], "slots": found})
 
 
@@ -73,8 +73,8 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Machine:
     if not len(y) or share in (0.0, 1.0):
         return none
     sizes = np.array([len(r[1]) for r in rows])
-    flat = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     df = np.bincount(flat, minlength=SLOTS)
     ones = np.bincount(flat, weights=y[doc], minlength=SLOTS)
     expected = df * share
@@ -85,8 +85,8 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Machine:
     best = best[chi[best] >= LEAST]
     if not len(best):
         return none
-    at = np.full(SLOTS, -1)
-    at[best] = np.arange(len(best))
+    at = np.full(SLOTS, -1, np.int32)
+    at[best] = np.arange(len(best), dtype=np.int32)
     keep = at[flat] >= 0
     cols, doc = at[flat[keep]], doc[keep]
     starts = np.searchsorted(doc, np.arange(len(rows) + 1))
@@ -124,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Ma
     share = most_rows / max(usable.count(), most_rows)
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about TRAIN_ROWS rows of two numbers
-    found = joined.select("doc_id", "label", "text").mapInPandas(_features, "label int, slots array<int>")
-    rows = sorted(((r.label, r.slots) for r in found.collect()), key=lambda r: (r[0], r[1]))
-    return fit([(label, np.array(own, np.int32)) for label, own in rows])
+    found = joined.select("doc_id", "label", "text").mapInPandas(_features, "label int, slots binary")
+    rows = sorted((r.label, bytes(r.slots)) for r in found.collect())  # four bytes a term of about TRAIN_ROWS texts
+    return fit([(label, np.frombuffer(own, "<i4")) for label, own in rows])
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
