@@ -59,9 +59,13 @@ def split_camel(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a composed text, in order, duplicates kept; those of one byte are dropped."""
-    parts = F.split(split_camel(F.coalesce(text, F.lit(""))), f"[{SEPARATORS}{SPACES}]+")
-    return F.filter(F.transform(parts, normalize), lambda t: F.octet_length(t) > 1)
+    """Tokens of a composed text, in order, duplicates kept; those of one byte are dropped.
+
+    Normalisation works by character and leaves separators alone, so the whole text is normalised
+    once and cut afterwards.
+    """
+    parts = F.split(normalize(split_camel(F.coalesce(text, F.lit("")))), f"[{SEPARATORS}{SPACES}]+")
+    return F.filter(parts, lambda t: F.octet_length(t) > 1)
 
 
 def words_all_in(query: str, haystack: Column) -> Column:
