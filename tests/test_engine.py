@@ -1,0 +1,74 @@
+"""A small tree from files to answers, and what changes bring."""
+
+import json
+
+from lumengraph import engine as E
+from lumengraph.operators import diagrams
+from lumengraph.sources import files
+
+
+def write(root, path, text):
+    (root / path).parent.mkdir(parents=True, exist_ok=True)
+    (root / path).write_text(text)
+
+
+def test_index_ask_and_change(spark, tmp_path):
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    write(root, "crates/core/Cargo.toml", '[package]\nname = "core"\n')
+    write(root, "crates/core/src/lib.rs", "pub mod db;\nuse crate::db::open_store;\npub fn start() { open_store(); }\n")
+    write(root, "crates/core/src/db.rs", 'pub fn open_store() { std::fs::write("cache.db", "x"); }\n')
+    write(root, "target/skip.rs", "fn no() {}")
+    engine = E.Engine(spark, str(root), store)
+    assert engine.index() == 3 and engine.index() == 0
+    nodes, edges = engine.graph()
+    ids = {r.id for r in nodes.collect()}
+    assert "crates/core/src/lib.rs:start" in ids and not any("skip" in i for i in ids)
+    links = {(r.source, r.target, r.relation) for r in edges.collect()}
+    assert ("crates/core/src/lib.rs:start", "crates/core/src/db.rs:open_store", "Calls") in links
+    assert ("file:crates/core/src/lib.rs", "file:crates/core/src/db.rs", "Imports") in links
+    assert ("crates/core/src/db.rs:open_store", "artifact:cache.db", "Writes") in links
+    assert engine.ask("open store", 5).first().id == "crates/core/src/db.rs:open_store"
+    assert engine.grep("fn +START", True).count() == 1 and engine.skeleton("db.rs").count() == 1
+    assert engine.trace("open_store").count() == 1 and engine.freshness(None).first().path == "(no cache)"
+    record = engine.diagram()
+    assert {c["label"] for c in record["components"]} >= {"db"} and "<svg" in diagrams.svg(record)
+    assert engine.wiring()[0] == 1
+
+    write(root, "crates/core/src/db.rs", "pub fn renamed() {}\n")
+    (root / "crates/core/Cargo.toml").unlink()
+    assert engine.index() == 1
+    ids = {r.id for r in engine.tables()["nodes"].collect()}
+    assert "crates/core/src/db.rs:renamed" in ids and "crates/core/src/db.rs:open_store" not in ids and not any("Cargo.toml" in i for i in ids)
+
+
+def test_requests(spark, tmp_path):
+    engine = E.Engine(spark, str(tmp_path), str(tmp_path / "none"))
+    ask = lambda **r: json.loads(E.answer(engine, json.dumps(r)))
+    assert "ask" in ask(id=1, method="tools/list")["result"]["tools"]
+    assert ask(id=2, method="nope")["error"]["code"] == -32601 and json.loads(E.answer(engine, "{"))["error"]["code"] == -32700
+    assert E.answer(engine, json.dumps({"method": "tools/list"})) is None
+    assert "index again" in ask(id=3, method="tools/call", params={"name": "file_api", "arguments": {"file": "x"}})["error"]["message"]
+
+
+def test_storage_refuses_other_formats(spark, tmp_path):
+    store = str(tmp_path / "s")
+    files.save({"t": spark.range(3).toDF("a")}, store)
+    assert files.load(spark, store, ["t"])["t"].count() == 3
+    spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(f"{store}/_version")
+    try:
+        files.load(spark, store, ["t"])
+        raise AssertionError
+    except files.StaleCacheError:
+        pass
+
+
+def test_watch_keeps_up(spark, tmp_path):
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    write(root, "a.py", "def f(): pass\n")
+    engine = E.Engine(spark, str(root), store)
+    query = engine.watch(1)
+    try:
+        query.processAllAvailable()
+        assert engine.tables()["nodes"].where("name = 'f'").count() == 1
+    finally:
+        query.stop()
