@@ -19,12 +19,15 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,28 +41,47 @@ SALTS = 256
 ROUNDS, SHARE, RATE = 60, 0.25, 0.1
 #: Share of the ids that best fit packs after the program's whole uses.
 TAIL = 0.1
-_CACHED_WORDS = 1_500_000
+#: Chunks and words that a worker remembers; what is rarer is encoded again.
+_CACHED_CHUNKS, _CACHED_WORDS = 1_200_000, 800_000
+#: Texts whose chunks are counted at a time, and whose ids are gathered at a time.
+_BATCH, _GATHER = 8192, 512
 #: Below this code point every character is composed, but for the listed ones its lower case does
 #: not depend on its place, and the classes of `re` are those of the tokenizer's rule.
 _PLAIN = 0x250
-_UNUSUAL = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]|[\u0130\\x1c-\\x1f\xb2\xb3\xb9\xbc-\xbe]|<\\|")
+_SPECIAL = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\xb2", "\xb3", "\xb9", "\xbc", "\xbd", "\xbe", "\u0130")
+_FAR = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]")
 #: The tokenizer's own rule for words, its alternatives in an order that is quick to try.
 _WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 
+def _plain(text: str) -> bool:
+    if any(mark in text for mark in _SPECIAL):
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _FAR.search(text)
+    return True
+
+
 class Encoder:
-    """Token ids of whole texts, remembered by word.
+    """Token ids of whole texts, remembered by chunk between spaces and by word.
 
-    The tokenizer lower-cases, cuts a text into words and encodes each by itself, so a text's ids
-    are its words' ids in a row. Texts with characters whose normal form or case depends on their
-    neighbours, or with the mark of a special token, go to the tokenizer whole.
+    The tokenizer lower-cases, drops white space, cuts what is between into words and encodes each
+    by itself, so a text's ids are its words' ids in a row. Texts with characters whose normal form
+    or case depends on their neighbours, or with the mark of a special token, go to it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # The same model for words that are cut and lower-cased already.
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.cut_words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -67,25 +89,61 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 2048):
             some = words[at : at + 2048]
-            ids = self._ids(" ".join(some))
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.cut_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.flatnonzero(self.ends[ids]) + 4
             if len(ends) == len(some):
-                raw, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.known.update((w, raw[starts[k] : starts[k + 1]]) for k, w in enumerate(some))
+                raw, ends = ids.tobytes(), ends.tolist()
+                self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
-                self.known.update((w, self._ids(w).tobytes()) for w in some)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        split = [None if _UNUSUAL.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        self._learn(sorted(set().union(*(words for words in split if words)) - self.known.keys()))
-        get = self.known.__getitem__
-        return [self._ids(t).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+                self.words.update((w, self._ids(w).tobytes()) for w in some)
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case chunks, from memory or learned now."""
+        new = [c for c in chunks if c not in self.chunks]
+        cut = list(map(_WORDS.findall, new))
+        fresh = list(set().union(*cut).difference(self.words))
+        self._learn_words(fresh)
+        word = self.words.__getitem__
+        self.chunks.update(zip(new, (b"".join(map(word, words)) for words in cut), strict=True))
+        found = list(map(self.chunks.__getitem__, chunks))
+        for held, most, added in ((self.chunks, _CACHED_CHUNKS, new), (self.words, _CACHED_WORDS, fresh)):
+            if len(held) > most:  # the first ones seen are the frequent ones
+                for key in added:
+                    del held[key]
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text.
+
+        Splitting and counting of chunks run in Arrow's kernels; Python sees each distinct chunk of
+        the batch once, and the texts' ids are gathered from the chunks' ids by number.
+        """
+        plain = [_plain(t) for t in texts]
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string())))
+        coded = lists.values.dictionary_encode()
+        ids = self._chunk_ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(ids) else np.zeros(0, np.int64)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        bounds = lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()
+        known = self._gathered(flat, firsts, sizes, at, bounds)
+        return [next(known) if p else self._ids(text) for text, p in zip(texts, plain, strict=True)]
+
+    def _gathered(self, flat: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """Each text's ids from its chunks' numbers, some texts at a time to bound the index arrays."""
+        for k in range(0, len(bounds) - 1, _GATHER):
+            last = min(k + _GATHER, len(bounds) - 1)
+            own = at[bounds[k] : bounds[last]]
+            runs = sizes[own]
+            ends = np.concatenate([[0], np.cumsum(runs)])
+            ids = flat[np.repeat(firsts[own] - ends[:-1], runs) + np.arange(ends[-1])]
+            cuts = ends[bounds[k : last + 1] - bounds[k]]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield ids[a:b]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -101,13 +159,14 @@ def _pieces(path: str | None, capacity: int):
         encoder, end = _encoders[place], np.array([END], "<u4").tobytes()
         for part in parts:
             out = []
-            for at in range(0, len(part), 256):
-                some = part.iloc[at : at + 256]
+            for at in range(0, len(part), _BATCH):
+                some = part.iloc[at : at + _BATCH]
                 for doc_id, ids in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
-                    ids += end
-                    for k in range(0, len(ids), 4 * capacity):
-                        piece = ids[k : k + 4 * capacity]
-                        out.append((doc_id, k // 4 // capacity, k // 4, len(piece) // 4, zlib.crc32(piece)))
+                    size = len(ids) + 1
+                    for k, start in enumerate(range(0, size, capacity)):
+                        length = min(capacity, size - start)
+                        crc = zlib.crc32(ids[start : start + length])
+                        out.append((doc_id, k, start, length, zlib.crc32(end, crc) if start + length == size else crc))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
