@@ -51,7 +51,7 @@ def bm25_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that hold every word of a query."""
     part = table(spark, sf_dir, "part")
-    return part.where(T.words_all_in("PART  1", F.concat_ws(" ", "p_name", "p_brand", "p_type"))).select("p_partkey", "p_name")
+    return part.where(T.words_all_in("RİNG  SMALL", F.concat_ws(" ", "p_name", "p_brand", "p_type"))).select("p_partkey", "p_name")
 
 
 def normalize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ ORACLES = {
     "corpus_totals": f"SELECT count(*) AS documents, round(avg(len(toks)), 6) AS mean_length FROM ({_TOKENS})",
     "bm25_topk": _BM25,
     "bm25_topk_indexed": _BM25,
-    "fold_search": f"SELECT p_partkey, p_name FROM part WHERE list_aggregate(list_transform(regexp_split_to_array({T.sql_fold_tr("'PART  1'")}, '\\s+'), lambda w: contains({T.sql_fold_tr("concat_ws(' ', p_name, p_brand, p_type)")}, w)), 'bool_and')",
+    "fold_search": f"SELECT p_partkey, p_name FROM part WHERE list_aggregate(list_transform(regexp_split_to_array({T.sql_fold_tr("'RİNG  SMALL'")}, '\\s+'), lambda w: contains({T.sql_fold_tr("concat_ws(' ', p_name, p_brand, p_type)")}, w)), 'bool_and')",
     "normalize_terms": f"SELECT c_custkey, {T.sql_normalize('c_name')} AS name, {T.sql_fold_tr('c_mktsegment')} AS segment FROM customer",
     "camel_words": rf"SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' getHTTPResponse a_1B-c2D', '(\p{{Ll}}[^\p{{Lu}}\p{{Ll}}{T._SQL_SEPARATORS}{T._SQL_SPACES}]*)(\p{{Lu}})', '\1 \2', 'g') AS words FROM pages",
     "grep_lines": f"SELECT doc_id, n AS line_no, trim(l[n]) AS line FROM (SELECT doc_id, {_LINES} AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(n) WHERE regexp_matches(l[n], '(?i)stupid|moron')",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text_search", "graph_reports", "resolution")
+MODULES: tuple[str, ...] = ("text_search", "graph_reports", "resolution", "records")
 
 
 def _merged(name: str) -> dict:
