@@ -32,6 +32,8 @@ class Tier:
     over: tuple[str, str] = ("", "")
     own_too: bool = False
     definitions: DataFrame | None = None
+    #: Calls in another form (names and files that a binding stands for), in place of all calls.
+    calls: DataFrame | None = None
 
 
 @dataclass
@@ -50,7 +52,7 @@ def resolve(calls: DataFrame, definitions: DataFrame, rules: Rules) -> DataFrame
     found = None
     for number, tier in enumerate(rules.tiers):
         defs = tier.definitions if tier.definitions is not None else definitions
-        mine = calls
+        mine = calls if tier.calls is None else tier.calls
         if rules.stop_names and number >= rules.stop_after:
             mine = mine.where(~F.col("name").isin(rules.stop_names))
         if tier.via is None:
