@@ -99,37 +99,25 @@ def _cells(turn: np.ndarray, eps: float, leading: int):
     return cells
 
 
-def _blocks(turn: np.ndarray, eps: float, block: int):
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pd.DataFrame] = []
-        rows = 0
-
-        def emit(frame: pd.DataFrame) -> pd.DataFrame:
-            nonlocal number
-            x = _unit(frame["vector"].tolist(), len(turn)) @ turn
-            low, high = x.min(0), x.max(0)
-            number += 1
-            raw = _grid(frame["vector"].tolist(), len(turn))
-            return pd.DataFrame(
-                {"block": [number], "size": [int(frame["size"].iat[0])], "low": [low], "high": [high], "first": [int(np.floor(low[0] / eps))], "last": [int(np.floor(high[0] / eps))],
-                 "cks": [b"".join(frame["ck"])], "copies": [frame["copies"].to_numpy(np.int64)], "vectors": [raw.astype(np.float64).tobytes() if raw.dtype != np.float32 else raw.tobytes()], "wide": [raw.dtype != np.float32]}
-            )
-
-        for part in parts:
-            for _, run in part.groupby("size", sort=False):
-                if held and held[0]["size"].iat[0] != run["size"].iat[0]:
-                    yield emit(pd.concat(held))
-                    held, rows = [], 0
-                for at in range(0, len(run), block):
-                    piece = run.iloc[at : at + block]
-                    if rows + len(piece) > block:
-                        yield emit(pd.concat(held))
-                        held, rows = [], 0
-                    held.append(piece)
-                    rows += len(piece)
-        if held:
-            yield emit(pd.concat(held))
+def _number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the partition and the place in it."""
+    task, at = TaskContext.get().partitionId(), 0
+    for part in parts:
+        yield part.assign(part=task, at=np.arange(at, at + len(part)))
+        at += len(part)
+
+
+def _packer(turn: np.ndarray, eps: float):
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        raw = _grid(rows["vector"].tolist(), len(turn))
+        x = _scaled(raw.astype(np.float64)) @ turn
+        low, high = x.min(0), x.max(0)
+        wide = raw.dtype != np.float32
+        return pd.DataFrame(
+            {"block": [int(rows["block"].iat[0])], "size": [int(rows["size"].iat[0])], "low": [low], "high": [high], "first": [int(np.floor(low[0] / eps))], "last": [int(np.floor(high[0] / eps))],
+             "cks": [b"".join(rows["ck"])], "copies": [rows["copies"].to_numpy(np.int64)], "vectors": [(raw.astype(np.float64) if wide else raw).tobytes()], "wide": [wide]}
+        )
 
     return pack
 
@@ -219,7 +207,17 @@ def epsilon_join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     leading = min(leading, widest)
     listed = classes.select("ck", "copies", "size", "vector").mapInPandas(_cells(turn, eps, leading), f"ck binary, copies bigint, size int, vector {kind}, cells array<bigint>")
     ordered = durable(listed, "cells").orderBy("size", *[F.col("cells")[k] for k in range(leading)], "ck").select("ck", "copies", "size", "vector")
-    blocks = durable(ordered.mapInPandas(_blocks(turn, eps, block), _BLOCK), "blocks")
+    ordered = durable(ordered.mapInPandas(_number, f"ck binary, copies bigint, size int, vector {kind}, part int, at bigint"), "ordered")
+    # Places in the whole sequence: a partition's place plus how many rows the partitions before it have.
+    before, offsets = 0, []
+    for row in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
+        offsets.append((row.part, before))
+        before += row.n
+    starts = F.broadcast(spark.createDataFrame(offsets, "part int, start bigint"))
+    ranked = ordered.join(starts, "part").withColumn("rank", F.col("start") + F.col("at"))
+    # Sequences of different lengths never share a block.
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block) * 65_536 + F.col("size") % 65_536)
+    blocks = durable(ranked.select("block", "size", "rank", "ck", "copies", "vector").groupBy("block").applyInPandas(_packer(turn, eps), _BLOCK), "blocks")
     boxes = blocks.select("block", "size", "low", "high", "first", "last")
     one = boxes.select(*[F.col(c).alias(f"{c}1") for c in boxes.columns], F.explode(F.sequence("first", "last")).alias("cell"))
     two = boxes.select(*[F.col(c).alias(f"{c}2") for c in boxes.columns], F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
