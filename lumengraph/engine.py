@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lumengraph.functions import display as V
 from lumengraph.functions import paths as P
 from lumengraph.operators import delta, diagrams, extract, graph, grep, resolve, search
+from lumengraph.operators import imports as other
+from lumengraph.runtime import durable
 from lumengraph.sources import board, files
 from lumengraph.streaming import watch as W
 
@@ -24,8 +26,10 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, store: str) -> None:
         self.spark, self.root, self.store = spark, root, store
+        self._graph: tuple[DataFrame, DataFrame] | None = None
 
     def index(self) -> int:
+        self._graph = None
         return W.index(self.spark, self.root, self.store)
 
     def watch(self, seconds: int = 5):  # noqa: ANN201
@@ -37,7 +41,12 @@ class Engine:
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges, resolved calls, data flow and document links among them."""
-        t = self.tables()
+        if self._graph is None:
+            self._graph = self._resolved()
+        return self._graph
+
+    def _resolved(self) -> tuple[DataFrame, DataFrame]:
+        t = {name: durable(df, name) for name, df in self.tables().items()}
         nodes, facts = t["nodes"], t["facts"]
         owner = F.regexp_extract(F.expr("substring(id, length(path) + 2)"), r"^(.*)::[^:]*$", 1)
         fns = nodes.where(F.col("kind").isin("Function", "Method") & F.col("path").endswith(".rs")).select("id", F.substring_index("name", "<", 1).alias("name"), P.norm(F.col("path")).alias("file"), F.when(owner != "", owner).alias("owner"))
@@ -58,9 +67,10 @@ class Engine:
         shape = ["source", "target", "relation", "confidence"]
         files_linked = imports.select(F.concat(F.lit("file:"), "file").alias("source"), F.concat(F.lit("file:"), "other_file").alias("target"), F.lit("Imports").alias("relation"), F.lit(1.0).alias("confidence"))
         edges = t["edges"].select(*shape)
-        for more in (made, files_linked, flow, extract.ecosystem_links(nodes)):
+        for more in (made, files_linked, flow, extract.ecosystem_links(nodes), *other_links(nodes, t["imports"], facts)):
             edges = edges.union(more.select(*shape))
-        return nodes, edges.withColumn("ord", F.xxhash64("source", "target", "relation"))
+        # Written once after each indexing: queries meet nodes and edges from several sides.
+        return nodes, durable(edges.withColumn("ord", F.xxhash64("source", "target", "relation")), "graph_edges")
 
     def ask(self, query: str, k: int = 10, alpha: float = 0.25, iterations: int = 25) -> DataFrame:
         """The k nodes closest to the best lexical hits."""
@@ -107,6 +117,25 @@ class Engine:
         return board.summary(board.goals(board.preferred(found.where(F.contains("path", F.lit("/.harness/"))))), BOARD_SCHEMA)
 
 
+def other_links(nodes: DataFrame, imports: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Import and call edges of scripts, Python, Go, Java and C files."""
+    kinds = F.create_map(*[F.lit(x) for lang, endings in extract.LANGUAGE.items() for e in endings.split() for x in (e, lang)])
+    lang = F.element_at(kinds, files.extension(F.col("path")))
+    paths = nodes.where("kind = 'File'").select("path")
+    specs = imports.select(F.expr("substring(file_id, 6)").alias("file"), F.substring("spec", 1, 2).alias("l"), F.expr("substring(spec, 4)").alias("spec"))
+    linked = other.script_imports(specs.where("l = 'js'").select("file", "spec"), paths).union(other.python_imports(specs.where("l = 'py'").select("file", "spec"), paths))
+    named = facts.where("tag = 'b'").select(F.expr("substring(node_id, 6)").alias("file"), "value")
+    bound, external = other.bindings(named, linked)
+    owner = F.regexp_extract(F.expr("substring(id, length(path) + 2)"), r"^(.*)::[^:]*$", 1)
+    pub = facts.where("tag = 'pub'").select(F.col("node_id").alias("id"), F.lit(True).alias("p")).distinct()
+    defs = nodes.where(lang.isNotNull() & F.col("kind").isin("Function", "Method", "Class", "Interface", "Enum")).join(pub, "id", "left")
+    defs = defs.select("id", "name", "kind", F.col("path").alias("file"), P.directory(F.col("path")).alias("dir"), F.when(owner != "", owner).alias("owner"), F.coalesce("p", F.lit(False)).alias("is_pub"), lang.alias("lang"))
+    calls = facts.where("tag = 'c'").join(defs, F.col("node_id") == F.col("id")).select(F.col("id").alias("caller"), F.col("pos").alias("tok_ord"), F.col("value").alias("token"), "file", "dir", "lang", "owner")
+    made = other.resolve_other(calls, defs.drop("lang"), linked, bound, external).withColumn("relation", F.lit("Calls"))
+    edges = linked.select(F.concat(F.lit("file:"), "file").alias("source"), F.concat(F.lit("file:"), "other_file").alias("target"), F.lit("Imports").alias("relation"), F.lit(1.0).alias("confidence")).distinct()
+    return edges, made
+
+
 def rust_imports(nodes: DataFrame, imports: DataFrame, packages: DataFrame) -> DataFrame:
     """(file, other_file) of Rust specs: the longest module prefix that is a file, else the package's root file.
 
