@@ -118,7 +118,7 @@ def public_api(functions: DataFrame, calls: DataFrame, k: int = 4) -> DataFrame:
     functions: (id, name, ord, package, is_pub); calls: (source, target).
     """
     one = functions.select(F.col("id").alias("source"), F.col("package").alias("from"))
-    outside = calls.join(one, "source").join(functions.where("is_pub").select(F.col("id").alias("target"), "name", "ord", "package"), "target").where("from <> package")
+    outside = calls.select("source", "target").join(one, "source").join(functions.where("is_pub").select(F.col("id").alias("target"), "name", "ord", "package"), "target").where("from <> package")
     ranked = outside.groupBy("package", "name").agg(F.count("*").alias("callers"), F.min("ord").alias("ord"))
     place = F.row_number().over(Window.partitionBy("package").orderBy(F.desc("callers"), "ord"))
     return ranked.withColumn("place", place).where(F.col("place") <= k).select("package", "place", "name", "callers")
