@@ -3,11 +3,12 @@
 A document's ids are cut into pieces of at most `capacity`; only documents longer than that are
 cut. Full pieces fill a sequence each. For the rest only the histogram of lengths matters: at most
 `capacity` numbers, whatever the corpus size. The configuration program (a variable per multiset of
-lengths that fits, as few sequences as possible, every length covered) is solved on it by
-multiplicative weights: each round prices the lengths by their weights, solves one knapsack dynamic program for
-the most valuable filling of every room, uses the configuration that it gives for each length for a
-share of what is left, and lowers the weights of the lengths it covers. The whole uses are kept (rounding down); the lengths left
-over go in by best fit, longest first, into the fullest sequence with room.
+lengths that fits, as few sequences as possible, every length covered) is solved on it in fractions
+by multiplicative weights: each round solves one knapsack dynamic program for the most valuable
+filling of every room at the lengths' weights, uses for each length the configuration that holds it,
+whatever room that leaves, if it comes within `NEAR` of the best value, and raises the weights of
+the lengths that stay short of the round's share. The fractional uses are rounded down; the
+lengths left over go in by best fit, longest first, into the fullest sequence with room.
 
 The plan is a list of sequence groups with equal contents. Pieces of a length are numbered without
 gathering them (counts per salt, then ranks inside a salt), and a piece's number gives its place.
@@ -37,10 +38,10 @@ CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of one length are numbered in this many parts.
 SALTS = 256
-#: Rounds of multiplicative weights, and the share of the remaining lengths that a round may use.
-ROUNDS, SHARE, RATE = 60, 0.25, 0.1
-#: Share of the ids that best fit packs after the program's whole uses.
-TAIL = 0.1
+#: Rounds of multiplicative weights, the share of every length that a round adds, the most by which a
+#: round raises a weight (its logarithm), how near to the best value a configuration must come, and the
+#: share of a length below which it counts as covered.
+ROUNDS, STEP, RATE, NEAR, LEAST = 80, 0.05, 0.01, 0.004, 1e-3
 #: Chunks and words that a worker remembers; what is rarer is encoded again.
 _CACHED_CHUNKS, _CACHED_WORDS = 1_200_000, 800_000
 #: Texts whose chunks are counted at a time, and whose ids are gathered at a time.
@@ -203,6 +204,41 @@ def configuration(length: int, choice: np.ndarray, left: np.ndarray, capacity: i
     return uses, room
 
 
+def covering(asked: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """Fractional uses of configurations towards `asked`, none above it, and a lower bound on the sequences of any cover."""
+    lengths, weight = np.flatnonzero(asked), np.arange(capacity + 1, dtype=float)
+    uses_of: dict[tuple, float] = {}
+    covered, bound = np.zeros(capacity + 1), 0.0
+    for k in range(rounds):
+        # A round lets every length come to the same share of its count, so that short ones last for all.
+        limit = min(1.0, (k + 1) * STEP)
+        free = limit * asked - covered
+        free[free < LEAST * asked] = 0
+        open_ones = lengths[free[lengths] > 0]
+        if not len(open_ones):
+            if limit == 1.0:
+                break
+            continue
+        best, choice = prices(weight, open_ones, capacity)
+        bound = max(bound, float((asked * weight)[open_ones].sum() / best[capacity]))
+        for length in open_ones[::-1].tolist():
+            if not free[length]:
+                continue
+            uses, _ = configuration(length, choice, np.where(free > 0, asked, 0), capacity)
+            if sum(weight[j] * n for j, n in uses.items()) < (1 - NEAR) * best[capacity]:
+                continue
+            times = min(free[j] / n for j, n in uses.items())
+            key = tuple(sorted(uses.items(), reverse=True))
+            uses_of[key] = uses_of.get(key, 0.0) + times
+            for j, n in uses.items():
+                covered[j] += n * times
+                free[j] -= n * times
+                if free[j] < LEAST * asked[j]:
+                    free[j] = 0
+        weight[open_ones] *= np.exp(RATE * free[open_ones] / (limit * asked[open_ones]))
+    return uses_of, bound
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """Sequence groups (how many sequences, lengths in each) that hold every length of the histogram."""
     left = np.zeros(capacity + 1, np.int64)
@@ -212,42 +248,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     if left[capacity]:
         groups.append((int(left[capacity]), {capacity: 1}))
         left[capacity] = 0
-    asked = left.copy()
-    sizes = np.arange(capacity + 1)
-    all_ids = int((sizes * left).sum())
-    for _ in range(rounds):
-        # The last part is left to best fit, which needs short pieces to close its gaps.
-        if (sizes * left).sum() <= all_ids * TAIL:
-            break
-        lengths = np.flatnonzero(left)
-        share = np.divide(left, asked, out=np.zeros(capacity + 1), where=asked > 0)
-        weight = sizes * np.exp(RATE * (share - share[lengths].mean()))
-        _, choice = prices(weight, lengths, capacity)
-        before = left.sum()
-        for length in lengths[::-1].tolist():
-            uses, room = configuration(length, choice, left, capacity) if left[length] else ({}, 1)
-            if room:
-                continue
-            times = max(1, int(min(left[k] // n for k, n in uses.items()) * SHARE))
-            groups.append((times, uses))
-            for k, n in uses.items():
-                left[k] -= n * times
-        if left.sum() == before:
-            break
-    return _merge(groups) + best_fit({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity)
-
-
-def _merge(groups: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
-    total: dict[tuple, int] = {}
-    for n, uses in groups:
-        key = tuple(sorted(uses.items(), reverse=True))
-        total[key] = total.get(key, 0) + n
-    return [(n, dict(key)) for key, n in total.items()]
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit, longest first, on counts: sequences with equal contents are one group."""
+    owed = 0.0
+    # Running sums of the uses are rounded down, in an order in which like configurations are neighbours.
+    for key, times in sorted(covering(left.copy(), capacity, rounds)[0].items(), reverse=True):
+        owed += times
+        whole = min(int(owed + 1e-9), *(int(left[k]) // n for k, n in key))
+        owed -= int(owed + 1e-9)
+        if whole:
+            groups.append((whole, dict(key)))
+            for k, n in key:
+                left[k] -= n * whole
+    return best_fit({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity, groups)
+
+
+def best_fit(histogram: dict[int, int], capacity: int, groups: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
+    """Best fit, longest first, on counts, into the room of `groups` and new ones: sequences with equal contents are one group."""
     by_room: dict[int, list[list]] = {}
+    for n, uses in groups:
+        by_room.setdefault(capacity - sum(k * m for k, m in uses.items()), []).append([n, uses])
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         for room in sorted(r for r in by_room if r >= length):
@@ -257,7 +275,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
                 take = min(group[0], n // each)
                 if group[0] > take:
                     by_room[room].append([group[0] - take, group[1]])
-                by_room.setdefault(room - each * length, []).append([take, group[1] | {length: each}])
+                by_room.setdefault(room - each * length, []).append([take, group[1] | {length: group[1].get(length, 0) + each}])
                 n -= take * each
             if room in by_room and not by_room[room]:
                 del by_room[room]
