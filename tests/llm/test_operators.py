@@ -372,6 +372,24 @@ def test_chat_splits_crowds(spark):
             assert re.fullmatch(r"m\d+", r.text[a:b])
 
 
+def test_chat_cuts_in_order_with_context(spark):
+    # Turns far apart and two messages a turn in a short dialogue; a long one, and one without conversation whose turns are all null.
+    rows = [(1, 1000 * (k // 2), "bob" if k % 2 else "ann", f"s{k}") for k in range(8)]
+    rows += [(2, -1, "system", "be kind")] + [(2, k, "ann" if k % 2 else "bob", f"m{k:03}") for k in range(150)] + [(2, 60, "system", "be brief")]
+    rows += [(None, None, "ann", f"n{k:03}") for k in range(120)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), part=50).collect()
+    by = {(r.conv_id, r.part, r.perspective): r for r in got}
+    bodies = lambda r: re.findall(r"\n(.*?)<\|im_end\|>", r.text)
+    assert bodies(by[1, 0, "ann"]) == [f"s{k}" for k in range(8)] and (1, 1, "ann") not in by
+    whole = ["be kind", *(f"m{k:03}" for k in range(60)), *["m060", "be brief"], *(f"m{k:03}" for k in range(61, 150))]
+    for k in range(4):
+        assert bodies(by[2, k, "ann"]) == (["be kind"] if k else []) + (["be brief"] if k > 1 else []) + whole[max(50 * k - 6, 0) : 50 * k + 50]
+        assert by[2, k, "ann"].n_messages == len(whole[50 * k : 50 * k + 50])
+    spans = [by[2, k, p].text[slice(*map(int, s.split(":")))] for k in range(4) for p in ("ann", "bob") for s in by[2, k, p].mask.split(",")]
+    assert sorted(spans) == [f"m{k:03}" for k in range(150)]
+    assert [bodies(by[None, k, "ann"]) for k in range(3)] == [[f"n{k:03}" for k in range(max(50 * j - 6, 0), min(50 * j + 50, 120))] for j in range(3)]
+
+
 # pipeline
 
 
