@@ -8,8 +8,9 @@ middle, and the serial correlation of neighbouring positions. Their p values are
 Fisher's method into `evenness`.
 
 How often ordinary text looks as even as that depends on its length, so it is counted: the letters
-of every text, whole, are cut into windows of each length class, the battery judges them too, and
-their histogram is the null distribution of the class. A candidate's p value is the share of its
+of every text, whole, are cut into windows of each length class (what is left at a text's end goes on
+in the next text of the task), the battery judges them too, and their histogram is the null
+distribution of the class. A class without a window borrows the next shorter one's. A candidate's p value is the share of its
 class's windows that are at least as even. Benjamini-Hochberg over all candidates of the corpus
 keeps the expected share of ordinary text among the added spans at or below `RATE`. Only histograms
 (length classes by bins) leave the tasks.
@@ -36,6 +37,8 @@ SHORTEST, RATE = 20, 0.01
 #: Length classes by their shortest length, and bins of -log10(evenness), ten to a decade.
 CLASSES = (20, 28, 40, 64, 96)
 BINS = 160
+#: Letters that windows of every class divide, and letters that are judged at a time.
+_STRETCH, _HELD = math.lcm(*CLASSES), 1 << 18
 KINDS = ("assign", "access", "hex", "random")
 #: The base patterns and the least lengths of what they must hold.
 ASSIGN = re.compile(
@@ -130,27 +133,36 @@ def _letters(text: str) -> np.ndarray:
     return raw[(raw >= 97) & (raw <= 122)].astype(np.int64) - 97
 
 
+def _judged(letters: list[np.ndarray], counts: np.ndarray, last: bool = True) -> list[np.ndarray]:
+    """Adds the windows of every class over the letters to `counts`, and returns the letters that wait for more."""
+    joined = np.concatenate([np.zeros(0, np.int64), *letters])
+    whole = len(joined) if last else len(joined) // _STRETCH * _STRETCH
+    for k, size in enumerate(CLASSES):
+        rows = whole // size
+        if rows:
+            counts[k] += np.bincount(_bin(evenness(joined[: rows * size].reshape(rows, size), 26)), minlength=BINS)
+    return [joined[whole:]]
+
+
 def _histograms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(what, class, bin, n): what 0 for windows of ordinary text, 1 for candidates."""
+    counts = np.zeros((2, len(CLASSES), BINS), np.int64)
+    letters: list[np.ndarray] = []
+    held = 0
     for part in parts:
-        counts = np.zeros((2, len(CLASSES), BINS), np.int64)
-        windows: list[list[np.ndarray]] = [[] for _ in CLASSES]
         for text in part["text"]:
             if not text:
                 continue
             for _, _, k, b in candidates(text):
                 counts[1, k, b] += 1
-            letters = _letters(text)
-            # Every length class gets its share of the text, so each letter is judged once.
-            for k, piece in enumerate(np.array_split(letters, len(CLASSES))):
-                rows = len(piece) // CLASSES[k]
-                if rows:
-                    windows[k].append(piece[: rows * CLASSES[k]].reshape(rows, CLASSES[k]))
-        for k, own in enumerate(windows):
-            for at in range(0, len(own), 512):
-                counts[0, k] += np.bincount(_bin(evenness(np.concatenate(own[at : at + 512]), 26)), minlength=BINS)
-        what, k, b = np.nonzero(counts)
-        yield pd.DataFrame({"what": what, "k": k, "b": b, "n": counts[what, k, b]})
+            letters.append(_letters(text))
+            held += len(letters[-1])
+            if held >= _HELD:
+                letters = _judged(letters, counts[0], last=False)
+                held = len(letters[0])
+    _judged(letters, counts[0])
+    what, k, b = np.nonzero(counts)
+    yield pd.DataFrame({"what": what, "k": k, "b": b, "n": counts[what, k, b]})
 
 
 def discoveries(rows: list[tuple[int, int, int, int]], rate: float = RATE) -> set[tuple[int, int]]:
@@ -158,6 +170,9 @@ def discoveries(rows: list[tuple[int, int, int, int]], rate: float = RATE) -> se
     counts = np.zeros((2, len(CLASSES), BINS))
     for what, k, b, n in rows:
         counts[what, k, b] += n
+    for k in range(1, len(CLASSES)):
+        if not counts[0, k].any():
+            counts[0, k] = counts[0, k - 1]
     # A low bin is an even run: windows at least as even are those of the same bin or a lower one.
     p = (1 + np.cumsum(counts[0], 1)) / (1 + counts[0].sum(1, keepdims=True))
     k, b = np.nonzero(counts[1])

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,23 @@ def test_battery_adds_random_tokens_and_leaves_text(spark):
     assert sum(found[k].n_random for k in range(len(words))) <= 2
 
 
+def test_battery_reads_short_texts_whole(spark):
+    rng = random.Random(4)
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in re.findall("[a-z]+", (r.text or "").lower())]
+    rows = [(k, " ".join(words[k : k + 12]), "en", "a") for k in range(0, 60_000, 2)]  # some 60 letters each
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for size in (20, 32, 48, 64, 80, 100):
+        rows += [(10**6 + 100 * size + k, f"{''.join(rng.choice(alphabet) for _ in range(size))} is it", "en", "a") for k in range(20)]
+    found = {r.doc_id: r.n_random for r in secrets.scan(docs(spark, rows)).collect()}
+    caught = {size: sum(found[10**6 + 100 * size + k] for k in range(20)) for size in (20, 32, 48, 64, 80, 100)}
+    assert min(caught[size] for size in (48, 64, 80, 100)) >= 16, caught
+    assert sum(n for d, n in found.items() if d < 10**6) <= 2
+    counts = np.zeros((len(secrets.CLASSES), secrets.BINS), np.int64)
+    for frame in secrets._histograms(iter([pd.DataFrame({"text": ["some words of the text " * 200] * 50 + [None, ""]})] * 2)):
+        np.add.at(counts, (frame.k, frame.b), frame.n)
+    assert counts.sum(1).tolist() == [18 * 200 * 100 // size for size in secrets.CLASSES]
+
+
 def test_secrets_of_odd_rows(spark):
     rows = secrets.scan(docs(spark, ODD)).collect()
     assert len(rows) == len(ODD) and all(r.spans == "" for r in rows)
