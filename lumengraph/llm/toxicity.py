@@ -3,8 +3,10 @@
 A text's terms are its distinct lower-cased words and their beginnings of four and five characters
 (so that inflected forms share a term), hashed to `SLOTS` slots. The machine adds a weight per slot
 and, for every pair of slots, the product of their factors: an insult beside a mention of a group
-can weigh more than both alone. Slots that the training rows tie to neither label (chi-squared below
-`LEAST`) are left out. Weights and factors are fitted by AdaGrad on the logistic loss.
+can weigh more than both alone, also where neither term tells anything alone. The machine holds the
+slots that the training rows tie to a label by themselves (chi-squared of `LEAST` or more) and those
+of pairs that are tied to it more than either term is, beyond what chance gives among all pairs; pairs
+are counted among the `PAIRED` slots that most training rows hold. Weights and factors are fitted by AdaGrad on the logistic loss.
 
 It is fitted on at most about `TRAIN_ROWS` labelled rows, those whose ids hash below a bound that
 follows from their number; slot statistics, weights and factors come from these rows.
@@ -33,6 +35,8 @@ from lumengraph.runtime import table
 #: Documented bounds of the training sample and of the model.
 TRAIN_ROWS, SLOTS, MOST_SLOTS, FACTORS = 20_000, 1 << 20, 30_000, 4
 LEAST = 6.6
+#: Slots whose pairs are counted, and the rows that are counted at a time.
+PAIRED, _DENSE = 2048, 2048
 EPOCHS, BATCH, STEP, SHRINK = 15, 128, 0.1, 1e-5
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
@@ -65,6 +69,35 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": part["label"], "slots": found})
 
 
+def _paired(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, df: np.ndarray, chi: np.ndarray) -> np.ndarray:
+    """Slots of pairs whose chi-squared exceeds that of either slot by more than chance gives."""
+    common = np.argsort(-df, kind="stable")[:PAIRED]
+    common = common[df[common] >= 3]
+    at = np.full(SLOTS, -1, np.int32)
+    at[common] = np.arange(len(common), dtype=np.int32)
+    keep = at[flat] >= 0
+    cols, doc = at[flat[keep]], doc[keep]
+    both, ones = np.zeros((2, len(common), len(common)), np.float32)  # whole numbers, exact
+    for first in range(0, len(y), _DENSE):
+        a, b = np.searchsorted(doc, (first, first + _DENSE))
+        held = np.zeros((min(_DENSE, len(y) - first), len(common)), np.float32)
+        held[doc[a:b] - first, cols[a:b]] = 1
+        toxic = held[y[first : first + _DENSE] == 1]
+        both += held.T @ held
+        ones += toxic.T @ toxic
+    share, limit = y.mean(), LEAST + 2 * np.log(max(len(common), 2) ** 2 / 2)
+    found = np.zeros(len(common), bool)
+    for k, slot in enumerate(common):
+        n = both[k].astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where(n >= 3, (ones[k] - n * share) ** 2 / (n * share * (1 - share) * (1 - n / (len(y) + 1))), 0)
+        telling = own - np.maximum(chi[slot], chi[common]) >= limit
+        telling[k] = False
+        found |= telling
+        found[k] |= telling.any()
+    return common[found]
+
+
 def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Machine:
     """A machine from (label, slots) rows."""
     y = np.array([r[0] for r in rows], float)
@@ -79,10 +112,12 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Machine:
     ones = np.bincount(flat, weights=y[doc], minlength=SLOTS)
     expected = df * share
     with np.errstate(divide="ignore", invalid="ignore"):
-        # Toxic terms lift the score; the rest is told by the bias and by what they never meet.
         chi = np.where(df >= 3, (ones - expected) ** 2 / (expected * (1 - share) * (1 - df / (len(y) + 1))), 0)
     best = np.argsort(-chi, kind="stable")[:MOST_SLOTS]
     best = best[chi[best] >= LEAST]
+    # A term that tells nothing alone may tell beside another.
+    pairs = np.setdiff1d(_paired(flat, doc, y, df, chi), best)
+    best = np.concatenate([best[: MOST_SLOTS - len(pairs)], pairs])
     if not len(best):
         return none
     at = np.full(SLOTS, -1, np.int32)

@@ -359,6 +359,17 @@ def test_toxicity_learns_pairs():
     assert score(1, 3) > 0.7 > 0.5 > max(score(1, 4), score(2, 3), score(2, 4))
 
 
+def test_toxicity_learns_pairs_of_neutral_terms():
+    # The label is 1 where terms 1 and 3 are both there or both not: each alone is even.
+    rows = []
+    for k in range(2000):
+        a, b = k % 2, k // 2 % 2
+        rows.append((int(a == b), np.array([x for x, there in ((1, a), (2, not a), (3, b), (4, not b)) if there] + [10 + k % 7], np.int32)))
+    machine = toxicity.fit(rows)
+    score = lambda *s: machine.score(np.array([machine.column[x] for x in s]))
+    assert min(score(1, 3), score(2, 4)) > 0.7 and max(score(1, 4), score(2, 3)) < 0.3
+
+
 def test_toxicity_of_odd_rows(spark):
     table = docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id bigint, label int")
