@@ -7,15 +7,19 @@ lengths that fits, as few sequences as possible, every length covered) is solved
 by multiplicative weights: each round solves one knapsack dynamic program for the most valuable
 filling of every room at the lengths' weights, uses for each length the configuration that holds it,
 whatever room that leaves, if it comes within `NEAR` of the best value, and raises the weights of
-the lengths that stay short of the round's share. The fractional uses are rounded down; the
-lengths left over go in by best fit, longest first, into the fullest sequence with room.
+the lengths that stay short of the round's share. A share of the fractional uses is rounded down and
+the lengths left over go in by best fit, longest first, into the fullest sequence with room; of
+`SHARES` the one counts that ends with the fewest sequences (where few pieces have a length, all but
+small uses round to nothing, and a small share leaves best fit the short pieces that it needs; share
+0 is best fit alone, so no plan is worse than that).
 
 The plan is a list of sequence groups with equal contents. Pieces of a length are numbered without
-gathering them (counts per salt, then ranks inside a salt), and a piece's number gives its place.
+gathering them (counts per salt, then ranks inside a salt; the more pieces, the more salts), and a
+piece's number gives its place.
 
-Edge cases: a null text is empty and yields its end id alone. Repeated rows are packed each. Extra
-columns are ignored. Ids that repeat are told apart by nothing but their place. An empty table
-gives an empty result.
+Edge cases: a null text is empty and yields its end id alone. Repeated rows are packed each. Ids of
+any type pass through untouched, null ones too. Extra columns are ignored. Ids that repeat are told
+apart by nothing but their place. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,43 +30,66 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lumengraph.llm.arrow import slices
 from lumengraph.runtime import durable, table
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Rows of one length are numbered in this many parts.
-SALTS = 256
+#: Pieces of one length are numbered in parts of about this many.
+SALT_ROWS = 20_000
 #: Rounds of multiplicative weights, the share of every length that a round adds, the most by which a
 #: round raises a weight (its logarithm), how near to the best value a configuration must come, and the
 #: share of a length below which it counts as covered.
 ROUNDS, STEP, RATE, NEAR, LEAST = 80, 0.05, 0.01, 0.004, 1e-3
+SHARES = (1.0, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2, 0.0)
 #: Chunks and words that a worker remembers; what is rarer is encoded again.
-_CACHED_CHUNKS, _CACHED_WORDS = 1_200_000, 800_000
-#: Texts whose chunks are counted at a time, and whose ids are gathered at a time.
-_BATCH, _GATHER = 8192, 512
-#: Below this code point every character is composed, but for the listed ones its lower case does
-#: not depend on its place, and the classes of `re` are those of the tokenizer's rule.
-_PLAIN = 0x250
-_SPECIAL = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\xb2", "\xb3", "\xb9", "\xbc", "\xbd", "\xbe", "\u0130")
-_FAR = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]")
+_CACHED_CHUNKS, _CACHED_WORDS = 600_000, 400_000
+#: Texts whose chunks are counted at a time, their bytes, and texts whose ids are gathered at a time.
+_BATCH, _BYTES, _GATHER = 4096, 8 << 20, 512
+#: A text that holds any of these goes to the tokenizer whole: characters from U+0250 on and the listed ones (their
+#: normal form or case depends on their neighbours, or the classes of `re` are not those of the tokenizer's rule), and
+#: the mark of a special token.
+_ODD = r"[^\x00-\x{24F}]|<\||[\x1c-\x1f\x{b2}\x{b3}\x{b9}\x{bc}\x{bd}\x{be}\x{130}]"
 #: The tokenizer's own rule for words, its alternatives in an order that is quick to try.
 _WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 
-def _plain(text: str) -> bool:
-    if any(mark in text for mark in _SPECIAL):
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return not _FAR.search(text)
-    return True
+class _Known:
+    """Ids of strings, the first `most` that come, in Arrow memory: no Python object per string."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.strings = most, pa.array([], pa.large_string())
+        self.flat, self.firsts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, strings: pa.Array, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+        """Per distinct string where its ids are (flat ids, first, size); `learn` gives the same for new ones."""
+        at = pc.fill_null(pc.index_in(strings, value_set=self.strings), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        flat, firsts, sizes = learn(strings.take(pa.array(new)))
+        before = len(self.flat)
+        own_firsts, own_sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        if len(self.strings):
+            own_firsts, own_sizes = self.firsts[at], self.sizes[at]
+        own_firsts[new], own_sizes[new] = firsts + before, sizes
+        flat = np.concatenate([self.flat, flat])
+        room = min(len(new), self.most - len(self.strings))  # the first ones seen are the frequent ones
+        if room > 0:
+            self.strings = pa.concat_arrays([self.strings, strings.take(pa.array(new[:room]))])
+            self.firsts, self.sizes = np.concatenate([self.firsts, own_firsts[new[:room]]]), np.concatenate([self.sizes, own_sizes[new[:room]]])
+            self.flat = flat[: int((self.firsts + self.sizes).max(initial=0))]
+        return flat, own_firsts, own_sizes
+
+
+def _runs(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions first, first + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(firsts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
@@ -81,8 +108,7 @@ class Encoder:
         parts = json.loads(self.tokenizer.to_str())
         steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
         self.cut_words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = _Known(_CACHED_CHUNKS), _Known(_CACHED_WORDS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -90,59 +116,63 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 2048):
-            some = words[at : at + 2048]
+            some = words[at : at + 2048].to_pylist()
             ids = np.array(self.cut_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * np.flatnonzero(self.ends[ids]) + 4
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
-                raw, ends = ids.tobytes(), ends.tolist()
-                self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                own = np.diff(ends, prepend=0)
             else:
-                self.words.update((w, self._ids(w).tobytes()) for w in some)
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct lower-case chunks, from memory or learned now."""
-        new = [c for c in chunks if c not in self.chunks]
-        cut = list(map(_WORDS.findall, new))
-        fresh = list(set().union(*cut).difference(self.words))
-        self._learn_words(fresh)
-        word = self.words.__getitem__
-        self.chunks.update(zip(new, (b"".join(map(word, words)) for words in cut), strict=True))
-        found = list(map(self.chunks.__getitem__, chunks))
-        for held, most, added in ((self.chunks, _CACHED_CHUNKS, new), (self.words, _CACHED_WORDS, fresh)):
-            if len(held) > most:  # the first ones seen are the frequent ones
-                for key in added:
-                    del held[key]
-        return found
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text.
-
-        Splitting and counting of chunks run in Arrow's kernels; Python sees each distinct chunk of
-        the batch once, and the texts' ids are gathered from the chunks' ids by number.
+                each = [self._ids(w) for w in some]
+                ids, own = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            found.append(ids)
+            sizes.append(own)
+        sizes = np.concatenate(sizes)
+        return np.concatenate(found), np.cumsum(sizes) - sizes, sizes
+
+    def _learn_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A chunk of letters alone is a word; others are cut by the rule."""
+        letters = pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False)
+        one, more = np.flatnonzero(letters), np.flatnonzero(~letters)
+        cut = list(map(_WORDS.findall, chunks.take(pa.array(more)).to_pylist()))
+        several = pa.array([w for words in cut for w in words], pa.large_string())
+        coded = pa.concat_arrays([chunks.take(pa.array(one)), several]).dictionary_encode()
+        flat, firsts, sizes = self.words.ids(coded.dictionary, self._learn_words)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        runs = sizes[at]
+        each = np.concatenate([np.ones(len(one), np.int64), np.fromiter(map(len, cut), np.int64, len(cut))])  # words of a chunk
+        ends = np.concatenate([[0], np.cumsum(runs)])[np.cumsum(each)]
+        own_sizes, own_firsts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        order = np.concatenate([one, more])
+        own_sizes[order] = np.diff(ends, prepend=0)
+        own_firsts[order] = ends - own_sizes[order]
+        return flat[_runs(firsts[at], runs)], own_firsts, own_sizes
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text; null counts as empty.
+
+        Splitting, counting and looking up of chunks run in Arrow's kernels; Python sees what is
+        new, and the texts' ids are gathered from the chunks' ids by number.
         """
-        plain = [_plain(t) for t in texts]
-        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string())))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
         coded = lists.values.dictionary_encode()
-        ids = self._chunk_ids(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(ids) else np.zeros(0, np.int64)
-        at = coded.indices.to_numpy(zero_copy_only=False)
         bounds = lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()
-        known = self._gathered(flat, firsts, sizes, at, bounds)
-        return [next(known) if p else self._ids(text) for text, p in zip(texts, plain, strict=True)]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        known = self._gathered(*self.chunks.ids(coded.dictionary, self._learn_chunks), at, bounds)
+        whole = map(self._ids, texts.filter(odd).to_pylist())
+        return [next(whole) if o else next(known) for o in odd.to_pylist()]
 
     def _gathered(self, flat: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         """Each text's ids from its chunks' numbers, some texts at a time to bound the index arrays."""
         for k in range(0, len(bounds) - 1, _GATHER):
             last = min(k + _GATHER, len(bounds) - 1)
             own = at[bounds[k] : bounds[last]]
-            runs = sizes[own]
-            ends = np.concatenate([[0], np.cumsum(runs)])
-            ids = flat[np.repeat(firsts[own] - ends[:-1], runs) + np.arange(ends[-1])]
-            cuts = ends[bounds[k : last + 1] - bounds[k]]
+            ids = flat[_runs(firsts[own], sizes[own])]
+            cuts = np.concatenate([[0], np.cumsum(sizes[own])])[bounds[k : last + 1] - bounds[k]]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 yield ids[a:b]
 
@@ -151,24 +181,27 @@ _encoders: dict[str, Encoder] = {}
 
 
 def _pieces(path: str | None, capacity: int):
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of each batch: the id as it came, then piece, start, length, ids_crc32 and a running number of the task."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         place = path or public_tokenizers.path(TOKENIZER)
         if place not in _encoders:
             _encoders[place] = Encoder(place)
-        encoder, end = _encoders[place], np.array([END], "<u4").tobytes()
-        for part in parts:
+        encoder, end, given = _encoders[place], np.array([END], "<u4").tobytes(), 0
+        for part in slices(batches, 1, _BATCH, _BYTES):
             out = []
-            for at in range(0, len(part), _BATCH):
-                some = part.iloc[at : at + _BATCH]
-                for doc_id, ids in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
-                    size = len(ids) + 1
-                    for k, start in enumerate(range(0, size, capacity)):
-                        length = min(capacity, size - start)
-                        crc = zlib.crc32(ids[start : start + length])
-                        out.append((doc_id, k, start, length, zlib.crc32(end, crc) if start + length == size else crc))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for row, ids in enumerate(encoder.encode(part.column(1))):
+                size = len(ids) + 1
+                for k, start in enumerate(range(0, size, capacity)):
+                    length = min(capacity, size - start)
+                    crc = zlib.crc32(ids[start : start + length])
+                    out.append((row, k, start, length, zlib.crc32(end, crc) if start + length == size else crc))
+            rows, *columns = np.array(out, np.int64).reshape(-1, 5).T
+            numbers = [pa.array(x, t) for x, t in zip((*columns, np.arange(given, given + len(out))), (pa.int32(), *[pa.int64()] * 4), strict=True)]
+            given += len(out)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32", "given"])
 
     return cut
 
@@ -239,19 +272,12 @@ def covering(asked: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[di
     return uses_of, bound
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """Sequence groups (how many sequences, lengths in each) that hold every length of the histogram."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] += n
-    groups: list[tuple[int, dict[int, int]]] = []
-    if left[capacity]:
-        groups.append((int(left[capacity]), {capacity: 1}))
-        left[capacity] = 0
-    owed = 0.0
+def rounded(left: np.ndarray, uses: dict[tuple, float], share: float, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Groups from a share of the fractional uses rounded down, the rest by best fit."""
+    left, owed, groups = left.copy(), 0.0, []
     # Running sums of the uses are rounded down, in an order in which like configurations are neighbours.
-    for key, times in sorted(covering(left.copy(), capacity, rounds)[0].items(), reverse=True):
-        owed += times
+    for key, times in sorted(uses.items(), reverse=True):
+        owed += share * times
         whole = min(int(owed + 1e-9), *(int(left[k]) // n for k, n in key))
         owed -= int(owed + 1e-9)
         if whole:
@@ -261,6 +287,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     return best_fit({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity, groups)
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    """Sequence groups (how many sequences, lengths in each) that hold every length of the histogram."""
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] += n
+    full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
+    left[capacity] = 0
+    uses = covering(left.copy(), capacity, rounds)[0]
+    plans = [rounded(left, uses, share, capacity) for share in SHARES]
+    return full + min(plans, key=lambda groups: sum(n for n, _ in groups))
+
+
 def best_fit(histogram: dict[int, int], capacity: int, groups: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
     """Best fit, longest first, on counts, into the room of `groups` and new ones: sequences with equal contents are one group."""
     by_room: dict[int, list[list]] = {}
@@ -303,10 +341,10 @@ def _placer(groups: list[tuple[int, dict[int, int]]]):
         count, each, base, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         tables[length] = (np.cumsum(count), count, each, base, offset)
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            number, lengths = part["number"].to_numpy(np.int64), part["length"].to_numpy(np.int64)
-            sequence, offsets = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            number, lengths = part.column("number").to_numpy(), part.column("length").to_numpy()
+            sequence, offsets = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
                 ends, count, each, base, offset = tables[int(length)]
@@ -314,17 +352,20 @@ def _placer(groups: list[tuple[int, dict[int, int]]]):
                 k = number[at] - (ends[g] - count[g])
                 sequence[at] = base[g] + k // each[g]
                 offsets[at] = offset[g] + k % each[g] * length
-            yield part.drop(columns="number").assign(sequence_id=sequence, offset=offsets)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sequence), pa.array(offsets)], names=[*part.schema.names[:-1], "sequence_id", "offset"])
 
     return place
 
 
-def numbered(pieces: DataFrame) -> DataFrame:
-    """`pieces` with `number`, from 0 within each length; a common length is spread over salts."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+def numbered(pieces: DataFrame, histogram: dict[int, int], salt_rows: int = SALT_ROWS) -> DataFrame:
+    """`pieces(length, given, ...)` with `number`, from 0 within each length; a common length is spread over salts that its count asks for."""
+    most = max(histogram, default=0)
+    salts = F.array(*[F.lit(-(-histogram.get(k, 1) // salt_rows)) for k in range(most + 1)])
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "given"), F.element_at(salts, (F.col("length") + 1).cast("int")))
+    salted = pieces.withColumn("salt", salt)
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     starts = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "given")) - 1
     return salted.withColumn("rank", rank).join(starts, ["length", "salt"]).withColumn("number", F.col("before") + F.col("rank")).drop("salt", "rank", "before")
 
 
@@ -333,11 +374,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     tokenizer: path of a tokenizer file; None takes the public word-level one.
     """
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = durable(docs.select("doc_id", "text").mapInPandas(_pieces(tokenizer, capacity), schema), "pieces")
+    columns = "piece int, start bigint, length bigint, ids_crc32 bigint"
+    made = StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{columns}, given bigint").fields])
+    pieces = durable(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity), made), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    placed = numbered(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    return placed.mapInPandas(_placer(plan(histogram, capacity)), f"{schema}, sequence_id bigint, offset bigint")
+    placed = numbered(pieces, histogram).select("doc_id", "piece", "start", "length", "ids_crc32", "number")
+    out = StructType([docs.schema["doc_id"], *StructType.fromDDL(f"{columns}, sequence_id bigint, offset bigint").fields])
+    return placed.mapInArrow(_placer(plan(histogram, capacity)), out)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
