@@ -4,20 +4,22 @@ Vectors are scaled to unit length, so cosine >= c means distance <= eps = sqrt(2
 onto the principal directions (covariance summed over all vectors) keeps distances. Vectors are
 sorted by their grid cells of width eps on the leading principal dimensions and cut into blocks
 along that order. Two blocks meet only if their cells on the first dimension touch (an equi-join)
-and their bounding boxes are at most eps apart. Within a meeting, both intervals are halved
-recursively and parts whose boxes are more than eps apart are skipped. In what is left a product over
-the leading dimensions plus the product of the remaining lengths bounds each cosine from above; pairs
-that pass the bound are compared in double precision. Tasks return link counts and local components, never pairs. Equal vectors are one
-class and are compared once.
+and their bounding boxes are at most eps apart. Neighbouring blocks form groups and a task takes a
+pair of groups, so a block travels once per group that it meets and not once per partner. Within a
+meeting, both intervals are halved recursively and parts whose boxes are more than eps apart are
+skipped. In what is left a product over the leading dimensions plus the product of the remaining
+lengths bounds each cosine from above; pairs that pass the bound are compared in double precision.
+Tasks return link counts and local components, never pairs. Equal vectors are one class and are
+compared once.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing; vectors of different lengths do not link. Repeated rows are copies. Extra columns are
+nothing; vectors of different lengths do not link. Repeated rows are copies. Rows whose id is null
+count like others; a component in which every id is null has a null component_id. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm.groups import Forest, join_links, labelled
+from lumengraph.llm.groups import Forest, join_links, linked
 from lumengraph.runtime import durable, table
 
 COSINE = 0.9
@@ -36,8 +38,8 @@ BLOCK, LEAF, LEADING = 4096, 512, 6
 HEAD = 0.375
 #: What the bound's single precision may be short of.
 BOUND_SLACK = 1e-4
-#: Block pairs that one task compares.
-PAIRS_IN_TASK = 3
+#: Blocks in a group; a task holds two groups.
+GROUP = 4
 #: Slack on distances for the rounding of rotation and boxes; comparisons themselves have none.
 SLACK = 1e-9
 
@@ -134,13 +136,12 @@ def _joiner(turn: np.ndarray, cosine: float, leaf: int):
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     head = max(1, round(HEAD * len(turn)))
 
-    def load(row, side: str):  # noqa: ANN001, ANN202
-        raw = np.frombuffer(getattr(row, f"vectors{side}"), np.float64 if getattr(row, f"wide{side}") else np.float32)
+    def load(row):  # noqa: ANN001, ANN202
+        raw = np.frombuffer(row.vectors, np.float64 if row.wide else np.float32)
         unit = _scaled(raw.reshape(-1, len(turn)).astype(np.float64))
         turned = unit @ turn
         tail = np.sqrt(np.maximum(0, (turned[:, head:] ** 2).sum(1, keepdims=True)))
-        cks = getattr(row, f"cks{side}")
-        return unit, turned, [cks[k : k + 16] for k in range(0, len(cks), 16)], np.asarray(getattr(row, f"copies{side}"), float), np.hstack([turned[:, :head], tail]).astype(np.float32)
+        return unit, turned, [row.cks[k : k + 16] for k in range(0, len(row.cks), 16)], np.asarray(row.copies, float), np.hstack([turned[:, :head], tail]).astype(np.float32)
 
     def compare(one: tuple, two: tuple, a: int, b: int, c: int, d: int, upper: bool) -> np.ndarray:
         """Links of two intervals: a bound from the leading dimensions, then exact cosines of what passes it."""
@@ -153,38 +154,43 @@ def _joiner(turn: np.ndarray, cosine: float, leaf: int):
             links[r, k] = np.einsum("ij,ij->i", one[0][a + r], two[0][c + k]) >= cosine
         return links
 
-    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for row in part.itertuples():
-                same = row.block1 == row.block2
-                one = load(row, "1")
-                two = one if same else load(row, "2")
-                n = len(one[2])
-                shift = 0 if same else n
-                forest, counts = Forest(n + (0 if same else len(two[2]))), np.zeros(n + (0 if same else len(two[2])))
-                stack = [(0, n, 0, len(two[2]))]
-                while stack:
-                    a, b, c, d = stack.pop()
-                    if same and a > c:
-                        continue
-                    p, q = one[1][a:b], two[1][c:d]
-                    if _apart(p.min(0), p.max(0), q.min(0), q.max(0)) > eps:
-                        continue
-                    if b - a <= leaf and d - c <= leaf:
-                        links = compare(one, two, a, b, c, d, same and a == c)
-                        if links.any():
-                            rows, cols = np.arange(a, b), np.arange(c, d) + shift
-                            counts[rows] += links @ two[3][c:d]
-                            counts[cols] += links.T @ one[3][a:b]
-                            join_links(forest, links, rows, cols)
-                        continue
-                    halves1 = [(a, b)] if b - a <= leaf else [(a, (a + b) // 2), ((a + b) // 2, b)]
-                    halves2 = [(c, d)] if d - c <= leaf else [(c, (c + d) // 2), ((c + d) // 2, d)]
-                    stack += [(*x, *y) for x in halves1 for y in halves2]
-                names = one[2] if same else one[2] + two[2]
-                out += [(names[k], int(counts[k]), names[forest.root(int(k))]) for k in np.flatnonzero(counts)]
-            yield pd.DataFrame(out, columns=["ck", "links", "root"])
+    def meet(one: tuple, two: tuple, same: bool, shift: int, base: int, forest: Forest, counts: np.ndarray) -> None:
+        """Adds the links of two blocks, whose vectors stand from `base` and `shift` in the task."""
+        stack = [(0, len(one[2]), 0, len(two[2]))]
+        while stack:
+            a, b, c, d = stack.pop()
+            if same and a > c:
+                continue
+            p, q = one[1][a:b], two[1][c:d]
+            if _apart(p.min(0), p.max(0), q.min(0), q.max(0)) > eps:
+                continue
+            if b - a <= leaf and d - c <= leaf:
+                links = compare(one, two, a, b, c, d, same and a == c)
+                if links.any():
+                    rows, cols = np.arange(a, b) + base, np.arange(c, d) + shift
+                    counts[rows] += links @ two[3][c:d]
+                    counts[cols] += links.T @ one[3][a:b]
+                    join_links(forest, links, rows, cols)
+                continue
+            halves1 = [(a, b)] if b - a <= leaf else [(a, (a + b) // 2), ((a + b) // 2, b)]
+            halves2 = [(c, d)] if d - c <= leaf else [(c, (c + d) // 2), ((c + d) // 2, d)]
+            stack += [(*x, *y) for x in halves1 for y in halves2]
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        """Links of all blocks of one group with those of another, or of a group's blocks among themselves."""
+        part = part.sort_values("block")
+        loaded = [load(row) for row in part.itertuples()]
+        first = np.cumsum([0, *(len(x[2]) for x in loaded)])
+        forest, counts = Forest(int(first[-1])), np.zeros(int(first[-1]))
+        g1, g2 = int(part["g1"].iat[0]), int(part["g2"].iat[0])
+        own = part["own"].tolist()
+        for i in range(len(loaded)):
+            for j in range(i, len(loaded)):
+                if {own[i], own[j]} == {g1, g2}:
+                    meet(loaded[i], loaded[j], i == j, int(first[j]), int(first[i]), forest, counts)
+        names = [ck for x in loaded for ck in x[2]]
+        out = [(names[k], int(counts[k]), names[forest.root(int(k))]) for k in np.flatnonzero(counts)]
+        return pd.DataFrame(out, columns=["ck", "links", "root"])
 
     return join
 
@@ -197,11 +203,11 @@ def epsilon_join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     clean = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))  # -0.0 becomes 0.0
     ck = F.when(usable, F.unhex(F.md5(F.concat_ws(",", clean.cast("array<string>")).cast("binary"))))
     members = durable(vectors.select("vec_id", ck.alias("ck"), F.when(usable, F.col("embedding")).alias("vector")), "vectors")
-    classes = durable(members.where("ck IS NOT NULL").groupBy("ck").agg(F.min("vec_id").alias("label"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("size", F.size("vector")), "classes")
+    classes = durable(members.where("ck IS NOT NULL").groupBy("ck").agg(F.min(F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"))).alias("label"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("size", F.size("vector")), "classes")
     widest = classes.agg(F.max("size")).first()[0]
     result = "ck binary, links bigint, root binary"
     if widest is None:
-        return labelled(members.select("vec_id", "ck"), classes.select("ck", "label", "copies"), spark.createDataFrame([], result), "vec_id")
+        return _told(members, classes, spark.createDataFrame([], result))
     turn = rotation(classes, widest)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     leading = min(leading, widest)
@@ -223,17 +229,26 @@ def epsilon_join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     two = boxes.select(*[F.col(c).alias(f"{c}2") for c in boxes.columns], F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
     gap = F.aggregate(F.zip_with(F.zip_with("low1", "high2", lambda x, y: x - y), F.zip_with("low2", "high1", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x * x)
     pairs = one.join(two, "cell").where("block1 <= block2 AND size1 = size2").where(gap <= eps * eps).select("block1", "block2").distinct()
-    data = blocks.select("block", "cks", "copies", "vectors", "wide")
-    side = lambda k: data.select(*[F.col(c).alias(f"{c}{k}") for c in data.columns])
-    tasks = durable(pairs, "pairs")
-    full = tasks.join(side(1), "block1").join(side(2), "block2")
-    found = full.repartition(max(1, math.ceil(tasks.count() / PAIRS_IN_TASK)), F.xxhash64("block1", "block2")).mapInPandas(_joiner(turn, cosine, leaf), result)
-    return labelled(members.select("vec_id", "ck"), classes.select("ck", "label", "copies"), found, "vec_id")
+    # A group holds GROUP neighbouring places of the sequence; vectors of another length are another group.
+    grouped = lambda c: F.floor(F.floor(F.col(c) / 65_536) / GROUP) * 65_536 + F.col(c) % 65_536
+    tasks = pairs.select(grouped("block1").alias("g1"), grouped("block2").alias("g2"), F.array("block1", "block2").alias("both"))
+    needs = durable(tasks.select("g1", "g2", F.explode("both").alias("block")).distinct().withColumn("own", grouped("block")), "needs")
+    full = needs.join(blocks.select("block", "cks", "copies", "vectors", "wide"), "block")
+    found = full.groupBy("g1", "g2").applyInPandas(_joiner(turn, cosine, leaf), result)
+    return _told(members, classes, found)
+
+
+def _told(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    full = linked(classes.select("ck", "label", "copies"), found)
+    some = members.where("ck IS NOT NULL").select("vec_id", "ck").join(full, "ck")
+    some = some.select("vec_id", F.col("label.id").alias("copy_of"), F.col("n_links").cast("bigint").alias("n_links"), F.col("top.id").alias("component_id"))
+    none = members.where("ck IS NULL")
+    return some.unionByName(none.select("vec_id", F.col("vec_id").alias("copy_of"), F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op4_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and whether it stays for every vector, cosine of 0.9 or more."""
-    return epsilon_join(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return epsilon_join(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 QUERIES = {"op4_epsilon_grid": op4_epsilon_grid}

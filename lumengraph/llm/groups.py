@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,9 @@ from lumengraph.runtime import durable
 ONE_TASK_EDGES = 200_000
 
 
-def _one_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _one_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     up: dict = {}
+    kind = None
 
     def root(x):  # noqa: ANN001, ANN202
         while up[x] != x:
@@ -31,27 +32,30 @@ def _one_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for part in parts:
-        for a, b in zip(part["a"], part["b"], strict=True):
+        kind = part.column(0).type
+        for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             up.setdefault(a, a)
             up.setdefault(b, b)
             x, y = root(a), root(b)
             if x != y:
                 up[max(x, y)] = min(x, y)
-    yield pd.DataFrame([(x, root(x)) for x in up], columns=["node", "component"])
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["node", "component"])
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for every node of `edges(a, b)`; the component is its smallest node.
 
-    Up to `one_task` distinct edges are joined in one task. Beyond that, alternates large-star and small-star steps, each a grouped minimum and an equi-join, until the
-    edges no longer change. Every round is written to the shared folder. Loops and repeated edges
+    Up to `one_task` distinct edges are joined in one task. Beyond that, alternates large-star and
+    small-star steps, each a grouped minimum and an equi-join, until the edges no longer change; both
+    ways give the same components. Every round is written to the shared folder. Loops and repeated edges
     are ignored; an empty table gives an empty result.
     """
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     if state[0] <= one_task:
         kind = dict(now.dtypes)["a"]
-        return now.repartition(1).mapInPandas(_one_task, f"node {kind}, component {kind}")
+        return now.repartition(1).mapInArrow(_one_task, f"node {kind}, component {kind}")
     while state[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -107,22 +111,18 @@ def join_links(forest: Forest, links: np.ndarray, rows: np.ndarray, cols: np.nda
             forest.join(int(own[k]), int(lab[k]))
 
 
-def labelled(members: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """One row per member: id, class label, link count and component label.
+def linked(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per class: ck, label, n_links and `top`, the smallest label in the class's component.
 
-    members: (id, ck) with ck null for what links with nothing. classes: (ck, label, copies).
-    found: (ck, links, root), any number of rows per class. A class's copies link with each other.
+    classes: (ck, label, copies) with labels of any type that has an order, none null. found: (ck,
+    links, root), any number of rows per class. A class's copies link with each other.
     """
     found = durable(found, "links")
     sums = found.groupBy("ck").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("ck").alias("a"), F.col("root").alias("b")))
     full = classes.join(sums, "ck", "left").join(comps.withColumnRenamed("node", "ck"), "ck", "left")
-    full = full.withColumn("component", F.coalesce("component", "ck"))
-    tops = full.groupBy("component").agg(F.min("label").alias("component_id"))
-    full = full.join(tops, "component").select("ck", F.col("label").alias("class_label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    return members.join(full, "ck", "left").select(
-        id_col,
-        F.coalesce("class_label", id_col).alias("copy_of"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", id_col).alias("component_id"),
-    )
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    alone = full.where("component IS NULL").select("ck", "label", n_links, F.col("label").alias("top"))
+    joined = full.where("component IS NOT NULL")
+    tops = joined.groupBy("component").agg(F.min("label").alias("top"))
+    return alone.unionByName(joined.join(tops, "component").select("ck", "label", n_links, "top"))

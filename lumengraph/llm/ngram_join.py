@@ -4,7 +4,7 @@ Words are the maximal runs of letters, digits and underscores of the lower-cased
 without any is one word, the text itself. A document's set holds its runs of `n` words (all words
 as one run where there are fewer). Two documents link if the Jaccard similarity of their sets is at
 least `threshold`. Band and row counts are chosen so that a pair at the threshold meets in some band
-with probability `recall`. Pairs that meet are verified on the full sets.
+with probability `recall`. Pairs that meet are verified on the full sets, in whole numbers.
 
 Copies (equal word sequences) are one class and are compared once. Classes that meet in bands form
 clusters. A cluster of up to `BLOCK` classes is verified whole, in one place. Larger ones are
@@ -12,32 +12,41 @@ verified bucket by bucket, a bucket cut into blocks of at most about `BLOCK` cla
 of blocks being a task of its own, a pair counting only in the first bucket that its classes share.
 Tasks return counts and local components, never pairs.
 
+Rows are told apart by a number that they get when they are signed and that is written with them, so
+nothing hangs on ids: an id may be null or stand for several texts.
+
 Edge cases: null and empty texts link with nothing and are classes of their own. Repeated rows are
-copies. Rows whose id is null take part only as copies. Extra columns are ignored. An empty table
-gives an empty result.
+copies. A class in which every id is null has a null copy_of, and a component of such classes a null
+class_id; both count in n_links like any other. Ids and other columns pass through untouched; extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from lumengraph.llm.groups import Forest, components, join_links, labelled
+from lumengraph.llm.arrow import slices
+from lumengraph.llm.groups import Forest, components, join_links, linked
 from lumengraph.runtime import durable, table
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 80
 BLOCK = 1024
 #: Rows that one verification task takes from small clusters.
 TASK_ROWS = 1024
-_WORD = re.compile(r"\w+")
-_CACHED_WORDS = 1_000_000
+_BETWEEN, _MARK = r"[^\p{L}\p{N}_]+", "\x1f"
 _U = np.uint64
 
 
@@ -53,20 +62,38 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes:
     return best
 
 
-def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return _WORD.findall(text.lower()) or [text]
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, computed once per worker."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return value
+class Cut:
+    """The words of texts: per text where its words' hashes lie, and the words in a row as one string."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern_regex(pc.utf8_lower(texts), _BETWEEN)
+        # What stands before the first separator or after the last one is an empty string.
+        self.joined = pc.utf8_trim(pc.binary_join(lists, _MARK), _MARK)
+        coded = lists.flatten().dictionary_encode()
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], _U)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        filled = (pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[at]
+        self.hashes = hashes[at[filled]]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        self.ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(filled)])[ends]])
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def words(self, k: int) -> np.ndarray:
+        """Hashes of a text's words; of the text itself where it holds none."""
+        own = self.hashes[self.ends[k] : self.ends[k + 1]]
+        if len(own):
+            return own
+        text = self.texts[k].as_py()
+        return np.array([xxhash.xxh3_64_intdigest(text)] if text else [], _U)
+
+    def key(self, k: int) -> bytes | None:
+        """Digest of a text's words; equal for copies."""
+        whole = self.joined[k].as_py() or self.texts[k].as_py()
+        return hashlib.blake2b(whole.encode(), digest_size=16).digest() if whole else None
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,54 +102,55 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def shingles(words: list[str], n: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of n words."""
-    if not words:
-        return np.empty(0, _U)
-    h = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
-    span = min(n, len(h))
-    total = np.zeros(len(h) - span + 1, _U)
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the runs of n words, in order and with repeats."""
+    if not len(words):
+        return words
+    span = min(n, len(words))
+    total = np.zeros(len(words) - span + 1, _U)
     for k in range(span):
-        total = total * _U(0x9E3779B97F4A7C15) + h[k : k + len(total)]
-    return np.unique(_mix(total + _U(span)))
-
+        total = total * _U(0x9E3779B97F4A7C15) + words[k : k + len(total)]
+    return _mix(total + _U(span))
 
-def class_key(words: list[str]) -> bytes | None:
-    return hashlib.blake2b("\x1f".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None
 
+def _signer(n: int, bands: int, rows: int, text: int):
+    """Rows (doc, row, ck, bands): the document as it came, a number of its own, its class and its band hashes."""
 
-def _signer(n: int, bands: int, rows: int):
-    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = np.random.default_rng(20240229)
         a = draw.integers(1, 2**63, bands * rows, dtype=np.uint64) * _U(2) + _U(1)
         b = draw.integers(0, 2**63, bands * rows, dtype=np.uint64)
-        number = np.arange(1, bands + 1, dtype=np.uint64)
-        hashes = _Hashes()
-        for part in parts:
-            keys, found = [], []
-            for text in part["text"]:
-                words = words_of(text)
-                keys.append(class_key(words))
-                if not words:
-                    found.append(None)
+        number = _mix(np.arange(1, bands + 1, dtype=np.uint64))
+        row = TaskContext.get().partitionId() << 40
+        for part in slices(batches, 0, inner=text):
+            cut = Cut(part.column(0).field(text))
+            keys = [cut.key(k) for k in range(len(cut))]
+            found = np.zeros((len(cut), bands), np.int64)
+            for k in range(len(cut)):
+                s = shingles(cut.words(k), n)
+                if not len(s):
                     continue
-                s = shingles(words, n, hashes)
                 low = np.full(bands * rows, ~_U(0))
                 for at in range(0, len(s), 2048):
                     low = np.minimum(low, (a[:, None] * s[None, at : at + 2048] + b[:, None]).min(1))
-                grid, key = low.reshape(bands, rows), _mix(number)
+                grid, key = low.reshape(bands, rows), number
                 for r in range(rows):
                     key = _mix(key ^ grid[:, r])
-                found.append(key.view(np.int64))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ck": keys, "bands": found})
+                found[k] = key.view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands), pa.int32()), pa.array(found.ravel()))
+            numbers = pa.array(np.arange(row, row + len(cut)))
+            row += len(cut)
+            yield pa.RecordBatch.from_arrays([part.column(0), numbers, pa.array(keys, pa.binary()), listed], names=["doc", "row", "ck", "bands"])
 
     return sign
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the marked pairs reach the threshold; by set intersection, or by matrix products where pairs are many."""
-    sa, sb = np.array([len(x) for x in a], float), np.array([len(x) for x in b], float)
-    pairs = pairs & (np.minimum(sa[:, None], sb[None, :]) >= (threshold - 1e-9) * np.maximum(sa[:, None], sb[None, :]))
+    ratio = Fraction(str(threshold))
+    top, low = ratio.numerator, ratio.denominator
+    sa, sb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    pairs = pairs & (low * np.minimum(sa[:, None], sb[None, :]) >= top * np.maximum(sa[:, None], sb[None, :]))
     out = np.zeros(pairs.shape, bool)
     count = int(pairs.sum())
     if not count:
@@ -130,12 +158,12 @@ def _links(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray, threshol
     if count <= 400:
         for i, j in zip(*np.nonzero(pairs), strict=True):
             both = len(np.intersect1d(a[i], b[j], assume_unique=True))
-            out[i, j] = both >= (threshold - 1e-12) * (sa[i] + sb[j] - both)
+            out[i, j] = low * both >= top * (sa[i] + sb[j] - both)
         return out
     rows, cols = np.flatnonzero(pairs.any(1)), np.flatnonzero(pairs.any(0))
     fa, fb = np.concatenate([a[i] for i in rows]), np.concatenate([b[j] for j in cols])
     shared = np.intersect1d(fa, fb)
-    both = np.zeros((len(rows), len(cols)), np.float32)
+    both = np.zeros((len(rows), len(cols)), np.int64)
 
     def spread(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
         grid = np.zeros((len(sets), len(columns)), np.float32)
@@ -147,20 +175,16 @@ def _links(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray, threshol
 
     for at in range(0, len(shared), 4096):
         columns = shared[at : at + 4096]
-        both += spread([a[i] for i in rows], columns) @ spread([b[j] for j in cols], columns).T
-    enough = both >= (threshold - 1e-6) * (sa[rows][:, None] + sb[cols][None, :] - both)
-    out[np.ix_(rows, cols)] = enough
+        both += (spread([a[i] for i in rows], columns) @ spread([b[j] for j in cols], columns).T).astype(np.int64)
+    out[np.ix_(rows, cols)] = low * both >= top * (sa[rows][:, None] + sb[cols][None, :] - both)
     return out & pairs
 
 
 def _verifier(n: int, threshold: float):
     def verify(part: pd.DataFrame) -> pd.DataFrame:
-        hashes, sets, out = _Hashes(), {}, []
-        for ck, text in zip(part["ck"], part["text"], strict=True):
-            if ck not in sets:
-                words = words_of(text)
-                sets[ck] = shingles(words, n, hashes) if class_key(words) == ck else None
-        part = part[[sets[ck] is not None for ck in part["ck"]]]
+        one_each = part.drop_duplicates("ck")
+        cut, out = Cut(pa.array(one_each["text"], pa.string())), []
+        sets = {ck: np.unique(shingles(cut.words(k), n)) for k, ck in enumerate(one_each["ck"])}
         for _, group in part.groupby("bucket", sort=False):
             group = group.drop_duplicates(["ck"])
             if len(group) < 2:
@@ -207,16 +231,15 @@ def _first_here(left: list, right: list, bucket: int) -> np.ndarray:
     return spread(left) @ spread(right).T == 0
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per row of `docs(doc_id, text)`: doc_id, copy_of, n_links and class_id.
-
-    copy_of is the smallest id with the same words; n_links counts the other documents whose
-    similarity reaches the threshold; class_id is the smallest id reachable over links.
-    """
+def _joined(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc, row, ck), and per class its label and its component's as (none, id, row), and n_links."""
     bands, rows = bands_for(threshold, recall)
-    docs = docs.select("doc_id", "text")
-    signed = durable(docs.mapInPandas(_signer(n, bands, rows), "doc_id bigint, ck binary, bands array<bigint>"), "signed")
-    classes = durable(signed.where("ck IS NOT NULL").groupBy("ck").agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands")), "classes")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    schema = StructType([StructField("doc", whole.schema["doc"].dataType, False), *StructType.fromDDL("row bigint, ck binary, bands array<bigint>").fields])
+    signed = durable(whole.mapInArrow(_signer(n, bands, rows, docs.columns.index("text")), schema), "signed")
+    label = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row"))
+    classes = signed.where("ck IS NOT NULL").groupBy("ck").agg(label.alias("label"), F.count("*").alias("copies"), F.min_by("bands", "row").alias("bands"), F.min("row").alias("shown"))
+    classes = durable(classes, "classes")
     at = classes.select("ck", F.explode("bands").alias("bucket"))
     # Buckets with the same members are the same work: one of them stays.
     member = F.xxhash64("ck").cast("decimal(20,0)")
@@ -237,19 +260,33 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     wide = wide.join(kept, "ck").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wide = wide.select("ck", "bucket", "kept", F.when(F.col("blocks") == 1, F.pmod("bucket", F.lit(tasks))).otherwise(F.col("bucket")).alias("task"), "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     plan = whole.unionByName(wide)
-    texts = classes.select("ck", "copies", F.col("label").alias("doc_id")).join(clusters.select("ck"), "ck", "left_semi").join(docs, "doc_id").select("ck", "copies", "text")
+    shown = classes.join(clusters.select("ck"), "ck", "left_semi").select("ck", "copies", F.col("shown").alias("row"))
+    texts = shown.join(signed.select("row", F.col("doc.text").alias("text")), "row").drop("row")
     found = plan.join(texts, "ck").groupBy("task", "bi", "bj").applyInPandas(_verifier(n, threshold), "ck binary, links bigint, root binary")
-    return labelled(signed.select("doc_id", "ck"), classes.select("ck", "label", "copies"), found, "doc_id").withColumnRenamed("component_id", "class_id")
+    return signed.select("doc", "row", "ck"), linked(classes.select("ck", "label", "copies"), found)
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Per row of `docs(doc_id, text)`: doc_id, copy_of, n_links and class_id.
+
+    copy_of is the smallest id with the same words; n_links counts the other documents whose
+    similarity reaches the threshold; class_id is the smallest id reachable over links.
+    """
+    signed, classes = _joined(docs.select("doc_id", "text"), n, threshold, recall, block)
+    own = F.col("doc.doc_id").alias("doc_id")
+    none = signed.where("ck IS NULL").select(own, own.alias("copy_of"), F.lit(0).cast("bigint").alias("n_links"), own.alias("class_id"))
+    some = signed.where("ck IS NOT NULL").join(classes, "ck")
+    return some.select(own, F.col("label.id").alias("copy_of"), F.col("n_links").cast("bigint").alias("n_links"), F.col("top.id").alias("class_id")).unionByName(none)
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the near-copies: of every class the document with the smallest id stays.
+    """`docs` without the near-copies: of every class the row with the smallest id stays, a null id being the last.
 
-    Of exactly repeated rows one stays; rows whose id is null stay.
+    Of rows with that id one stays. Rows whose text is null or empty stay.
     """
-    found = ngram_jaccard_join(docs, n, threshold)
-    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    signed, classes = _joined(docs, n, threshold, RECALL, BLOCK)
+    kept = classes.where("label = top").select(F.col("label.row").alias("row")).unionByName(signed.where("ck IS NULL").select("row"))
+    return signed.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
