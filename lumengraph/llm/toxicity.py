@@ -8,29 +8,32 @@ slots that the training rows tie to a label by themselves (chi-squared of `LEAST
 of pairs that are tied to it more than either term is, beyond what chance gives among all pairs; pairs
 are counted among the `PAIRED` slots that most training rows hold. Weights and factors are fitted by AdaGrad on the logistic loss.
 
-It is fitted on at most about `TRAIN_ROWS` labelled rows, those whose ids hash below a bound that
-follows from their number; slot statistics, weights and factors come from these rows.
+It is fitted on at most about `TRAIN_ROWS` labelled ids, those that hash below a bound that follows
+from their number; slot statistics, weights and factors come from these rows. Slots are counted in
+the cluster; only the held ones and the `PAIRED` most frequent ones of each row come to the driver.
 
 Edge cases: a null text counts as empty and gets the score of the bias alone. Rows without a label
-of 0 or 1 are not learned from; with no labels, or one label only, every score is the share of ones
-(0 with no rows). Repeated rows are scored each. Extra columns are ignored. An empty table gives an
-empty result.
+of 0 or 1 are not learned from; an id with both labels is learned as 1; with no labels, or one label
+only, every score is the share of ones (0 with no rows). Repeated rows are scored each and learned
+from once. Ids and other kept columns of any type pass through untouched. Extra columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumengraph.llm import arrow
 from lumengraph.llm.language_id import remainder
-from lumengraph.runtime import table
+from lumengraph.runtime import durable, table
 
 #: Documented bounds of the training sample and of the model.
 TRAIN_ROWS, SLOTS, MOST_SLOTS, FACTORS = 20_000, 1 << 20, 30_000, 4
@@ -39,8 +42,7 @@ LEAST = 6.6
 PAIRED, _DENSE = 2048, 2048
 EPOCHS, BATCH, STEP, SHRINK = 15, 128, 0.1, 1e-5
 THRESHOLD = 0.7
-_WORD = re.compile(r"\w+")
-_CACHED_WORDS = 1_000_000
+_BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
 def slots(word: str) -> tuple[int, ...]:
@@ -56,17 +58,63 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, rows: np.ndarray) -> float:
-        v = self.factors[rows]
-        total = v.sum(0)
-        x = self.bias + self.weights[rows].sum() + 0.5 * float((total * total - (v * v).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-
-
-def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        found = [np.unique([s for w in set(_WORD.findall((t or "").lower())) for s in slots(w)]).astype("<i4").tobytes() for t in part["text"]]
-        yield pd.DataFrame({"label": part["label"], "slots": found})
+    def score(self, columns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of texts that hold these rows of weights, each text's in a row."""
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        x = self.bias + np.bincount(doc, self.weights[columns], len(sizes))
+        for factor in self.factors.T:
+            v = factor[columns]
+            x += 0.5 * (np.bincount(doc, v, len(sizes)) ** 2 - np.bincount(doc, v * v, len(sizes)))
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def held(texts: pa.Array, known: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct slots of each text, one text after the other, and how many it has; `known`: only its slots, as what it gives for them."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _BETWEEN)
+    coded = lists.flatten().dictionary_encode()
+    words = [slots(w) if w else () for w in coded.dictionary.to_pylist()]
+    if known is not None:
+        words = [tuple(known[s] for s in own if s in known) for own in words]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter((s for own in words for s in own), np.int64, int(sizes.sum()))
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    # A text's distinct words first: repeats are most of a text.
+    pairs = np.unique(doc * np.int64(max(1, len(words))) + at)
+    doc, at = pairs // max(1, len(words)), pairs % max(1, len(words))
+    runs = sizes[at]
+    ends = np.cumsum(runs)
+    own = flat[np.repeat(np.cumsum(sizes)[at] - sizes[at] - (ends - runs), runs) + np.arange(int(runs.sum()))]
+    wide = max(SLOTS, MOST_SLOTS)
+    both = np.unique(np.repeat(doc, runs) * np.int64(wide) + own)
+    return both % wide, np.bincount(both // wide, minlength=len(lists))
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, slots) of rows (label, text)."""
+    for part in arrow.slices(batches, 1):
+        own, sizes = held(part.column(1))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        found = [own[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["label", "slots"])
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n, ones) of rows (label, slots), summed per task."""
+    counts = np.zeros((2, SLOTS), np.int64)
+    for part in batches:
+        for label, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            at = np.frombuffer(own, "<i4")
+            counts[0, at] += 1
+            counts[1, at] += label
+    at = np.flatnonzero(counts[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["slot", "n", "ones"])
+
+
+def _chi(df: np.ndarray, ones: np.ndarray, rows: int, share: float) -> np.ndarray:
+    """Chi-squared of slots against the label; 0 for those that fewer than 3 rows hold."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(df >= 3, (ones - df * share) ** 2 / (df * share * (1 - share) * (1 - df / (rows + 1))), 0)
 
 
 def _paired(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, df: np.ndarray, chi: np.ndarray) -> np.ndarray:
@@ -110,9 +158,7 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Machine:
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     df = np.bincount(flat, minlength=SLOTS)
     ones = np.bincount(flat, weights=y[doc], minlength=SLOTS)
-    expected = df * share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where(df >= 3, (ones - expected) ** 2 / (expected * (1 - share) * (1 - df / (len(y) + 1))), 0)
+    chi = _chi(df, ones, len(y), share)
     best = np.argsort(-chi, kind="stable")[:MOST_SLOTS]
     best = best[chi[best] >= LEAST]
     # A term that tells nothing alone may tell beside another.
@@ -155,39 +201,40 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Machine:
     """From `docs(doc_id, text)` and `labels(doc_id, label)`."""
-    usable = labels.where("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    usable = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     share = most_rows / max(usable.count(), most_rows)
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about TRAIN_ROWS rows of two numbers
-    found = joined.select("doc_id", "label", "text").mapInPandas(_features, "label int, slots binary")
-    rows = sorted((r.label, bytes(r.slots)) for r in found.collect())  # four bytes a term of about TRAIN_ROWS texts
-    return fit([(label, np.frombuffer(own, "<i4")) for label, own in rows])
+    sample = durable(usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))), "sample")
+    # About `most_rows` rows of two numbers by the line above; counted all the same before they are sent to every task.
+    small = F.broadcast(sample) if sample.count() <= 2 * most_rows else sample
+    joined = docs.select("doc_id", "text").join(small, "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = durable(joined.select("label", "text").mapInArrow(_features, "label int, slots binary"), "features")
+    told = rows.mapInArrow(_slot_counts, "slot int, n bigint, ones bigint").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()  # at most SLOTS rows
+    df, ones = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    at = told["slot"].to_numpy()
+    df[at], ones[at] = told["n"].to_numpy(), told["ones"].to_numpy()
+    sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    chi = _chi(df, ones, sums.n, sums.ones / max(sums.n, 1)) if 0 < sums.ones < sums.n else np.zeros(SLOTS)
+    telling, common = np.argsort(-chi, kind="stable")[:MOST_SLOTS], np.argsort(-df, kind="stable")[:PAIRED]
+    wanted = np.zeros(SLOTS, bool)
+    wanted[telling[chi[telling] >= LEAST]] = True
+    wanted[common[df[common] >= 3]] = True
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # SLOTS bits
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = np.unpackbits(bits.value).astype(bool)
+        for part in batches:
+            own = [x[good[x]].tobytes() for x in (np.frombuffer(o, "<i4") for o in part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["label", "slots"])
+
+    found = rows.mapInArrow(reduced, "label int, slots binary").toArrow()  # at most MOST_SLOTS + PAIRED numbers of each of about `most_rows` rows
+    listed = sorted(zip(found["label"].to_pylist(), found["slots"].to_pylist(), strict=True))
+    return fit([(label, np.frombuffer(own, "<i4")) for label, own in listed])
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """`keep` columns of docs with `score`, from `text` alone."""
-    kinds = dict(docs.dtypes)
-    held = docs.sparkSession.sparkContext.broadcast(machine)  # at most MOST_SLOTS rows
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        rows_of: dict[str, tuple[int, ...]] = {}
-        for part in parts:
-            out = []
-            for text in part["text"]:
-                rows: set[int] = set()
-                for word in set(_WORD.findall(text.lower())) if text else ():
-                    own = rows_of.get(word)
-                    if own is None:
-                        own = rows_of[word] = tuple(known.column[s] for s in slots(word) if s in known.column)
-                    if own:
-                        rows.update(own)
-                out.append(known.score(np.array(sorted(rows), np.int64)))
-            if len(rows_of) > _CACHED_WORDS:
-                rows_of.clear()
-            yield part.drop(columns="text").assign(score=out)
-
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most MOST_SLOTS rows
+    return arrow.appended(docs, keep, "score double", lambda: lambda texts: [sent.value.score(*held(pa.array(texts, pa.string()), sent.value.column))])
 
 
 def op9_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,8 +103,11 @@ def test_battery_reads_short_texts_whole(spark):
     assert min(caught[size] for size in (48, 64, 80, 100)) >= 16, caught
     assert sum(n for d, n in found.items() if d < 10**6) <= 2
     counts = np.zeros((len(secrets.CLASSES), secrets.BINS), np.int64)
-    for frame in secrets._histograms(iter([pd.DataFrame({"text": ["some words of the text " * 200] * 50 + [None, ""]})] * 2)):
-        np.add.at(counts, (frame.k, frame.b), frame.n)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["some words of the text " * 200] * 50 + [None, ""])})
+    for found in secrets._histograms(iter([batch] * 2)):
+        what, e, k, b, n = (c.to_numpy() for c in found.columns)
+        low = (what == 0) & (e == 4)
+        np.add.at(counts, (k[low], b[low]), n[low])
     assert counts.sum(1).tolist() == [18 * 200 * 100 // size for size in secrets.CLASSES]
 
 
@@ -355,7 +358,7 @@ def test_toxicity_learns_pairs():
         a, b = k % 2, k // 2 % 2
         rows.append((a & b, np.array(([1] if a else [2]) + ([3] if b else [4]), np.int32)))
     machine = toxicity.fit(rows)
-    score = lambda *s: machine.score(np.array([machine.column[x] for x in s]))
+    score = lambda *s: machine.score(np.array([machine.column[x] for x in s]), np.array([len(s)]))[0]
     assert score(1, 3) > 0.7 > 0.5 > max(score(1, 4), score(2, 3), score(2, 4))
 
 
@@ -366,7 +369,7 @@ def test_toxicity_learns_pairs_of_neutral_terms():
         a, b = k % 2, k // 2 % 2
         rows.append((int(a == b), np.array([x for x, there in ((1, a), (2, not a), (3, b), (4, not b)) if there] + [10 + k % 7], np.int32)))
     machine = toxicity.fit(rows)
-    score = lambda *s: machine.score(np.array([machine.column[x] for x in s]))
+    score = lambda *s: machine.score(np.array([machine.column[x] for x in s]), np.array([len(s)]))[0]
     assert min(score(1, 3), score(2, 4)) > 0.7 and max(score(1, 4), score(2, 3)) < 0.3
 
 
