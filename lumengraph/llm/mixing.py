@@ -6,13 +6,13 @@ water level: target = min(cap * size, level * weight). The level follows from ru
 sources in the order in which they are capped.
 
 A source's repetition rate is target / size. A document is taken floor(rate) times, plus once more
-where a uniform number hashed from a seed and its id is below the rate's fraction. Of `SEEDS` seeds a
+where a uniform number hashed from a seed, its id and its text is below the rate's fraction. Of `SEEDS` seeds a
 source takes the one whose taken words come nearest to its target; all of them are summed up in one
 aggregation, so every document keeps its own independent draw.
 
 Edge cases: a null text has size 0 and is taken like any other document. A null source is a source
-of its own, after all others. A source without words has target 0 and is not taken. Repeated rows
-draw alike. Extra columns are ignored. An empty table gives an empty result.
+of its own, after all others. A source without words has target 0 and is not taken. Documents with
+one id, or none, draw by their texts; exact repeats draw alike. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +30,14 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def key(doc_id: Column, text: Column) -> Column:
+    """What a document draws by."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def draw(seed: int, key: Column) -> Column:
-    """A number in [0, 1) from a seed and an id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    """A number in [0, 1) from a seed and a document's key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
@@ -66,9 +71,9 @@ def copies(rate: Column, seed: Column, key: Column) -> Column:
 
 def seeded(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` with `seed`: per source the one whose taken words are nearest to the target."""
-    rows = sizes.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "doc_id", "rate", "target")
+    rows = sizes.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "key", "rate", "target")
     fraction = F.col("rate") - F.floor("rate")
-    taken = [F.sum(F.when(draw(k, F.col("doc_id")) < fraction, F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(SEEDS)]
+    taken = [F.sum(F.when(draw(k, F.col("key")) < fraction, F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(SEEDS)]
     sums = rows.groupBy("source").agg(*taken, F.sum(F.col("size") * F.floor("rate")).alias("whole"), F.first("target").alias("target"))
     best = F.array_min(F.array(*[F.struct(F.abs(F.col("whole") + F.col(f"t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)]))
     picked = sums.select(F.col("source").alias("picked"), best["seed"].alias("seed"))
@@ -77,18 +82,18 @@ def seeded(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame) -> DataFrame:
     """Per row of `docs(doc_id, text, source)`: doc_id, size, source_size, target, copies."""
-    sizes = durable(docs.select("doc_id", "source", size(F.col("text")).alias("size")), "sizes")
+    sizes = durable(docs.select("doc_id", "source", size(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("text")).alias("key")), "sizes")
     wanted = durable(seeded(sizes, targets(sizes)), "targets")
     rows = sizes.join(wanted, F.col("source").eqNullSafe(F.col("of")))
-    return rows.select("doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("seed"), F.col("doc_id")).alias("copies"))
+    return rows.select("doc_id", "size", "source_size", "target", copies(F.col("rate"), F.col("seed"), F.col("key")).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """`docs`, each row as often as the mix takes it."""
-    sizes = durable(docs.select("doc_id", "source", size(F.col("text")).alias("size")), "sizes")
+    sizes = durable(docs.select("source", size(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("text")).alias("key")), "sizes")
     wanted = durable(seeded(sizes, targets(sizes)), "targets").select("of", "rate", "seed")
     rows = docs.select(F.struct(*docs.columns).alias("doc")).join(wanted, F.col("doc.source").eqNullSafe(F.col("of")))
-    times = copies(F.col("rate"), F.col("seed"), F.col("doc.doc_id")).cast("int")
+    times = copies(F.col("rate"), F.col("seed"), key(F.col("doc.doc_id"), F.col("doc.text"))).cast("int")
     return rows.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")
 
 
@@ -98,9 +103,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-_DRAW = "('0x' || substr(md5({k} || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_DRAW = "('0x' || substr(md5({k} || ':' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 ORACLE = rf"""
-WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH z AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([1, 2, 3])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight FROM z GROUP BY source),
 o AS (SELECT *, (source_size * {CAP})::DOUBLE AS most FROM s),
 r AS (SELECT *, coalesce(sum(most) OVER w, 0) AS capped, coalesce(sum(weight) OVER w, 0) AS gone, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight
