@@ -24,10 +24,10 @@ apart by nothing but their place. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +49,9 @@ SALT_ROWS = 20_000
 ROUNDS, STEP, RATE, NEAR, LEAST = 80, 0.05, 0.01, 0.004, 1e-3
 SHARES = (1.0, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2, 0.0)
 #: Chunks and words that a worker remembers; what is rarer is encoded again.
-_CACHED_CHUNKS, _CACHED_WORDS = 600_000, 400_000
+_CACHED_CHUNKS, _CACHED_WORDS = 300_000, 200_000
 #: Texts whose chunks are counted at a time, their bytes, and texts whose ids are gathered at a time.
-_BATCH, _BYTES, _GATHER = 4096, 8 << 20, 512
+_BATCH, _BYTES, _GATHER = 4096, 4 << 20, 512
 #: A text that holds any of these goes to the tokenizer whole: characters from U+0250 on and the listed ones (their
 #: normal form or case depends on their neighbours, or the classes of `re` are not those of the tokenizer's rule), and
 #: the mark of a special token.
@@ -102,17 +102,25 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         # The same model for words that are cut and lower-cased already.
-        parts = json.loads(self.tokenizer.to_str())
-        steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-        self.cut_words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
+        self.cut_words = Tokenizer.from_file(path)
+        self.cut_words.normalizer = None
+        self.cut_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.chunks, self.words = _Known(_CACHED_CHUNKS), _Known(_CACHED_WORDS)
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = self.cut_words.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    @cached_property
+    def tokenizer(self):  # noqa: ANN201
+        """The tokenizer itself, for texts that go to it whole."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
