@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import display as V
 from lumengraph.functions import paths as P
-from lumengraph.operators import delta, diagrams, extract, graph, grep, resolve, search
+from lumengraph.operators import delta, diagrams, extract, graph, grep, packages, resolve, rollup, search, tours
 from lumengraph.operators import imports as other
 from lumengraph.runtime import durable
 from lumengraph.sources import board, files
@@ -19,6 +19,8 @@ from lumengraph.streaming import watch as W
 
 #: The schema tag that a board may carry and still be green; deployments name their own.
 BOARD_SCHEMA = "goals/1"
+#: Rows of one reply; the methods themselves have no limit.
+MOST_ROWS = 10_000
 
 
 class Engine:
@@ -49,27 +51,28 @@ class Engine:
         t = {name: durable(df, name) for name, df in self.tables().items()}
         nodes, facts = t["nodes"], t["facts"]
         owner = F.regexp_extract(F.expr("substring(id, length(path) + 2)"), r"^(.*)::[^:]*$", 1)
-        fns = nodes.where(F.col("kind").isin("Function", "Method") & F.col("path").endswith(".rs")).select("id", F.substring_index("name", "<", 1).alias("name"), P.norm(F.col("path")).alias("file"), F.when(owner != "", owner).alias("owner"))
+        fns = nodes.where(F.col("kind").isin("Function", "Method") & F.col("path").endswith(".rs")).select("id", P.base_name(F.col("name")).alias("name"), P.norm(F.col("path")).alias("file"), F.when(owner != "", owner).alias("owner"))
         pub = facts.where("tag = 'pub'").select(F.col("node_id").alias("id"), F.lit(True).alias("p")).distinct()
-        crates = nodes.where("kind = 'Crate'").select("id", P.directory(F.col("path")).alias("dir"), F.col("ord"))
-        from lumengraph.operators import rollup
-
+        named = packages.declared(packages.specs(t["imports"])).select("path", "code_name")
+        crates = nodes.where("kind = 'Crate'").withColumn("path", P.norm(F.col("path"))).join(named, "path", "left").select("id", P.directory(F.col("path")).alias("dir"), F.col("ord"), "code_name")
         owners = rollup.owners(fns.select(F.col("file").alias("path")).distinct(), crates).withColumnRenamed("path", "file")
         fns = fns.join(pub, "id", "left").join(owners, "file", "left").withColumn("is_pub", F.coalesce("p", F.lit(False))).drop("p")
         imports = rust_imports(nodes, t["imports"], crates)
         calls = facts.where("tag = 'c'").join(fns, F.col("node_id") == F.col("id")).select(F.col("id").alias("caller"), F.col("pos").alias("tok_ord"), F.col("value").alias("token"), "file", "package", "owner")
-        none = self.spark.createDataFrame([], "package string, other_package string")
+        needed, far = packages.depends_on(nodes, t["imports"])
+        needed = durable(needed, "depends_on")
         modules = imports.select("file", P.module_name(F.col("other_file")).alias("qualifier"), "other_file").distinct()
-        made = resolve.resolve_rust(calls, fns, imports.select("file", "other_file"), none, modules).withColumn("relation", F.lit("Calls"))
+        made = resolve.resolve_rust(calls, fns, imports.select("file", "other_file"), packages.direct(needed), modules).withColumn("relation", F.lit("Calls"))
         io = facts.where("tag = 'io'").select(F.col("node_id").alias("id"), F.col("value").alias("op"))
         names = facts.where("tag = 'a'").select(F.col("node_id").alias("id"), F.col("value").alias("artifact"))
         flow = resolve.artifact_flow(fns, io, names, made)
         shape = ["source", "target", "relation", "confidence"]
         files_linked = imports.select(F.concat(F.lit("file:"), "file").alias("source"), F.concat(F.lit("file:"), "other_file").alias("target"), F.lit("Imports").alias("relation"), F.lit(1.0).alias("confidence"))
         edges = t["edges"].select(*shape)
-        for more in (made, files_linked, flow, extract.ecosystem_links(nodes), *other_links(nodes, t["imports"], facts)):
+        for more in (made, files_linked, flow, needed, extract.ecosystem_links(nodes), *other_links(nodes, t["imports"], facts)):
             edges = edges.union(more.select(*shape))
         # Written once after each indexing: queries meet nodes and edges from several sides.
+        nodes = nodes.unionByName(far, allowMissingColumns=True)
         return nodes, durable(edges.withColumn("ord", F.xxhash64("source", "target", "relation")), "graph_edges")
 
     def ask(self, query: str, k: int = 10, alpha: float = 0.25, iterations: int = 25) -> DataFrame:
@@ -83,9 +86,24 @@ class Engine:
         return graph.repo_map(*self.graph(), max_dirs)
 
     def grep(self, pattern: str, ignore_case: bool = False) -> DataFrame:
+        """Matching lines of files."""
         nodes = self.tables()["nodes"].where("kind = 'File'")
         return grep.grep(nodes, "path", "file_residual", pattern, ignore_case)
 
+    def declarations(self, pattern: str, ignore_case: bool = False) -> DataFrame:
+        """Symbols whose declaration matches, with the references to each."""
+        return grep.declarations(*self.graph(), pattern, ignore_case)
+
+    def stats(self) -> DataFrame:
+        """How many nodes, edges and languages of each kind there are."""
+        nodes, edges = self.graph()
+        tell = lambda what, df, column: graph.histogram(df, column).select(F.lit(what).alias("what"), F.col(column).alias("name"), "n")
+        languages = nodes.where("kind = 'File'").select(files.language(F.col("path")).alias("language"))
+        return tell("node", nodes, "kind").union(tell("edge", edges, "relation")).union(tell("language", languages.where("language IS NOT NULL"), "language"))
+
+    def node(self, wanted: str) -> DataFrame:
+        return graph.node(self.graph()[0], wanted)
+
     def skeleton(self, file: str) -> DataFrame:
         return grep.skeleton(self.tables()["nodes"], file)
 
@@ -100,21 +118,72 @@ class Engine:
         languages = nodes.select(files.language(F.col("path")).alias("l")).agg(F.array_sort(F.collect_set("l")).alias("l")).first().l
         return V.encode_wiring(1, nodes.count(), edges.count(), languages)
 
-    def diagram(self, kind: str = "architecture", root: str = "main", before: dict | None = None, locale: str = "en") -> dict:
-        """A diagram record; an unknown kind means architecture."""
+    def write_wiring(self, path: str) -> int:
+        """Writes the wiring record to a file; returns its bytes."""
+        data = self.wiring()
+        with open(path, "wb") as f:
+            f.write(data)
+        return len(data)
+
+    def packages(self) -> tuple[DataFrame, DataFrame]:
+        """Package boxes and the links between them."""
+        nodes, edges = self.graph()
+        t = self.tables()
+        return packages.summary(nodes, edges, t["imports"], t["facts"])
+
+    def diagram(self, kind: str = "architecture", root: str = "main", before: dict | None = None, locale: str = "en", package: str | None = None) -> dict | None:
+        """A diagram record; an unknown kind means architecture.
+
+        The architecture of a tree with packages is drawn package by package, and module by module
+        where there are none or a `package` is opened; an unknown one, or one without modules, is None.
+        """
         nodes, edges = self.graph()
         if kind == "sequence":
             return diagrams.sequence(nodes, edges, root, locale)
         if kind == "dataflow":
-            return diagrams.dataflow(edges)
-        now = diagrams.architecture(nodes, edges, self.root, locale)
+            made = diagrams.dataflow(edges)
+            if made["nodes"]:
+                return made
+            boxes, linked = self.packages()
+            return diagrams.file_links(nodes, edges, locale) if boxes.isEmpty() else diagrams.package_level(boxes, linked, self.root, locale)
         if kind == "delta":
-            return diagrams.difference(before or {"components": [], "connections": []}, now, self.spark)
-        return now
+            return diagrams.difference(before or {"components": [], "connections": []}, diagrams.architecture(nodes, edges, self.root, locale), self.spark)
+        boxes, linked = self.packages()
+        if package:
+            one = boxes.where((F.col("id") == package) & ~F.col("external")).orderBy("ord").first()
+            made = one and diagrams.architecture(nodes, edges, self.root, locale, (one["dir"], one["label"]))
+            return made if made and made["components"] else None
+        if package == "" or boxes.isEmpty():
+            return diagrams.architecture(nodes, edges, self.root, locale)
+        return diagrams.package_level(boxes, linked, self.root, locale)
+
+    def tour(self, record: dict, locale: str = "en") -> list[dict]:
+        """A record's own tour, or one made of its links."""
+        return record.get("story") or tours.auto_tour(record["components"], record["connections"], locale)
+
+    def render(self, path: str, kind: str = "architecture", **more) -> tuple[str, int]:  # noqa: ANN003
+        """Writes a picture of a diagram; returns the path and its bytes."""
+        record = self.diagram(kind, **more)
+        picture = diagrams.sequence_svg(record) if kind == "sequence" else diagrams.svg(record)
+        return diagrams.write_picture(picture, path, self.root)
+
+    def _goals(self) -> DataFrame:
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(self.root)
+        return durable(board.goals(board.preferred(found.where(F.contains("path", F.lit("/.harness/"))))), "goals")
 
     def board(self) -> DataFrame:
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(self.root)
-        return board.summary(board.goals(board.preferred(found.where(F.contains("path", F.lit("/.harness/"))))), BOARD_SCHEMA)
+        return board.summary(self._goals(), BOARD_SCHEMA)
+
+    def board_lines(self) -> DataFrame:
+        return board.summary_line(self.board())
+
+    def board_json(self) -> DataFrame:
+        rows = self._goals()
+        return board.to_json(rows, board.summary(rows, BOARD_SCHEMA))
+
+    def board_report(self) -> DataFrame:
+        rows = self._goals()
+        return board.report(rows, board.summary(rows, BOARD_SCHEMA))
 
 
 def other_links(nodes: DataFrame, imports: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,6 +194,12 @@ def other_links(nodes: DataFrame, imports: DataFrame, facts: DataFrame) -> tuple
     specs = imports.select(F.expr("substring(file_id, 6)").alias("file"), F.substring("spec", 1, 2).alias("l"), F.expr("substring(spec, 4)").alias("spec"))
     linked = other.script_imports(specs.where("l = 'js'").select("file", "spec"), paths).union(other.python_imports(specs.where("l = 'py'").select("file", "spec"), paths))
     named = facts.where("tag = 'b'").select(F.expr("substring(node_id, 6)").alias("file"), "value")
+    # Go, Java and C name other files in their bindings alone.
+    bare = named.select("file", F.get(F.split("value", r"\|", 3), F.lit(2)).alias("spec"), F.try_element_at(kinds, files.extension(F.col("file"))).alias("l")).distinct()
+    own = lambda lang: (bare.where(F.col("l") == lang).select("file", "spec"), paths.where(F.element_at(kinds, files.extension(F.col("path"))) == lang))
+    for found in (other.python_bindings(*own("py")), other.go_imports(*own("go")), other.java_imports(*own("java")), other.c_imports(*own("c"))):
+        linked = linked.union(found.where("file <> other_file"))
+    linked = durable(linked.distinct(), "linked")
     bound, external = other.bindings(named, linked)
     owner = F.regexp_extract(F.expr("substring(id, length(path) + 2)"), r"^(.*)::[^:]*$", 1)
     pub = facts.where("tag = 'pub'").select(F.col("node_id").alias("id"), F.lit(True).alias("p")).distinct()
@@ -150,25 +225,50 @@ def rust_imports(nodes: DataFrame, imports: DataFrame, packages: DataFrame) -> D
     own = F.split(F.col("m.module"), "::")
     own = F.filter(own, lambda x: x != "")
     rest = F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))
-    full = F.when(F.get("s", F.lit(0)) == "crate", rest).when(F.get("s", F.lit(0)) == "self", F.concat(own, rest)).when(F.get("s", F.lit(0)) == "super", F.concat(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), rest))
+    # Each leading `super` climbs one module.
+    ups = F.size("s") - F.size(F.aggregate("s", F.array().cast("array<string>"), lambda kept, x: F.when((F.size(kept) == 0) & (x == "super"), kept).otherwise(F.concat(kept, F.array(x)))))
+    full = F.when(F.get("s", F.lit(0)) == "crate", rest).when(F.get("s", F.lit(0)) == "self", F.concat(own, rest)).when(F.get("s", F.lit(0)) == "super", F.concat(F.slice(own, F.lit(1), F.greatest(F.size(own) - ups, F.lit(0))), F.slice("s", ups + 1, F.size("s"))))
     inside = at.where(full.isNotNull()).select("file", F.col("m.root").alias("root"), full.alias("p"))
-    names = packages.select(F.regexp_replace(F.regexp_extract("id", r":([^:]*)$", 1), "-", "_").alias("head"), F.col("dir").alias("root"))
-    outside = at.where(full.isNull()).select("file", F.get("s", F.lit(0)).alias("head"), rest.alias("p")).join(names, "head").select("file", "root", "p")
-    prefixes = inside.union(outside).select("file", "root", F.monotonically_increasing_id().alias("k"), F.explode(F.transform(F.sequence(F.lit(0), F.size("p")), lambda n: F.struct(n.alias("n"), F.concat_ws("::", F.slice("p", F.lit(1), n)).alias("module")))).alias("x"))
-    hits = prefixes.select("file", "root", "k", "x.n", "x.module").join(modules, ["root", "module"])
-    best = hits.groupBy("k", "file").agg(F.max_by("other_file", "n").alias("other_file"))
+    outside = at.where(full.isNull()).select("file", F.get("s", F.lit(0)).alias("head"), rest.alias("p"))
+    roots = crate_roots(outside.select("head").distinct(), modules.select("root").distinct(), packages)
+    outside = outside.join(roots, "head").select("file", "root", "p")
+    prefixes = inside.union(outside).distinct().select("file", "root", "p", F.explode(F.transform(F.sequence(F.lit(0), F.size("p")), lambda n: F.struct(n.alias("n"), F.concat_ws("::", F.slice("p", F.lit(1), n)).alias("module")))).alias("x"))
+    hits = prefixes.select("file", "root", "p", "x.n", "x.module").join(modules, ["root", "module"])
+    best = hits.groupBy("file", "root", "p").agg(F.max_by("other_file", "n").alias("other_file"))
     return best.where("file <> other_file").select("file", "other_file").distinct()
 
 
+def crate_roots(heads: DataFrame, folders: DataFrame, packages: DataFrame) -> DataFrame:
+    """(head, root): the one package root that a path's first segment names.
+
+    A root is known by its folder's name and by its package's code name. A name that no root has is
+    taken by the one root whose name is its end after an underscore. A name of several roots names none.
+    """
+    by_folder = folders.select(F.replace(P.file_name(F.col("root")), F.lit("-"), F.lit("_")).alias("known"), "root")
+    by_package = packages.select(F.col("code_name").alias("known"), F.col("dir").alias("root"))
+    known = by_folder.union(by_package).distinct().groupBy("known").agg(F.count("*").alias("n"), F.min("root").alias("root"))
+    exact = heads.join(known, F.col("head") == F.col("known")).select("head", "n", "root")
+    # The ends of a name after each underscore meet the known names by equality.
+    cut = F.split("head", "_")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(cut), F.lit(2))), lambda k: F.concat_ws("_", F.slice(cut, k, F.size(cut))))
+    rest = heads.join(exact, "head", "left_anti").select("head", F.explode(ends).alias("known")).where("known <> ''").join(known, "known")
+    several = rest.groupBy("head").agg(F.count("*").alias("names"), F.max("n").alias("n"), F.min("root").alias("root")).where("names = 1").select("head", "n", "root")
+    return exact.union(several).where("n = 1").select("head", "root")
+
+
 TOOLS = {
     "index": lambda e, a: {"files": e.index()},
     "ask": lambda e, a: [r.asDict() for r in e.ask(a["query"], a.get("limit", 10), iterations=20).collect()],
     "repo_map": lambda e, a: [r.asDict() for r in e.repo_map(a.get("max_dirs", 30)).collect()],
-    "find_all": lambda e, a: [r.asDict() for r in e.grep(a["pattern"], a.get("ignore_case", False)).collect()],
-    "trace_calls": lambda e, a: [r.asDict() for r in e.trace(a["symbol"]).collect()],
-    "file_api": lambda e, a: [{"kind": r.kind, "name": r.name} for r in e.skeleton(a["file"]).collect()],
-    "check_freshness": lambda e, a: [r.path for r in e.freshness(a.get("cached_at")).collect()],
-    "render_diagram": lambda e, a: e.diagram(a.get("type", "architecture"), a.get("entrypoint", "main"), None, a.get("locale", "tr")),
+    "find_all": lambda e, a: {
+        "declarations": [r.asDict() for r in e.declarations(a["pattern"], a.get("ignore_case", False)).drop("ord").limit(MOST_ROWS).collect()],
+        "lines": [r.asDict() for r in e.grep(a["pattern"], a.get("ignore_case", False)).limit(MOST_ROWS).collect()],
+    },
+    "trace_calls": lambda e, a: [r.asDict() for r in e.trace(a["symbol"]).limit(MOST_ROWS).collect()],
+    "file_api": lambda e, a: [{"kind": r.kind, "name": r.name} for r in e.skeleton(a["file"]).limit(MOST_ROWS).collect()],
+    "check_freshness": lambda e, a: [r.path for r in e.freshness(a.get("cached_at")).limit(MOST_ROWS).collect()],
+    "render_diagram": lambda e, a: e.diagram(a.get("type", "architecture"), a.get("entrypoint", "main"), None, a.get("locale", "tr"), a.get("package")),
+    "graph_stats": lambda e, a: [r.asDict() for r in e.stats().collect()],
     "goals": lambda e, a: [r.asDict() for r in e.board().collect()],
 }
 

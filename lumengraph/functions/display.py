@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate, chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,32 +33,23 @@ def width(text: str, font: float) -> float:
 
 def truncate(text: str, budget: float) -> str:
     """At most `budget` units with an ellipsis; a file's ending and three characters before it stay if they fit."""
-    if units(text) <= budget:
+    ends = list(accumulate(map(_unit, text)))
+    if not ends or ends[-1] <= budget:
         return text
-    stem, dot, ending = text.rpartition(".")
-    tail = ""
-    if dot and stem and re.fullmatch("[A-Za-z0-9]{1,6}", ending):
-        kept = min(len(ending) + 4, len(text) - 1)
-        tail = text[-kept:] if kept + 4 <= budget else ""
-    room, head = budget - 1 - len(tail), ""
-    for c in text:
-        room -= _unit(c)
-        if room < 0:
-            break
-        head += c
-    return f"{head}…{tail}"
+    found = re.fullmatch(r"(?s).+?(.{0,3}\.[A-Za-z0-9]{1,6})", text)
+    tail = found[1] if found and len(found[1]) + 4 <= budget else ""
+    return f"{text[: bisect_right(ends, budget - 1 - len(tail))]}…{tail}"
 
 
 def fit(text: str, most: float, font: float, least: float) -> tuple[str, float, bool]:
-    """(text, font, truncated): the font shrinks in steps of a tenth, then the text is cut."""
-    u = units(text)
-    if not u or u * ADVANCE * font <= most:
-        return text, font, False
-    smaller = max(math.floor(most / (u * ADVANCE) * 10) / 10, least)
-    if u * ADVANCE * smaller <= most:
-        return text, min(smaller, font), False
-    font = min(least, font)
-    return truncate(text, max(math.floor(most / (ADVANCE * font)), 2)), font, True
+    """(text, font, truncated): the largest font that lets the text in, by tenths down to `least`, else the text is cut."""
+    each = units(text) * ADVANCE
+    tenths = (k / 10 for k in range(math.floor(font * 10), math.ceil(least * 10) - 1, -1))
+    chosen = next((f for f in chain((font,), tenths, (least,)) if each * f <= most and f <= font), None)
+    if chosen is not None:
+        return text, chosen, False
+    smallest = min(least, font)
+    return truncate(text, max(math.floor(most / (ADVANCE * smallest)), 2)), smallest, True
 
 
 def escaped(text: Column) -> Column:

@@ -24,7 +24,16 @@ RELATION_LABELS = {
 COUNTS = ("%d dosya · %d sembol", "%d ملف · %d رمز", "%d files · %d symbols")
 SHOWN = ("%d/%d modül", "%d/%d وحدة", "%d/%d modules")
 SUBTITLE = ("Koddan otomatik üretildi · %d/%d modül · %d bağ", "مُولَّد تلقائيًا من الشيفرة · %d/%d وحدة · %d ارتباط", "Generated from code · %d/%d modules · %d links")
+PACKAGES = ("Cargo bağımlılıklarından üretildi · %d/%d sandık · %d bağ", "مُولَّد من تبعيات Cargo · %d/%d صندوق · %d ارتباط", "Built from Cargo dependencies · %d/%d crates · %d links")
+BOTH, BINARY, LIBRARY = ("kütüphane+ikili", "مكتبة+تنفيذي", "lib+bin"), ("ikili", "تنفيذي", "binary"), ("kütüphane", "مكتبة", "library")
+LINES, FAR = ("%s · %d satır", "%s · %d سطر", "%s · %d lines"), ("dış depo", "مستودع خارجي", "external repo")
+WORKSPACE_OF, FAR_OF = ("çalışma alanı · %d sandık", "مساحة عمل · %d صندوق", "workspace · %d crates"), ("dış depo · %d sandık", "مستودع خارجي · %d صندوق", "external repo · %d crates")
+FILE_LINKS = ("Dosya bağımlılıkları (veri dosyası bulunamadı)", "تبعيات الملفات", "File dependencies (no data files found)")
 DEPENDS, USES = ("bağımlı", "يعتمد", "depends"), ("kullanır ×%d", "يستخدم ×%d", "uses ×%d")
+# Line styles by what a record calls them, and their strokes (width, dashes).
+EDGE_KINDS = {"strong": "emphasis", "emphasis": "emphasis", "security": "security", "dashed": "dashed", "async": "dashed", "dotted": "dotted"}
+EDGE_STROKES = {"default": (1.5, ()), "emphasis": (1.8, ()), "security": (1.5, (5, 5)), "dashed": (1.5, (4, 4)), "dotted": (1.4, (1.5, 4))}
+ANIMATED, STRONG_USES = "animated", 20
 LOCALES = ("tr", "ar", "en")
 
 # Which relation wins among equally frequent ones.
@@ -107,3 +116,9 @@ def status_of(word: Column) -> Column:
     """State of a status word; what is unknown or missing is unreadable, never done."""
     table = F.create_map(*[F.lit(x) for state, listed in STATUS_WORDS.items() for w in listed.split() for x in (w, state)])
     return F.coalesce(F.element_at(table, T.fold_tr(F.trim(word))), F.lit(UNREADABLE))
+
+
+def edge_kind(style: Column) -> Column:
+    """Kind of a line style, whatever its case; what is unknown is a plain line."""
+    table = F.create_map(*[F.lit(x) for k, v in EDGE_KINDS.items() for x in (k, v)])
+    return F.coalesce(F.try_element_at(table, F.lower(style)), F.lit("default"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SKIPPED_DIRS = ("tests", "test", "benches", "examples", "target", "node_modules", "docs", "fixtures", "dist", "build")
 CONTAINER_DIRS = ("crates", "packages", "apps", "libs", "services", "modules", "cmd")
 SOURCE_DIRS = ("src", "lib", "app", "source")
+UNSHIPPED_DIRS = ("tests", "benches", "examples", "fixtures")
 
 
 def norm(path: Column) -> Column:
@@ -46,7 +47,7 @@ def base_name(name: Column) -> Column:
 
 
 def join_norm(base: Column, spec: Column) -> Column:
-    """`spec` taken from `base`, with dots folded; climbing above the top stays at the top."""
+    """`spec` taken from `base`, with dots folded; climbing above the top stays at the top, and a leading slash stays."""
     steps = F.concat(F.split(norm(base), "/"), F.split(norm(spec), "/"))
     none = F.array().cast("array<string>")
 
@@ -54,7 +55,7 @@ def join_norm(base: Column, spec: Column) -> Column:
         up = F.when(F.size(found) > 0, F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
         return F.when((p == "") | (p == "."), found).when(p == "..", up).otherwise(F.concat(found, F.array(p)))
 
-    return F.concat_ws("/", F.aggregate(steps, none, step))
+    return F.concat(F.when(base.startswith("/"), "/").otherwise(""), F.concat_ws("/", F.aggregate(steps, none, step)))
 
 
 def ancestors(path: Column) -> Column:
@@ -86,14 +87,19 @@ def locate(path: Column, prefix: Column, root: Column) -> Column:
 
 def rust_module(path: Column) -> Column:
     """Struct (root, module) around the last source folder of a Rust file: `a/src/b/c.rs` is (a, b::c)."""
-    inner = F.regexp_extract(norm(path), r"^.*/src/(.*)\.rs$", 1)
-    root = F.regexp_extract(norm(path), r"^(.*)/src/.*\.rs$", 1)
-    inner = F.regexp_replace(F.regexp_replace(inner, r"(^|/)(mod|lib|main)$", ""), "/", "::")
-    return F.when(root != "", F.struct(root.alias("root"), inner.alias("module")))
+    whole = r"^(?:(.*)/)?src/(.*)\.rs$"
+    inner = F.regexp_replace(F.regexp_extract(norm(path), whole, 2), r"/mod$", "")
+    inner = F.when(inner.isin("lib", "main"), "").otherwise(F.replace(inner, F.lit("/"), F.lit("::")))
+    return F.when(norm(path).rlike(whole), F.struct(F.regexp_extract(norm(path), whole, 1).alias("root"), inner.alias("module")))
 
 
 def sibling_repo(base: Column, other: Column) -> Column:
-    """The first segment of `other` that differs from the one of `base` at its place."""
+    """The first segment of `other` that differs from the one of `base` at its place, else its last one."""
     a, b = parts(base), parts(other)
     at = F.filter(F.transform(b, lambda x, i: F.when(F.coalesce(F.get(a, i) != x, F.lit(True)), x)), lambda x: x.isNotNull())
-    return F.get(at, F.lit(0))
+    return F.coalesce(F.get(at, F.lit(0)), F.try_element_at(b, F.lit(-1)), F.lit(""))
+
+
+def in_product(path: Column) -> Column:
+    """Whether a path is part of the product that package roll-ups describe; a third rule beside the two of the extractors."""
+    return ~F.exists(F.split(norm(path), "/"), lambda p: p.isin(*UNSHIPPED_DIRS))

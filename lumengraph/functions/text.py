@@ -6,10 +6,12 @@ sends just the rows that may need it through Python.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,25 @@ UNCOMPOSED = (
     r"[^\u0000-\u02ff\u0400-\u0482\u048a-\u0590\u05d0-\u05ea\u0620-\u064a\u2010-\u2027\u20a0-\u20cf"
     r"\u3041-\u3098\u30a0-\u30ff\u4e00-\u9fff\uac00-\ud7a3]"
 )
+UNCOMPOSED_RE2 = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", UNCOMPOSED)
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
-    """`df` with `column` in composed form; rows without suspicious characters stay in the JVM."""
-    odd = F.coalesce(F.col(column).rlike(UNCOMPOSED), F.lit(False))
+    """`df` with `column` in composed form, in one pass: Arrow finds the rows that may need it, Python sees those alone."""
+    at = df.columns.index(column)
 
-    def compose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(**{column: [None if t is None else unicodedata.normalize("NFC", t) for t in part[column]]})
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts = part.column(at)
+            odd = pc.fill_null(pc.match_substring_regex(texts, UNCOMPOSED_RE2), False)
+            if pc.any(odd).as_py():
+                composed = pa.array([unicodedata.normalize("NFC", t) for t in texts.filter(odd).to_pylist()], texts.type)
+                columns = part.columns
+                columns[at] = pc.replace_with_mask(texts, odd, composed)
+                part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            yield part
 
-    return df.where(~odd).unionByName(df.where(odd).mapInPandas(compose, df.schema))
+    return df.mapInArrow(compose, df.schema)
 
 
 def lower_each(text: Column) -> Column:
@@ -49,7 +59,9 @@ def fold_tr(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Arabic marks stripped, Arabic and Turkish forms unified, lower case."""
-    return lower_each(F.translate(F.regexp_replace(text, MARKS, ""), FOLD_FROM, FOLD_TO))
+    marks = "".join(chr(c) for c in (*range(0x64B, 0x653), 0x670))
+    # What has no counterpart is deleted.
+    return lower_each(F.translate(text, FOLD_FROM + marks, FOLD_TO))
 
 
 def split_camel(text: Column) -> Column:

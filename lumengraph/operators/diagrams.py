@@ -17,7 +17,7 @@ from lumengraph.functions import labels as L
 from lumengraph.operators import delta, rollup
 
 MOST_DEPTH, MOST_MESSAGES = 3, 30
-MOST_MODULES, MOST_LINKS, MOST_ARTIFACTS = 36, 60, 10
+MOST_MODULES, MOST_LINKS, MOST_ARTIFACTS, MOST_NODES, MOST_REGIONS = 36, 60, 10, 40, 1000
 BOX = (150, 56)
 GAP = (60, 40)
 #: One fill for each role.
@@ -88,8 +88,11 @@ def sequence(nodes: DataFrame, edges: DataFrame, root: str, locale: str = "en")
 # Layers
 
 
-def layers(n: int, edges: list[tuple[int, int]]) -> list[int]:
-    """Longest-path layers; an edge that closes a cycle on the way down from the sources is dropped."""
+def layers(n: int, edges: list[tuple[int, int]], by_place: bool = False) -> list[int]:
+    """Longest-path layers; an edge that closes a cycle on the way down is dropped.
+
+    The way down starts at the nodes that fewest edges enter, or with `by_place` in their own order.
+    """
     out: dict[int, dict[int, None]] = defaultdict(dict)
     for a, b in edges:
         if a != b:
@@ -99,7 +102,7 @@ def layers(n: int, edges: list[tuple[int, int]]) -> list[int]:
         for b in targets:
             into[b] += 1
     state, kept, finished = [0] * n, defaultdict(list), []
-    for root in sorted(range(n), key=lambda v: (into[v], v)):
+    for root in range(n) if by_place else sorted(range(n), key=lambda v: (into[v], v)):
         if state[root]:
             continue
         state[root] = 1
@@ -125,23 +128,104 @@ def layers(n: int, edges: list[tuple[int, int]]) -> list[int]:
 
 
 def longest_path(n: int, edges: list[tuple[int, int]], most: int = 8) -> list[int]:
-    """A longest path over the layers, cut to `most` nodes."""
-    level = layers(n, edges)
-    before: dict[int, int] = {}
-    for a, b in sorted(set(edges)):
-        if level[b] == level[a] + 1 and b not in before:
-            before[b] = a
-    if not n:
-        return []
-    path = [max(range(n), key=lambda v: (level[v], -v))]
-    while path[-1] in before:
-        path.append(before[path[-1]])
-    return path[::-1][:most]
+    """A longest chain of links, the first one found from the first node on, cut to `most` nodes; no node twice."""
+    after: dict[int, dict[int, None]] = defaultdict(dict)
+    for a, b in edges:
+        after[a].setdefault(b)
+    found: dict[int, tuple[int, ...]] = {}
+
+    def chain(v: int, above: frozenset[int]) -> tuple[int, ...]:
+        if v not in found:
+            held = above | {v}
+            found[v] = (v, *max((chain(w, held) for w in after[v] if w not in held), key=len, default=()))
+        return found[v]
+
+    return list(max((chain(v, frozenset()) for v in range(n)), key=len, default=()))[:most]
+
+
+def ordered_columns(level: list[int], edges: list[tuple[int, int]], sweeps: int = 4) -> list[list[int]]:
+    """Nodes by layer, each layer sorted by the mean place of its neighbours, down and up in turn."""
+    columns = [[v for v in range(len(level)) if level[v] == k] for k in range(max(level, default=-1) + 1)]
+    near: dict[int, list[int]] = defaultdict(list)
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    for sweep in range(sweeps):
+        place = {v: k for own in columns for k, v in enumerate(own)}
+        for own in columns if sweep % 2 == 0 else columns[::-1]:
+            middle = {v: sum(place[w] for w in near[v]) / len(near[v]) if near[v] else place[v] for v in own}
+            own.sort(key=lambda v: (middle[v], v))
+            place |= {v: k for k, v in enumerate(own)}
+    return columns
+
+
+def extent(boxes: DataFrame, by: str | None = None) -> DataFrame:
+    """Bounding boxes (x, y, width, height) of `boxes(x, y, width, height)`, of all or per group."""
+    ends = [F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height")]
+    return boxes.groupBy(by).agg(*ends) if by else boxes.agg(*ends)
+
+
+def smallest_region(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """`points(id, x, y)` with the smallest of `regions(id, x, y, width, height)` that holds each, or null.
+
+    A picture has a few dozen regions; they are counted and then held as a constant.
+    """
+    held = regions.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]).limit(MOST_REGIONS + 1).collect()
+    if len(held) > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions in one picture")
+    if not held:
+        return points.select("id", F.lit(None).cast("string").alias("region"))
+    boxes = F.array(*[F.struct(F.lit(r.width * r.height).alias("area"), F.lit(r.id).alias("id"), F.lit(r.x).alias("x"), F.lit(r.y).alias("y"), F.lit(r.x + r.width).alias("right"), F.lit(r.y + r.height).alias("bottom")) for r in held])
+    holds = F.filter(boxes, lambda b: (F.col("x") >= b["x"]) & (F.col("x") <= b["right"]) & (F.col("y") >= b["y"]) & (F.col("y") <= b["bottom"]))
+    return points.select("id", F.array_min(holds)["id"].alias("region"))
 
 
 # Records
 
 
+def _placed(boxes: list[dict], links: list[tuple[int, int]]) -> None:
+    """Puts boxes into columns by layer, in an order that keeps neighbours near."""
+    for column, own in enumerate(ordered_columns(layers(len(boxes), links), links)):
+        for row, k in enumerate(own):
+            boxes[k] |= {"x": column * (BOX[0] + GAP[0]), "y": row * (BOX[1] + GAP[1]), "width": BOX[0], "height": BOX[1]}
+
+
+def _regions(boxes: list[dict], words: dict[str, str]) -> list[dict]:
+    """A frame around the boxes of each region."""
+    out = []
+    for name in dict.fromkeys(b["region"] for b in boxes):
+        own = [b for b in boxes if b["region"] == name]
+        x, y = min(b["x"] for b in own), min(b["y"] for b in own)
+        out.append({"id": name, "label": name, "sublabel": words.get(name), "x": x - 10, "y": y - 10, "width": max(b["x"] for b in own) + BOX[0] + 20 - x, "height": max(b["y"] for b in own) + BOX[1] + 20 - y})
+    return out
+
+
+def package_level(boxes: DataFrame, linked: DataFrame, title: str = "", locale: str = "en") -> dict:
+    """Packages and their dependencies, as `packages.summary` gives them, cut to what a picture can show."""
+    from lumengraph.operators import packages, tours
+
+    shown = packages.top_boxes(boxes, linked)
+    rows = [r.asDict() for r in boxes.join(shown.select("key"), "key").orderBy("ord").collect()]  # at most 48
+    at = {r["key"]: k for k, r in enumerate(rows)}
+    ends = shown.select("key")
+    inside = linked.join(ends.withColumnRenamed("key", "from"), "from", "left_semi").join(ends.withColumnRenamed("key", "to"), "to", "left_semi")
+    links = sorted((r.asDict() for r in inside.collect()), key=lambda x: (at[x["from"]], at[x["to"]]))
+    components = []
+    for r in rows:
+        kind = L.pick(locale, L.BOTH if r["lib"] and r["bin"] else L.BINARY if r["bin"] else L.LIBRARY)
+        told = L.pick(locale, L.FAR) if r["external"] else L.pick(locale, L.LINES) % (kind, r["lines"])
+        components.append({"id": r["id"], "label": r["label"], "region": r["box"], "role": r["role"], "sublabel": told})
+    _placed(components, [(at[x["from"]], at[x["to"]]) for x in links])
+    connections = []
+    for x in links:
+        style = "dashed" if x["optional"] else "dotted" if rows[at[x["to"]]]["external"] else L.ANIMATED if x["uses"] >= L.STRONG_USES else ""
+        label = L.pick(locale, L.USES) % x["uses"] if x["uses"] else L.pick(locale, L.DEPENDS)
+        connections.append({"from": rows[at[x["from"]]]["id"], "to": rows[at[x["to"]]]["id"], "label": label, "line_style": style, "weight": x["uses"]})
+    words = {name: L.pick(locale, L.FAR_OF if all(r["external"] for r in rows if r["box"] == name) else L.WORKSPACE_OF) % sum(r["box"] == name for r in rows) for name in {r["box"] for r in rows}}
+    subtitle = L.pick(locale, L.PACKAGES) % (len(rows), boxes.count(), len(connections))
+    return {"title": title, "subtitle": subtitle, "components": components, "connections": connections, "regions": _regions(components, words), "story": tours.package_tour(rows, links, locale)}
+
+
 def architecture(nodes: DataFrame, edges: DataFrame, title: str = "", locale: str = "en", scope: tuple[str, str] | None = None) -> dict:
     """Modules and their links, cut to what a picture can show, with roles, layers and places."""
     placed = rollup.modules_of(nodes, scope)
@@ -149,14 +233,14 @@ def architecture(nodes: DataFrame, edges: DataFrame, title: str = "", locale: st
     shown = rollup.top_modules(mods, deps, MOST_MODULES)
     rows = mods.join(shown, "key").select("key", "region", "module", "files", "symbols", L.role_for(F.col("module"), F.col("region")).alias("role"), L.counts_label(F.col("files"), F.col("symbols"), locale).alias("label")).orderBy("key").collect()
     links = rollup.top_dependencies(deps, shown, MOST_LINKS).select("from", "to", "count", "dominant", F.concat(L.relation_label(F.col("dominant"), locale), F.format_string(" ×%d", "count")).alias("label")).orderBy("from", "to").collect()
+    from lumengraph.operators import tours
+
     at = {r.key: k for k, r in enumerate(rows)}
-    level = layers(len(rows), [(at[x["from"]], at[x["to"]]) for x in links])
-    fill: dict[int, int] = defaultdict(int)
-    boxes = []
-    for r, column in zip(rows, level, strict=True):
-        boxes.append({"id": r.key, "label": r.module, "region": r.region, "role": r.role, "sublabel": r.label, "x": column * (BOX[0] + GAP[0]), "y": fill[column] * (BOX[1] + GAP[1])})
-        fill[column] += 1
-    return {"title": title, "subtitle": V.escape(L.pick(locale, L.SUBTITLE) % (len(rows), mods.count(), len(links))), "components": boxes, "connections": [{"from": x["from"], "to": x["to"], "label": x.label, "weight": x["count"]} for x in links]}
+    boxes = [{"id": r.key, "label": r.module, "region": r.region, "role": r.role, "sublabel": r.label} for r in rows]
+    _placed(boxes, [(at[x["from"]], at[x["to"]]) for x in links])
+    connections = [{"from": x["from"], "to": x["to"], "label": x.label, "line_style": "", "weight": x["count"]} for x in links]
+    subtitle = V.escape(L.pick(locale, L.SUBTITLE) % (len(rows), mods.count(), len(links)))
+    return {"title": title, "subtitle": subtitle, "components": boxes, "connections": connections, "regions": _regions(boxes, {}), "story": tours.module_tour(boxes, connections, locale)}
 
 
 def dataflow(edges: DataFrame, most: int = MOST_ARTIFACTS) -> dict:
@@ -170,6 +254,18 @@ def dataflow(edges: DataFrame, most: int = MOST_ARTIFACTS) -> dict:
     return {"nodes": [{"id": n} for n in names], "pipelines": pipes, "hidden": {r.artifact: r.hidden for r in rows}}
 
 
+def file_links(nodes: DataFrame, edges: DataFrame, locale: str = "en", most: int = MOST_NODES) -> dict:
+    """The record for a tree without data files or packages: the files with most imports and the imports among them."""
+    imports = edges.where("relation = 'Imports'")
+    degree = rollup.weighted_degree(imports, "source", "target")
+    top = degree.orderBy(F.desc("degree"), "key").limit(most)
+    rows = nodes.join(top, F.col("id") == F.col("key")).select("id", "name", L.role_for(F.col("name"), F.lit("")).alias("role"), "degree").orderBy(F.desc("degree"), "id").collect()
+    ends = top.select("key")
+    kept = imports.join(ends.withColumnRenamed("key", "source"), "source", "left_semi").join(ends.withColumnRenamed("key", "target"), "target", "left_semi")
+    pipes = [{"from": r.source, "to": r.target, "kind": L.pick(locale, L.RELATION_LABELS["Imports"])} for r in kept.select("source", "target").orderBy("source", "target").collect()]  # among 40 files
+    return {"subtitle": L.pick(locale, L.FILE_LINKS), "nodes": [{"id": r.id, "label": r.name, "role": r.role} for r in rows], "pipelines": pipes}
+
+
 def difference(before: dict, after: dict, spark) -> dict:  # noqa: ANN001
     """Components and connections of two architecture records with their status; places do not count."""
     comp = lambda d: spark.createDataFrame([(c["id"], c["label"], c["role"], c.get("sublabel")) for c in d["components"]], "id string, label string, role string, sublabel string")
@@ -195,7 +291,9 @@ def svg(record: dict) -> str:
     for link in record["connections"]:
         a, b = at[link["from"]], at[link["to"]]
         x1, y1, x2, y2 = (V.plain_number(v) for v in (a["x"] + 20 + BOX[0] / 2, a["y"] + 40 + BOX[1] / 2, b["x"] + 20 + BOX[0] / 2, b["y"] + 40 + BOX[1] / 2))
-        out.append(f'<line x1="{x1}" y1="{y1}" x2="{x2}" y2="{y2}" stroke="#94a3b8"><title>{V.escape(link["label"])}</title></line>')
+        wide, dashes = L.EDGE_STROKES[L.EDGE_KINDS.get((link.get("line_style") or "").lower(), "default")]
+        dash = f' stroke-dasharray="{" ".join(map(str, dashes))}"' if dashes else ""
+        out.append(f'<line x1="{x1}" y1="{y1}" x2="{x2}" y2="{y2}" stroke="#94a3b8" stroke-width="{wide}"{dash}><title>{V.escape(link["label"])}</title></line>')
     for c in record["components"]:
         text, font, _ = V.fit(c["label"], BOX[0] - 16, 12, 8)
         out.append(f'<g transform="translate({c["x"] + 20},{c["y"] + 40})"><rect width="{BOX[0]}" height="{BOX[1]}" rx="6" fill="{FILLS.get(c["role"], "#475569")}"/><text x="8" y="24" fill="#fff" font-size="{V.plain_number(font)}">{V.escape(text)}</text><text x="8" y="42" fill="#e2e8f0" font-size="9">{V.escape(V.truncate(c.get("sublabel") or "", 28))}</text></g>')

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lumengraph.runtime import durable
 
-#: Up to this many edges the rank runs as one numeric kernel; beyond, as joins. The number is counted.
-KERNEL_EDGES = 200_000
+#: Up to this many nodes and edges together the rank runs as one numeric kernel; beyond, as joins. The number is counted.
+KERNEL_SIZE = 200_000
 LEAST_RANK = 0.0001
 
 
@@ -84,7 +84,7 @@ def _teleport(ids: list[str], seeds: dict[str, float]) -> np.ndarray:
     return p / total if total > 0 else np.full(len(ids), 1 / max(len(ids), 1))
 
 
-def rank(nodes: DataFrame, edges: DataFrame, seeds: list[tuple[str, float]], alpha: float = 0.25, iterations: int = 25, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def rank(nodes: DataFrame, edges: DataFrame, seeds: list[tuple[str, float]], alpha: float = 0.25, iterations: int = 25, kernel_size: int = KERNEL_SIZE) -> DataFrame:
     """(id, score) above the least rank of a personalized walk that restarts with probability `alpha`.
 
     All relations count, parallel edges count each, confidence does not. Rank of nodes without an
@@ -97,9 +97,8 @@ def rank(nodes: DataFrame, edges: DataFrame, seeds: list[tuple[str, float]], alp
         weights[i] = weights.get(i, 0.0) + w
     if not weights:
         return spark.createDataFrame([], "id string, score double")
-    real = known_edges(nodes, edges).select("source", "target")
-    real = durable(real, "walk")
-    if real.count() <= kernel_edges:
+    real = durable(known_edges(nodes, edges).select("source", "target"), "walk")
+    if real.count() + nodes.select("id").distinct().count() <= kernel_size:
         return _kernel(nodes, real, weights, alpha, iterations)
     return _walk(nodes, real, weights, alpha, iterations)
 
@@ -133,13 +132,15 @@ def _walk(nodes: DataFrame, edges: DataFrame, weights: dict[str, float], alpha:
     p = F.col("w") / total.w if total.w else F.lit(1.0 / max(total.n, 1))
     out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out"))
     base = durable(base.join(out, "id", "left").select("id", p.alias("p"), "out"), "base")
-    links = durable(edges.groupBy("source", "target").agg(F.count("*").alias("n")), "links")
-    now = base.select("id", F.col("p").alias("r"), "p", "out")
-    for k in range(iterations):
-        lost = now.where("out IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost")).first().lost
-        sent = now.where("out IS NOT NULL").select(F.col("id").alias("source"), (F.col("r") / F.col("out")).alias("share")).join(links, "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
-        now = base.join(sent, "id", "left").select("id", ((1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("p") * lost) + alpha * F.col("p")).alias("r"), "p", "out")
-        now = durable(now, "rank") if k % 5 == 4 or k == iterations - 1 else now
+    links = durable(edges.groupBy("source", "target").agg(F.count("*").alias("n")).withColumnRenamed("source", "id"), "links")
+    now = base.select("id", "p", "out", F.col("p").alias("r"))
+    for _ in range(iterations):
+        # Each round is written once: its ranks are met from three sides, and a lost executor costs no earlier round.
+        lost = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")).first().lost
+        none = F.lit(None).cast("double")
+        sent = now.where("out IS NOT NULL").join(links, "id").select(F.col("target").alias("id"), (F.col("r") / F.col("out") * F.col("n")).alias("got"), none.alias("p"), F.lit(None).cast("bigint").alias("out"))
+        whole = sent.union(now.select("id", F.lit(0.0).alias("got"), "p", "out")).groupBy("id").agg(F.sum("got").alias("got"), F.max("p").alias("p"), F.max("out").alias("out"))
+        now = durable(whole.select("id", "p", "out", ((1 - alpha) * (F.col("got") + F.col("p") * lost) + alpha * F.col("p")).alias("r")), "rank")
     return now.select("id", F.col("r").alias("score")).where(F.col("score") > LEAST_RANK)
 
 
@@ -192,3 +193,23 @@ def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = with_refs(nodes, edges).join(out_degree(edges), "id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     role = F.when((F.col("refs") == 0) & (F.col("uses") == 0), "isolated").when(F.col("refs") == 0, "source").when(F.col("uses") == 0, "leaf").otherwise("hub")
     return rows.select("id", "refs", "uses", role.alias("role"))
+
+
+def node(nodes: DataFrame, wanted: str) -> DataFrame:
+    """The node with this id: none or one."""
+    return nodes.where(F.col("id") == wanted).limit(1)
+
+
+def focus(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edges to show for chosen nodes (id): one node's incident edges, or the edges among several."""
+    ids = chosen.select("id").distinct()
+    if ids.count() == 1:
+        one = ids.first().id
+        return edges.where((F.col("source") == one) | (F.col("target") == one))
+    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def adjacent(edges: DataFrame, node: str) -> DataFrame:
+    """(id) of a node and all that an edge ties to it."""
+    mine = edges.where((F.col("source") == node) | (F.col("target") == node))
+    return mine.select(F.explode(F.array("source", "target")).alias("id")).union(edges.sparkSession.createDataFrame([(node,)], "id string")).distinct()

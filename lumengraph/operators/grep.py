@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import text as T
 
+_WHOLE = re.compile(r"\\[AzZG]")
 _UNSUPPORTED = re.compile(r"\(\?(?:[=!]|<[=!])|(?<!\\)(?:\\\\)*\\[1-9]|\\k<")
 
 
@@ -31,14 +32,23 @@ def indexed_text(*columns: str) -> Column:
 def grep(docs: DataFrame, id_col: str, text_col: str, pattern: str, ignore_case: bool = False) -> DataFrame:
     """(id, line_no, line) of matching lines, numbered from 1 and trimmed.
 
-    The text is tested before it is split, so that texts without a match cost one scan.
+    The text is tested before it is split, so that texts without a match cost one scan. A pattern with
+    anchors to the whole text's ends means a line's ends and is tested on lines alone.
     """
     wanted = checked_pattern(pattern, ignore_case)
-    whole = docs.where(F.col(text_col).rlike(f"(?m){wanted}" if not ignore_case else f"(?m){wanted}"))
-    rows = whole.select(F.col(id_col).alias("id"), F.posexplode(T.lines(F.col(text_col))).alias("at", "raw"))
+    some = docs if _WHOLE.search(pattern) else docs.where(F.col(text_col).rlike(f"(?m){wanted}"))
+    rows = some.select(F.col(id_col).alias("id"), F.posexplode(T.lines(F.col(text_col))).alias("at", "raw"))
     return rows.where(F.col("raw").rlike(wanted)).select("id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.trim("raw").alias("line"))
 
 
+def declarations(nodes: DataFrame, edges: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
+    """(name, kind, path, refs, ord) of symbols whose declaration line matches, with the references to each; most referred-to first."""
+    hits = nodes.where((F.col("kind") != "File") & F.col("search_body").rlike(checked_pattern(pattern, ignore_case)))
+    refs = edges.join(hits.select(F.col("id").alias("target")).distinct(), "target", "left_semi").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("refs"))
+    rows = hits.join(refs, "id", "left").select("name", "kind", npath(F.col("path")).alias("path"), F.coalesce("refs", F.lit(0)).alias("refs"), "ord")
+    return rows.orderBy(F.desc("refs"), "ord")
+
+
 def npath(path: Column) -> Column:
     """A path with forward slashes."""
     return F.translate(path, "\\", "/")

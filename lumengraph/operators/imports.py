@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions import paths as P
@@ -11,6 +11,8 @@ from lumengraph.operators.resolve import Rules, Tier
 
 # Endings tried on a relative script import, in order.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.mjs", "/index.cjs")
+# The sources that a header stands for.
+SOURCE_ENDINGS = ("c", "cpp", "cc", "cxx")
 #: Languages whose files share names with their folder.
 FOLDER_LANGUAGES = ("go", "java", "c")
 
@@ -21,7 +23,6 @@ def script_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
     specs: (file, spec); files: (path). Every candidate is one row and meets the files by equality.
     """
     base = P.join_norm(P.directory(F.col("file")), F.col("spec"))
-    base = F.when(F.col("file").startswith("/") & ~base.startswith("/"), F.concat(F.lit("/"), base)).otherwise(base)
     rows = specs.where(F.col("spec").startswith(".")).select("file", "spec", F.posexplode(F.array(*[F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS])).alias("rank", "path"))
     hits = rows.join(files.select("path").distinct(), "path")
     return hits.groupBy("file", "spec").agg(F.min_by("path", "rank").alias("other_file"))
@@ -43,13 +44,72 @@ def python_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
     return relative.union(absolute).where("file <> other_file")
 
 
+def python_bindings(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, spec, other_file) of absolute dotted specs that are the tail, up to five names long, of one or two files."""
+    p = F.split(F.regexp_replace(F.regexp_replace("path", r"\.[^./]*$", ""), "/__init__$", ""), "/")
+    tails = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(p), F.lit(5))), lambda n: F.concat_ws(".", F.slice(p, -n, n)))).alias("spec"))
+    few = tails.groupBy("spec").agg(F.count("*").alias("n")).where("n <= 2").select("spec")
+    return specs.where(~F.col("spec").startswith(".")).join(few, "spec").join(tails, "spec").select("file", "spec", F.col("path").alias("other_file"))
+
+
+def _tails(path: Column, most: int) -> Column:
+    """The last 1, 2, ... up to `most` segments of a path, joined."""
+    p = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(p), F.lit(most))), lambda n: F.struct(n.alias("n"), F.concat_ws("/", F.slice(p, -n, n)).alias("tail")))
+
+
+def go_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, spec, other_file): the files of the one folder that ends in the spec's last three, two or one segments.
+
+    The longest tail that any folder has decides. One segment alone counts only for a spec of one
+    segment or one that does not start with a host name. A folder above which nothing stands has no
+    match: a tail starts after a slash.
+    """
+    code = files.select("path", P.directory(F.col("path")).alias("dir"))
+    dirs = code.select("dir").distinct()
+    below = F.filter(_tails(F.col("dir"), 3), lambda t: F.col("dir").endswith(F.concat(F.lit("/"), t["tail"])))
+    listed = dirs.where("dir <> ''").select("dir", F.explode(below).alias("t")).groupBy("t.tail").agg(F.count("*").alias("dirs"), F.min("dir").alias("dir"))
+    segments = F.filter(F.split("spec", "/"), lambda x: x != "")
+    asked = specs.select("spec").distinct().select("spec", F.size(segments).alias("parts"), F.contains(F.get(segments, F.lit(0)), F.lit(".")).alias("host"), F.explode(_tails(F.col("spec"), 3)).alias("t"))
+    hits = asked.join(listed, F.col("t.tail") == listed["tail"])
+    best = hits.groupBy("spec").agg(F.max_by(F.struct("dirs", "dir", "t.n", "parts", "host"), "t.n").alias("x"))
+    sure = best.where("x.dirs = 1 AND (x.n > 1 OR x.parts = 1 OR NOT x.host)").select("spec", "x.dir")
+    return specs.join(sure, "spec").join(code, "dir").select("file", "spec", F.col("path").alias("other_file"))
+
+
+def java_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, spec, other_file): the files of the named class, else all files of the package folder."""
+    path = F.replace("spec", F.lit("."), F.lit("/"))
+    asked = specs.select("spec").distinct().select("spec", path.alias("want"), F.substring_index("spec", ".", -1).alias("last"))
+    named = files.select("path", P.file_name(F.col("path")).alias("name"))
+    classes = asked.join(named, F.concat("last", F.lit(".java")) == F.col("name")).where(F.col("path").endswith(F.concat("want", F.lit(".java")))).select("spec", "path")
+    rest = asked.join(classes.select("spec").distinct(), "spec", "left_anti")
+    code = files.select("path", P.directory(F.col("path")).alias("dir")).withColumn("end", P.file_name(F.col("dir")))
+    folders = rest.join(code, F.col("last") == F.col("end")).where(F.col("dir").endswith(F.concat(F.lit("/"), "want"))).select("spec", "path")
+    return specs.join(classes.union(folders), "spec").select("file", "spec", F.col("path").alias("other_file"))
+
+
+def c_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, spec, other_file): the header near the file, else every file whose path ends so, and the sources next to a header."""
+    known = files.select("path").distinct()
+    rows = specs.withColumn("near", P.join_norm(P.directory(F.col("file")), F.col("spec")))
+    close = rows.join(known, F.col("near") == F.col("path")).select("file", "spec", "path")
+    open_ones = rows.join(close.select("file", "spec"), ["file", "spec"], "left_anti").select("file", "spec", F.substring_index("spec", "/", -1).alias("name"))
+    ending = known.withColumn("name", P.file_name(F.col("path")))
+    far = open_ones.join(ending, "name").where(F.col("path").endswith(F.concat(F.lit("/"), "spec"))).select("file", "spec", "path")
+    hits = close.union(far)
+    stem = F.regexp_extract("path", r"^(.*)\.(?:h|hpp|hh)$", 1)
+    beside = hits.withColumn("stem", stem).where("stem <> ''").select("file", "spec", F.explode(F.array(*[F.concat("stem", F.lit(f".{e}")) for e in SOURCE_ENDINGS])).alias("path")).join(known, "path").select("file", "spec", "path")
+    return hits.union(beside).select("file", "spec", F.col("path").alias("other_file")).distinct()
+
+
 def bindings(facts: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, local, original, other_file) of bindings whose spec was resolved, and (file, local) of the others.
 
     facts: (file, value) of `b:` facts; imports: (file, spec, other_file).
     """
     parts = F.split("value", r"\|", 3)
-    rows = facts.select("file", F.element_at(parts, 1).alias("local"), F.element_at(parts, 2).alias("original"), F.element_at(parts, 3).alias("spec"))
+    rows = facts.select("file", F.get(parts, F.lit(0)).alias("local"), F.get(parts, F.lit(1)).alias("original"), F.get(parts, F.lit(2)).alias("spec"))
     known = rows.join(imports.select("file", "spec", "other_file"), ["file", "spec"])
     outside = rows.where("local <> '*'").join(imports.select("file", "spec"), ["file", "spec"], "left_anti")
     return known.select("file", "local", "original", "other_file"), outside.select("file", "local").distinct()

@@ -125,10 +125,9 @@ def public_api(functions: DataFrame, calls: DataFrame, k: int = 4) -> DataFrame:
 
 
 def artifact_users(edges: DataFrame) -> DataFrame:
-    """Per data file: writers, readers and users, as sorted sets."""
+    """A row per data file and user: whether the user writes it, whether it reads it."""
     io = edges.where("relation IN ('Writes', 'Reads')")
-    side = lambda r: F.array_sort(F.collect_set(F.when(F.col("relation") == r, F.col("source"))))
-    return io.groupBy(F.col("target").alias("artifact")).agg(side("Writes").alias("writers"), side("Reads").alias("readers"), F.count_distinct("source").alias("users"))
+    return io.groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.bool_or(F.col("relation") == "Writes").alias("writes"), F.bool_or(F.col("relation") == "Reads").alias("reads"))
 
 
 def artifact_ranking(edges: DataFrame, k: int = 10) -> DataFrame:
@@ -139,11 +138,15 @@ def artifact_ranking(edges: DataFrame, k: int = 10) -> DataFrame:
 
 
 def shown_users(edges: DataFrame, k: int = 4) -> DataFrame:
-    """The first users of every data file, and how many more there are."""
-    first = edges.where("relation IN ('Writes', 'Reads')").groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.min("ord").alias("ord"))
-    w = Window.partitionBy("artifact")
-    rows = first.withColumn("place", F.row_number().over(w.orderBy("ord", "user"))).withColumn("hidden", F.greatest(F.count("*").over(w) - k, F.lit(0)))
-    return rows.where(F.col("place") <= k).select("artifact", "place", "user", "hidden")
+    """The first users of every data file, and how many more there are.
+
+    Users are counted by an aggregate and the first ones taken by a ranking that keeps k rows per task
+    before it shuffles, so a file that everyone uses is no task of its own.
+    """
+    first = durable(edges.where("relation IN ('Writes', 'Reads')").groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.min("ord").alias("ord")), "users")
+    shown = first.withColumn("place", F.row_number().over(Window.partitionBy("artifact").orderBy("ord", "user"))).where(F.col("place") <= k)
+    more = first.groupBy("artifact").agg(F.greatest(F.count("*") - k, F.lit(0)).alias("hidden"))
+    return shown.join(more, "artifact").select("artifact", "place", "user", "hidden")
 
 
 def heaviest_outgoing(links: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions import text as T
+from lumengraph.runtime import durable
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.001
+#: Different words of one query.
+MOST_TERMS = 10_000
 
 
 @dataclass
@@ -60,14 +63,15 @@ def query_terms(spark, query: str) -> list[str]:  # noqa: ANN001
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int | None = None) -> DataFrame:
     """(id, score) above the least score, best first, ties by id; the first k, or all.
 
-    One query needs no index: a pass counts the query's terms per document and the corpus totals,
-    with no shuffle but that of one row per task, and the second pass scores.
+    One query needs no index: a pass counts the query's terms per document, and what it finds (a few
+    numbers a document) is written once; the corpus totals and the scores come from there. Texts are
+    cut into tokens once, and nothing is shuffled but a row per task.
     """
     terms = query_terms(docs.sparkSession, query)
     kinds = sorted(set(terms))
     rows = tokenized(docs, id_col, text_col)
     counts = [F.size(F.filter("tokens", _is(term))).alias(f"tf{n}") for n, term in enumerate(kinds)]
-    found = rows.select("id", F.size("tokens").alias("length"), *counts)
+    found = durable(rows.select("id", F.size("tokens").alias("length"), *counts), "counts")
     totals = found.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(kinds))]).first()
     score = F.lit(0.0)
     for n, term in enumerate(kinds):
@@ -85,8 +89,10 @@ def bm25_indexed(index: Index, terms: list[str], k: int) -> DataFrame:
     """The same from a stored index: the query's terms prune the postings."""
     spark = index.postings.sparkSession
     wanted = {t: terms.count(t) for t in terms}
-    query = F.broadcast(spark.createDataFrame(list(wanted.items()), "term string, qtf int"))  # the query's own words
-    totals = F.broadcast(index.totals)  # one row
+    if len(wanted) > MOST_TERMS:
+        raise ValueError(f"a query of more than {MOST_TERMS} different words")
+    query = F.broadcast(spark.createDataFrame(list(wanted.items()), "term string, qtf int"))  # at most MOST_TERMS rows
+    totals = F.broadcast(index.totals.limit(1))  # one row
     rows = index.postings.join(query, "term").join(index.frequencies.join(query.select("term"), "term"), "term").join(index.lengths, "id").join(totals)
     one = weight(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("mean_length")) * F.col("qtf")
     return rows.groupBy("id").agg(F.sum(one).alias("score")).where(F.col("score") > LEAST_SCORE).orderBy(F.desc("score"), "id").limit(k)

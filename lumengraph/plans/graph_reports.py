@@ -63,8 +63,7 @@ def graphrank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graphrank_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by joins, as on a graph too large for the kernel."""
     g = D.load(spark, sf_dir)
-    small = g.nodes.where("kind IN ('Crate', 'File', 'Function')")
-    return G.rank(small, g.edges.where("relation IN ('Contains', 'Imports', 'DependsOn', 'Calls')"), SEEDS, ALPHA, ITERATIONS, kernel_edges=0).select("id", F.round("score", 6).alias("score"))
+    return G.rank(g.nodes, g.edges, SEEDS, ALPHA, ITERATIONS, kernel_size=0).select("id", F.round("score", 6).alias("score"))
 
 
 def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +142,7 @@ ORACLES = {
     "relation_histogram": f"WITH {D.SQL} SELECT relation, count(*) AS n FROM edges GROUP BY relation",
     "known_edges": f"WITH {D.SQL}, k AS (SELECT id FROM nodes WHERE kind <> 'Class') SELECT ord, source, target FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)",
     "graphrank": _rank_sql("true", "true"),
-    "graphrank_joins": _rank_sql("kind IN ('Crate', 'File', 'Function')", "relation IN ('Contains', 'Imports', 'DependsOn', 'Calls')"),
+    "graphrank_joins": _rank_sql("true", "true"),
     "reachable_set": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start=f"'{START}'", kinds="'Imports', 'Contains'", most=12)} SELECT id, min(hops)::INTEGER AS hops FROM w GROUP BY id",
     "three_hop_calls": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start="(SELECT arg_min(id, ord) FROM nodes WHERE kind = 'Function')", kinds="'Calls'", most=3)} SELECT id, min(hops)::INTEGER AS hops FROM w GROUP BY id",
     "shortest_route": f"WITH RECURSIVE {D.SQL}, {_REACH.format(name='w', start=f"'{START}'", kinds="'Imports'", most=12)} SELECT (min(hops) + 1)::BIGINT AS n, '{START}' AS first, 'file:crates/r1/src/n21.rs' AS last FROM w WHERE id = 'file:crates/r1/src/n21.rs'",

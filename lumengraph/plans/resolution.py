@@ -36,7 +36,44 @@ def _package_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.unique_name(_calls(spark, sf_dir), _functions(spark, sf_dir))
+    """Names with one definition anywhere; every third customer's name is its own."""
+    name = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("own_"), F.col("ord") - 10_000)).otherwise(F.col("name"))
+    calls = _calls(spark, sf_dir).withColumn("name", F.when(F.col("tok_ord") % 2 == 0, F.concat(F.lit("own_"), F.col("tok_ord") % 1500)).otherwise(F.col("name")))
+    return resolve.unique_name(calls, _functions(spark, sf_dir).withColumn("name", name))
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods of forty types; some have names that say nothing."""
+    k = F.col("ord") - 10_000
+    return _functions(spark, sf_dir).withColumns({"owner": F.concat(F.lit("T"), k % 40), "name": F.when(k % 6 == 0, "push").otherwise(F.concat(F.lit("m_"), k % 90))})
+
+
+def _method_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, own = table(spark, sf_dir, "orders"), _methods(spark, sf_dir).select("id", "ord", "file", "package", "owner")
+    rows = orders.join(own, F.col("o_custkey") + 10_000 == F.col("ord"))
+    name = F.when(F.col("o_orderkey") % 6 == 0, "push").otherwise(F.concat(F.lit("m_"), F.col("o_orderkey") % 90))
+    return rows.select(F.col("id").alias("caller"), F.col("o_orderkey").alias("tok_ord"), name.alias("name"), "file", "package", "owner", F.concat(F.lit("T"), F.col("o_orderkey") % 40).alias("type"))
+
+
+def method_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`.name`, by the caller's own type, its file, scope and package."""
+    return resolve.resolve(_method_calls(spark, sf_dir).drop("type"), _methods(spark, sf_dir), resolve.method_rules(_imports(spark, sf_dir)))
+
+
+def typed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`Type::name`, by the type in the file, in scope and in the package."""
+    return resolve.resolve(_method_calls(spark, sf_dir).drop("owner").withColumnRenamed("type", "owner"), _methods(spark, sf_dir), resolve.typed_rules(_imports(spark, sf_dir)))
+
+
+def rust_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All token shapes of a file at once: `module::name` and plain names."""
+    fns = _functions(spark, sf_dir).withColumn("owner", F.lit(None).cast("string"))
+    calls = _calls(spark, sf_dir)
+    token = F.when(F.col("tok_ord") % 3 == 0, F.concat(F.lit("n"), F.col("tok_ord") % 25, F.lit("::"), "name")).otherwise(F.col("name"))
+    calls = calls.select("caller", "tok_ord", token.alias("token"), "file", "package", F.lit(None).cast("string").alias("owner"))
+    imports = _imports(spark, sf_dir)
+    modules = imports.select("file", P.module_name(F.col("other_file")).alias("qualifier"), "other_file")
+    return resolve.resolve_rust(calls, fns, imports, _package_deps(spark, sf_dir), modules)
 
 
 def tiered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +131,7 @@ def artifact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifact_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rollup.artifact_users(D.load(spark, sf_dir).edges)
-    return rows.select("artifact", F.concat_ws(";", "writers").alias("writers"), F.size("readers").cast("bigint").alias("n_readers"), "users")
+    return rollup.artifact_users(D.load(spark, sf_dir).edges)
 
 
 def users_top4_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +239,11 @@ c AS (SELECT cl.caller, cl.tok_ord, fn.id AS target, fn.file = cl.file AS t1, fn
 u AS (SELECT caller, tok_ord, target, tier, conf FROM c, LATERAL (VALUES (0, 0.95, t1), (1, 0.90, t2), (2, 0.75, t3), (3, 0.60, t4)) v(tier, conf, ok) WHERE ok),
 w AS (SELECT caller, tok_ord, tier, min(target) AS target, any_value(conf) AS conf FROM u GROUP BY ALL HAVING count(*) = 1),
 res AS (SELECT caller, tok_ord, arg_min(target, tier) AS target, arg_min(conf, tier)::DOUBLE AS confidence FROM w GROUP BY caller, tok_ord)"""
+_FIRST = """u AS (SELECT caller, tok_ord, target, tier, conf FROM c, LATERAL (VALUES {tiers}) v(tier, conf, ok) WHERE ok),
+w AS (SELECT caller, tok_ord, tier, min(target) AS target, any_value(conf) AS conf FROM u GROUP BY ALL HAVING count(*) = 1),
+res AS (SELECT caller, tok_ord, arg_min(target, tier) AS target, arg_min(conf, tier)::DOUBLE AS confidence FROM w GROUP BY caller, tok_ord)"""
+_METHODS = f"""{D.SQL}, {_FN}, {_IMP}, m AS (SELECT id, ord, file, package, 'T' || ((ord - 10000) % 40) AS owner, CASE WHEN (ord - 10000) % 6 = 0 THEN 'push' ELSE 'm_' || ((ord - 10000) % 90) END AS name FROM fn),
+mc AS (SELECT m.id AS caller, o_orderkey AS tok_ord, CASE WHEN o_orderkey % 6 = 0 THEN 'push' ELSE 'm_' || (o_orderkey % 90) END AS name, file, package, owner, 'T' || (o_orderkey % 40) AS type FROM orders JOIN m ON o_custkey + 10000 = m.ord)"""
 _MOD = f"""{D.SQL},
 m AS (SELECT *, split_part(path, '/', 2) AS region, regexp_replace(split_part(path, '/', 4), '\\.[^.]*$', '') AS module, split_part(path, '/', 2) || '/' || regexp_replace(split_part(path, '/', 4), '\\.[^.]*$', '') AS key
       FROM nodes WHERE kind IN ('File', 'Function', 'Class')),
@@ -224,13 +265,22 @@ _STATE = "(SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'done' WHEN t
 QUERIES = {
     f.__name__: f
     for f in (
-        unique_resolution, tiered_calls, call_edges, owner_longest_prefix, module_rollup, module_dependencies_dominant, topk_modules, topk_dependencies, weighted_degree, heaviest_outgoing,
+        unique_resolution, tiered_calls, method_calls, typed_calls, rust_call_edges, call_edges, owner_longest_prefix, module_rollup, module_dependencies_dominant, topk_modules, topk_dependencies, weighted_degree, heaviest_outgoing,
         artifact_ranking, artifact_users, users_top4_hidden, public_api_top4, cross_package_callers, import_degree, merged_links, lines_per_package, role_inference, legend_counts, relation_labels,
         path_normalize, delta_components, delta_connections, incremental_changes, freshness, fnv1a_hash, forget_owner, status_board, status_counts,
     )
 }
 ORACLES = {
-    "unique_resolution": f"WITH {D.SQL}, {_FN}, {_CALLS} SELECT caller, tok_ord, min(fn.id) AS target, 1.0::DOUBLE AS confidence FROM cl JOIN fn USING (name) GROUP BY caller, tok_ord HAVING count(*) = 1",
+    "unique_resolution": f"""WITH {D.SQL}, {_FN}, {_CALLS}, f AS (SELECT id, CASE WHEN ord % 3 = 0 THEN 'own_' || (ord - 10000) ELSE name END AS name FROM fn), c AS (SELECT caller, tok_ord, CASE WHEN tok_ord % 2 = 0 THEN 'own_' || (tok_ord % 1500) ELSE name END AS name FROM cl)
+      SELECT caller, tok_ord, min(f.id) AS target, 1.0::DOUBLE AS confidence FROM c JOIN f USING (name) GROUP BY caller, tok_ord HAVING count(*) = 1""",
+    "method_calls": f"""WITH {_METHODS}, c AS (SELECT mc.caller, mc.tok_ord, m.id AS target, m.file = mc.file AND m.owner = mc.owner AS t1, mc.name <> 'push' AND m.file = mc.file AS t2,
+      mc.name <> 'push' AND (m.file = mc.file OR EXISTS (SELECT 1 FROM imp WHERE imp.file = mc.file AND imp.other = m.file)) AS t3, mc.name <> 'push' AND m.package = mc.package AS t4 FROM mc JOIN m ON m.name = mc.name), {_FIRST.format(tiers="(0, 0.85, t1), (1, 0.70, t2), (2, 0.65, t3), (3, 0.55, t4)")} SELECT * FROM res""",
+    "typed_calls": f"""WITH {_METHODS}, c AS (SELECT mc.caller, mc.tok_ord, m.id AS target, m.file = mc.file AS t1, m.file = mc.file OR EXISTS (SELECT 1 FROM imp WHERE imp.file = mc.file AND imp.other = m.file) AS t2, m.package = mc.package AS t3
+      FROM mc JOIN m ON m.name = mc.name AND m.owner = mc.type), {_FIRST.format(tiers="(0, 0.85, t1), (1, 0.85, t2), (2, 0.85, t3)")} SELECT * FROM res""",
+    "rust_call_edges": f"""WITH {_TIERS.replace("FROM orders JOIN fn f ON o_custkey + 10000 = f.ord", "FROM orders JOIN fn f ON o_custkey + 10000 = f.ord WHERE o_orderkey % 3 <> 0")},
+      mo AS (SELECT f.id AS caller, o_orderkey AS tok_ord, min(t.id) AS target, 0.95::DOUBLE AS confidence FROM orders JOIN fn f ON o_custkey + 10000 = f.ord JOIN imp ON imp.file = f.file AND imp.other LIKE '%/n' || (o_orderkey % 25) || '.rs'
+        JOIN fn t ON t.file = imp.other AND t.name = 'fn_' || (o_orderkey % 1400) WHERE o_orderkey % 3 = 0 GROUP BY ALL HAVING count(*) = 1)
+      SELECT caller AS source, target, arg_min(confidence, tok_ord) AS confidence FROM (SELECT * FROM res UNION ALL SELECT * FROM mo) WHERE caller <> target GROUP BY ALL""",
     "tiered_calls": f"WITH {_TIERS} SELECT * FROM res",
     "call_edges": f"WITH {_TIERS} SELECT caller AS source, target, arg_min(confidence, tok_ord) AS confidence FROM res WHERE caller <> target GROUP BY ALL",
     "owner_longest_prefix": f"WITH {D.SQL}, p AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_max(id, ord) AS package FROM nodes WHERE kind = 'Crate' OR (kind = 'File' AND ord % 2 = 0) GROUP BY 1), f AS (SELECT DISTINCT path FROM nodes WHERE kind IN ('File', 'Function')) SELECT path, arg_max(package, length(dir)) AS package FROM f JOIN p ON starts_with(path, dir || '/') GROUP BY path",
@@ -241,7 +291,7 @@ ORACLES = {
     "weighted_degree": f"WITH {_MOD} SELECT * FROM dg",
     "heaviest_outgoing": f"WITH {_MOD} SELECT \"from\", \"to\", \"count\" FROM (SELECT *, row_number() OVER (PARTITION BY \"from\" ORDER BY \"count\" DESC, \"to\") AS p FROM dp) WHERE p = 1",
     "artifact_ranking": f"WITH {D.SQL}, {_IO} SELECT target AS artifact, bool_or(relation = 'Writes') AND bool_or(relation = 'Reads') AS two_way, count(DISTINCT source) AS users FROM io GROUP BY target ORDER BY two_way DESC, users DESC, artifact LIMIT 10",
-    "artifact_users": f"WITH {D.SQL}, {_IO} SELECT target AS artifact, coalesce(string_agg(DISTINCT source, ';' ORDER BY source) FILTER (WHERE relation = 'Writes'), '') AS writers, count(DISTINCT source) FILTER (WHERE relation = 'Reads') AS n_readers, count(DISTINCT source) AS users FROM io GROUP BY target",
+    "artifact_users": f"WITH {D.SQL}, {_IO} SELECT target AS artifact, source AS \"user\", bool_or(relation = 'Writes') AS writes, bool_or(relation = 'Reads') AS reads FROM io GROUP BY ALL",
     "users_top4_hidden": f"WITH {D.SQL}, {_IO}, u AS (SELECT target AS artifact, source AS \"user\", min(ord) AS ord FROM io GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY ord, \"user\") AS place, greatest(count(*) OVER (PARTITION BY artifact) - 4, 0) AS hidden FROM u) SELECT artifact, place, \"user\", hidden FROM r WHERE place <= 4",
     "public_api_top4": f"WITH {D.SQL}, {_FN}, o AS (SELECT t.package, t.name, count(*) AS callers, min(t.ord) AS ord FROM edges e JOIN fn s ON e.source = s.id JOIN fn t ON e.target = t.id WHERE e.relation = 'Calls' AND t.is_pub AND s.package <> t.package GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY callers DESC, ord) AS place FROM o) SELECT package, place, name, callers FROM r WHERE place <= 4",
     "cross_package_callers": f"WITH {D.SQL}, {_FN} SELECT e.target, arg_min(e.source, e.ord) AS source, min(e.ord) AS ord FROM edges e JOIN fn s ON e.source = s.id JOIN fn t ON e.target = t.id WHERE e.relation = 'Calls' AND s.package <> t.package GROUP BY e.target ORDER BY 3 LIMIT 10",

@@ -104,3 +104,22 @@ def to_json(rows: DataFrame, counts: DataFrame) -> DataFrame:
     states = [*L.STATUS_WORDS, L.UNREADABLE]
     body = F.struct("schema_valid", "green", F.struct("goals", *states).alias("counts"), "list")
     return counts.join(listed, "path", "left").select("path", F.to_json(body).alias("json"))
+
+
+def report(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """One text per board: head, counts, the goals with their states, and those that could not be read."""
+    states = [*L.STATUS_WORDS, L.UNREADABLE]
+    line = F.concat(F.lit("  "), F.rpad("state", 11, " "), F.rpad("id", 6, " "), F.lit(" "), F.col("name"))
+    unread = F.when(F.col("state") == L.UNREADABLE, F.concat(F.lit("  "), F.rpad("id", 6, " "), F.lit(" status word: "), F.coalesce("status_word", F.lit("<none>"))))
+    per = rows.groupBy("path").agg(
+        F.first("board_schema").alias("schema"), F.first("mission").alias("mission"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", line.alias("line"), unread.alias("unread"))))).alias("list"),
+    )
+    shown = counts.join(per, "path")
+    head = F.concat(F.lit("goal board: "), F.col("path"))
+    schema = F.when(F.col("schema").isNotNull(), F.concat(F.lit("schema: "), "schema", F.when(F.col("schema_valid"), "").otherwise(" (unknown: never green)")))
+    mission = F.when(F.col("mission").isNotNull(), F.concat(F.lit("mission: "), "mission"))
+    told = F.concat(F.format_string("goals: %d (" + " · ".join(f"%d {s}" for s in states) + ")", "goals", *states))
+    lost = F.transform(F.filter("list", lambda x: x["unread"].isNotNull()), lambda x: x["unread"])
+    more = F.when(F.size(lost) > 0, F.concat(F.format_string("\nunreadable, never green: %d\n", F.size(lost)), F.concat_ws("\n", lost)))
+    return shown.select("path", F.concat_ws("\n", head, schema, mission, told, F.lit(""), F.concat_ws("\n", F.transform("list", lambda x: x["line"])), more).alias("report"))

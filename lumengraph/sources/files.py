@@ -54,8 +54,12 @@ def language(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length, content) of the supported files below `root`, paths relative to it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(path, modificationTime, length, content) of the supported files below `root`, paths relative to it.
+
+    A file that is gone or cannot be read when its turn comes is left out.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    rows = reader.load(root)
     base = str(PurePosixPath(root.replace("file:", "", 1)))
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "")
     rows = rows.withColumn("path", relative)
@@ -73,11 +77,6 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
-def file_nodes(texts: DataFrame) -> DataFrame:
-    """File nodes: 4,000 characters to search, 8,000 to show."""
-    return texts.select(F.concat(F.lit("file:"), "path").alias("id"), "path", P.file_name(F.col("path")).alias("name"), F.lit("File").alias("kind"), F.substring("text", 1, 4000).alias("search_body"), F.substring("text", 1, 8000).alias("file_residual"))
-
-
 def save(tables: dict[str, DataFrame], root: str) -> None:
     """Tables as Parquet below one folder, and their format version beside them."""
     for name, df in tables.items():

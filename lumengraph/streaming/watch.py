@@ -56,8 +56,8 @@ def watch(spark: SparkSession, root: str, store: str, seconds: int = 5) -> Strea
     return ticks.writeStream.foreachBatch(round_).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def hash_state(stream: DataFrame) -> DataFrame:
-    """(path, hash, change) of a stream of (path, hash): each path's last hash, in micro-batch state."""
+def last_hashes(stream: DataFrame) -> DataFrame:
+    """(path, hash) of a stream of (path, hash, modificationTime): each path's last hash, held in micro-batch state."""
     return stream.groupBy("path").agg(F.max_by("hash", "modificationTime").alias("hash"))
 
 

@@ -5,6 +5,7 @@ import time
 
 from lumengraph import engine as E
 from lumengraph.sources import files
+from lumengraph.streaming import watch as W
 
 
 def write(root, path, text):
@@ -42,6 +43,50 @@ def test_index_ask_and_change(spark, tmp_path):
     assert "crates/core/src/db.rs:renamed" in ids and "crates/core/src/db.rs:open_store" not in ids and not any("Cargo.toml" in i for i in ids)
 
 
+def test_packages_pictures_and_reports(spark, tmp_path):
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    write(root, "Cargo.toml", '[workspace]\n[workspace.dependencies]\ncore-lib = { path = "crates/core" }\n')
+    write(root, "crates/core/Cargo.toml", '[package]\nname = "core-lib"\n')
+    write(root, "crates/core/src/lib.rs", "pub mod db;\npub fn start() { open_all(); }\nfn open_all() {}\n")
+    write(root, "crates/core/src/db.rs", "pub fn only_here() {}\n")
+    write(root, "crates/app/Cargo.toml", '[package]\nname = "app"\n[dependencies]\ncore-lib = { path = "../core" }\nfar = { path = "../../../other/far", optional = true }\n[dev-dependencies]\nx = { path = "../x" }\n')
+    write(root, "crates/app/src/main.rs", "use core_lib::start;\nfn main() { start(); only_here(); }\n")
+    write(root, ".harness/hedefler.json", '{"schema": "goals/1", "features": [{"id": "A", "status": "done"}]}')
+    engine = E.Engine(spark, str(root), store)
+    engine.index()
+    nodes, edges = engine.graph()
+    links = {(r.source, r.target, r.relation): r.confidence for r in edges.collect()}
+    app, core = "crates/app/Cargo.toml:app", "crates/core/Cargo.toml:core-lib"
+    assert links[app, core, "DependsOn"] == 1.0 and links[app, "ext:other/far", "DependsOn"] == 0.5
+    assert engine.node("ext:other/far").first().kind == "ExternalCrate"
+    # By scope, and by what a direct dependency makes public.
+    assert abs(links["crates/app/src/main.rs:main", "crates/core/src/lib.rs:start", "Calls"] - 0.90) < 1e-6
+    assert abs(links["crates/app/src/main.rs:main", "crates/core/src/db.rs:only_here", "Calls"] - 0.60) < 1e-6
+    record = engine.diagram()
+    assert {c["id"]: c["role"] for c in record["components"]} == {"app": "Frontend", "core-lib": "Backend", "ext:other/far": "External"}
+    assert {(x["from"], x["to"], x["line_style"], x["weight"]) for x in record["connections"]} == {("app", "core-lib", "", 1), ("app", "ext:other/far", "dashed", 0)}
+    assert [b["nodes"] for b in engine.tour(record)] == [["app"], ["core-lib"], ["ext:other/far"]] and len(record["regions"]) == 2
+    assert {c["label"] for c in engine.diagram(package="core-lib")["components"]} == {"lib", "db"} and engine.diagram(package="none") is None
+    assert engine.diagram("dataflow")["components"] and engine.diagram("sequence")["messages"][0]["to"] == "crates/core/src/lib.rs:start"
+    path, size = engine.render(str(tmp_path / "a.svg"))
+    assert (tmp_path / "a.svg").read_text().startswith("<svg") and (tmp_path / "a.svg").stat().st_size == size
+    page, _ = engine.render(str(tmp_path / "s.html"), "sequence")
+    assert "<svg" in open(page).read()
+    assert engine.declarations("ONLY_HERE", True).first().refs >= 1
+    assert engine.write_wiring(str(tmp_path / "w")) == (tmp_path / "w").stat().st_size
+    assert {r.what for r in engine.stats().collect()} == {"node", "edge", "language"}
+    assert engine.board_lines().first().line.startswith("1 goals · 1 done") and '"green":true' in engine.board_json().first().json and "done" in engine.board_report().first().report
+
+
+def test_last_hashes_of_a_stream(spark, tmp_path):
+    source = spark.createDataFrame([("a", 1, 1), ("a", 2, 5), ("b", 3, 2)], "path string, hash bigint, modificationTime int")
+    source.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    query = W.last_hashes(stream).writeStream.outputMode("complete").format("memory").queryName("hashes").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {tuple(r) for r in spark.table("hashes").collect()} == {("a", 2), ("b", 3)}
+
+
 def test_requests(spark, tmp_path):
     engine = E.Engine(spark, str(tmp_path), str(tmp_path / "none"))
     ask = lambda **r: json.loads(E.answer(engine, json.dumps(r)))
