@@ -29,8 +29,8 @@ BAND = (0.002, 0.1)
 #: The lexicon holds at most (mean distinct terms of a document) / BAND[0] terms whatever the
 #: corpus size. It is counted; up to this many terms it is held as a constant, beyond it is joined.
 HELD_TERMS = 400_000
-#: Groups of neighbouring ids; each is one sort group of the next-document window.
-RANGES = 1024
+#: Groups of neighbouring ids, each one sort group of the next-document window: one for so many rows, within these bounds.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 20_000, 1024, 65_536
 #: What a subset that leaves no term hashes to: the start of MD5 of the empty string.
 EMPTY = "d41d8cd9"
 
@@ -86,21 +86,23 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(docs: DataFrame) -> list[int]:
-    """Up to RANGES upper ends of id ranges, each an id that occurs; the last is the largest id."""
-    steps = [i / RANGES for i in range(1, RANGES)]
-    row = docs.agg(F.percentile_approx("doc_id", steps, 10_000).alias("p"), F.max("doc_id").alias("m")).first()
+    """Upper ends of id ranges, each an id that occurs; the last is the largest id. The more rows, the more ranges."""
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, docs.count() // RANGE_ROWS))
+    steps = [i / ranges for i in range(1, ranges)]
+    row = docs.agg(F.percentile_approx("doc_id", steps, 10 * ranges).alias("p"), F.max("doc_id").alias("m")).first()
     return sorted({*(row.p or []), row.m}) if row.m is not None else []
 
 
-def _place(ends: list[int]) -> Column:
-    """Number of the range an id lies in: two short steps instead of a scan of all ends."""
+def _place(ends: list[int]) -> tuple[Column, Column]:
+    """Number of the range an id lies in, and whether the id is its end: two short steps instead of a scan of all ends."""
     step = max(1, math.isqrt(len(ends)))
     rows = [ends[i : i + step] for i in range(0, len(ends), step)]
     tops = F.array(*[F.lit(r[-1]).cast("bigint") for r in rows])
     inner = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in r]) for r in rows])
     block = F.size(F.filter(tops, lambda e: e < F.col("doc_id")))
-    inside = F.size(F.filter(F.element_at(inner, F.least(block + 1, F.lit(len(rows)))), lambda e: e < F.col("doc_id")))
-    return F.coalesce(block * step + inside, F.lit(0))
+    own = F.element_at(inner, F.least(block + 1, F.lit(len(rows))))
+    inside = F.size(F.filter(own, lambda e: e < F.col("doc_id")))
+    return F.coalesce(block * step + inside, F.lit(0)), F.coalesce(F.get(own, inside) == F.col("doc_id"), F.lit(False))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -115,8 +117,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     if not ends:
         placed = docs.select(F.explode(F.array(F.struct(F.lit(0).alias("range"), F.lit(False).alias("extra")), F.struct(F.lit(0).alias("range"), F.lit(True).alias("extra")))).alias("at"), "*")
     else:
-        at = docs.withColumn("own", _place(ends))
-        is_end = F.col("doc_id").isin(ends) if len(ends) <= 8 else F.array_contains(F.array(*[F.lit(e).cast("bigint") for e in ends]), F.col("doc_id"))
+        place, is_end = _place(ends)
+        at = docs.withColumn("own", place)
         last = len(ends) - 1
         own = F.struct(F.col("own").alias("range"), F.lit(False).alias("extra"))
         follow = F.when(is_end, F.struct(F.when(F.col("own") == last, F.lit(0)).otherwise(F.col("own") + 1).alias("range"), F.lit(True).alias("extra")))
