@@ -37,18 +37,26 @@ def term_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
-    """A reusable index; store the four tables and read them back to serve many queries."""
+    """An index over texts, computed where it is used; `stored` writes it to serve many queries."""
     rows = tokenized(docs, id_col, text_col)
     postings = term_frequencies(rows)
     lengths = rows.select("id", F.size("tokens").alias("length"))
     return Index(
         postings,
         lengths,
-        postings.groupBy("term").agg(F.count("*").alias("df")),
+        # One row per document and term leaves a task as one row per term.
+        rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
         lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")),
     )
 
 
+def stored(index: Index) -> Index:
+    """The same index from written tables: texts are cut once for all queries to come."""
+    postings, lengths = durable(index.postings, "postings"), durable(index.lengths, "lengths")
+    frequencies = durable(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    return Index(postings, lengths, frequencies, lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")))
+
+
 def weight(tf: Column, df: Column, length: Column, documents: Column, mean: Column) -> Column:
     """BM25 weight of a term in a document; the mean length is floored at 1 in the ratio."""
     idf = F.log((documents - df + 0.5) / (df + 0.5) + 1)

@@ -42,8 +42,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same hits by way of the stored index tables."""
-    index = search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """The same hits by way of an index that is written first."""
+    index = search.stored(search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text"))
     hits = search.bm25_indexed(index, search.query_terms(spark, QUERY), TOP)
     return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 

@@ -66,6 +66,22 @@ def test_rank(spark):
     assert {round(r.score, 4) for r in graph.rank(n, e, [("nobody", 1.0)]).collect()} == {0.3333}
 
 
+def test_rank_by_joins_equals_the_kernel(spark):
+    import random
+
+    rng = random.Random(7)
+    n = nodes(spark, [(f"n{k}", "p", f"n{k}", "Function") for k in range(60)])
+    e = edges(spark, [(f"n{rng.randrange(60)}", f"n{rng.randrange(50)}", "Calls", 1.0) for _ in range(150)])
+    one, many = ({r.id: r.score for r in graph.rank(n, e, [("n1", 2.0), ("n2", 1.0)], 0.25, 8, size).collect()} for size in (10**6, 0))
+    assert set(one) == set(many) and all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
+def test_grep_anchors(spark):
+    docs = spark.createDataFrame([(1, "a foo\nbar"), (2, "foo x")], "i bigint, t string")
+    assert {(r.id, r.line_no) for r in grep.grep(docs, "i", "t", r"foo\z").collect()} == {(1, 1)}
+    assert {(r.id, r.line_no) for r in grep.grep(docs, "i", "t", r"\A(foo|bar)").collect()} == {(1, 2), (2, 1)}
+
+
 def test_paths_of_the_graph(spark):
     n = nodes(spark, [(x, "p", x, "File") for x in ("ui", "api", "db", "isolated")])
     e = edges(spark, [("ui", "api", "Calls", 1.0), ("api", "db", "Calls", 1.0), ("db", "ui", "Calls", 1.0)])
