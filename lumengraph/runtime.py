@@ -31,22 +31,40 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{paths}:{root}".strip(":")
 
 
+#: Folders of intermediate tables that this process has written and not discarded, oldest first.
+_written: list[str] = []
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a recomputation. The folder goes
-    when the session's JVM ends.
+    when it is discarded, or when the session's JVM ends.
     """
     spark = df.sparkSession
     prepare(spark)
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The folders of intermediate tables so far."""
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _written.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables by name."""
     prepare(spark)

@@ -27,8 +27,8 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     box = F.concat(F.lit("crates/r"), F.col("n_regionkey"))
     files = nation.select(F.col("n_nationkey").alias("n"), F.concat(box, F.lit("/src/n"), "n_nationkey", F.lit(".rs")).alias("path"))
     fn = F.concat(F.lit("fn_"), F.col("c_custkey") % 700)
-    functions = customer.join(F.broadcast(files), F.col("c_nationkey") == F.col("n")).select("c_custkey", "path", fn.alias("name"), F.concat("path", F.lit(":"), fn, F.lit("#"), "c_custkey").alias("id"))  # 25 nations
-    classes = supplier.join(F.broadcast(files), F.col("s_nationkey") == F.col("n")).select("s_suppkey", "path", F.col("s_name").alias("name"), F.concat("path", F.lit(":"), "s_name").alias("id"))
+    functions = customer.join(files, F.col("c_nationkey") == F.col("n")).select("c_custkey", "path", fn.alias("name"), F.concat("path", F.lit(":"), fn, F.lit("#"), "c_custkey").alias("id"))
+    classes = supplier.join(files, F.col("s_nationkey") == F.col("n")).select("s_suppkey", "path", F.col("s_name").alias("name"), F.concat("path", F.lit(":"), "s_name").alias("id"))
     data = F.concat(F.lit("artifact:part"), F.col("p_partkey"), F.lit(".csv"))
     package = lambda k: F.concat(F.lit("crates/r"), k, F.lit("/Cargo.toml:r"), k)
     node = lambda df, n, i, p, name, kind: df.select(n.cast("bigint").alias("ord"), i.alias("id"), p.alias("path"), name.alias("name"), F.lit(kind).alias("kind"))
@@ -42,7 +42,8 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     )
     edge = lambda df, n, s, t, relation, c=1.0: df.select(n.cast("bigint").alias("ord"), s.alias("source"), t.alias("target"), F.lit(relation).alias("relation"), F.lit(c).alias("confidence"))
     to = files.select(F.col("n").alias("m"), F.col("path").alias("other"))
-    imports = files.join(to, (F.col("m") == (F.col("n") + 7) % 25) | (F.col("m") == (F.col("n") * 3 + 1) % 25)).where("n <> m")
+    meant = F.explode(F.array_distinct(F.array((F.col("n") + 7) % 25, (F.col("n") * 3 + 1) % 25))).alias("m")
+    imports = files.select("n", "path", meant).join(to, "m").where("n <> m")
     caller = functions.select(F.col("c_custkey").alias("a"), F.col("id").alias("source"))
     callee = functions.select(F.col("c_custkey").alias("b"), F.col("id").alias("target"))
     calls = orders.join(caller, F.col("o_custkey") == F.col("a")).join(callee, F.col("o_orderkey") % 1000 + 1 == F.col("b"))
