@@ -7,6 +7,13 @@
 5. best-fit packing: what is left is cut and packed into sequences of 2048 ids.
 
 All stages but the last return the columns of documents.
+
+Odd rows: a null or empty text, or one without letters, goes in the first stage; null and repeated ids
+and exactly repeated rows are documents like any other until the second stage keeps one of each class
+of near copies (the smallest id, a null one last, one row of those); null sources are a source of
+their own in the fourth; a null language or count, and very long texts, pass whole. Other columns
+pass untouched, but for `n_chars`, which is counted anew where secrets go. An empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumengraph.llm import language_id, mixing, ngram_join, packing, secrets
-from lumengraph.runtime import durable, prepare, table
+from lumengraph.runtime import discard, durable, prepare, table, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; what a stage has written goes as soon as its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), set(written())
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
+        discard(spark, [path for path in written()[:-1] if path not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
