@@ -228,6 +228,11 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         (4, 'c', 'd'),
         (5, 'x', 'b'),
     ]),
+    "sequence_messages": ("place INTEGER, caller VARCHAR, callee VARCHAR, action VARCHAR, later BOOLEAN", [
+        (1, 'x/main.rs:main', 'x/b.rs:b', 'calls b()', False),
+        (2, 'x/b.rs:b', 'x/c.rs:c', 'calls c()', True),
+        (3, 'x/c.rs:c', 'x/d.rs:d', 'calls d()', False),
+    ]),
     "package_tour": ("step INTEGER, title VARCHAR, description VARCHAR, nodes VARCHAR", [
         (1, '1. Entry points', 'Crates the user starts: cli. cli → core (uses ×3).', 'cli'),
         (2, '2. Core', 'What the other crates stand on: core. core → store (uses ×2). Public API: open, close.', 'core'),

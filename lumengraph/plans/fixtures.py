@@ -196,6 +196,16 @@ def call_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(diagrams.call_messages("main", calls), 1)], "place int, caller string, callee string")
 
 
+def sequence_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two roots the one in main.rs; three steps deep; a later call is marked."""
+    known = [("x/main.rs", "main", ""), ("y/other.rs", "main", ""), ("x/b.rs", "b", ""), ("x/c.rs", "c", "async fn c()"), ("x/d.rs", "d", ""), ("x/e.rs", "e", "")]
+    nodes = spark.createDataFrame([(k, f"{path}:{name}", path, name, "Function", body) for k, (path, name, body) in enumerate(known)], "ord bigint, id string, path string, name string, kind string, search_body string")
+    calls = [("x/main.rs:main", "x/b.rs:b"), ("x/b.rs:b", "x/c.rs:c"), ("x/c.rs:c", "x/d.rs:d"), ("x/d.rs:d", "x/e.rs:e"), ("y/other.rs:main", "x/e.rs:e"), ("y/other.rs:main", "x/d.rs:d")]
+    edges = spark.createDataFrame([(k, a, b, "Calls") for k, (a, b) in enumerate(calls)], "ord bigint, source string, target string, relation string")
+    rows = diagrams.sequence(nodes, edges, "main")["messages"]
+    return spark.createDataFrame([(m["order"], m["from"], m["to"], m["action"], m["is_async"]) for m in rows], "place int, caller string, callee string, action string, later boolean")
+
+
 BOXES = [
     {"key": "cli", "id": "cli", "label": "cli", "external": False, "bin": True, "role": "Frontend", "lines": 100, "api": []},
     {"key": "core", "id": "core", "label": "core", "external": False, "bin": False, "role": "Backend", "lines": 900, "api": ["open", "close"]},
@@ -256,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extracted_nodes, extracted_facts, extracted_imports, ecosystem, test_paths, script_imports, python_imports, python_bindings, go_imports, java_imports, c_imports, rust_imports, other_language_calls, artifact_flow,
-        path_rules, shared_prefix, layered, longest_paths, call_messages, package_tour, module_tour, auto_tour, board_report, board_json, board_line,
+        path_rules, shared_prefix, layered, longest_paths, call_messages, sequence_messages, package_tour, module_tour, auto_tour, board_report, board_json, board_line,
     )
 }
 ORACLES = {name: fixture_rows.sql(name) for name in fixture_rows.ROWS}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumengraph.functions import display as V
 from lumengraph.functions import labels as L
 from lumengraph.operators import diagrams, extract
+from lumengraph.plans.resolution import _MOD
 from lumengraph.runtime import table
 from lumengraph.sources import board, files
 from lumengraph.sources import driver_graph as D
@@ -37,6 +38,35 @@ def sequence_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record(spark, diagrams.sequence(g.nodes, g.edges, "fn_12"))
 
 
+def architecture_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of the record."""
+    g = D.load(spark, sf_dir)
+    rows = diagrams.architecture(g.nodes, g.edges)["components"]
+    return spark.createDataFrame([(c["id"], c["label"], c["region"], c["role"], c["sublabel"]) for c in rows], "id string, label string, region string, role string, sublabel string")
+
+
+def architecture_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the record, the heaviest sixty."""
+    g = D.load(spark, sf_dir)
+    rows = diagrams.architecture(g.nodes, g.edges)["connections"]
+    return spark.createDataFrame([(x["from"], x["to"], x["label"], x["weight"]) for x in rows], "`from` string, `to` string, label string, weight bigint")
+
+
+def dataflow_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the data-flow record shows, and how many users it leaves out."""
+    record = diagrams.dataflow(D.load(spark, sf_dir).edges)
+    rows = [(x["from"], x["to"], x["kind"], record["hidden"].get(x["from"], record["hidden"].get(x["to"]))) for x in record["pipelines"]]
+    return spark.createDataFrame(rows, "`from` string, `to` string, kind string, hidden bigint")
+
+
+def delta_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and links of two records, by what became of them; the later one has no classes."""
+    g = D.load(spark, sf_dir)
+    made = diagrams.difference(diagrams.architecture(g.nodes, g.edges), diagrams.architecture(g.nodes.where("kind <> 'Class'"), g.edges), spark)
+    rows = [("component", c["id"], c["status"]) for c in made["components"]] + [("link", f"{x['from']} {x['to']}", x["status"]) for x in made["connections"]]
+    return spark.createDataFrame(rows, "what string, name string, status string")
+
+
 def delta_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = D.load(spark, sf_dir)
     one, two = (diagrams.architecture(g.nodes.where(f"kind <> '{k}'"), g.edges) for k in ("Class", "Crate"))
@@ -99,9 +129,21 @@ _LE = "CASE WHEN {n} < 251 THEN printf('%02X', {n}) WHEN {n} < 65536 THEN 'FB' |
 
 QUERIES = {
     f.__name__: f
-    for f in (architecture_ir, architecture_svg, dataflow_ir, sequence_ir, delta_ir, source_rows, supported_files, board_goals, text_fit, markup, wiring_record, event_windows, uses_labels)
+    for f in (architecture_components, architecture_links, dataflow_pipelines, delta_statuses, architecture_ir, architecture_svg, dataflow_ir, sequence_ir, delta_ir, source_rows, supported_files, board_goals, text_fit, markup, wiring_record, event_windows, uses_labels)
 }
+_TOP = 'SELECT "from", "to", label, weight FROM ln'
+_LINKS = f"""{_MOD}, ln AS (SELECT "from", "to", CASE dominant WHEN 'Calls' THEN 'calls' WHEN 'Imports' THEN 'imports' ELSE dominant END || ' ×' || "count" AS label, "count" AS weight FROM dp ORDER BY "count" DESC, "from", "to" LIMIT 60)"""
 ORACLES = {
+    "architecture_components": f"WITH {_MOD} SELECT key AS id, module AS label, region, 'Backend' AS role, files || ' files · ' || symbols || ' symbols' AS sublabel FROM ms",
+    "architecture_links": f"WITH {_LINKS} {_TOP}",
+    "dataflow_pipelines": f"""WITH {D.SQL}, io AS (SELECT * FROM edges WHERE relation IN ('Writes', 'Reads')),
+      t AS (SELECT target AS artifact FROM io GROUP BY target ORDER BY bool_or(relation = 'Writes') AND bool_or(relation = 'Reads') DESC, count(DISTINCT source) DESC, target LIMIT 10),
+      u AS (SELECT target AS artifact, source AS who, min(ord) AS ord FROM io GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY ord, who) AS place, greatest(count(*) OVER (PARTITION BY artifact) - 4, 0) AS hidden FROM u)
+      SELECT CASE relation WHEN 'Writes' THEN who ELSE artifact END AS "from", CASE relation WHEN 'Writes' THEN artifact ELSE who END AS "to", CASE relation WHEN 'Writes' THEN 'write' ELSE 'read' END AS kind, hidden
+      FROM r JOIN t USING (artifact) JOIN (SELECT DISTINCT target, source, relation FROM io) i ON i.target = artifact AND i.source = who WHERE place <= 4""",
+    "delta_statuses": f"""WITH {_LINKS}, c AS (SELECT key, count(*) FILTER (WHERE kind = 'Class') AS classes FROM m GROUP BY key)
+      SELECT 'component' AS what, key AS name, CASE WHEN classes > 0 THEN 'Modified' ELSE 'Unchanged' END AS status FROM c UNION ALL SELECT 'link', "from" || ' ' || "to", 'Unchanged' FROM ln""",
     "source_rows": """WITH p AS (SELECT p_partkey AS k, 'src/p' || p_partkey || '.rs' AS path FROM part)
       SELECT path, 'node' AS tag, 'file:' || path AS id, 'File' AS kind, NULL AS value, NULL::INTEGER AS start_line, NULL::INTEGER AS end_line FROM p
       UNION ALL SELECT path, 'node', path || ':run_' || k, 'Function', NULL, 1, 3 FROM p
