@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,22 @@ THRESHOLD = 0.7
 _BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
-def slots(word: str) -> tuple[int, ...]:
-    """Slots of a word and of its beginnings."""
-    parts = [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
-    return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % SLOTS for p in parts)
+def slot(term: str) -> int:
+    return zlib.crc32(term.encode()) % SLOTS
+
+
+def slots(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word's place, slot) of each distinct word and of its beginnings; the empty word has none."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    whole = np.flatnonzero(sizes > 0)
+    place, found = [whole], [np.fromiter(map(slot, words.take(pa.array(whole)).to_pylist()), np.int64, len(whole))]
+    for k in (4, 5):
+        longer = np.flatnonzero(sizes > k)
+        cut = pc.utf8_slice_codeunits(words.take(pa.array(longer)), 0, k).dictionary_encode()
+        own = np.fromiter((slot(f"{p}*") for p in cut.dictionary.to_pylist()), np.int64, len(cut.dictionary))
+        place.append(longer)
+        found.append(own[cut.indices.to_numpy(zero_copy_only=False)])
+    return np.concatenate(place), np.concatenate(found)
 
 
 @dataclass
@@ -58,6 +71,13 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    @cached_property
+    def columns(self) -> np.ndarray:
+        """Row of weights of every slot, -1 for those not held."""
+        at = np.full(SLOTS, -1, np.int64)
+        at[list(self.column)] = list(self.column.values())
+        return at
+
     def score(self, columns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Scores of texts that hold these rows of weights, each text's in a row."""
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -68,26 +88,33 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def held(texts: pa.Array, known: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct slots of each text, one text after the other, and how many it has; `known`: only its slots, as what it gives for them."""
+def held(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct slots of each text, one text after the other, and how many it has.
+
+    known: what stands for each slot instead, slots of -1 being left out.
+    """
     lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _BETWEEN)
     coded = lists.flatten().dictionary_encode()
-    words = [slots(w) if w else () for w in coded.dictionary.to_pylist()]
+    place, own = slots(coded.dictionary)
     if known is not None:
-        words = [tuple(known[s] for s in own if s in known) for own in words]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((s for own in words for s in own), np.int64, int(sizes.sum()))
+        own = known[own]
+        place, own = place[own >= 0], own[own >= 0]
+    order = np.argsort(place, kind="stable")
+    own, sizes = own[order], np.bincount(place, minlength=len(coded.dictionary))
+    firsts = np.cumsum(sizes) - sizes
     at = coded.indices.to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = sizes[at] > 0
+    doc, at = doc[some], at[some]
     # A text's distinct words first: repeats are most of a text.
-    pairs = np.unique(doc * np.int64(max(1, len(words))) + at)
-    doc, at = pairs // max(1, len(words)), pairs % max(1, len(words))
+    wide = np.int64(max(1, len(sizes)))
+    pairs = np.unique(doc * wide + at)
+    doc, at = pairs // wide, pairs % wide
     runs = sizes[at]
     ends = np.cumsum(runs)
-    own = flat[np.repeat(np.cumsum(sizes)[at] - sizes[at] - (ends - runs), runs) + np.arange(int(runs.sum()))]
-    wide = max(SLOTS, MOST_SLOTS)
-    both = np.unique(np.repeat(doc, runs) * np.int64(wide) + own)
-    return both % wide, np.bincount(both // wide, minlength=len(lists))
+    slot_of = own[np.repeat(firsts[at] - (ends - runs), runs) + np.arange(int(runs.sum()))]
+    both = np.unique(np.repeat(doc, runs) * np.int64(SLOTS) + slot_of)
+    return both % SLOTS, np.bincount(both // SLOTS, minlength=len(lists))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Ma
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """`keep` columns of docs with `score`, from `text` alone."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most MOST_SLOTS rows
-    return arrow.appended(docs, keep, "score double", lambda: lambda texts: [sent.value.score(*held(pa.array(texts, pa.string()), sent.value.column))])
+    return arrow.appended(docs, keep, "score double", lambda: lambda texts: [sent.value.score(*held(pa.array(texts, pa.string()), sent.value.columns))])
 
 
 def op9_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def test_toxicity_equals_brute_force(spark):
     rows = [(k, " ".join(rng.choices(words, k=12)) + (" awful idiot" if k % 3 == 0 else ""), "en", "a") for k in range(400)]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(400)], "doc_id bigint, label int")
     machine = toxicity.train(docs(spark, rows), labels)
-    own = {d: sorted({s for w in set(t.split()) for s in toxicity.slots(w)}) for d, t, *_ in rows}
+    own = {d: sorted({toxicity.slot(x) for w in set(t.split()) for x in (w, *(f"{w[:k]}*" for k in (4, 5) if len(w) > k))}) for d, t, *_ in rows}
     whole = toxicity.fit(sorted(((int(d % 3 == 0), np.array(s, "<i4")) for d, s in own.items()), key=lambda r: (r[0], r[1].tobytes())))
     assert set(machine.column) == set(whole.column)
     got = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows), machine, ["doc_id"]).collect()}
