@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fingerprints", "secrets", "url_rules", "embedding_join", "ngram_join", "packing", "language_id", "mixing", "toxicity", "chat")
+MODULES = ("fingerprints", "secrets", "url_rules", "embedding_join", "ngram_join", "packing", "language_id", "mixing", "toxicity", "chat", "fill_middle", "collocations", "token_counts")
 
 
 def _merged(name: str) -> dict:
