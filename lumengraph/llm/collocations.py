@@ -1,12 +1,12 @@
 """Phrase collocations by hierarchical pair naming.
 
 Texts become blocks: the words of some texts of one language as one row of local numbers, with a 0
-wherever a piece ends, beside the block's own dictionary (local number, word, count). From there on
-every level does the same. Dictionary entries are counted over all blocks; those that occur often
-enough get a global name; the blocks learn the names of their entries by a join on the entry; and
-each pair of adjacent named entries becomes an entry of the next level, (left name, right name). A
-phrase of k words is so the pair of its two overlapping phrases of k - 1 words, and a place whose
-phrase is rare breaks the row, as no longer phrase there can be frequent.
+wherever a piece ends, beside the block's own dictionary. The words that occur often enough over all
+blocks get global names, and the blocks learn the names of theirs by a join on the word. From there
+on every level does the same: two adjacent frequent phrases of k - 1 words, which overlap in all but
+two, are a pair, numbered within the block, counted over all blocks and, if it is frequent, named
+by a join of its halves with the names of the level before. A place whose phrase is rare breaks the
+row, as no longer phrase there can be frequent.
 
 The pair that a name stands for is also its pointer to both parents. Following left pointers gives
 the counts of a phrase's beginnings, right pointers those of its ends, which is all that the cuts
@@ -14,9 +14,10 @@ need; followed from the longer phrase, they tell what it takes up. As a phrase i
 as any phrase that holds it, what some longer phrase takes up is taken up by one that is a word longer.
 
 A block's rows are bounded by `BLOCK` bytes of text: longer texts are cut where a piece ends (only a
-piece that is longer itself stays whole). What is shuffled is a row per block and distinct entry.
-Entries that cannot be frequent are kept away from the join by a bit map of fixed size over the
-hashes of the frequent ones; a false hit is dropped by the join itself.
+piece that is longer itself stays whole). What is shuffled is a row per block and distinct entry, once
+a level. From two words on the names needn't go back to the blocks: which of their phrases may be
+frequent they see from a bit map of fixed size over the hashes of the frequent ones. A false hit makes
+an entry that cannot reach the least count, as it holds a rarer phrase, or that the join drops.
 
 Edge cases: a null text is empty; a null language is `und`. Repeated rows count each. Ids and other
 columns are not read. Counts are exact integers, scores are cut down from exact quotients of decimals.
@@ -48,7 +49,7 @@ _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _KIND[list(b" \t")] = 1
 
 _ROW = "block bigint, seq binary, code int, lang string, word string, n bigint"
-_PAIR = "block bigint, seq binary, code int, l bigint, r bigint, n bigint"
+_BLOCK = "block bigint, seq binary, ids binary"
 
 
 def _packed(seq: np.ndarray) -> bytes:
@@ -123,91 +124,128 @@ def _blocks(size: int):  # noqa: ANN202
                 for data in _parts(some, size):
                     seq, words, counts = _encoded(data)
                     if len(words):
-                        yield _batch(block, lang, seq, {"word": words.cast(pa.string())}, counts, _ROW)
+                        yield _batch(block, lang, seq, words.cast(pa.string()), counts)
                         block += 1
 
     return run
 
 
-def _batch(block: int, lang: str | None, seq: np.ndarray, entry: dict[str, pa.Array], counts: np.ndarray, ddl: str) -> pa.RecordBatch:
-    """A block's own row and its entries in one batch."""
+def _batch(block: int, lang: str, seq: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """A block's own row and those of its words."""
     size = len(counts)
-    columns = {
-        "block": pa.array(np.full(size + 1, block)),
-        "seq": pa.array([_packed(seq)] + [None] * size, pa.binary()),
-        "code": pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(1, size + 1), pa.int32())]),
-        "lang": pa.array([lang] * (size + 1), pa.string()),
-        "n": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
-    } | {name: pa.concat_arrays([pa.nulls(1, values.type), values]) for name, values in entry.items()}
-    names = [field.split(" ")[0] for field in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-
-def _paired(own: pa.Table, named: pa.Table) -> pa.Table:
-    """A block of the level before (block, seq) and the names (block, code, id) of its entries: the block of pairs."""
+    columns = [
+        pa.array(np.full(size + 1, block)),
+        pa.array([_packed(seq)] + [None] * size, pa.binary()),
+        pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(1, size + 1), pa.int32())]),
+        pa.array([lang] * (size + 1), pa.string()),
+        pa.concat_arrays([pa.nulls(1, pa.string()), words]),
+        pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "seq", "code", "lang", "word", "n"])
+
+
+def _learned(own: pa.Table, named: pa.Table) -> pa.Table:
+    """A block (block, seq) and the names (block, code, id) of its words: the block of frequent words, and their names by number."""
     out = []
     codes, ids = named.column("code").to_numpy(), named.column("id").to_numpy()
     for block, packed in zip(own.column("block").to_pylist(), own.column("seq").to_pylist(), strict=True):
         seq = _unpacked(packed)
-        short = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
+        short = np.zeros(int(seq.max(initial=0)) + 1, np.uint32)
         short[codes] = np.arange(1, len(codes) + 1)
         seq = _collapsed(short[seq])
-        if not len(seq):
-            continue
-        whole = (seq[:-1] > 0) & (seq[1:] > 0)
-        wide = len(codes) + 1
-        keys, back, counts = np.unique(seq[:-1][whole] * wide + seq[1:][whole], return_inverse=True, return_counts=True)
-        pairs = np.zeros(len(whole), np.uint32)
-        pairs[whole] = back + 1
-        out.append(_batch(block, None, pairs, {"l": pa.array(ids[keys // wide - 1]), "r": pa.array(ids[keys % wide - 1])}, counts, _PAIR))
-    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("code", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64())])
-    return pa.Table.from_batches([b.cast(schema) for b in out], schema)
+        if len(seq):
+            out.append((block, _packed(seq), ids.astype("<i8").tobytes()))
+    shape = (pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate(shape)], names=["block", "seq", "ids"])
 
 
-def _bits(entries: DataFrame, hashed: Column) -> np.ndarray:
-    """One bit per hash of the entries, as packed bytes of a fixed size."""
+def _places(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """Which of so many bits is an entry's, entries given by columns of 64-bit numbers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _held(bits: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    places = _places(columns, 8 * len(bits))
+    return (bits[places >> 3] >> (places & 7) & 1).astype(bool)
+
+
+def _bits(entries: DataFrame) -> np.ndarray:
+    """One bit for each of the entries, as packed bytes of a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BITS // 8, np.uint8)
         for part in batches:
-            at = part.column(0).to_numpy()
+            at = _places([c.to_numpy() for c in part.columns], 8 * len(held))
             np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        pages = np.flatnonzero(held.reshape(-1, 1024).any(1))
-        for page in pages.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([held[page * 1024 : page * 1024 + 1024].tobytes()], pa.binary())], names=["page", "held"])
-
-    pages = entries.select(hashed.alias("h")).mapInArrow(run, "page bigint, held binary")
+        pages = np.flatnonzero(held.reshape(-1, 1024).any(1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array([held[page * 1024 : page * 1024 + 1024].tobytes() for page in pages], pa.binary())], names=["page", "held"])
 
     def joined(part: pa.Table) -> pa.Table:
         held = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in part.column("held").to_pylist()])
         return pa.table({"page": part.column("page").slice(0, 1), "held": pa.array([held.tobytes()], pa.binary())})
 
     out = np.zeros(BITS // 8, np.uint8)
-    for row in pages.groupBy("page").applyInArrow(joined, "page bigint, held binary").toLocalIterator():  # BITS bits at most
+    for row in entries.mapInArrow(run, "page bigint, held binary").groupBy("page").applyInArrow(joined, "page bigint, held binary").collect():  # BITS bits at most
         out[row.page * 1024 : row.page * 1024 + 1024] = np.frombuffer(row.held, np.uint8)
     return out
 
 
 def _likely(entries: DataFrame, hashed: Column, bits: np.ndarray) -> DataFrame:
-    """Entries whose hash has its bit: all frequent ones and few others."""
+    """Entries whose bit is set: all frequent ones and few others."""
     held = entries.sparkSession.sparkContext.broadcast(bits)  # BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            at = part.column(part.num_columns - 1).to_numpy()
-            yield part.filter(pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            yield part.filter(pa.array(_held(held.value, [part.column(part.num_columns - 1).to_numpy()])))
 
     rows = entries.withColumn("\x1fh", hashed)
     return rows.mapInArrow(run, rows.schema).drop("\x1fh")
 
 
-def _named(entries: DataFrame, key: list[str], least: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent entries (id, *key, a), written, and the names (block, code, id) that blocks give to their own."""
+def _named(entries: DataFrame, key: list[str], least: int, level: int) -> DataFrame:
+    """Frequent entries (id, *key, a), written."""
     counted = entries.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    names = durable(counted.select(F.monotonically_increasing_id().alias("id"), *key, "a"), f"names{level}")
-    hashed = F.pmod(F.xxhash64(*key), F.lit(BITS))
-    likely = _likely(entries.select("block", "code", *key), hashed, _bits(names, hashed))
-    return names, likely.join(names.drop("a"), key).select("block", "code", "id")
+    return durable(counted.select(F.monotonically_increasing_id().alias("id"), *key, "a"), f"names{level}")
+
+
+def _pairs(blocks: DataFrame, size: int, bits: list[np.ndarray]) -> DataFrame:
+    """(w1, ..., n): per block its distinct phrases of `size` words both of whose halves may be frequent.
+
+    bits: of the frequent phrases of 2, 3, ... words; single words are all frequent.
+    """
+    held = blocks.sparkSession.sparkContext.broadcast(bits)  # BITS bits a level
+    names = [f"w{k}" for k in range(1, size + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for packed, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                columns, counts = _counted(_unpacked(packed), np.frombuffer(ids, "<i8"), size, held.value)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(counts)], names=[*names, "n"])
+
+    return blocks.select("seq", "ids").mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "n")))
+
+
+def _counted(seq: np.ndarray, ids: np.ndarray, size: int, bits: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Names of the words of a block's distinct phrases, one column a place, and their counts."""
+    # Where a phrase of a word less begins: its number, from 1; 0 for none.
+    own = seq.astype(np.int64)
+    for k in range(2, size + 1):
+        at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
+        # A phrase is told by its first half and its last word.
+        keys = own[at] * (len(ids) + 1) + seq[at + k - 1]
+        _, first, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        columns = [ids[seq[at[first] + j] - 1] for j in range(k)]
+        if k == size:
+            return columns, counts
+        number = np.where(_held(bits[k - 2], columns), np.arange(1, len(first) + 1), 0)
+        after = np.zeros(max(0, len(own) - 1), np.int64)
+        after[at] = number[back]
+        own = after
+    raise ValueError(size)
 
 
 def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang", block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
@@ -221,21 +259,30 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: st
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     made = durable(rows.mapInArrow(_blocks(block), _ROW), "words")
     place = written()[-1]
-    entries = made.where("code IS NOT NULL")
-    total = durable(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    names, own = _named(entries.select("block", "code", "lang", "word", "n"), ["lang", "word"], least, 1)
+    words = made.where("code IS NOT NULL").select("block", "code", "lang", "word", "n")
+    total = durable(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    names = _named(words, ["lang", "word"], least, 1)
+    hashed = F.xxhash64("lang", "word")
+    likely = _likely(words.drop("n"), hashed, _bits(names.select(hashed.alias("h"))))
+    own = likely.join(names.drop("a"), ["lang", "word"]).select("block", "code", "id")
+    rows = made.where("code IS NULL").select("block", "seq")
+    blocks = durable(rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_learned, _BLOCK), "blocks")
+    discard(spark, [place])
+    place = written()[-1]
     one = F.array("a")
-    found = [names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", one.alias("heads"), one.alias("tails"))]
-    for level in range(2, longest + 1):
-        rows = made.where("code IS NULL").select("block", "seq")
-        made = durable(rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_paired, _PAIR), f"pairs{level}")
-        discard(spark, [place])  # nothing reads the blocks of the level before any more
-        place = written()[-1]
-        names, own = _named(made.where("code IS NOT NULL").select("block", "code", "l", "r", "n"), ["l", "r"], least, level)
-        left = found[-1].select(F.col("id").alias("l"), "lang", "phrase", "heads")
-        right = found[-1].select(F.col("id").alias("r"), "last", "tails")
+    found = [names.select("id", F.array("id").alias("words"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", one.alias("heads"), one.alias("tails"))]
+    bits: list[np.ndarray] = []
+    for size in range(2, longest + 1):
+        key = [f"w{k}" for k in range(1, size + 1)]
+        names = _named(_pairs(blocks, size, bits), key, least, size)
+        if size < longest:
+            bits.append(_bits(names.select(*key)))
+        # A name is joined with those of its halves: its parents.
+        left = found[-1].select(F.col("id").alias("l"), F.col("words").alias("first"), "lang", "phrase", "heads")
+        right = found[-1].select(F.col("id").alias("r"), F.col("words").alias("rest"), "last", "tails")
+        pairs = names.select("id", "a", F.array(*key).alias("words"), F.array(*key[:-1]).alias("first"), F.array(*key[1:]).alias("rest"))
         phrase, heads, tails = F.concat_ws(" ", "phrase", "last").alias("phrase"), F.concat("heads", one).alias("heads"), F.concat("tails", one).alias("tails")
-        found.append(durable(names.join(left, "l").join(right, "r").select("id", "lang", phrase, "last", "a", heads, tails, "l", "r"), f"phrases{level}"))
+        found.append(durable(pairs.join(left, "first").join(right, "rest").select("id", "words", "lang", phrase, "last", "a", heads, tails, "l", "r"), f"phrases{size}"))
     discard(spark, [place])
     return total, found
 
