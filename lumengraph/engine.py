@@ -14,7 +14,7 @@ from lumengraph.functions import paths as P
 from lumengraph.operators import delta, diagrams, extract, graph, grep, packages, resolve, rollup, search, tours
 from lumengraph.operators import imports as other
 from lumengraph.runtime import durable
-from lumengraph.sources import board, files
+from lumengraph.sources import board, files, tree
 from lumengraph.streaming import watch as W
 
 #: The schema tag that a board may carry and still be green; deployments name their own.
@@ -38,8 +38,7 @@ class Engine:
         return W.watch(self.spark, self.root, self.store, seconds)
 
     def tables(self) -> dict[str, DataFrame]:
-        rows = files.load(self.spark, self.store, ["rows"])["rows"]
-        return extract.tables(rows)
+        return extract.tables(W.rows(self.spark, self.store))
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges, resolved calls, data flow and document links among them."""
@@ -61,19 +60,25 @@ class Engine:
         calls = facts.where("tag = 'c'").join(fns, F.col("node_id") == F.col("id")).select(F.col("id").alias("caller"), F.col("pos").alias("tok_ord"), F.col("value").alias("token"), "file", "package", "owner")
         needed, far = packages.depends_on(nodes, t["imports"])
         needed = durable(needed, "depends_on")
-        modules = imports.select("file", P.module_name(F.col("other_file")).alias("qualifier"), "other_file").distinct()
+        wanted = durable(resolve.qualifiers(calls), "qualifiers")
+        led = module_paths(wanted.select("file", F.col("qualifier").alias("spec")), nodes, crates)
+        modules = resolve.module_files(wanted, led, imports.select("file", P.module_name(F.col("other_file")).alias("module"), "other_file"))
         made = resolve.resolve_rust(calls, fns, imports.select("file", "other_file"), packages.direct(needed), modules).withColumn("relation", F.lit("Calls"))
         io = facts.where("tag = 'io'").select(F.col("node_id").alias("id"), F.col("value").alias("op"))
         names = facts.where("tag = 'a'").select(F.col("node_id").alias("id"), F.col("value").alias("artifact"))
         flow = resolve.artifact_flow(fns, io, names, made)
         shape = ["source", "target", "relation", "confidence"]
         files_linked = imports.select(F.concat(F.lit("file:"), "file").alias("source"), F.concat(F.lit("file:"), "other_file").alias("target"), F.lit("Imports").alias("relation"), F.lit(1.0).alias("confidence"))
-        edges = t["edges"].select(*shape)
+        # What a token made is in the order of tokens; other edges of a node come before them.
+        token = lambda df: F.col("tok_ord") if "tok_ord" in df.columns else F.lit(-1)
+        edges = t["edges"].select(*shape, F.lit(-1).cast("bigint").alias("token"))
         for more in (made, files_linked, flow, needed, extract.ecosystem_links(nodes), *other_links(nodes, t["imports"], facts)):
-            edges = edges.union(more.select(*shape))
+            edges = edges.union(more.select(*shape, token(more).cast("bigint").alias("token")))
+        place = nodes.select(F.col("id").alias("source"), "ord.path", "ord.pos").dropDuplicates(["source"])
+        edges = edges.join(place, "source", "left").select(*shape, F.struct("path", "pos", "token", "target").alias("ord"))
         # Written once after each indexing: queries meet nodes and edges from several sides.
         nodes = nodes.unionByName(far, allowMissingColumns=True)
-        return nodes, durable(edges.withColumn("ord", F.xxhash64("source", "target", "relation")), "graph_edges")
+        return nodes, durable(edges, "graph_edges")
 
     def ask(self, query: str, k: int = 10, alpha: float = 0.25, iterations: int = 25) -> DataFrame:
         """The k nodes closest to the best lexical hits."""
@@ -111,7 +116,7 @@ class Engine:
         return grep.trace(self.graph()[1], symbol)
 
     def freshness(self, cached_at: str | None) -> DataFrame:
-        return delta.stale(files.scan(self.spark, self.root), F.lit(cached_at).cast("timestamp") if cached_at else None)
+        return delta.stale(tree.listing(self.spark, self.root), F.lit(cached_at).cast("timestamp") if cached_at else None)
 
     def wiring(self) -> bytes:
         nodes, edges = self.graph()
@@ -168,8 +173,8 @@ class Engine:
         return diagrams.write_picture(picture, path, self.root)
 
     def _goals(self) -> DataFrame:
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(self.root)
-        return durable(board.goals(board.preferred(found.where(F.contains("path", F.lit("/.harness/"))))), "goals")
+        boards = tree.boards(self.spark, self.root)
+        return durable(board.goals(board.preferred(tree.opened(boards, self.root))), "goals")
 
     def board(self) -> DataFrame:
         return board.summary(self._goals(), BOARD_SCHEMA)
@@ -212,7 +217,13 @@ def other_links(nodes: DataFrame, imports: DataFrame, facts: DataFrame) -> tuple
 
 
 def rust_imports(nodes: DataFrame, imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """(file, other_file) of Rust specs: the longest module prefix that is a file, else the package's root file.
+    """(file, other_file) of Rust import specs."""
+    specs = imports.where(F.col("spec").startswith("rs:")).select(F.expr("substring(file_id, 6)").alias("file"), F.expr("substring(spec, 4)").alias("spec"))
+    return module_paths(specs, nodes, packages).where("file <> other_file").select("file", "other_file").distinct()
+
+
+def module_paths(specs: DataFrame, nodes: DataFrame, packages: DataFrame) -> DataFrame:
+    """(file, spec, other_file) of Rust paths `specs(file, spec)`: the longest module prefix that is a file, else the package's root file.
 
     Each spec's prefixes meet the modules by equality; no spec is compared with every module.
     """
@@ -220,7 +231,7 @@ def rust_imports(nodes: DataFrame, imports: DataFrame, packages: DataFrame) -> D
     modules = paths.select("path", P.rust_module(F.col("path")).alias("m")).where("m IS NOT NULL").select("path", "m.root", "m.module")
     # Of two files for one module the library root comes before the program root.
     modules = modules.groupBy("root", "module").agg(F.min_by("path", F.when(F.col("path").endswith("/main.rs"), 1).otherwise(0)).alias("other_file"))
-    specs = imports.where(F.col("spec").startswith("rs:")).select(F.expr("substring(file_id, 6)").alias("file"), F.split(F.expr("substring(spec, 4)"), "::").alias("s"))
+    specs = specs.select("file", "spec", F.split("spec", "::").alias("s"))
     at = specs.join(paths.select(F.col("path").alias("file"), P.rust_module(F.col("path")).alias("m")), "file").where("m IS NOT NULL")
     own = F.split(F.col("m.module"), "::")
     own = F.filter(own, lambda x: x != "")
@@ -228,14 +239,13 @@ def rust_imports(nodes: DataFrame, imports: DataFrame, packages: DataFrame) -> D
     # Each leading `super` climbs one module.
     ups = F.size("s") - F.size(F.aggregate("s", F.array().cast("array<string>"), lambda kept, x: F.when((F.size(kept) == 0) & (x == "super"), kept).otherwise(F.concat(kept, F.array(x)))))
     full = F.when(F.get("s", F.lit(0)) == "crate", rest).when(F.get("s", F.lit(0)) == "self", F.concat(own, rest)).when(F.get("s", F.lit(0)) == "super", F.concat(F.slice(own, F.lit(1), F.greatest(F.size(own) - ups, F.lit(0))), F.slice("s", ups + 1, F.size("s"))))
-    inside = at.where(full.isNotNull()).select("file", F.col("m.root").alias("root"), full.alias("p"))
-    outside = at.where(full.isNull()).select("file", F.get("s", F.lit(0)).alias("head"), rest.alias("p"))
+    inside = at.where(full.isNotNull()).select("file", "spec", F.col("m.root").alias("root"), full.alias("p"))
+    outside = at.where(full.isNull()).select("file", "spec", F.get("s", F.lit(0)).alias("head"), rest.alias("p"))
     roots = crate_roots(outside.select("head").distinct(), modules.select("root").distinct(), packages)
-    outside = outside.join(roots, "head").select("file", "root", "p")
-    prefixes = inside.union(outside).distinct().select("file", "root", "p", F.explode(F.transform(F.sequence(F.lit(0), F.size("p")), lambda n: F.struct(n.alias("n"), F.concat_ws("::", F.slice("p", F.lit(1), n)).alias("module")))).alias("x"))
-    hits = prefixes.select("file", "root", "p", "x.n", "x.module").join(modules, ["root", "module"])
-    best = hits.groupBy("file", "root", "p").agg(F.max_by("other_file", "n").alias("other_file"))
-    return best.where("file <> other_file").select("file", "other_file").distinct()
+    outside = outside.join(roots, "head").select("file", "spec", "root", "p")
+    prefixes = inside.union(outside).distinct().select("file", "spec", "root", F.explode(F.transform(F.sequence(F.lit(0), F.size("p")), lambda n: F.struct(n.alias("n"), F.concat_ws("::", F.slice("p", F.lit(1), n)).alias("module")))).alias("x"))
+    hits = prefixes.select("file", "spec", "root", "x.n", "x.module").join(modules, ["root", "module"])
+    return hits.groupBy("file", "spec").agg(F.max_by("other_file", "n").alias("other_file"))
 
 
 def crate_roots(heads: DataFrame, folders: DataFrame, packages: DataFrame) -> DataFrame:

@@ -7,16 +7,16 @@ of one function); nothing here runs on a whole graph.
 from __future__ import annotations
 
 import json
-from collections import defaultdict, deque
+from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions import display as V
 from lumengraph.functions import labels as L
 from lumengraph.operators import delta, rollup
+from lumengraph.operators import sequence as calls
 
-MOST_DEPTH, MOST_MESSAGES = 3, 30
 MOST_MODULES, MOST_LINKS, MOST_ARTIFACTS, MOST_NODES, MOST_REGIONS = 36, 60, 10, 40, 1000
 BOX = (150, 56)
 GAP = (60, 40)
@@ -37,51 +37,21 @@ def root_function(nodes: DataFrame, edges: DataFrame, root: str):  # noqa: ANN20
     return best.x
 
 
-def call_messages(root: str, calls: dict[str, list[str]], depth: int = MOST_DEPTH, most: int = MOST_MESSAGES) -> list[tuple[str, str]]:
-    """Messages in reading order: a caller's calls first, then those of its callees, each caller once."""
-    out: list[tuple[str, str]] = []
-    waiting, done = deque([(root, 0)]), set()
-    while waiting:
-        caller, at = waiting.popleft()
-        if at >= depth or caller in done:
-            continue
-        done.add(caller)
-        taken = calls.get(caller, [])[: most - len(out)]
-        out += [(caller, callee) for callee in taken]
-        waiting.extendleft((callee, at + 1) for callee in reversed(taken))
-    return out
-
-
 def sequence(nodes: DataFrame, edges: DataFrame, root: str, locale: str = "en") -> dict:
-    """A call sequence; the calls are gathered by one join per step, so the rest of the graph stays where it is."""
+    """A call sequence: participants in the order in which they appear, and messages."""
     start = root_function(nodes, edges, root)
     first = start.id if start else root
-    calls: dict[str, list[str]] = defaultdict(list)
-    info = {}
-    frontier, seen = [first], set()
     known = nodes.select("id", "name", "path", "search_body") if "search_body" in nodes.columns else nodes.select("id", "name", "path", F.lit("").alias("search_body"))
-    wanted = edges.where("relation = 'Calls'")
-    for _ in range(MOST_DEPTH):
-        if not frontier:
-            break
-        rows = wanted.where(F.col("source").isin(frontier)).join(known, F.col("target") == F.col("id"))
-        # Of one caller no more calls than there are messages can be shown.
-        w = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
-        rows = rows.withColumn("k", w).where(F.col("k") <= MOST_MESSAGES).select("source", "target", "ord", "name", "path", F.contains("search_body", F.lit("async ")).alias("later"), L.role_for(F.col("name"), F.col("path")).alias("role")).orderBy("source", "ord").collect()
-        seen |= set(frontier)
-        frontier = []
-        for r in rows:
-            calls[r.source].append(r.target)
-            info[r.target] = r
-            if r.target not in seen:
-                frontier.append(r.target)
-        frontier = sorted(set(frontier))
-    messages = call_messages(first, calls)
-    order = dict.fromkeys([first, *(b for _, b in messages)])
+    roots = nodes.sparkSession.createDataFrame([(first,)], "id string")
+    said = calls.messages(edges.where("relation = 'Calls'"), roots, known)
+    told = known.select(F.col("id").alias("target"), "name", F.contains("search_body", F.lit("async ")).alias("later"), L.role_for(F.col("name"), F.col("path")).alias("role"))
+    rows = said.join(told, "target").orderBy("place").collect()  # at most MESSAGES
+    info = {r.target: r for r in rows}
+    order = dict.fromkeys([first, *(r.target for r in rows)])
     word = L.pick(locale, L.RELATION_LABELS["Calls"])
     return {
         "participants": [{"id": i, "label": info[i].name if i in info and i != first else (start.name if start else root), "role": "Frontend" if i == first else info[i].role} for i in order],
-        "messages": [{"order": k, "from": a, "to": b, "action": f"{word} {info[b].name}()", "is_async": info[b].later} for k, (a, b) in enumerate(messages, 1)],
+        "messages": [{"order": r.place, "from": r.source, "to": r.target, "action": f"{word} {r.name}()", "is_async": r.later} for r in rows],
     }
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 # Method names so common that a call by them says nothing.
 STD_METHODS = (
     "new default from into clone len push pop get insert remove contains iter next map unwrap expect is_empty fmt as_str to_string eq cmp partial_cmp "
-    "path id name join send recv lock read write open close run build parse take set add sub drop deref hash borrow"
+    "path id name join send recv lock read write open close run build parse take set add sub drop deref hash borrow "
+    "as_ref as_mut to_owned extend clear first last find filter collect flush kind key value keys values or_default entry and_then ok err min max sort rev"
 ).split()
 
 
@@ -75,9 +76,9 @@ def resolve(calls: DataFrame, definitions: DataFrame, rules: Rules) -> DataFrame
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:
-    """Edges (source, target, confidence): no self edges, each pair once by its first token."""
+    """Edges (source, target, confidence, tok_ord): no self edges, each pair once by its first token."""
     real = resolved.where("caller <> target")
-    return real.groupBy(F.col("caller").alias("source"), "target").agg(F.min_by("confidence", "tok_ord").alias("confidence"))
+    return real.groupBy(F.col("caller").alias("source"), "target").agg(F.min_by("confidence", "tok_ord").alias("confidence"), F.min("tok_ord").alias("tok_ord"))
 
 
 def free_function_rules(imports: DataFrame, package_deps: DataFrame, free: DataFrame) -> Rules:
@@ -117,7 +118,7 @@ def resolve_rust(calls: DataFrame, definitions: DataFrame, imports: DataFrame, p
 
     calls: caller, tok_ord, token, file, package, owner (of the caller). definitions: id, name,
     file, package, owner, is_pub. module_files: (file, qualifier, other_file), what a module path
-    means in a file.
+    means in a file, as `module_files` gives it.
     """
     calls = calls.withColumn("package", F.coalesce("package", F.lit("")))
     definitions = definitions.withColumn("package", F.coalesce("package", F.lit("")))
@@ -138,6 +139,26 @@ def resolve_rust(calls: DataFrame, definitions: DataFrame, imports: DataFrame, p
     return call_edges(found)
 
 
+def qualifiers(calls: DataFrame) -> DataFrame:
+    """(file, qualifier) of tokens `a::b::name` whose last qualifier is no type."""
+    path = calls.where(~F.col("token").startswith(".") & F.contains("token", F.lit("::")))
+    cut = F.split("token", "::")
+    rows = path.select("file", F.array_join(F.slice(cut, F.lit(1), F.size(cut) - 1), "::").alias("qualifier"))
+    return rows.where(~F.substring_index("qualifier", "::", -1).rlike(r"^\p{Lu}")).distinct()
+
+
+def module_files(wanted: DataFrame, resolved: DataFrame, imported: DataFrame) -> DataFrame:
+    """(file, qualifier, other_file): the file a module path leads to, else the imported module that its first name names.
+
+    wanted: (file, qualifier); resolved: (file, spec, other_file) of the paths that lead to a file;
+    imported: (file, module, other_file). Of several modules of a name the first path counts.
+    """
+    found = resolved.select("file", F.col("spec").alias("qualifier"), "other_file")
+    rest = wanted.join(found, ["file", "qualifier"], "left_anti").withColumn("module", F.substring_index("qualifier", "::", 1))
+    named = imported.groupBy("file", "module").agg(F.min("other_file").alias("other_file"))
+    return wanted.join(found, ["file", "qualifier"]).select("file", "qualifier", "other_file").union(rest.join(named, ["file", "module"]).select("file", "qualifier", "other_file"))
+
+
 def unique_name(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """Calls (caller, tok_ord, name) whose name has exactly one definition anywhere."""
     return resolve(calls, definitions, Rules([Tier((), 1.0)]))

@@ -221,13 +221,6 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('long', '0 1 2 3 4 5 6 7'),
         ('skip', '0 1 2'),
     ]),
-    "call_messages": ("place INTEGER, caller VARCHAR, callee VARCHAR", [
-        (1, 'main', 'b'),
-        (2, 'main', 'x'),
-        (3, 'b', 'c'),
-        (4, 'c', 'd'),
-        (5, 'x', 'b'),
-    ]),
     "sequence_messages": ("place INTEGER, caller VARCHAR, callee VARCHAR, action VARCHAR, later BOOLEAN", [
         (1, 'x/main.rs:main', 'x/b.rs:b', 'calls b()', False),
         (2, 'x/b.rs:b', 'x/c.rs:c', 'calls c()', True),

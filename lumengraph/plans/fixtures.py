@@ -140,7 +140,7 @@ def other_language_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = spark.createDataFrame([("web/a.ts", "web/util.ts")], "file string, other_file string")
     bound = spark.createDataFrame([("web/a.ts", "p", "paint", "web/util.ts"), ("web/a.ts", "util", "*", "web/util.ts"), ("web/a.ts", "View", "View", "web/util.ts")], "file string, local string, original string, other_file string")
     external = spark.createDataFrame([("web/a.ts", "ext")], "file string, local string")
-    return imports.resolve_other(calls, frame.drop("lang"), linked, bound, external)
+    return imports.resolve_other(calls, frame.drop("lang"), linked, bound, external).drop("tok_ord")
 
 
 def artifact_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +190,6 @@ def longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, " ".join(map(str, diagrams.longest_path(*g)))) for name, g in (GRAPHS | {"long": chain}).items() if name != "cycle"], "name string, path string")
 
 
-def call_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages in reading order, three steps deep, each caller once."""
-    calls = {"main": ["b", "x"], "b": ["c"], "c": ["d"], "d": ["e"], "x": ["b"]}
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(diagrams.call_messages("main", calls), 1)], "place int, caller string, callee string")
-
-
 def sequence_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two roots the one in main.rs; three steps deep; a later call is marked."""
     known = [("x/main.rs", "main", ""), ("y/other.rs", "main", ""), ("x/b.rs", "b", ""), ("x/c.rs", "c", "async fn c()"), ("x/d.rs", "d", ""), ("x/e.rs", "e", "")]
@@ -266,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extracted_nodes, extracted_facts, extracted_imports, ecosystem, test_paths, script_imports, python_imports, python_bindings, go_imports, java_imports, c_imports, rust_imports, other_language_calls, artifact_flow,
-        path_rules, shared_prefix, layered, longest_paths, call_messages, sequence_messages, package_tour, module_tour, auto_tour, board_report, board_json, board_line,
+        path_rules, shared_prefix, layered, longest_paths, sequence_messages, package_tour, module_tour, auto_tour, board_report, board_json, board_line,
     )
 }
 ORACLES = {name: fixture_rows.sql(name) for name in fixture_rows.ROWS}

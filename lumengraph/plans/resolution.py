@@ -73,7 +73,7 @@ def rust_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls.select("caller", "tok_ord", token.alias("token"), "file", "package", F.lit(None).cast("string").alias("owner"))
     imports = _imports(spark, sf_dir)
     modules = imports.select("file", P.module_name(F.col("other_file")).alias("qualifier"), "other_file")
-    return resolve.resolve_rust(calls, fns, imports, _package_deps(spark, sf_dir), modules)
+    return resolve.resolve_rust(calls, fns, imports, _package_deps(spark, sf_dir), modules).drop("tok_ord")
 
 
 def tiered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def tiered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.call_edges(tiered_calls(spark, sf_dir))
+    return resolve.call_edges(tiered_calls(spark, sf_dir)).drop("tok_ord")
 
 
 def owner_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

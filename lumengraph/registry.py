@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text_search", "graph_reports", "resolution", "records", "package_reports", "fixtures")
+MODULES: tuple[str, ...] = ("text_search", "graph_reports", "resolution", "records", "package_reports", "fixtures", "calls")
 
 
 def _merged(name: str) -> dict:

@@ -1,12 +1,11 @@
-"""Source trees as tables: listing, pruning, decoding, storage with a format version."""
+"""Which files of a source tree are read, their languages and their texts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions import paths as P
@@ -53,20 +52,6 @@ def language(path: Column) -> Column:
     return F.element_at(table, extension(path))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length, content) of the supported files below `root`, paths relative to it.
-
-    A file that is gone or cannot be read when its turn comes is left out.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    rows = reader.load(root)
-    base = str(PurePosixPath(root.replace("file:", "", 1)))
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "")
-    rows = rows.withColumn("path", relative)
-    hidden = P.file_name(F.col("path")).startswith(".")
-    return rows.where(~hidden & ~pruned(F.col("path")) & supported(F.col("path")))
-
-
 def decoded(files: DataFrame) -> DataFrame:
     """`files` with `text`; bytes that are not UTF-8 become the replacement character."""
 
@@ -77,23 +62,5 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
-def save(tables: dict[str, DataFrame], root: str) -> None:
-    """Tables as Parquet below one folder, and their format version beside them."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-    next(iter(tables.values())).sparkSession.createDataFrame([(FORMAT_VERSION,)], "version int").write.mode("overwrite").parquet(f"{root}/_version")
-
-
 class StaleCacheError(RuntimeError):
     """A stored graph of another format: index again."""
-
-
-def load(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
-    """Stored tables; another version, or none, is refused and never half read."""
-    try:
-        version = spark.read.parquet(f"{root}/_version").first().version
-    except Exception as e:
-        raise StaleCacheError(f"{root} holds no graph: index again") from e
-    if version != FORMAT_VERSION:
-        raise StaleCacheError(f"{root} has format {version}, not {FORMAT_VERSION}: index again")
-    return {n: spark.read.parquet(f"{root}/{n}") for n in names}

@@ -1,10 +1,16 @@
 """A small tree from files to answers, and what changes bring."""
 
+import datetime
 import json
+import os
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from lumengraph import engine as E
-from lumengraph.sources import files
+from lumengraph.sources import files, tree
+from lumengraph.sources.store import Store
 from lumengraph.streaming import watch as W
 
 
@@ -96,16 +102,133 @@ def test_requests(spark, tmp_path):
     assert "index again" in ask(id=3, method="tools/call", params={"name": "file_api", "arguments": {"file": "x"}})["error"]["message"]
 
 
-def test_storage_refuses_other_formats(spark, tmp_path):
-    store = str(tmp_path / "s")
-    files.save({"t": spark.range(3).toDF("a")}, store)
-    assert files.load(spark, store, ["t"])["t"].count() == 3
-    spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(f"{store}/_version")
+def test_snapshots(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    with pytest.raises(files.StaleCacheError):
+        store.current()
+    one = spark.createDataFrame([("a.rs", "r1"), ("b.rs", "r1")], "path string, segment string")
+    first = store.write(spark.createDataFrame([("a.rs", 1), ("b.rs", 2)], "path string, n int"), "rows")
+    store.commit({"files": store.write(one.withColumn("segment", F.lit(first)), "files")}, [first])
+    assert {tuple(r) for r in store.rows().collect()} == {("a.rs", 1), ("b.rs", 2)}
+    # A run that dies between its tables leaves the old state; the next run sweeps what it left.
+    before = store.rows()
+    lost = store.write(spark.createDataFrame([("a.rs", 9)], "path string, n int"), "rows")
+    assert {tuple(r) for r in store.rows().collect()} == {("a.rs", 1), ("b.rs", 2)}
+    second = store.write(spark.createDataFrame([("a.rs", 3)], "path string, n int"), "rows")
+    live = spark.createDataFrame([("a.rs", second)], "path string, segment string")
+    store.commit({"files": store.write(live, "files")}, [first, second])
+    assert {tuple(r) for r in store.rows().collect()} == {("a.rs", 3)} and not (tmp_path / "s" / lost).exists()
+    assert before.count() == 2  # the state before can still be read
+    store.commit({"files": store.write(live, "files")}, [second])
+    store.commit({"files": store.write(live, "files")}, [second])
+    assert not (tmp_path / "s" / first).exists() and len(store.numbers()) == 2
+    (tmp_path / "s" / "_snapshots" / "0000000099.json").write_text('{"number": 99, "tables": {}, "segments": [], "format": 98}')
+    with pytest.raises(files.StaleCacheError):
+        store.current()
+
+
+def test_two_runs_cannot_take_one_number(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    folder = store.write(spark.createDataFrame([("a", "x")], "path string, segment string"), "files")
+    store.commit({"files": folder}, [])
+    monkeypatch.setattr(store, "numbers", list)
+    with pytest.raises(RuntimeError):
+        store.commit({"files": folder}, [])
+    monkeypatch.undo()
+    assert store.current().number == 1
+
+
+def test_listing_leaves_folders_out(spark, tmp_path):
+    for path in ("a/b/c/x.rs", "a/y.py", "z.go", "target/t.rs", "a/node_modules/m.js", ".git/g.rs", ".claude/skills/s/SKILL.md", "docs/diyagramlar/d.rs", "diyagramlar/e.rs", "x-out/o.rs", "a/.hidden.rs", "a/note.txt", "Cargo.toml"):
+        write(tmp_path, path, path)
+    want = {"a/b/c/x.rs", "a/y.py", "z.go", ".claude/skills/s/SKILL.md", "diyagramlar/e.rs", "Cargo.toml"}
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = tree.listing(spark, root)
+        assert {r.path for r in rows.collect()} == want
+        assert {r.path: bytes(r.content).decode() for r in tree.opened(rows, root).collect()} == {p: p for p in want}
+    assert {r.path for r in tree.listing(spark, str(tmp_path), True).collect()} == want | {"a/note.txt"}
+    at, _ = tree.connect(str(tmp_path))
+    entered = []
+
+    class Told:
+        def get_file_info(self, selector):
+            entered.append(selector.base_dir.removeprefix(str(tmp_path)))
+            return at.get_file_info(selector)
+
+    reader = tree.Reader(str(tmp_path), 2)
+    shares = reader.partitions()
+    assert sorted(r for share in shares for batch in reader.read(share) for r in batch.column(0).to_pylist()) == sorted(want | {"a/note.txt"})
+    folders = [""]
+    while folders:
+        folders += tree.listed(Told(), str(tmp_path), folders.pop())[0]
+    assert not any(x in e for e in entered for x in ("target", "node_modules", ".git", "x-out", "docs/d"))
+    gone = spark.createDataFrame([("a/y.py",), ("a/none.py",)], "path string")
+    assert [r.path for r in tree.opened(gone, str(tmp_path)).collect()] == ["a/y.py"]
+    assert tree.listing(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    for k in range(4):
+        write(root, f"m{k}.py", f"def f{k}(): pass\n")
+    old = time.time() - 1000
+    for k in range(4):
+        os.utime(root / f"m{k}.py", (old, old))
+    assert W.index(spark, str(root), store) == 4
+    held = Store(spark, store)
+    folders = sorted(os.listdir(store))
+    # Same size and time, other content: a run that opened it would see that.
+    write(root, "m0.py", "def xx(): pass\n")
+    os.utime(root / "m0.py", (old, old))
+    assert W.index(spark, str(root), store) == 0 and sorted(os.listdir(store)) == folders and held.numbers() == [1]
+    os.utime(root / "m1.py", (old + 5, old + 5))  # touched alone: opened, and found unchanged
+    assert W.index(spark, str(root), store) == 0 and held.numbers() == [1]
+    write(root, "m1.py", "def g(): pass\n")
+    (root / "m2.py").unlink()
+    write(root, "m4.py", "def new(): pass\n")
+    kept = held.current().segments
+    assert W.index(spark, str(root), store) == 2
+    assert held.current().segments[: len(kept)] == kept and len(held.current().segments) == 2  # only what is new is written
+    names = {r.name for r in W.rows(spark, store).where("tag = 'node' AND kind = 'Function'").collect()}
+    assert names == {"f0", "g", "f3", "new"}
+    assert {(r.path, r.change) for r in held.table("changes").collect()} == {("m1.py", "changed"), ("m2.py", "deleted"), ("m4.py", "new")}
+
+
+def test_segments_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "SEGMENTS", 2)
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    for k in range(4):
+        write(root, f"m{k}.py", f"def f{k}(): pass\n")
+        assert W.index(spark, str(root), store) == 1
+    assert len(Store(spark, store).current().segments) <= 2
+    assert {r.name for r in W.rows(spark, store).where("kind = 'Function'").collect()} == {f"f{k}" for k in range(4)}
+
+
+def test_files_as_keyed_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    shape = "path string, hash bigint, at timestamp"
+    stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+    found = []
+
+    def batch(rows):
+        made = [(p, h, datetime.datetime(2024, 1, 1, 0, 0, t)) for p, h, t in rows]
+        spark.createDataFrame(made, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changed = W.file_changes(stream, "10 seconds", "5 seconds").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+        query = changed.trigger(availableNow=True).foreachBatch(lambda df, n: found.extend(df.collect())).start()
+        assert query.awaitTermination(120)
+        out = {(r.path, r.change, r.hash) for r in found}
+        found.clear()
+        return out
+
     try:
-        files.load(spark, store, ["t"])
-        raise AssertionError
-    except files.StaleCacheError:
-        pass
+        assert batch([("a", 1, 1), ("b", 5, 1), ("b", 5, 3), ("b", None, 4)]) == {("a", "new", 1), ("b", "new", 5), ("b", "deleted", None)}
+        # A return, old news and a path that nobody knew; a path that comes and goes and comes.
+        assert batch([("b", 6, 5), ("a", 1, 1), ("a", 2, 2), ("c", None, 5), ("d", 1, 6), ("d", None, 7), ("d", 2, 8)]) == {("b", "returned", 6), ("a", "changed", 2), ("d", "new", 1), ("d", "deleted", None), ("d", "returned", 2)}
+        assert batch([("b", None, 9), ("b", None, 10), ("e", 1, 40)]) == {("b", "deleted", None), ("e", "new", 1)}
+        assert batch([("b", 6, 41)]) == {("b", "new", 6)}  # its tombstone has expired
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_watch_keeps_up(spark, tmp_path):
@@ -115,7 +238,7 @@ def test_watch_keeps_up(spark, tmp_path):
     query = engine.watch(1)
     try:
         end = time.time() + 90  # the ticks never run out, so wait for the first round's tables
-        while time.time() < end and not (tmp_path / "store" / "_version" / "_SUCCESS").exists():
+        while time.time() < end and not list((tmp_path / "store").glob("_snapshots/*.json")):
             time.sleep(1)
         assert engine.tables()["nodes"].where("name = 'f'").count() == 1
     finally:
