@@ -57,7 +57,7 @@ def _packed(seq: np.ndarray) -> bytes:
     return seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _unpacked(packed: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
@@ -75,7 +75,7 @@ def _encoded(data: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     inside = kind == 0
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, sizes = edges[::2], np.diff(edges)[::2]
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[inside]))
     coded = words.dictionary_encode()
@@ -222,7 +222,8 @@ def _pairs(blocks: DataFrame, size: int, bits: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for packed, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for row in range(part.num_rows):  # one block at a time
+                packed, ids = (part.column(c)[row].as_buffer() for c in (0, 1))
                 columns, counts = _counted(_unpacked(packed), np.frombuffer(ids, "<i8"), size, held.value)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(counts)], names=[*names, "n"])
 
