@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import display as V
 from lumengraph.functions import paths as P
-from lumengraph.operators import delta, diagrams, extract, graph, grep, packages, resolve, rollup, search, tours
+from lumengraph.operators import delta, diagrams, extract, graph, grep, packages, resolve, rollup, search
 from lumengraph.operators import imports as other
 from lumengraph.runtime import durable
 from lumengraph.sources import board, files, tree
@@ -163,8 +163,8 @@ class Engine:
         return diagrams.package_level(boxes, linked, self.root, locale)
 
     def tour(self, record: dict, locale: str = "en") -> list[dict]:
-        """A record's own tour, or one made of its links."""
-        return record.get("story") or tours.auto_tour(record["components"], record["connections"], locale)
+        """A record's own tour."""
+        return record.get("story") or []
 
     def render(self, path: str, kind: str = "architecture", **more) -> tuple[str, int]:  # noqa: ANN003
         """Writes a picture of a diagram; returns the path and its bytes."""

@@ -97,22 +97,6 @@ def layers(n: int, edges: list[tuple[int, int]], by_place: bool = False) -> list
     return level
 
 
-def longest_path(n: int, edges: list[tuple[int, int]], most: int = 8) -> list[int]:
-    """A longest chain of links, the first one found from the first node on, cut to `most` nodes; no node twice."""
-    after: dict[int, dict[int, None]] = defaultdict(dict)
-    for a, b in edges:
-        after[a].setdefault(b)
-    found: dict[int, tuple[int, ...]] = {}
-
-    def chain(v: int, above: frozenset[int]) -> tuple[int, ...]:
-        if v not in found:
-            held = above | {v}
-            found[v] = (v, *max((chain(w, held) for w in after[v] if w not in held), key=len, default=()))
-        return found[v]
-
-    return list(max((chain(v, frozenset()) for v in range(n)), key=len, default=()))[:most]
-
-
 def ordered_columns(level: list[int], edges: list[tuple[int, int]], sweeps: int = 4) -> list[list[int]]:
     """Nodes by layer, each layer sorted by the mean place of its neighbours, down and up in turn."""
     columns = [[v for v in range(len(level)) if level[v] == k] for k in range(max(level, default=-1) + 1)]

@@ -160,25 +160,39 @@ def reachable(edges: DataFrame, start: str, most_hops: int | None = None) -> Dat
     return seen
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> list[str] | None:
-    """Nodes of a shortest directed path; None if an end is unknown or there is no path.
+def first_paths(edges: DataFrame, start: str, end: str | None = None, most_hops: int | None = None) -> DataFrame:
+    """(id, hops, path) of the nodes that directed edges reach from `start`, each by its first shortest path.
 
-    Levels are found by frontier joins; the path is read back one predecessor at a time, the
-    smallest id first.
+    Of paths with as many hops the first is the one whose edges come first, compared from the start
+    on, as a breadth-first search over edges in their order (`ord`, then target) finds it. The
+    frontier carries its paths, so nothing is read back. Stops where `end` is reached.
     """
+    spark = edges.sparkSession
+    pairs = durable(edges.groupBy("source", "target").agg(F.min("ord").alias("ord")).withColumn("step", F.struct("ord", "target")).select("source", "target", "step"), "pairs")
+    step = dict(pairs.dtypes)["step"]
+    seen = durable(spark.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("hops"), F.array(F.lit(start)).alias("path"), F.array().cast(f"array<{step}>").alias("steps")), "seen")
+    frontier, hop = seen, 0
+    while most_hops is None or hop < most_hops:
+        if end is not None and not frontier.where(F.col("id") == end).isEmpty():
+            break
+        hop += 1
+        on = frontier.join(pairs, frontier["id"] == pairs["source"]).select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"), F.concat("steps", F.array("step")).alias("steps"))
+        new = on.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("path", "steps").alias("path"), F.min("steps").alias("steps"))
+        frontier = durable(new.select("id", F.lit(hop).alias("hops"), "path", "steps"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = durable(seen.union(frontier), "seen")
+    return seen.select("id", "hops", "path")
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> list[str] | None:
+    """Nodes of the first shortest directed path; None if an end is unknown or there is no path."""
     if nodes.where(F.col("id").isin(start, end)).select("id").distinct().count() < len({start, end}):
         return None
     if start == end:
         return [start]
-    levels = reachable(edges, start)
-    found = levels.where(F.col("id") == end).first()
-    if found is None:
-        return None
-    path = [end]
-    for hop in range(found.hops - 1, -1, -1):
-        back = edges.where(F.col("target") == path[-1]).select(F.col("source").alias("id")).join(levels.where(F.col("hops") == hop), "id").agg(F.min("id").alias("id")).first()
-        path.append(back.id)
-    return path[::-1]
+    found = first_paths(edges, start, end).where(F.col("id") == end).first()
+    return None if found is None else found.path
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:

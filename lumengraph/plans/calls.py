@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from lumengraph import engine
 from lumengraph.functions import paths as P
-from lumengraph.operators import resolve, sequence
+from lumengraph.operators import graph, grep, resolve, sequence
 from lumengraph.plans import resolution
-from lumengraph.runtime import table
+from lumengraph.plans.text_search import _LINES
+from lumengraph.runtime import durable, table
 from lumengraph.sources import driver_graph as D
 
+START = "file:crates/r0/src/n0.rs"
+PATTERN = r"(licen[cs]ed|released)? ?under +the +[a-z]\w+"
+
 
 def call_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From every file's busiest function the calls in reading order, three deep, thirty at most."""
@@ -49,8 +53,28 @@ def module_path_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_rust(calls, fns, imports, resolution._package_deps(spark, sf_dir), modules)
 
 
-QUERIES = {f.__name__: f for f in (call_sequences, module_path_calls)}
+def first_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole shortest paths over imports and what files hold, up to six steps from one file; of equal ones the first by edges."""
+    edges = D.load(spark, sf_dir).edges.where("relation IN ('Imports', 'Contains')")
+    return graph.first_paths(edges, START, most_hops=6).select("id", "hops", F.array_join("path", " > ").alias("path"))
+
+
+def grep_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: matching lines by way of an index of trigrams, whole patterns in RE2."""
+    docs = table(spark, sf_dir, "documents")
+    index = durable(grep.trigrams(docs, "doc_id", "text"), "trigrams")
+    return grep.grep_indexed(docs, index, "doc_id", "text", PATTERN, True).select(F.col("id").alias("doc_id"), "line_no", "line")
+
+
+QUERIES = {f.__name__: f for f in (call_sequences, module_path_calls, first_paths, grep_trigrams)}
 ORACLES = {
+    "first_paths": f"""
+WITH RECURSIVE {D.SQL},
+walk AS (
+  SELECT '{START}' AS id, 0 AS hops, ['{START}'] AS path, []::STRUCT(ord BIGINT, target VARCHAR)[] AS steps
+  UNION ALL SELECT target, hops + 1, path || [target], steps || [{{'ord': ord, 'target': target}}] FROM walk JOIN edges ON source = id WHERE relation IN ('Imports', 'Contains') AND hops < 6)
+SELECT id, min(hops)::INTEGER AS hops, array_to_string(arg_min(path, struct_pack(h := hops, s := steps)), ' > ') AS path FROM walk GROUP BY id""",
+    "grep_trigrams": f"SELECT doc_id, n AS line_no, trim(l[n]) AS line FROM (SELECT doc_id, {_LINES} AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(n) WHERE regexp_matches(l[n], '(?i){PATTERN}')",
     "call_sequences": f"""
 WITH RECURSIVE {D.SQL},
 calls AS MATERIALIZED (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY ord, target) AS k, count(*) OVER (PARTITION BY source) AS n FROM edges WHERE relation = 'Calls' AND target IN (SELECT id FROM nodes)),

@@ -1,4 +1,4 @@
-"""The rows that the fixture queries must give, stated by hand and read by the SQL side alone."""
+"""The rows that the operators must give on the fixtures, stated by hand."""
 
 from __future__ import annotations
 
@@ -214,13 +214,6 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('skip', 1, 1, 1, 0),
         ('skip', 2, 2, 2, 0),
     ]),
-    "longest_paths": ("name VARCHAR, path VARCHAR", [
-        ('chain', '0 1 2'),
-        ('cross', '0 3'),
-        ('late', '3 0 1'),
-        ('long', '0 1 2 3 4 5 6 7'),
-        ('skip', '0 1 2'),
-    ]),
     "sequence_messages": ("place INTEGER, caller VARCHAR, callee VARCHAR, action VARCHAR, later BOOLEAN", [
         (1, 'x/main.rs:main', 'x/b.rs:b', 'calls b()', False),
         (2, 'x/b.rs:b', 'x/c.rs:c', 'calls c()', True),
@@ -238,12 +231,6 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         (2, '2. Middle layer', 'Hub modules that both use and are used: core, panel.', 'core panel'),
         (3, '3. Foundation', 'Leaf modules that use nothing else: x, store.', 'ext:far/x store'),
     ]),
-    "auto_tour": ("step INTEGER, title VARCHAR, description VARCHAR, nodes VARCHAR", [
-        (1, 'Main flow', 'The longest chain along the dependency direction.', 'cli panel core store'),
-        (2, 'Around core', '', 'core cli store panel ext:far/x'),
-        (3, 'Around cli', '', 'cli core panel'),
-        (4, 'Around panel', '', 'panel cli core'),
-    ]),
     "board_report": ("path VARCHAR, report VARCHAR", [
         ('b.json', 'goal board: b.json\nschema: goals/1\nmission: ship\ngoals: 4 (1 done · 1 partial · 0 active · 0 pending · 0 deferred · 2 unreadable)\n\n  done       A      first\n  partial    B      second\n  unreadable ?3     third\n  unreadable ?4     <not an object>\n\nunreadable, never green: 2\n  ?3     status word: ???\n  ?4     status word: <none>'),
     ]),
@@ -254,13 +241,3 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('b.json', '4 goals · 1 done · 1 partial · 0 active · 0 pending · 0 deferred · 2 unreadable'),
     ]),
 }
-
-
-def sql(name: str) -> str:
-    """The rows of a fixture as a query."""
-    columns, rows = ROWS[name]
-    literal = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    names = [c.split()[0] for c in columns.split(", ")]
-    shown = ", ".join(f'"{c.split()[0]}"::{c.split()[1]} AS "{c.split()[0]}"' for c in columns.split(", "))
-    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    return f"SELECT {shown} FROM (VALUES {values}) AS v({', '.join(names)})"

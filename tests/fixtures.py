@@ -1,7 +1,4 @@
-"""Queries over small literal inputs, for what no driver table can stand in: source files, specs, boards, pictures.
-
-Their SQL states the expected rows. They read no table, so their rows are the same at every size.
-"""
+"""Operators on small inputs written by hand: source files, specs, boards, pictures."""
 
 from __future__ import annotations
 
@@ -11,7 +8,6 @@ from pyspark.sql import functions as F
 from lumengraph import engine
 from lumengraph.functions import paths as P
 from lumengraph.operators import diagrams, extract, imports, resolve, rollup, tours
-from lumengraph.plans import fixture_rows
 from lumengraph.sources import board
 
 FILES = {
@@ -184,12 +180,6 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, node int, layer int, by_place int, place int")
 
 
-def longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G8, K12."""
-    chain = (12, [(k, k + 1) for k in range(11)])
-    return spark.createDataFrame([(name, " ".join(map(str, diagrams.longest_path(*g)))) for name, g in (GRAPHS | {"long": chain}).items() if name != "cycle"], "name string, path string")
-
-
 def sequence_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two roots the one in main.rs; three steps deep; a later call is marked."""
     known = [("x/main.rs", "main", ""), ("y/other.rs", "main", ""), ("x/b.rs", "b", ""), ("x/c.rs", "c", "async fn c()"), ("x/d.rs", "d", ""), ("x/e.rs", "e", "")]
@@ -224,11 +214,6 @@ def module_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beats(spark, tours.module_tour(BOXES, LINKS))
 
 
-def auto_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest path and the busiest boxes' surroundings."""
-    return _beats(spark, tours.auto_tour(BOXES, LINKS))
-
-
 # Boards
 
 
@@ -260,7 +245,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         extracted_nodes, extracted_facts, extracted_imports, ecosystem, test_paths, script_imports, python_imports, python_bindings, go_imports, java_imports, c_imports, rust_imports, other_language_calls, artifact_flow,
-        path_rules, shared_prefix, layered, longest_paths, sequence_messages, package_tour, module_tour, auto_tour, board_report, board_json, board_line,
+        path_rules, shared_prefix, layered, sequence_messages, package_tour, module_tour, board_report, board_json, board_line,
     )
 }
-ORACLES = {name: fixture_rows.sql(name) for name in fixture_rows.ROWS}
