@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,6 +15,12 @@ from pyspark.sql.types import StructType
 ROWS, BYTES = 1024, 4 << 20
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row of `docs` as one struct, whatever its columns are called."""
+    quoted = [c.replace("`", "``") for c in docs.columns]
+    return F.struct(*[F.col(f"`{c}`") for c in quoted])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = ROWS, size: int = BYTES, inner: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows and about `size` bytes in the column numbered `text`, or its field `inner`."""
     for batch in batches:
@@ -50,6 +56,12 @@ def appended(docs: DataFrame, keep: list[str], added: str, start: Callable[[], C
     return rows.mapInArrow(run, schema)
 
 
+def _same_columns(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """`docs` through `run`, which keeps its columns; they go by number, as names may hold dots."""
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
 def kept(docs: DataFrame, start: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
     """The rows of `docs`, untouched, for whose texts `start()` says true."""
 
@@ -59,7 +71,7 @@ def kept(docs: DataFrame, start: Callable[[], Callable[[list], list]], text: str
             yield part.filter(pa.array(work(part.column(at).to_pylist()), pa.bool_()))
 
     at = docs.columns.index(text)
-    return docs.mapInArrow(run, docs.schema)
+    return _same_columns(docs, run)
 
 
 def replaced(docs: DataFrame, start: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
@@ -73,4 +85,4 @@ def replaced(docs: DataFrame, start: Callable[[], Callable[[list], list]], text:
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     at = docs.columns.index(text)
-    return docs.mapInArrow(run, docs.schema)
+    return _same_columns(docs, run)

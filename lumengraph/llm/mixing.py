@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumengraph.llm.arrow import whole
 from lumengraph.runtime import durable, table
 
 WEIGHTS, CAP, SEEDS = (1, 2, 3), 3, 16
@@ -92,7 +93,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """`docs`, each row as often as the mix takes it."""
     sizes = durable(docs.select("source", size(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("text")).alias("key")), "sizes")
     wanted = durable(seeded(sizes, targets(sizes)), "targets").select("of", "rate", "seed")
-    rows = docs.select(F.struct(*docs.columns).alias("doc")).join(wanted, F.col("doc.source").eqNullSafe(F.col("of")))
+    rows = docs.select(whole(docs).alias("doc")).join(wanted, F.col("doc.source").eqNullSafe(F.col("of")))
     times = copies(F.col("rate"), F.col("seed"), key(F.col("doc.doc_id"), F.col("doc.text"))).cast("int")
     return rows.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")
 

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lumengraph.llm import arrow
 from lumengraph.llm.arrow import slices
 from lumengraph.llm.groups import Forest, components, join_links, linked
 from lumengraph.runtime import durable, table
@@ -234,7 +235,7 @@ def _first_here(left: list, right: list, bucket: int) -> np.ndarray:
 def _joined(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows (doc, row, ck), and per class its label and its component's as (none, id, row), and n_links."""
     bands, rows = bands_for(threshold, recall)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    whole = docs.select(arrow.whole(docs).alias("doc"))
     schema = StructType([StructField("doc", whole.schema["doc"].dataType, False), *StructType.fromDDL("row bigint, ck binary, bands array<bigint>").fields])
     signed = durable(whole.mapInArrow(_signer(n, bands, rows, docs.columns.index("text")), schema), "signed")
     label = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row"))

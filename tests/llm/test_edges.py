@@ -221,3 +221,11 @@ def test_pipeline_of_odd_rows(spark):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed.collect())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, table.limit(0), SF).count() == 0, name
+
+
+@pytest.mark.parametrize("stage", [ngram_join.one_of_each, mixing.mix, secrets.redact])
+def test_columns_with_odd_names_pass(spark, stage):
+    table = docs(spark, [(1, "some words of a text to tell", "en", "a"), (2, None, None, None)]).withColumns({"a.b": F.lit(1), "c d": F.lit("x"), "doc.text": F.lit("y")})
+    made = stage(table)
+    assert made.columns == table.columns
+    assert {(r["doc_id"], r["a.b"], r["c d"], r["doc.text"]) for r in made.collect()} <= {(1, 1, "x", "y"), (2, 1, "x", "y")} and made.count() >= 1
