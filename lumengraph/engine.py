@@ -29,9 +29,10 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, store: str) -> None:
         self.spark, self.root, self.store = spark, root, store
         self._graph: tuple[DataFrame, DataFrame] | None = None
+        self._words: search.Index | None = None
 
     def index(self) -> int:
-        self._graph = None
+        self._graph = self._words = None
         return W.index(self.spark, self.root, self.store)
 
     def watch(self, seconds: int = 5):  # noqa: ANN201
@@ -83,8 +84,11 @@ class Engine:
     def ask(self, query: str, k: int = 10, alpha: float = 0.25, iterations: int = 25) -> DataFrame:
         """The k nodes closest to the best lexical hits."""
         nodes, edges = self.graph()
-        docs = nodes.select("id", grep.indexed_text("name", "path", "search_body").alias("text"))
-        seeds = [(r.id, r.score) for r in search.bm25(docs, "id", "text", query, 3 * k).collect()]
+        if self._words is None:  # texts are cut once for all queries until the next indexing
+            docs = nodes.select("id", grep.indexed_text("name", "path", "search_body").alias("text"))
+            self._words = search.stored(search.build_index(docs, "id", "text"))
+        terms = search.query_terms(self.spark, query)
+        seeds = [(r.id, r.score) for r in search.bm25_indexed(self._words, terms, 3 * k).collect()] if terms else []
         return graph.rank(nodes, edges, seeds, alpha, iterations).orderBy(F.desc("score"), "id").limit(k)
 
     def repo_map(self, max_dirs: int = 30) -> DataFrame:
@@ -136,6 +140,13 @@ class Engine:
         t = self.tables()
         return packages.summary(nodes, edges, t["imports"], t["facts"])
 
+    def package_of(self) -> DataFrame:
+        """(id, package) of all nodes with a path; the package is the one whose folder is the deepest above, else null."""
+        nodes = self.graph()[0]
+        at = nodes.select("id", P.norm(F.col("path")).alias("path"))
+        crates = nodes.where("kind = 'Crate'").select("id", P.directory(P.norm(F.col("path"))).alias("dir"), "ord")
+        return at.join(rollup.owners(at.select("path").distinct(), crates), "path", "left").select("id", "package")
+
     def diagram(self, kind: str = "architecture", root: str = "main", before: dict | None = None, locale: str = "en", package: str | None = None) -> dict | None:
         """A diagram record; an unknown kind means architecture.
 
@@ -146,7 +157,7 @@ class Engine:
         if kind == "sequence":
             return diagrams.sequence(nodes, edges, root, locale)
         if kind == "dataflow":
-            made = diagrams.dataflow(edges)
+            made = diagrams.dataflow(edges, packages=self.package_of())
             if made["nodes"]:
                 return made
             boxes, linked = self.packages()
@@ -266,17 +277,23 @@ def crate_roots(heads: DataFrame, folders: DataFrame, packages: DataFrame) -> Da
     return exact.union(several).where("n = 1").select("head", "root")
 
 
+def _shown(rows: DataFrame) -> list[dict]:
+    """The first rows of a reply; a last entry says how many are left out."""
+    found = [r.asDict() for r in rows.limit(MOST_ROWS + 1).collect()]
+    return found if len(found) <= MOST_ROWS else [*found[:MOST_ROWS], {"left_out": rows.count() - MOST_ROWS}]
+
+
 TOOLS = {
     "index": lambda e, a: {"files": e.index()},
     "ask": lambda e, a: [r.asDict() for r in e.ask(a["query"], a.get("limit", 10), iterations=20).collect()],
     "repo_map": lambda e, a: [r.asDict() for r in e.repo_map(a.get("max_dirs", 30)).collect()],
     "find_all": lambda e, a: {
-        "declarations": [r.asDict() for r in e.declarations(a["pattern"], a.get("ignore_case", False)).drop("ord").limit(MOST_ROWS).collect()],
-        "lines": [r.asDict() for r in e.grep(a["pattern"], a.get("ignore_case", False)).limit(MOST_ROWS).collect()],
+        "declarations": _shown(e.declarations(a["pattern"], a.get("ignore_case", False)).drop("ord")),
+        "lines": _shown(e.grep(a["pattern"], a.get("ignore_case", False))),
     },
-    "trace_calls": lambda e, a: [r.asDict() for r in e.trace(a["symbol"]).limit(MOST_ROWS).collect()],
-    "file_api": lambda e, a: [{"kind": r.kind, "name": r.name} for r in e.skeleton(a["file"]).limit(MOST_ROWS).collect()],
-    "check_freshness": lambda e, a: [r.path for r in e.freshness(a.get("cached_at")).limit(MOST_ROWS).collect()],
+    "trace_calls": lambda e, a: _shown(e.trace(a["symbol"])),
+    "file_api": lambda e, a: _shown(e.skeleton(a["file"]).select("kind", "name")),
+    "check_freshness": lambda e, a: [x.get("path", x) for x in _shown(e.freshness(a.get("cached_at")))],
     "render_diagram": lambda e, a: e.diagram(a.get("type", "architecture"), a.get("entrypoint", "main"), None, a.get("locale", "tr"), a.get("package")),
     "graph_stats": lambda e, a: [r.asDict() for r in e.stats().collect()],
     "goals": lambda e, a: [r.asDict() for r in e.board().collect()],

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengraph.functions import display as V
@@ -17,7 +17,7 @@ from lumengraph.functions import labels as L
 from lumengraph.operators import delta, rollup
 from lumengraph.operators import sequence as calls
 
-MOST_MODULES, MOST_LINKS, MOST_ARTIFACTS, MOST_NODES, MOST_REGIONS = 36, 60, 10, 40, 1000
+MOST_MODULES, MOST_LINKS, MOST_ARTIFACTS, MOST_NODES, MOST_REGIONS, MOST_CALLERS = 36, 60, 10, 40, 1000, 10
 BOX = (150, 56)
 GAP = (60, 40)
 #: One fill for each role.
@@ -197,17 +197,45 @@ def architecture(nodes: DataFrame, edges: DataFrame, title: str = "", locale: st
     return {"title": title, "subtitle": subtitle, "components": boxes, "connections": connections, "regions": _regions(boxes, {}), "story": tours.module_tour(boxes, connections, locale)}
 
 
-def dataflow(edges: DataFrame, most: int = MOST_ARTIFACTS) -> dict:
-    """The most used data files, their first users and the pipelines between them."""
+def dataflow(edges: DataFrame, most: int = MOST_ARTIFACTS, packages: DataFrame | None = None) -> dict:
+    """The most used data files, their first users and the pipelines between them.
+
+    packages: (id, package) of functions; with it, where data enters the program: for each user shown
+    its first caller from another package that isn't shown yet, `MOST_CALLERS` and `MOST_NODES` at most.
+    """
     top = rollup.artifact_ranking(edges, most)
     users = rollup.shown_users(edges).join(top.select("artifact"), "artifact", "left_semi")
     io = edges.where("relation IN ('Writes', 'Reads')").select(F.col("target").alias("artifact"), F.col("source").alias("user"), "relation").distinct()
     rows = users.join(io, ["artifact", "user"]).orderBy("artifact", "place", "relation").collect()
     names = sorted({r.artifact for r in rows} | {r.user for r in rows})
     pipes = [{"from": r.user, "to": r.artifact, "kind": "write"} if r.relation == "Writes" else {"from": r.artifact, "to": r.user, "kind": "read"} for r in rows]
+    entries = entry_calls(edges, [r.user for r in rows], packages, MOST_NODES - len(names)) if packages is not None and rows else []
+    names += [source for source, _ in entries]
+    pipes += [{"from": source, "to": target, "kind": "call"} for source, target in entries]
     return {"nodes": [{"id": n} for n in names], "pipelines": pipes, "hidden": {r.artifact: r.hidden for r in rows}}
 
 
+def entry_calls(edges: DataFrame, users: list[str], packages: DataFrame, room: int, most: int = MOST_CALLERS) -> list[tuple[str, str]]:
+    """(caller, user): in the order of calls, one caller from another package for each user, and one user for each caller.
+
+    A user's first `most` + 1 callers suffice, as no more than `most` can be taken already.
+    """
+    shown = sorted(set(users))
+    own = packages.select(F.col("id").alias("source"), F.col("package").alias("from"))
+    to = packages.where(F.col("id").isin(shown)).select(F.col("id").alias("target"), F.col("package").alias("to"))
+    rows = edges.where("relation = 'Calls'").where(F.col("target").isin(shown) & ~F.col("source").isin(shown)).join(own, "source", "left").join(to, "target", "left")
+    first = rows.where(~F.col("from").eqNullSafe(F.col("to"))).groupBy("source", "target").agg(F.min("ord").alias("ord"))
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("ord", "source"))
+    found = first.withColumn("rank", rank).where(F.col("rank") <= most + 1).orderBy("ord", "target").select("source", "target").collect()
+    taken: dict[str, str] = {}
+    served: set[str] = set()
+    for r in found:
+        if len(taken) < min(most, room) and r.source not in taken and r.target not in served:
+            taken[r.source] = r.target
+            served.add(r.target)
+    return list(taken.items())
+
+
 def file_links(nodes: DataFrame, edges: DataFrame, locale: str = "en", most: int = MOST_NODES) -> dict:
     """The record for a tree without data files or packages: the files with most imports and the imports among them."""
     imports = edges.where("relation = 'Imports'")

@@ -33,7 +33,13 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_frequencies(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of rows (id, tokens), one row an id: counted as runs of the sorted tokens, without a shuffle."""
+    runs = rows.select("id", F.array_sort("tokens").alias("t")).withColumn("n", F.size("t")).where("n > 0")
+    firsts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = runs.withColumn("firsts", firsts)
+    ends = F.concat(F.slice("firsts", F.lit(2), F.size("firsts")), F.array("n"))
+    terms = F.explode(F.zip_with("firsts", ends, lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).cast("bigint").alias("tf"))))
+    return runs.select("id", terms.alias("x")).select("id", "x.term", "x.tf")
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:

@@ -207,3 +207,14 @@ def test_display(spark):
     assert V.fit("ab", 100, 12, 8) == ("ab", 12, False) and V.fit("x" * 40, 60, 12, 8)[2]
     assert one(spark, V.escaped(F.lit('<a & "b">'))) == "&lt;a &amp; &quot;b&quot;&gt;" and one(spark, V.shortened(F.lit("abcdef"), 4)) == "abc…"
     assert [one(spark, V.number(F.lit(x))) for x in (1.0, 2.25, -0.01, 10.0, 0.5)] == ["1", "2.3", "0", "10", "0.5"] or one(spark, V.number(F.lit(10.0))) == "10"
+
+
+def test_callers_of_data_users(spark):
+    calls = [("x", "u"), ("y", "u"), ("x", "v"), ("y", "v"), ("w", "v"), ("same", "w"), ("u", "v"), ("z", "w")]
+    e = spark.createDataFrame([(k, a, b, "Calls", 0.9) for k, (a, b) in enumerate(calls)] + [(50 + k, a, "artifact:f", r, 0.9) for k, (a, r) in enumerate([("u", "Writes"), ("v", "Reads"), ("w", "Reads")])], "ord bigint, source string, target string, relation string, confidence double")
+    own = spark.createDataFrame([("u", "p"), ("v", "p"), ("w", "q"), ("x", "r"), ("y", "r"), ("same", "q"), ("z", None)], "id string, package string")
+    made = diagrams.dataflow(e, packages=own)
+    assert [(p["from"], p["to"]) for p in made["pipelines"] if p["kind"] == "call"] == [("x", "u"), ("y", "v"), ("z", "w")]
+    assert {n["id"] for n in made["nodes"]} == {"artifact:f", "u", "v", "w", "x", "y", "z"}
+    assert diagrams.entry_calls(e, ["u", "v", "w"], own, 1) == [("x", "u")] and diagrams.entry_calls(e, ["u", "v", "w"], own, 0) == []
+    assert not [p for p in diagrams.dataflow(e)["pipelines"] if p["kind"] == "call"]
