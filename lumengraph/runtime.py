@@ -52,6 +52,14 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one, for what a query keeps while the session lasts."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def written() -> list[str]:
     """The folders of intermediate tables so far."""
     return list(_written)
