@@ -183,36 +183,27 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _sql_mask() -> str:
-    return " + ".join(f"CASE WHEN ('0x' || substr(md5('{k}:' || term), 1, 8))::BIGINT % {1 << _level(k)} = 0 THEN {1 << k} ELSE 0 END" for k in range(SUBSETS))
-
-
-def _sql_marks(found: str, sha: str) -> str:
-    one = lambda k: f"list_aggregate(list_transform(list_filter({found}, lambda x: x.mask & {1 << k} <> 0), lambda x: x.term), 'string_agg', ' ')"
-    parts = ", ".join(f"substr(md5(coalesce({one(k)}, '')), 1, 8)" for k in range(SUBSETS))
-    return f"list_concat([{parts}], [CASE WHEN len({found}) = 0 THEN substr({sha}, 1, 16) ELSE '' END])"
-
-
 def _sql_like(a: str, b: str) -> str:
     filled = f"list_filter(range(1, {SUBSETS + 1}), lambda i: {a}[i] <> '{EMPTY}' OR {b}[i] <> '{EMPTY}')"
     return f"CASE WHEN len({filled}) = 0 THEN CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE len(list_filter({filled}, lambda i: {a}[i] = {b}[i]))::DOUBLE / len({filled}) END"
 
 
+# A term stands once for each subset that holds it (about two of them), so that all marks come from one grouping.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text DESC) AS rn FROM documents),
-n AS (SELECT a.rn, a.doc_id, a.body, length(a.body) AS n_chars, b.body AS nxt, b.rn AS nrn
-      FROM d a JOIN d b ON b.rn = CASE WHEN a.rn = (SELECT max(rn) FROM d) THEN 1 ELSE a.rn + 1 END),
-e AS (SELECT *, substr(body, 1, (n_chars - n_chars // 3)::BIGINT) || substr(nxt, 1, (n_chars // 3)::BIGINT) AS edit FROM n),
-t AS (SELECT rn, 0 AS kind, sha256(body) AS sha, list_distinct(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+')) AS w FROM e
-      UNION ALL SELECT rn, 1, sha256(edit), list_distinct(regexp_split_to_array(lower(edit), '[^\p{{L}}\p{{N}}]+')) FROM e),
-x AS (SELECT rn, kind, term FROM (SELECT rn, kind, unnest(w) AS term FROM t) WHERE term <> ''),
-c AS (SELECT term, count(*) AS df FROM x WHERE kind = 0 GROUP BY term),
-l AS (SELECT term, {_sql_mask()} AS mask FROM c
-      WHERE ln((SELECT greatest(count(*), 1) FROM d)::DOUBLE / df) BETWEEN {math.log(1 / BAND[1]) - 1e-12!r} AND {math.log(1 / BAND[0]) + 1e-12!r}),
-f AS (SELECT t.rn, t.kind, any_value(t.sha) AS sha,
-      coalesce(list(struct_pack(term := x.term, mask := l.mask) ORDER BY x.term) FILTER (WHERE l.mask IS NOT NULL), []) AS found
-      FROM t LEFT JOIN x ON x.rn = t.rn AND x.kind = t.kind LEFT JOIN l ON l.term = x.term GROUP BY t.rn, t.kind),
-m AS (SELECT rn, kind, sha, {_sql_marks("found", "sha")} AS m FROM f)
+n AS (SELECT *, length(body) AS n_chars, coalesce(lead(body) OVER o, first_value(body) OVER o) AS nxt, coalesce(lead(rn) OVER o, 1) AS nrn FROM d WINDOW o AS (ORDER BY rn)),
+e AS MATERIALIZED (SELECT rn, nrn, doc_id, n_chars, body, substr(body, 1, (n_chars - n_chars // 3)::BIGINT) || substr(nxt, 1, (n_chars // 3)::BIGINT) AS edit FROM n),
+t AS MATERIALIZED (SELECT rn, 0 AS kind, sha256(body) AS sha, body FROM e UNION ALL SELECT rn, 1, sha256(edit), edit FROM e),
+x AS MATERIALIZED (SELECT rn, kind, term FROM (SELECT rn, kind, unnest(list_distinct(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'))) AS term FROM t) WHERE term <> ''),
+l AS MATERIALIZED (SELECT term FROM x WHERE kind = 0 GROUP BY term
+      HAVING ln((SELECT greatest(count(*), 1) FROM d)::DOUBLE / count(*)) BETWEEN {math.log(1 / BAND[1]) - 1e-12!r} AND {math.log(1 / BAND[0]) + 1e-12!r}),
+s AS MATERIALIZED (SELECT term, k FROM l, range({SUBSETS}) AS u(k) WHERE ('0x' || substr(md5(k || ':' || term), 1, 8))::BIGINT % (1 << {list(LEVELS)}[k % {len(LEVELS)} + 1]) = 0),
+g AS (SELECT rn, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS mark FROM x JOIN s USING (term) GROUP BY ALL),
+h AS (SELECT rn, kind, map(list(k), list(mark)) AS marks FROM g GROUP BY ALL),
+i AS (SELECT DISTINCT rn, kind FROM x JOIN l USING (term)),
+m AS MATERIALIZED (
+  SELECT t.rn, t.kind, sha, list_concat(list_transform(range({SUBSETS}), lambda k: coalesce(marks[k], '{EMPTY}')), [CASE WHEN i.rn IS NULL THEN substr(sha, 1, 16) ELSE '' END]) AS m
+  FROM t LEFT JOIN h ON h.rn = t.rn AND h.kind = t.kind LEFT JOIN i ON i.rn = t.rn AND i.kind = t.kind)
 SELECT e.doc_id, e.n_chars, m1.sha AS edited_sha256, array_to_string(m0.m, '-') AS fingerprint, array_to_string(m1.m, '-') AS edited_fingerprint,
        {_sql_like("m0.m", "m1.m")} AS near_edited, {_sql_like("m0.m", "m2.m")} AS near_next
 FROM e JOIN m m0 ON m0.rn = e.rn AND m0.kind = 0 JOIN m m1 ON m1.rn = e.rn AND m1.kind = 1 JOIN m m2 ON m2.rn = e.nrn AND m2.kind = 0
