@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengraph.operators import graph as G
-from lumengraph.operators import grep
+from lumengraph.operators import grep, layering
 from lumengraph.sources import driver_graph as D
 
 SEEDS = [("file:crates/r0/src/n0.rs", 1.0), ("crates/r1/Cargo.toml:r1", 0.5), ("not a node", 3.0)]
@@ -100,6 +100,12 @@ def trace_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.trace(D.load(spark, sf_dir).edges, ":fn_12#")
 
 
+def graph_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strong part of every node and its layer by longest ways, over all nodes and relations."""
+    g = D.load(spark, sf_dir)
+    return layering.layers(g.nodes, g.edges)
+
+
 def _rank_sql(nodes: str, edges: str) -> str:
     steps = "".join(
         f""", r{k} AS MATERIALIZED (SELECT n.id, p.p, {1 - ALPHA} * (coalesce(s.got, 0) + p.p * (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE id NOT IN (SELECT source FROM od))) + {ALPHA} * p.p AS r
@@ -127,7 +133,7 @@ QUERIES = {
     "in_degree": in_degree, "incoming_reference_count": incoming_reference_count, "dir_stats": dir_stats, "dir_hubs_top3": dir_hubs_top3, "hotspots_top12": hotspots_top12,
     "repo_map": repo_map, "kind_histogram": kind_histogram, "relation_histogram": relation_histogram, "known_edges": known_edges, "graphrank": graphrank, "graphrank_joins": graphrank_joins,
     "reachable_set": reachable_set, "three_hop_calls": three_hop_calls, "shortest_route": shortest_route, "edge_directions": edge_directions, "source_hub_leaf": source_hub_leaf,
-    "skeleton_suffix": skeleton_suffix, "trace_calls": trace_calls,
+    "skeleton_suffix": skeleton_suffix, "trace_calls": trace_calls, "graph_layers": graph_layers,
 }
 ORACLES = {
     "in_degree": f"WITH {D.SQL} SELECT target AS id, count(*) AS refs FROM edges GROUP BY target",
@@ -152,4 +158,15 @@ ORACLES = {
     "skeleton_suffix": f"WITH {D.SQL} SELECT path, ord, kind, name FROM nodes WHERE path LIKE '%src/n1.rs' AND kind <> 'File'",
     "trace_calls": f"""WITH {D.SQL} SELECT 'caller' AS side, source AS id, target AS of FROM edges WHERE relation = 'Calls' AND contains(target, ':fn_12#')
       UNION ALL SELECT 'callee', target, source FROM edges WHERE relation = 'Calls' AND contains(source, ':fn_12#')""",
+    # What no edge leaves leads nowhere: only the others are followed to the end.
+    "graph_layers": f"""WITH RECURSIVE {D.SQL},
+      e AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE source <> target AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+      inner_e AS MATERIALIZED (SELECT source, target FROM e WHERE target IN (SELECT source FROM e) AND source IN (SELECT target FROM e)),
+      lead AS (SELECT source AS a, target AS b FROM inner_e UNION SELECT a, target FROM lead JOIN inner_e ON source = b),
+      m AS MATERIALIZED (SELECT * FROM lead),
+      cyc AS (SELECT x.a AS id, min(x.b) AS part FROM m x JOIN m y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+      parts AS MATERIALIZED (SELECT DISTINCT id, least(coalesce(part, id), id) AS part FROM nodes LEFT JOIN cyc USING (id)),
+      be AS MATERIALIZED (SELECT DISTINCT s.part AS a, t.part AS b FROM e JOIN parts s ON s.id = source JOIN parts t ON t.id = target WHERE s.part <> t.part),
+      down AS (SELECT part, 0 AS layer FROM parts UNION SELECT b, layer + 1 FROM down JOIN be ON a = part)
+      SELECT id, part, layer FROM parts JOIN (SELECT part, max(layer)::INTEGER AS layer FROM down GROUP BY part) USING (part)""",
 }
