@@ -9,6 +9,7 @@ from typing import TextIO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumengraph import session
 from lumengraph.functions import display as V
 from lumengraph.functions import paths as P
 from lumengraph.operators import delta, diagrams, extract, graph, grep, packages, resolve, rollup, search
@@ -81,14 +82,23 @@ class Engine:
         nodes = nodes.unionByName(far, allowMissingColumns=True)
         return nodes, durable(edges, "graph_edges")
 
+    def words(self) -> search.Index:
+        """The index of all nodes' texts; they are cut once for all queries until the next indexing."""
+        if self._words is None:
+            docs = self.graph()[0].select("id", grep.indexed_text("name", "path", "search_body").alias("text"))
+            self._words = search.stored(search.build_index(docs, "id", "text"))
+        return self._words
+
+    def register(self) -> None:
+        """Makes the graph and its index part of the session's SQL (see `session`), as they are now."""
+        session.register_search(self.spark, self.words())
+        session.register_graph(self.spark, *self.graph())
+
     def ask(self, query: str, k: int = 10, alpha: float = 0.25, iterations: int = 25) -> DataFrame:
         """The k nodes closest to the best lexical hits."""
         nodes, edges = self.graph()
-        if self._words is None:  # texts are cut once for all queries until the next indexing
-            docs = nodes.select("id", grep.indexed_text("name", "path", "search_body").alias("text"))
-            self._words = search.stored(search.build_index(docs, "id", "text"))
         terms = search.query_terms(self.spark, query)
-        seeds = [(r.id, r.score) for r in search.bm25_indexed(self._words, terms, 3 * k).collect()] if terms else []
+        seeds = [(r.id, r.score) for r in search.bm25_indexed(self.words(), terms, 3 * k).collect()] if terms else []
         return graph.rank(nodes, edges, seeds, alpha, iterations).orderBy(F.desc("score"), "id").limit(k)
 
     def repo_map(self, max_dirs: int = 30) -> DataFrame:

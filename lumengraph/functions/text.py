@@ -80,6 +80,14 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: F.octet_length(t) > 1)
 
 
+def spark_sql_tokens(text: str) -> str:
+    """`tokens` as Spark SQL, for functions that a session defines in SQL."""
+    cut = SEPARATORS.replace("'", r"\x27") + SPACES
+    camel = rf"regexp_replace(coalesce({text}, ''), r'(\p{{IsLowercase}}[^\p{{IsUppercase}}\p{{IsLowercase}}{cut}]*)(\p{{IsUppercase}})', '$1 $2')"
+    marks = "".join(chr(c) for c in (*range(0x64B, 0x653), 0x670))
+    return f"filter(split(lower(translate(translate({camel}, '{FOLD_FROM + marks}', '{FOLD_TO}'), 'Σ', 'σ')), r'[{cut}]+'), t -> octet_length(t) > 1)"
+
+
 def words_all_in(query: str, haystack: Column) -> Column:
     """Whether every word of the query is a substring of the folded text."""
     needles = F.filter(F.split(fold_tr(F.lit(query)), f"[{SPACES}]+"), lambda w: w != "")

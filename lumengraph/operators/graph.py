@@ -103,6 +103,16 @@ def rank(nodes: DataFrame, edges: DataFrame, seeds: list[tuple[str, float]], alp
     return _walk(nodes, real, weights, alpha, iterations)
 
 
+def walked(n: int, s: np.ndarray, t: np.ndarray, p: np.ndarray, alpha: float = 0.25, iterations: int = 25) -> np.ndarray:
+    """Ranks of `n` nodes whose edges go from places `s` to places `t`, restarting by `p`."""
+    out = np.bincount(s, minlength=n)
+    r = p.copy()
+    for _ in range(iterations):
+        spread = np.bincount(t, r[s] / out[s], n) if len(s) else np.zeros(n)
+        r = (1 - alpha) * (spread + p * r[out == 0].sum()) + alpha * p
+    return r
+
+
 def _kernel(nodes: DataFrame, edges: DataFrame, weights: dict[str, float], alpha: float, iterations: int) -> DataFrame:
     rows = nodes.select(F.col("id").alias("source"), F.lit(None).cast("string").alias("target")).distinct().unionByName(edges)
 
@@ -113,13 +123,7 @@ def _kernel(nodes: DataFrame, edges: DataFrame, weights: dict[str, float], alpha
         at = {x: k for k, x in enumerate(ids)}
         links = frame[frame["target"].notna()]
         s, t = links["source"].map(at).to_numpy(np.int64), links["target"].map(at).to_numpy(np.int64)
-        out = np.bincount(s, minlength=len(ids))
-        p = _teleport(ids, weights)
-        r = p.copy()
-        for _ in range(iterations):
-            spread = np.bincount(t, r[s] / out[s], len(ids)) if len(s) else np.zeros(len(ids))
-            r = (1 - alpha) * (spread + p * r[out == 0].sum()) + alpha * p
-        yield pd.DataFrame({"id": ids, "score": r})
+        yield pd.DataFrame({"id": ids, "score": walked(len(ids), s, t, _teleport(ids, weights), alpha, iterations)})
 
     return rows.repartition(1).mapInPandas(walk, "id string, score double").where(F.col("score") > LEAST_RANK)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text_search", "graph_reports", "resolution", "records", "package_reports", "calls", "linking")
+MODULES: tuple[str, ...] = ("text_search", "graph_reports", "resolution", "records", "package_reports", "calls", "linking", "session_sql")
 
 
 def _merged(name: str) -> dict:
