@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import labels as L
 from lumengraph.functions import paths as P
-from lumengraph.operators import delta, resolve, rollup
-from lumengraph.runtime import table
+from lumengraph.operators import delta, relink, resolve, rollup
+from lumengraph.runtime import durable, table
 from lumengraph.sources import driver_graph as D
 
 
@@ -82,6 +82,23 @@ def tiered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(_calls(spark, sf_dir), fns, rules)
 
 
+def relinked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same calls, brought up to date from what they were before the files of some nations changed.
+
+    Those files called other names, lacked every third function, had others under another name and one import fewer.
+    """
+    fns, calls, imports, deps = _functions(spark, sf_dir), _calls(spark, sf_dir), _imports(spark, sf_dir), _package_deps(spark, sf_dir)
+    edited = F.col("file").rlike(r"[27][.]rs$")  # every fifth nation
+    k = F.col("ord")
+    fns_then = fns.where(~edited | (k % 3 != 0)).withColumn("name", F.when(edited & (k % 4 == 0), F.concat("name", F.lit("_then"))).otherwise(F.col("name")))
+    calls_then = calls.withColumn("name", F.when(edited & (F.col("tok_ord") % 2 == 0), F.concat("name", F.lit("_then"))).otherwise(F.col("name"))).join(fns_then.select(F.col("id").alias("caller")), "caller", "left_semi")
+    imports_then = imports.where(~edited | (F.col("other_file") > F.col("file")))
+    before = relink.State(calls_then, fns_then, resolve.free_function_rules(imports_then, deps, fns_then))
+    after = relink.State(calls, fns, resolve.free_function_rules(imports, deps, fns))
+    then = durable(resolve.resolve(before.calls, before.definitions, before.rules), "then")
+    return relink.relink(then, before, after)
+
+
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.call_edges(tiered_calls(spark, sf_dir)).drop("tok_ord")
 
@@ -265,7 +282,7 @@ _STATE = "(SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'done' WHEN t
 QUERIES = {
     f.__name__: f
     for f in (
-        unique_resolution, tiered_calls, method_calls, typed_calls, rust_call_edges, call_edges, owner_longest_prefix, module_rollup, module_dependencies_dominant, topk_modules, topk_dependencies, weighted_degree, heaviest_outgoing,
+        unique_resolution, tiered_calls, relinked_calls, method_calls, typed_calls, rust_call_edges, call_edges, owner_longest_prefix, module_rollup, module_dependencies_dominant, topk_modules, topk_dependencies, weighted_degree, heaviest_outgoing,
         artifact_ranking, artifact_users, users_top4_hidden, public_api_top4, cross_package_callers, import_degree, merged_links, lines_per_package, role_inference, legend_counts, relation_labels,
         path_normalize, delta_components, delta_connections, incremental_changes, freshness, fnv1a_hash, forget_owner, status_board, status_counts,
     )
@@ -281,6 +298,7 @@ ORACLES = {
       mo AS (SELECT f.id AS caller, o_orderkey AS tok_ord, min(t.id) AS target, 0.95::DOUBLE AS confidence FROM orders JOIN fn f ON o_custkey + 10000 = f.ord JOIN imp ON imp.file = f.file AND imp.other LIKE '%/n' || (o_orderkey % 25) || '.rs'
         JOIN fn t ON t.file = imp.other AND t.name = 'fn_' || (o_orderkey % 1400) WHERE o_orderkey % 3 = 0 GROUP BY ALL HAVING count(*) = 1)
       SELECT caller AS source, target, arg_min(confidence, tok_ord) AS confidence FROM (SELECT * FROM res UNION ALL SELECT * FROM mo) WHERE caller <> target GROUP BY ALL""",
+    "relinked_calls": f"WITH {_TIERS} SELECT * FROM res",
     "tiered_calls": f"WITH {_TIERS} SELECT * FROM res",
     "call_edges": f"WITH {_TIERS} SELECT caller AS source, target, arg_min(confidence, tok_ord) AS confidence FROM res WHERE caller <> target GROUP BY ALL",
     "owner_longest_prefix": f"WITH {D.SQL}, p AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_max(id, ord) AS package FROM nodes WHERE kind = 'Crate' OR (kind = 'File' AND ord % 2 = 0) GROUP BY 1), f AS (SELECT DISTINCT path FROM nodes WHERE kind IN ('File', 'Function')) SELECT path, arg_max(package, length(dir)) AS package FROM f JOIN p ON starts_with(path, dir || '/') GROUP BY path",
