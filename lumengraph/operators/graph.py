@@ -139,12 +139,12 @@ def _walk(nodes: DataFrame, edges: DataFrame, weights: dict[str, float], alpha:
     links = durable(edges.groupBy("source", "target").agg(F.count("*").alias("n")).withColumnRenamed("source", "id"), "links")
     now = base.select("id", "p", "out", F.col("p").alias("r"))
     for _ in range(iterations):
-        # Each round is written once: its ranks are met from three sides, and a lost executor costs no earlier round.
-        lost = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")).first().lost
+        # Each round is one job, written once: its ranks are met from three sides, and a lost executor costs no earlier round.
+        lost = F.broadcast(now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")))  # one row
         none = F.lit(None).cast("double")
         sent = now.where("out IS NOT NULL").join(links, "id").select(F.col("target").alias("id"), (F.col("r") / F.col("out") * F.col("n")).alias("got"), none.alias("p"), F.lit(None).cast("bigint").alias("out"))
         whole = sent.union(now.select("id", F.lit(0.0).alias("got"), "p", "out")).groupBy("id").agg(F.sum("got").alias("got"), F.max("p").alias("p"), F.max("out").alias("out"))
-        now = durable(whole.select("id", "p", "out", ((1 - alpha) * (F.col("got") + F.col("p") * lost) + alpha * F.col("p")).alias("r")), "rank")
+        now = durable(whole.join(lost).select("id", "p", "out", ((1 - alpha) * (F.col("got") + F.col("p") * F.col("lost")) + alpha * F.col("p")).alias("r")), "rank")
     return now.select("id", F.col("r").alias("score")).where(F.col("score") > LEAST_RANK)
 
 

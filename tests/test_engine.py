@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumengraph import engine as E
+from lumengraph.operators import search
 from lumengraph.sources import files, tree
 from lumengraph.sources.store import Store
 from lumengraph.streaming import watch as W
@@ -38,6 +39,10 @@ def test_index_ask_and_change(spark, tmp_path):
     assert ("crates/core/src/db.rs:open_store", "artifact:cache.db", "Writes") in links
     assert ("web/app.ts:draw", "web/util.ts:paint", "Calls") in links and ("file:web/app.ts", "file:web/util.ts", "Imports") in links
     assert engine.ask("open store", 5).first().id == "crates/core/src/db.rs:open_store"
+    engine.register()
+    found = [r.id for r in spark.sql("SELECT id FROM search('open store', 5) ORDER BY place").collect()]
+    assert found and found == [r.id for r in search.bm25_indexed(engine.words(), ["open", "store"], 5).collect()]
+    assert spark.sql("SELECT * FROM trace_calls('open_store')").count() == 1
     assert engine.grep("fn +START", True).count() == 1 and engine.skeleton("db.rs").count() == 1
     assert engine.trace("open_store").count() == 1 and engine.freshness(None).first().path == "(no cache)"
     assert engine.wiring()[0] == 1
