@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lumengraph.functions import text as T
 from lumengraph.runtime import durable
@@ -18,49 +23,75 @@ MOST_TERMS = 10_000
 
 @dataclass
 class Index:
-    """Postings (id, term, tf), document lengths, document frequencies and corpus totals."""
+    """Postings (id, term, tf), document lengths, document frequencies and corpus totals; `rows`, if given, is `counted` of the texts."""
 
     postings: DataFrame
     lengths: DataFrame
     frequencies: DataFrame
     totals: DataFrame
+    rows: DataFrame | None = None
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens) of composed texts."""
-    rows = T.nfc(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    return rows.select("id", T.tokens(F.col("text")).alias("tokens"))
+def tokenized(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, tokens) of composed texts, and `more` columns of theirs."""
+    rows = T.nfc(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more), "text")
+    return rows.select("id", T.tokens(F.col("text")).alias("tokens"), *more)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """`rows(id, tokens, ...)` with `length` and `terms`, an array of (term, tf), for tokens: counted over a whole batch at once, without a shuffle."""
+    rest = [StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "tokens"]
+    terms = StructType().add("term", "string").add("tf", "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists = part.column(len(rest))
+            codes = lists.flatten().dictionary_encode()
+            words, n = codes.dictionary, max(len(codes.dictionary), 1)
+            at = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64) * n + codes.indices.to_numpy(zero_copy_only=False)
+            pairs, tf = np.unique(at, return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(part.num_rows + 1, dtype=np.int64) * n)
+            held = pa.StructArray.from_arrays([words.take(pa.array(pairs % n)), pa.array(tf.astype(np.int64))], ["term", "tf"])
+            made = [pc.list_value_length(lists).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), held)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *made], names=[*part.schema.names[: len(rest)], "length", "terms"])
+
+    schema = StructType([*rest, StructField("length", IntegerType()), StructField("terms", ArrayType(terms))])
+    return rows.select(*[f.name for f in rest], "tokens").mapInArrow(count, schema)
 
 
 def term_frequencies(rows: DataFrame) -> DataFrame:
-    """(id, term, tf) of rows (id, tokens), one row an id: counted as runs of the sorted tokens, without a shuffle."""
-    runs = rows.select("id", F.array_sort("tokens").alias("t")).withColumn("n", F.size("t")).where("n > 0")
-    firsts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    runs = runs.withColumn("firsts", firsts)
-    ends = F.concat(F.slice("firsts", F.lit(2), F.size("firsts")), F.array("n"))
-    terms = F.explode(F.zip_with("firsts", ends, lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).cast("bigint").alias("tf"))))
-    return runs.select("id", terms.alias("x")).select("id", "x.term", "x.tf")
+    """(id, term, tf) of rows (id, tokens), one row an id."""
+    return postings(counted(rows.select("id", "tokens")))
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(id, term, tf) of `counted` rows."""
+    return rows.select("id", F.explode("terms").alias("x")).select("id", "x.term", "x.tf")
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """An index over texts, computed where it is used; `stored` writes it to serve many queries."""
     rows = tokenized(docs, id_col, text_col)
-    postings = term_frequencies(rows)
     lengths = rows.select("id", F.size("tokens").alias("length"))
     return Index(
-        postings,
+        term_frequencies(rows),
         lengths,
         # One row per document and term leaves a task as one row per term.
         rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
         lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")),
+        counted(rows),
     )
 
 
 def stored(index: Index) -> Index:
     """The same index from written tables: texts are cut once for all queries to come."""
-    postings, lengths = durable(index.postings, "postings"), durable(index.lengths, "lengths")
-    frequencies = durable(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    return Index(postings, lengths, frequencies, lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")))
+    if index.rows is None:
+        found, lengths = durable(index.postings, "postings"), durable(index.lengths, "lengths")
+    else:
+        rows = durable(index.rows, "documents")
+        found, lengths = postings(rows), rows.select("id", "length")
+    frequencies = durable(found.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    return Index(found, lengths, frequencies, lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")))
 
 
 def weight(tf: Column, df: Column, length: Column, documents: Column, mean: Column) -> Column:

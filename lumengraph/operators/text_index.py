@@ -43,17 +43,16 @@ class TextIndex:
         rows = docs.select(F.col(id_col).cast("string").alias("path"), text.alias("text"), F.xxhash64(text).alias("hash"))
         held = known.select("path", F.col("hash").alias("old"))
         fresh = rows.join(held, "path", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("path", "text", "hash")
-        cut = search.tokenized(fresh, "path", "text").join(fresh.select(F.col("path").alias("id"), "hash"), "id")
-        cut = durable(cut, "cut")
+        cut = durable(search.counted(search.tokenized(fresh, "path", "text", "hash")), "cut")
         gone = durable(known.select("path").join(rows.select("path"), "path", "left_anti"), "gone")
         count = cut.count()
         if not count and last is not None and gone.isEmpty():
             discard(self.spark, [p for p in written() if p not in before])
             return 0
         segments = list(last.segments) if last else []
-        new = self._written(search.term_frequencies(cut).withColumnRenamed("id", "path")) if count else None
+        new = self._written(search.postings(cut).withColumnRenamed("id", "path")) if count else None
         stays = known.join(gone, "path", "left_anti").join(cut.select(F.col("id").alias("path")), "path", "left_anti")
-        files = stays.unionByName(cut.select(F.col("id").alias("path"), "hash", F.size("tokens").alias("length"), F.lit(new).alias("segment")))
+        files = stays.unionByName(cut.select(F.col("id").alias("path"), "hash", "length", F.lit(new).alias("segment")))
         folder = self.store.write(files, "files")
         segments += [new] if new else []
         if len(segments) > self.most:

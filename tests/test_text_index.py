@@ -38,3 +38,10 @@ def test_updates_equal_a_new_index(spark, tmp_path):
     assert told("write http") == best(spark, docs, "write http") and told("") == [] and told("unknown") == []
     docs.clear()
     assert put() == 0 and told("open") == []
+
+
+def test_counted_terms_of_empty_null_and_repeated_texts(spark):
+    docs = spark.createDataFrame([(1, "open store open"), (2, ""), (3, None), (3, "café Café"), (4, "x")], "i bigint, t string")
+    rows = search.counted(search.tokenized(docs, "i", "t"))
+    got = sorted((r.id, r.length, sorted((x.term, x.tf) for x in r.terms)) for r in rows.collect())
+    assert got == [(1, 3, [("open", 2), ("store", 1)]), (2, 0, []), (3, 0, []), (3, 2, [("café", 2)]), (4, 0, [])]
