@@ -144,17 +144,51 @@ def bm25_indexed(index: Index, terms: list[str], k: int) -> DataFrame:
 
 
 def bm25_many(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, place, id, score): for each of `queries(query_id, query)` its k best documents, in one pass over the postings.
+    """(query_id, place, id, score): for each of `queries(query_id, query)` its k best documents.
 
     Repeated words of a query count as often; ties go by id. Scores are compared to six decimals.
+
+    Queries that come to the same words of the index are searched once. A search meets the documents of
+    its telling words alone, see `_telling`. A document's weights lie beside each of its postings, so
+    that its score is worked out where it is met and only the k best of a task are shuffled.
     """
     asked = T.nfc(queries.select("query_id", "query"), "query").select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = asked.join(index.frequencies.select("term"), "term", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("words"))
     asked = durable(asked, "asked")
-    terms = asked.select("term").distinct()
+    sets = durable(asked.select("words").distinct().select(F.monotonically_increasing_id().alias("search"), "words"), "searches")
+    terms = durable(sets.select(F.explode("words.term").alias("term")).distinct(), "terms")
     totals = F.broadcast(index.totals.limit(1))  # one row
     # A term's weight in a document is worked out once for all queries that ask for it.
     weighed = index.postings.join(terms, "term", "left_semi").join(index.frequencies.join(terms, "term", "left_semi"), "term").join(index.lengths, "id").join(totals)
     weighed = weighed.select("term", "id", weight(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("mean_length")).alias("w"))
-    scores = asked.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where(F.col("score") > LEAST_SCORE).withColumn("score", F.round("score", 6))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "id", "score")
+    held = durable(weighed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("held")), "held")
+    postings = held.select("id", "held", F.explode("held").alias("term", "w"))
+    searches = durable(_telling(sets, postings.select("term", "w"), k), "telling").withColumn("term", F.explode("telling"))
+    # A document that holds several telling words is met by each and counts at the first.
+    met = searches.join(postings.drop("w"), "term").where(F.col("term") == F.get(F.filter("telling", lambda t: F.map_contains_key("held", t)), F.lit(0)))
+    score = F.aggregate("words", F.lit(0.0), lambda total, x: total + F.coalesce(F.try_element_at("held", x["term"]), F.lit(0.0)) * x["qtf"])
+    scores = met.select("search", "id", score.alias("score")).where(F.col("score") > LEAST_SCORE).withColumn("score", F.round("score", 6))
+    place = F.row_number().over(Window.partitionBy("search").orderBy(F.desc("score"), "id"))
+    best = durable(scores.withColumn("place", place).where(F.col("place") <= k).join(sets, "search").select("words", "place", "id", "score"), "best")
+    # Written first, so that the join can split the queries that come to the same words.
+    return asked.join(best, "words").select("query_id", "place", "id", "score")
+
+
+def _telling(sets: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """`sets(search, words)` with `telling`: words one of which each of the k best documents holds.
+
+    The k-th best weight of any of its words is a score that k documents reach. Words whose best weights
+    together stay below that can't lift a document among them alone: the rest are telling.
+    """
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("w")))
+    first = weights.withColumn("place", place).where(F.col("place") <= k)
+    bounds = first.groupBy("term").agg(F.max("w").alias("most"), F.coalesce(F.max(F.when(F.col("place") == k, F.col("w"))), F.lit(0.0)).alias("kth"))
+    each = sets.select("search", "words", F.explode("words").alias("x")).select("search", "words", "x.term", "x.qtf").join(bounds, "term")
+    limit = F.struct((F.col("most") * F.col("qtf")).alias("most"), "term")
+    found = each.groupBy("search", "words").agg(F.array_sort(F.collect_list(limit)).alias("limits"), F.max(F.col("kth") * F.col("qtf")).alias("reached"))
+    start = F.struct(F.lit(0.0).alias("most"), F.lit(0).alias("n"))
+    # A margin for scores that are rounded to six decimals.
+    low = lambda s, x: s["most"] + x["most"] < F.col("reached") - 1e-5
+    step = lambda s, x: F.struct((s["most"] + x["most"]).alias("most"), (s["n"] + F.when(low(s, x), 1).otherwise(0)).alias("n"))
+    n = F.aggregate("limits", start, step, lambda s: s["n"])
+    return found.select("search", "words", F.slice("limits.term", n + 1, F.size("limits") - n).alias("telling"))

@@ -45,3 +45,26 @@ def test_counted_terms_of_empty_null_and_repeated_texts(spark):
     rows = search.counted(search.tokenized(docs, "i", "t"))
     got = sorted((r.id, r.length, sorted((x.term, x.tf) for x in r.terms)) for r in rows.collect())
     assert got == [(1, 3, [("open", 2), ("store", 1)]), (2, 0, []), (3, 0, []), (3, 2, [("café", 2)]), (4, 0, [])]
+
+
+def test_queries_of_the_same_words_are_searched_once_and_lose_nothing(spark):
+    rng = random.Random(5)
+    # Common words, rare ones, and a rare one that no document holds twice.
+    docs = [(k, " ".join([*rng.choices(["aa", "bb", "cc"], [9, 5, 2], k=rng.randrange(30)), *([f"rare{k % 17}"] if k % 3 == 0 else []), *(["lone"] if k == 77 else [])])) for k in range(400)]
+    index = search.stored(search.build_index(spark.createDataFrame(docs, "i bigint, t string"), "i", "t"))
+    asked = [" ".join(rng.choices(["aa", "bb", "cc", "lone", "nowhere", *(f"rare{k}" for k in range(17))], k=rng.randrange(1, 6))) for _ in range(40)]
+    asked += [f"{asked[0]} page{k}" for k in range(30)]
+    queries = spark.createDataFrame([*enumerate(asked)], "query_id bigint, query string")
+    got = {}
+    for r in search.bm25_many(index, queries, 3).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.id, r.score))
+    for k, query in enumerate(asked):
+        if k < 12 or k > 66:
+            scores = [(round(r.score, 6), r.id) for r in search.bm25_indexed(index, query.split(), 400).collect()]
+            want = sorted(scores, key=lambda x: (-x[0], x[1]))[:3]
+            assert sorted(got.get(k, [])) == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
+    # The common words alone have many documents; beside a rare word they are no longer looked up.
+    sets = spark.createDataFrame([(1, [("aa", 1), ("lone", 1)]), (2, [("aa", 1), ("rare1", 1)])], "search bigint, words array<struct<term: string, qtf: bigint>>")
+    weights = spark.createDataFrame([("aa", 0.1 + k / 1000) for k in range(9)] + [("rare1", 2.0 + k) for k in range(4)] + [("lone", 3.0)], "term string, w double")
+    telling = {r.search: sorted(r.telling) for r in search._telling(sets, weights, 3).collect()}
+    assert telling == {1: ["aa", "lone"], 2: ["rare1"]}
