@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from lumengraph import session
 from lumengraph.operators import search
 from lumengraph.plans.text_search import ORACLES as TEXT_ORACLES
-from lumengraph.runtime import table
+from lumengraph.runtime import durable, table
 from lumengraph.sources import driver_graph as D
 
 
 def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.12: the three best documents for the address of every page, by a lateral call of `search`."""
+    """2.12: the three best documents for the address of every page, by a lateral call of `search_terms` for each set of words."""
     session.register_search(spark, search.stored(search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")))
-    return spark.sql("SELECT page_id, s.place, s.id AS doc_id, s.score FROM {pages} AS p, LATERAL search(p.url, 3) AS s", pages=table(spark, sf_dir, "pages"))
+    asked = durable(spark.sql("""
+        SELECT page_id, array_sort(collect_list(term)) AS words FROM {pages}, LATERAL query_terms(url)
+        LEFT SEMI JOIN index_terms USING (term) GROUP BY page_id""", pages=table(spark, sf_dir, "pages")), "asked")
+    found = durable(spark.sql("SELECT words, s.* FROM (SELECT DISTINCT words FROM {asked}), LATERAL search_terms(words, 3) AS s", asked=asked), "found")
+    return spark.sql("SELECT page_id, place, id AS doc_id, score FROM {asked} JOIN {found} USING (words)", asked=asked, found=found)
 
 
 def sql_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,9 @@ def register_search(spark: SparkSession, index: search.Index) -> None:
     """`search(query, k)`: the k best (place, id, score) of an index, as `search.bm25_many` ranks them.
 
     An empty or null query finds nothing. The weights of the terms in their documents are written once, as the view
-    `term_weights(term, id, weight)`; a search meets the few rows of its terms.
+    `term_weights(term, id, weight)`; a search meets the few rows of its terms. `index_terms(term)` are all terms,
+    `query_terms(query)` cuts a query, and `search_terms(words, k)` is the search for an array of terms: a statement
+    with many queries leaves out what no document holds and searches once for those that come to the same words.
     """
     prepare(spark)
     totals = F.broadcast(index.totals.limit(1))  # one row
@@ -43,13 +45,18 @@ def register_search(spark: SparkSession, index: search.Index) -> None:
     durable(weights.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "weights").createOrReplaceTempView("term_weights")
     spark.udf.register("composed", _composed)
     kind = dict(weights.dtypes)["id"]
-    _define(spark, "search", "query STRING, k INT", f"place INT, id {kind}, score DOUBLE", f"""
+    durable(index.frequencies.select("term"), "terms").createOrReplaceTempView("index_terms")
+    _define(spark, "query_terms", "query STRING", "term STRING", f"SELECT e.term FROM (SELECT composed(query_terms.query) AS q), LATERAL explode({T.spark_sql_tokens("q")}) AS e(term)")
+    kind = dict(weights.dtypes)["id"]
+    cut = f"SELECT term FROM (SELECT composed(search.query) AS q), LATERAL explode({T.spark_sql_tokens("q")}) AS e(term)"
+    for name, taken, asked in (("search", "query STRING", cut), ("search_terms", "words ARRAY<STRING>", "SELECT explode(search_terms.words) AS term")):
+        _define(spark, name, f"{taken}, k INT", f"place INT, id {kind}, score DOUBLE", f"""
         SELECT place, id, score FROM (
           SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM (
             SELECT id, round(sum(weight * qtf), 6) AS score
-            FROM (SELECT term, count(*) AS qtf FROM (SELECT composed(search.query) AS q), LATERAL explode({T.spark_sql_tokens("q")}) AS e(term) GROUP BY term)
+            FROM (SELECT term, count(*) AS qtf FROM ({asked}) GROUP BY term)
             JOIN term_weights USING (term) GROUP BY id HAVING sum(weight * qtf) > {search.LEAST_SCORE}))
-        WHERE place <= search.k""")
+        WHERE place <= {name}.k""")
 
 
 @F.pandas_udf(StringType())

@@ -74,3 +74,13 @@ def test_nearest_is_the_rank_per_query(spark, small):
         want = {r.id: round(r.score, 9) for r in graph.rank(nodes, edges, own).collect()}
         assert {r.id: round(r.score, 9) for r in found if r.query == q} == want
     assert {r.query for r in found} == {"a", "b"}
+
+
+def test_search_for_given_terms(spark):
+    docs = spark.createDataFrame([(k, "open " * (k % 3) + "store " * (k % 2)) for k in range(12)], "id int, text string")
+    session.register_search(spark, search.stored(search.build_index(docs, "id", "text")))
+    want = rows(spark.sql("SELECT * FROM search('store open store nowhere', 4)"))
+    assert want and rows(spark.sql("SELECT * FROM search_terms(array('open', 'store', 'store'), 4)")) == want
+    asked = spark.createDataFrame([(1, "OpenStore"), (2, ""), (3, None)], "n int, q string")
+    got = spark.sql("SELECT n, term FROM {a}, LATERAL query_terms(q)", a=asked)
+    assert rows(got) == [(1, "open"), (1, "store")]
