@@ -1,11 +1,11 @@
-"""URL filters by association rules, in DataFrame functions and Spark's FP-growth.
+"""URL filters by association rules, in DataFrame functions.
 
 Fixed rules (host and path) come first: a rule fits its host and all subdomains where the url's path
 starts with the rule's; of those that fit, the longest wins. Their verdicts are the labels.
-FP-growth over the labelled urls' tokens mines token combinations that imply a verdict; of a url's
-tokens it takes the `ITEMS` that most labelled urls hold (of n tokens that many urls share, 2 ** n
-combinations would be frequent). Rules below the least support or confidence are pruned, and so are rules that a shorter one already implies at
-no lower confidence. A mined rule is listed in an inverted index under its rarest token, a url looks
+Token combinations that imply a verdict are mined from all tokens of the labelled urls, a size at a
+time. Rules below the least support or confidence are pruned, and so are rules that a shorter one already implies at
+no lower confidence. Those are never grown: of n tokens that the same urls share, one at a time is looked at
+and not 2 ** n combinations. A mined rule is listed in an inverted index under its rarest token, a url looks
 up its own tokens, and a hit counts if the url holds the whole combination; urls with the same tokens
 are looked up once. The verdict of a url
 without a fixed rule is that of its most confident hit (then most specific, then `allow`); without a
@@ -22,7 +22,6 @@ one verdict only, rules may all point one way. An empty table gives an empty res
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,6 @@ from lumengraph.runtime import durable, table
 #: (verdict, host, path): the fixed rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SUPPORT, CONFIDENCE = 0.005, 0.9
-#: Tokens of a url that rules are mined from, and tokens that rules are made of.
-ITEMS, VOCABULARY = 12, 2000
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,16 +68,38 @@ def tokens(url: Column, h: Column, p: Column) -> Column:
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (rule_id, items, verdict, confidence, support) from `labelled(items, verdict)`.
 
-    The number of rules is bounded by the least support, `ITEMS` and `VOCABULARY`, not by the rows.
+    Combinations grow by one token a round, from those that share all tokens but the last. One that holds for as many urls
+    as with a token less has that shorter one's confidence, and beside a shorter one of confidence 1 none is higher: neither
+    these nor what holds them can be a rule that stays, so all others are found without them.
     """
-    often = labelled.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= support * labelled.count())
-    ranked = [r.token for r in often.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
-    common = F.array(*[F.lit(t) for t in ranked]) if ranked else F.array().cast("array<string>")
-    held = F.slice(F.array_intersect(common, "items"), 1, ITEMS)
-    baskets = labelled.select(F.concat(held, F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    rules = rules.where(F.element_at("consequent", 1).startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), 9, 100).alias("verdict"), "confidence", "support")
+    total = labelled.count()
+    each = F.posexplode(F.array_distinct("items")).alias("at", "token")
+    rows = durable(labelled.groupBy("items", "verdict").agg(F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id()), "labelled")
+    often = _counted(rows.select("verdict", "n", each).select("verdict", "n", F.array("token").alias("items")), support * total).select(F.get("items", F.lit(0)).alias("token"))
+    # Labelled urls that differ in rare tokens alone are one row from here on.
+    rows = rows.select("row", "verdict", "n", each).join(durable(often, "often"), "token").groupBy("row", "verdict", "n").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    rows = durable(rows.groupBy("items", "verdict").agg(F.sum("n").alias("n")).withColumn("row", F.monotonically_increasing_id()), "baskets")
+    held = rows.select("row", "verdict", "n", F.explode("items").alias("token")).select("row", "verdict", "n", F.array("token").alias("items"))
+    found, live, size = None, None, 1
+    while True:
+        level = _counted(held, support * total)
+        if live is not None:
+            less = level.select("items", "n", F.explode("items").alias("token")).select("items", "n", F.array_remove("items", F.col("token")).alias("less"))
+            short = live.select(F.col("items").alias("less"), F.col("n").alias("n_less"))
+            whole = less.join(short, "less").groupBy("items", "n").agg(F.count("*").alias("k"), F.min("n_less").alias("n_less")).where((F.col("k") == size) & (F.col("n_less") > F.col("n")))
+            level = level.join(whole.select("items"), "items", "left_semi")
+        level = durable(level, "level")
+        found = level if found is None else found.union(level)
+        live = level.where("most < n")
+        held = durable(held.join(live.select("items"), "items", "left_semi"), "held")
+        if held.isEmpty():
+            break
+        ends = held.select("row", "verdict", "n", F.slice("items", 1, size - 1).alias("same"), F.element_at("items", -1).alias("last"))
+        pairs = ends.join(ends.select("row", "same", F.col("last").alias("next")), ["row", "same"]).where(F.col("last") < F.col("next"))
+        held = durable(pairs.select("row", "verdict", "n", F.concat("same", F.array("last", "next")).alias("items")), "grown")
+        size += 1
+    rules = found.select("items", "n", F.explode("by").alias("x")).where((F.col("x.n") >= support * total) & (F.col("x.n") / F.col("n") >= confidence))
+    rules = rules.select("items", "x.verdict", (F.col("x.n") / F.col("n")).alias("confidence"), (F.col("x.n") / F.lit(total)).alias("support"))
     rules = durable(rules, "mined").withColumn("rule_id", F.concat_ws(" ", "items"))
     # A rule one of whose tokens can go without loss of confidence says nothing new.
     shorter = rules.select(F.col("rule_id").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
@@ -89,6 +108,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return rules.join(implied, ["rule_id", "verdict"], "left_anti")
 
 
+def _counted(held: DataFrame, least: float) -> DataFrame:
+    """(items, n, most, by) of `held(items, verdict, n)`: in all, with the most frequent verdict and with each, where one reaches the least."""
+    per = held.groupBy("items", "verdict").agg(F.sum("n").alias("n"))
+    by = F.collect_list(F.struct("verdict", "n")).alias("by")
+    return per.groupBy("items").agg(F.sum("n").alias("n"), F.max("n").alias("most"), by).where(F.col("most") >= least)
+
+
 def match(pages: DataFrame, rules: DataFrame, labelled: DataFrame) -> DataFrame:
     """(key, mined, mined_rule) of the distinct token sets of `pages(key, items)` with a hit, by the inverted index on the rarest token."""
     df = labelled.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("df"))

@@ -151,6 +151,31 @@ def test_url_hits_equal_brute_force(spark):
         assert got.get(x.page_id) == (best.verdict if best else None)
 
 
+def test_url_rules_from_any_number_of_tokens_equal_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(3)
+    # Fourteen tokens that every url holds, and six that come and go: none of the latter was among the first twelve.
+    common = [f"path:c{k:02}" for k in range(14)]
+    labels = []
+    for _ in range(300):
+        rare = [f"path:r{k}" for k in range(6) if rng.random() < 0.4]
+        bad = {"path:r0", "path:r1"} <= set(rare) or "path:r5" in rare
+        labels.append((sorted(common + rare), "block" if bad and rng.random() < 0.97 else "allow"))
+    got = {(tuple(r["items"]), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in url_rules.mine(spark.createDataFrame(labels, "items array<string>, verdict string"), 0.02, 0.8).collect()}
+    # One token of the fourteen stands for all of them: combinations with two say what those with one say.
+    mined = {}
+    for size in range(1, 8):
+        for items in combinations([common[0]] + [f"path:r{k}" for k in range(6)], size):
+            holding = [v for i, v in labels if set(items) <= set(i)]
+            for v in ("allow", "block"):
+                if holding and holding.count(v) >= 0.02 * 300 and holding.count(v) / len(holding) >= 0.8:
+                    mined[items, v] = (holding.count(v) / len(holding), holding.count(v) / 300)
+    want = {(i, v): (round(c, 9), round(s, 9)) for (i, v), (c, s) in mined.items() if not any(mined.get((tuple(x for x in i if x != y), v), (0,))[0] >= c for y in i)}
+    assert want and max(len(i) for i, _ in want) > 1
+    assert {k: v for k, v in got.items() if not set(k[0]) & set(common[1:])} == want
+
+
 # 4
 
 
