@@ -78,7 +78,7 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def _teleport(ids: list[str], seeds: dict[str, float]) -> np.ndarray:
+def _teleport(ids: list, seeds: dict) -> np.ndarray:
     p = np.array([seeds.get(i, 0.0) for i in ids])
     total = p.sum()
     return p / total if total > 0 else np.full(len(ids), 1 / max(len(ids), 1))
@@ -97,10 +97,14 @@ def rank(nodes: DataFrame, edges: DataFrame, seeds: list[tuple[str, float]], alp
         weights[i] = weights.get(i, 0.0) + w
     if not weights:
         return spark.createDataFrame([], "id string, score double")
-    real = durable(known_edges(nodes, edges).select("source", "target"), "walk")
-    if real.count() + nodes.select("id").distinct().count() <= kernel_size:
-        return _kernel(nodes, real, weights, alpha, iterations)
-    return _walk(nodes, real, weights, alpha, iterations)
+    # Nodes are numbered once; from there on an edge is two numbers.
+    ids = durable(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()), "numbered")
+    end = lambda name, to: ids.select(F.col("id").alias(name), F.col("n").alias(to))
+    real = durable(edges.select("source", "target").join(end("source", "s"), "source").join(end("target", "t"), "target").select("s", "t"), "walk")
+    seeded = {r.n: weights[r.id] for r in ids.where(F.col("id").isin(list(weights))).collect()}  # as many as seeds
+    size = ids.count()
+    ranks = (_kernel if real.count() + size <= kernel_size else _walk)(ids.select("n"), real, seeded, size, alpha, iterations)
+    return ranks.where(F.col("score") > LEAST_RANK).join(ids, "n").select("id", "score")
 
 
 def walked(n: int, s: np.ndarray, t: np.ndarray, p: np.ndarray, alpha: float = 0.25, iterations: int = 25) -> np.ndarray:
@@ -113,39 +117,46 @@ def walked(n: int, s: np.ndarray, t: np.ndarray, p: np.ndarray, alpha: float = 0
     return r
 
 
-def _kernel(nodes: DataFrame, edges: DataFrame, weights: dict[str, float], alpha: float, iterations: int) -> DataFrame:
-    rows = nodes.select(F.col("id").alias("source"), F.lit(None).cast("string").alias("target")).distinct().unionByName(edges)
+def _kernel(ids: DataFrame, edges: DataFrame, seeds: dict[int, float], size: int, alpha: float, iterations: int) -> DataFrame:
+    rows = ids.select(F.col("n").alias("s"), F.lit(None).cast("bigint").alias("t")).unionByName(edges)
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(parts)
-        frame = pd.concat(held) if held else pd.DataFrame({"source": [], "target": []})
-        ids = sorted(frame.loc[frame["target"].isna(), "source"].unique())
-        at = {x: k for k, x in enumerate(ids)}
-        links = frame[frame["target"].notna()]
-        s, t = links["source"].map(at).to_numpy(np.int64), links["target"].map(at).to_numpy(np.int64)
-        yield pd.DataFrame({"id": ids, "score": walked(len(ids), s, t, _teleport(ids, weights), alpha, iterations)})
-
-    return rows.repartition(1).mapInPandas(walk, "id string, score double").where(F.col("score") > LEAST_RANK)
-
-
-def _walk(nodes: DataFrame, edges: DataFrame, weights: dict[str, float], alpha: float, iterations: int) -> DataFrame:
-    spark = nodes.sparkSession
-    seeds = spark.createDataFrame([(i, float(w)) for i, w in weights.items()], "id string, w double")
-    base = nodes.select("id").distinct().join(seeds, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).alias("w"))
-    total = base.agg(F.sum("w").alias("w"), F.count("*").alias("n")).first()
-    p = F.col("w") / total.w if total.w else F.lit(1.0 / max(total.n, 1))
-    out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out"))
-    base = durable(base.join(out, "id", "left").select("id", p.alias("p"), "out"), "base")
-    links = durable(edges.groupBy("source", "target").agg(F.count("*").alias("n")).withColumnRenamed("source", "id"), "links")
-    now = base.select("id", "p", "out", F.col("p").alias("r"))
-    for _ in range(iterations):
-        # Each round is one job, written once: its ranks are met from three sides, and a lost executor costs no earlier round.
-        lost = F.broadcast(now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")))  # one row
-        none = F.lit(None).cast("double")
-        sent = now.where("out IS NOT NULL").join(links, "id").select(F.col("target").alias("id"), (F.col("r") / F.col("out") * F.col("n")).alias("got"), none.alias("p"), F.lit(None).cast("bigint").alias("out"))
-        whole = sent.union(now.select("id", F.lit(0.0).alias("got"), "p", "out")).groupBy("id").agg(F.sum("got").alias("got"), F.max("p").alias("p"), F.max("out").alias("out"))
-        now = durable(whole.join(lost).select("id", "p", "out", ((1 - alpha) * (F.col("got") + F.col("p") * F.col("lost")) + alpha * F.col("p")).alias("r")), "rank")
-    return now.select("id", F.col("r").alias("score")).where(F.col("score") > LEAST_RANK)
+        if not held:
+            return
+        frame = pd.concat(held)
+        ids = np.sort(frame.loc[frame["t"].isna(), "s"].to_numpy(np.int64))
+        links = frame[frame["t"].notna()]
+        s, t = (np.searchsorted(ids, links[c].to_numpy(np.int64)) for c in ("s", "t"))
+        yield pd.DataFrame({"n": ids, "score": walked(len(ids), s, t, _teleport(ids.tolist(), seeds), alpha, iterations)})
+
+    return rows.repartition(1).mapInPandas(walk, "n bigint, score double")
+
+
+def _walk(ids: DataFrame, edges: DataFrame, seeds: dict[int, float], size: int, alpha: float, iterations: int) -> DataFrame:
+    """Rounds by joins. What no edge leaves holds what the others don't, since ranks always sum up to 1: only the last round works its ranks out."""
+    total = sum(seeds.values())
+    weight = F.coalesce(F.try_element_at(F.create_map(*[c for i, w in seeds.items() for c in (F.lit(i).cast("bigint"), F.lit(w).cast("double"))]), F.col("n")), F.lit(0.0)) if seeds else F.lit(0.0)
+    p = weight / total if total > 0 else F.lit(1.0 / max(size, 1))
+    ids = ids.withColumn("p", p)
+    if not iterations:
+        return ids.select("n", F.col("p").alias("score"))
+    out = durable(edges.groupBy("s").agg((F.lit(1.0) / F.count("*")).alias("share")), "out")
+    links = edges.join(out, "s")
+    base = durable(ids.join(out.select(F.col("s").alias("n")), "n", "left_semi"), "base")
+    inner = durable(links.join(out.select(F.col("s").alias("t")), "t", "left_semi").groupBy("s", "t").agg(F.sum("share").alias("share")), "links")
+
+    def step(now: DataFrame, links: DataFrame, base: DataFrame) -> DataFrame:
+        lost = F.broadcast(now.agg((F.lit(1.0) - F.coalesce(F.sum("r"), F.lit(0.0))).alias("lost")))  # one row
+        sent = now.where("r <> 0").select(F.col("n").alias("s"), "r").join(links, "s").select(F.col("t").alias("n"), (F.col("r") * F.col("share")).alias("got"), F.lit(None).cast("double").alias("p"))
+        whole = sent.union(base.select("n", F.lit(0.0).alias("got"), "p")).groupBy("n").agg(F.sum("got").alias("got"), F.max("p").alias("p"))
+        return whole.join(lost).select("n", "p", ((1 - alpha) * (F.col("got") + F.col("p") * F.col("lost")) + alpha * F.col("p")).alias("r"))
+
+    now = base.withColumn("r", F.col("p"))
+    for _ in range(iterations - 1):
+        # Each round is one job, written once: a lost executor costs no earlier round.
+        now = durable(step(now, inner, base), "rank")
+    return durable(step(now, links, ids), "rank").select("n", F.col("r").alias("score"))
 
 
 def reachable(edges: DataFrame, start: str, most_hops: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on literal rows: the expectations of the graph, resolution, delta and diagram parts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,22 @@ def test_callers_of_data_users(spark):
     assert {n["id"] for n in made["nodes"]} == {"artifact:f", "u", "v", "w", "x", "y", "z"}
     assert diagrams.entry_calls(e, ["u", "v", "w"], own, 1) == [("x", "u")] and diagrams.entry_calls(e, ["u", "v", "w"], own, 0) == []
     assert not [p for p in diagrams.dataflow(e)["pipelines"] if p["kind"] == "call"]
+
+
+def test_rank_by_joins_holds_only_what_leads_on(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"n{k}" for k in range(60)]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "n3"]], "id string")
+    # Two thirds of the nodes are ends of ways; some edges are repeated, loops, or lead to what is no node.
+    links = [(rng.choice(names[:20]), rng.choice([*names, "gone"])) for _ in range(150)] + [("n1", "n2")] * 3 + [("n5", "n5"), ("gone", "n1")]
+    edges = spark.createDataFrame(links, "source string, target string")
+    held = []
+    real = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name="table": held.append((name, out := real(df, name))) or out)
+    for seeds in ([("n1", 1.0), ("n30", 0.5), ("gone", 2.0)], [("gone", 1.0)]):
+        for rounds in (0, 1, 7):
+            held.clear()
+            got, want = ({r.id: round(r.score, 9) for r in graph.rank(nodes, edges, seeds, 0.25, rounds, kernel).collect()} for kernel in (0, 1000))
+            assert got == want and want
+    ranks = [df.count() for name, df in held if name == "rank"]
+    assert len(ranks) == 7 and max(ranks[:-1]) <= 20 and ranks[-1] == 60
