@@ -16,6 +16,7 @@ from lumengraph.functions import display as V
 from lumengraph.functions import labels as L
 from lumengraph.operators import delta, rollup
 from lumengraph.operators import sequence as calls
+from lumengraph.runtime import durable
 
 MOST_MODULES, MOST_LINKS, MOST_ARTIFACTS, MOST_NODES, MOST_REGIONS, MOST_CALLERS = 36, 60, 10, 40, 1000, 10
 BOX = (150, 56)
@@ -203,10 +204,12 @@ def dataflow(edges: DataFrame, most: int = MOST_ARTIFACTS, packages: DataFrame |
     packages: (id, package) of functions; with it, where data enters the program: for each user shown
     its first caller from another package that isn't shown yet, `MOST_CALLERS` and `MOST_NODES` at most.
     """
-    top = rollup.artifact_ranking(edges, most)
-    users = rollup.shown_users(edges).join(top.select("artifact"), "artifact", "left_semi")
-    io = edges.where("relation IN ('Writes', 'Reads')").select(F.col("target").alias("artifact"), F.col("source").alias("user"), "relation").distinct()
-    rows = users.join(io, ["artifact", "user"]).orderBy("artifact", "place", "relation").collect()
+    # Edges are met once; all that follows comes from the pairs of files and users, or from those of the few files shown.
+    pairs = durable(rollup.artifact_pairs(edges), "pairs")
+    top = F.broadcast(durable(rollup.ranked_artifacts(pairs, most).select("artifact"), "top"))  # at most `most` rows
+    pairs = pairs.join(top, "artifact", "left_semi")
+    relation = F.explode(F.filter(F.array(F.when(F.col("reads"), "Reads"), F.when(F.col("writes"), "Writes")), lambda x: x.isNotNull())).alias("relation")
+    rows = rollup.first_users(pairs).join(pairs.select("artifact", "user", relation), ["artifact", "user"]).orderBy("artifact", "place", "relation").collect()
     names = sorted({r.artifact for r in rows} | {r.user for r in rows})
     pipes = [{"from": r.user, "to": r.artifact, "kind": "write"} if r.relation == "Writes" else {"from": r.artifact, "to": r.user, "kind": "read"} for r in rows]
     entries = entry_calls(edges, [r.user for r in rows], packages, MOST_NODES - len(names)) if packages is not None and rows else []

@@ -126,26 +126,41 @@ def public_api(functions: DataFrame, calls: DataFrame, k: int = 4) -> DataFrame:
 
 def artifact_users(edges: DataFrame) -> DataFrame:
     """A row per data file and user: whether the user writes it, whether it reads it."""
+    return artifact_pairs(edges).drop("ord")
+
+
+def artifact_pairs(edges: DataFrame) -> DataFrame:
+    """`artifact_users` with the first place (`ord`) among the edges, null where they have none."""
     io = edges.where("relation IN ('Writes', 'Reads')")
-    return io.groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.bool_or(F.col("relation") == "Writes").alias("writes"), F.bool_or(F.col("relation") == "Reads").alias("reads"))
+    ord_ = F.col("ord") if "ord" in edges.columns else F.lit(None).cast("bigint")
+    return io.groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.min(ord_).alias("ord"), F.bool_or(F.col("relation") == "Writes").alias("writes"), F.bool_or(F.col("relation") == "Reads").alias("reads"))
 
 
 def artifact_ranking(edges: DataFrame, k: int = 10) -> DataFrame:
     """Data files with both writers and readers first, then by users, then by name."""
-    io = edges.where("relation IN ('Writes', 'Reads')").groupBy(F.col("target").alias("artifact")).agg(F.count_distinct("source").alias("users"), F.count_if(F.col("relation") == "Writes").alias("writes"), F.count_if(F.col("relation") == "Reads").alias("reads"))
-    both = (F.col("writes") > 0) & (F.col("reads") > 0)
-    return io.withColumn("two_way", both).orderBy(F.desc("two_way"), F.desc("users"), "artifact").limit(k).select("artifact", "two_way", "users")
+    return ranked_artifacts(artifact_users(edges), k)
+
+
+def ranked_artifacts(users: DataFrame, k: int = 10) -> DataFrame:
+    """The same from `artifact_users`."""
+    both = F.bool_or("writes") & F.bool_or("reads")
+    io = users.groupBy("artifact").agg(both.alias("two_way"), F.count("user").alias("users"))
+    return io.orderBy(F.desc("two_way"), F.desc("users"), "artifact").limit(k).select("artifact", "two_way", "users")
 
 
 def shown_users(edges: DataFrame, k: int = 4) -> DataFrame:
-    """The first users of every data file, and how many more there are.
+    """The first users of every data file, and how many more there are."""
+    return first_users(durable(artifact_pairs(edges).select("artifact", "user", "ord"), "users"), k)
+
+
+def first_users(pairs: DataFrame, k: int = 4) -> DataFrame:
+    """The same from written `artifact_pairs`.
 
     Users are counted by an aggregate and the first ones taken by a ranking that keeps k rows per task
     before it shuffles, so a file that everyone uses is no task of its own.
     """
-    first = durable(edges.where("relation IN ('Writes', 'Reads')").groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.min("ord").alias("ord")), "users")
-    shown = first.withColumn("place", F.row_number().over(Window.partitionBy("artifact").orderBy("ord", "user"))).where(F.col("place") <= k)
-    more = first.groupBy("artifact").agg(F.greatest(F.count("*") - k, F.lit(0)).alias("hidden"))
+    shown = pairs.withColumn("place", F.row_number().over(Window.partitionBy("artifact").orderBy("ord", "user"))).where(F.col("place") <= k)
+    more = pairs.groupBy("artifact").agg(F.greatest(F.count("*") - k, F.lit(0)).alias("hidden"))
     return shown.join(more, "artifact").select("artifact", "place", "user", "hidden")
 
 

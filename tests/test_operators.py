@@ -238,3 +238,19 @@ def test_rank_by_joins_holds_only_what_leads_on(spark, monkeypatch):
             assert got == want and want
     ranks = [df.count() for name, df in held if name == "rank"]
     assert len(ranks) == 7 and max(ranks[:-1]) <= 20 and ranks[-1] == 60
+
+
+def test_data_flow_meets_its_edges_once(spark):
+    links = [(k, f"u{k % 4}", f"artifact:{k % 3}", "Writes" if k % 5 == 0 else "Reads") for k in range(40)] + [(41, "u9", "artifact:0", "Reads")]
+    edges = spark.createDataFrame(links, "ord bigint, source string, target string, relation string")
+    met = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for part in rows:
+            met.add(part.num_rows)
+            yield part
+
+    record = diagrams.dataflow(edges.mapInArrow(count, edges.schema), 2)
+    assert met.value == len(links)
+    assert record["hidden"] == {"artifact:0": 1, "artifact:1": 0} and len({n["id"] for n in record["nodes"]}) == 6
+    assert len(record["pipelines"]) == len({(t, s, r) for _, s, t, r in links if t != "artifact:2" and s != "u9"})
