@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumengraph.operators import layering
 from lumengraph.runtime import written
@@ -68,3 +69,19 @@ def test_empty_graphs_and_what_is_left_behind(spark):
     before = len(written())
     assert got(spark, ["b", "a"], []) == {"a": ("a", 0), "b": ("b", 0)}
     assert len(written()) == before + 1  # the result alone
+
+
+def test_rounds_keep_to_what_leads_on(spark, monkeypatch):
+    """What nothing enters and what leads nowhere stay out of the rounds; the edges are worked out once."""
+    sizes = []
+    cycles, peeled = layering._cycles, layering._peeled
+    monkeypatch.setattr(layering, "_cycles", lambda live: sizes.append(live.count()) or cycles(live))
+    monkeypatch.setattr(layering, "_peeled", lambda parts, links: sizes.append(links.count()) or peeled(parts, links))
+    read = spark.sparkContext.accumulator(0)
+    wide = [("top", f"leaf{k}") for k in range(50)] + [("top", "m1"), ("m1", "m2"), ("m2", "m1"), ("m2", "m3"), ("m3", "leaf0"), ("alone", "leaf1")]
+    links = spark.createDataFrame(wide, "source string, target string")
+    counted = F.udf(lambda x: read.add(1) or x, "string").asNondeterministic()
+    nodes = sorted({x for edge in wide for x in edge})
+    found = {r.id: (r.part, r.layer) for r in layering.layers(spark.createDataFrame([(n,) for n in nodes], "id string"), links.withColumn("target", counted("target"))).collect()}
+    assert found == expected(nodes, wide)
+    assert sizes == [3, 2] and read.value == len(wide)
