@@ -6,9 +6,11 @@ that thousands define costs one row per key and not one per candidate.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Method names so common that a call by them says nothing.
@@ -49,30 +51,55 @@ def resolve(calls: DataFrame, definitions: DataFrame, rules: Rules) -> DataFrame
     """(caller, tok_ord, target, confidence) of the first tier with exactly one candidate.
 
     calls: caller, tok_ord, name and the key columns; definitions: id, name and the key columns.
+
+    What a tier finds hangs on a call's name and keys alone. So each such set is looked up once, also where it
+    goes through pairs, and calls meet their answers by all of it: no task gets all the calls of one file.
     """
-    found = None
+    asked: list[tuple[DataFrame, dict[int, Tier]]] = []  # calls of one form, with their tiers by number
     for number, tier in enumerate(rules.tiers):
-        defs = tier.definitions if tier.definitions is not None else definitions
         mine = calls if tier.calls is None else tier.calls
-        if rules.stop_names and number >= rules.stop_after:
-            mine = mine.where(~F.col("name").isin(rules.stop_names))
-        if tier.via is None:
-            per = defs.groupBy("name", *tier.keys).agg(F.count("*").alias("n"), F.min("id").alias("target"))
-            hits = mine.select("caller", "tok_ord", "name", *tier.keys).join(per, ["name", *tier.keys])
-        else:
-            column, other = tier.over
-            rest = [k for k in tier.keys if k != column]
-            per = defs.groupBy("name", *rest, F.col(column).alias(other)).agg(F.count("*").alias("n"), F.min("id").alias("target"))
-            pairs = tier.via.distinct()
-            if tier.own_too:
-                ends = mine.select(F.col(column)).distinct()
-                pairs = pairs.union(ends.select(F.col(column), F.col(column).alias(other))).distinct()
-            hits = mine.select("caller", "tok_ord", "name", *tier.keys).join(pairs, column).join(per, ["name", *rest, other])
-        one = hits.groupBy("caller", "tok_ord").agg(F.sum("n").alias("n"), F.min("target").alias("target")).where("n = 1")
-        one = one.select("caller", "tok_ord", "target", F.lit(number).alias("tier"), F.lit(tier.confidence).alias("confidence"))
-        found = one if found is None else found.union(one)
-    best = found.groupBy("caller", "tok_ord").agg(F.min_by(F.struct("target", "confidence"), "tier").alias("x"))
-    return best.select("caller", "tok_ord", "x.target", "x.confidence")
+        same = next((tiers for form, tiers in asked if form is mine), None)
+        if same is None:
+            asked.append((mine, same := {}))
+        same[number] = tier
+    hits = None
+    for mine, tiers in asked:
+        keys = ["name", *dict.fromkeys(k for tier in tiers.values() for k in tier.keys)]
+        wanted = mine.select(*keys).distinct()
+        answers = None
+        for number, tier in tiers.items():
+            defs = tier.definitions if tier.definitions is not None else definitions
+            few = wanted.where(~F.col("name").isin(rules.stop_names)) if rules.stop_names and number >= rules.stop_after else wanted
+            found = _candidates(few, defs, tier).join(few, ["name", *tier.keys]).select(*keys, F.lit(number).alias("tier"), "n", "target")
+            answers = found if answers is None else answers.union(found)
+        # One row for each set, tiers in a list: a set with a null key has no row for the tiers that need it.
+        answers = answers.groupBy(*keys).agg(F.collect_list(F.struct("tier", "n", "target")).alias("found")).select(*[F.col(k).alias(f"_{k}") for k in keys], "found")
+        met = mine.select("caller", "tok_ord", *keys).join(answers, _all(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)).select("caller", "tok_ord", "found")
+        hits = met if hits is None else hits.union(met)
+    # A call may stand in several rows and forms: its candidates of a tier count together.
+    of = lambda number: F.filter("found", lambda x: x["tier"] == number)
+    many = hits.select("caller", "tok_ord", *[F.get(of(number), 0).alias(f"t{number}") for number in range(len(rules.tiers))])
+    per = many.groupBy("caller", "tok_ord").agg(*[F.struct(F.sum(f"t{k}.n").alias("n"), F.min(f"t{k}.target").alias("target")).alias(f"t{k}") for k in range(len(rules.tiers))])
+    best = F.coalesce(*[F.when(F.col(f"t{k}.n") == 1, F.struct(F.col(f"t{k}.target"), F.lit(tier.confidence).alias("confidence"))) for k, tier in enumerate(rules.tiers)])
+    return per.select("caller", "tok_ord", best.alias("x")).where("x IS NOT NULL").select("caller", "tok_ord", "x.target", "x.confidence")
+
+
+def _all(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _candidates(wanted: DataFrame, definitions: DataFrame, tier: Tier) -> DataFrame:
+    """(name, keys, n, target): how many definitions a tier finds for each wanted name and keys, and the first."""
+    if tier.via is None:
+        return definitions.groupBy("name", *tier.keys).agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    column, other = tier.over
+    rest = [k for k in tier.keys if k != column]
+    per = definitions.groupBy("name", *rest, F.col(column).alias(other)).agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    wanted = wanted.select("name", *tier.keys).distinct()
+    pairs = tier.via.distinct()
+    if tier.own_too:
+        pairs = pairs.union(wanted.select(F.col(column), F.col(column).alias(other)).distinct()).distinct()
+    return wanted.join(pairs, column).join(per, ["name", *rest, other]).groupBy("name", *tier.keys).agg(F.sum("n").alias("n"), F.min("target").alias("target"))
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:

@@ -254,3 +254,26 @@ def test_data_flow_meets_its_edges_once(spark):
     assert met.value == len(links)
     assert record["hidden"] == {"artifact:0": 1, "artifact:1": 0} and len({n["id"] for n in record["nodes"]}) == 6
     assert len(record["pipelines"]) == len({(t, s, r) for _, s, t, r in links if t != "artifact:2" and s != "u9"})
+
+
+def test_no_task_gets_all_calls_of_a_file(spark):
+    """A tier that goes through pairs looks each name and file up once; calls are never dealt by their file alone."""
+    import re
+
+    from lumengraph.operators import resolve
+
+    calls = spark.createDataFrame([(f"c{k}", k, "f", "a.rs", "p") for k in range(20)] + [("c", 99, "g", "a.rs", None), ("c", 100, None, "a.rs", "p")], "caller string, tok_ord long, name string, file string, package string")
+    defs = spark.createDataFrame([("b.rs:f", "f", "b.rs", "p", True), ("b.rs:g", "g", "b.rs", None, True), ("d.rs:g", "g", "d.rs", None, True)], "id string, name string, file string, package string, is_pub boolean")
+    imports = spark.createDataFrame([("a.rs", "b.rs")], "file string, other_file string")
+    deps = spark.createDataFrame([], "package string, other_package string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = resolve.resolve(calls, defs, resolve.free_function_rules(imports, deps, defs))
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        rows = sorted((r.caller, r.tok_ord, r.target, r.confidence) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert rows == sorted([(f"c{k}", k, "b.rs:f", 0.9) for k in range(20)] + [("c", 99, "b.rs:g", 0.9)])
+    dealt = [b for b in plan.split("\n\n") if ") Exchange" in b and "caller#" in b]
+    assert dealt and not [b for b in dealt if re.search(r"hashpartitioning\(file#\w+, \d+\)", b)]
