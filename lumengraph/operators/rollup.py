@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import labels as L
 from lumengraph.functions import paths as P
-from lumengraph.runtime import durable
+from lumengraph.runtime import dealt, durable
 
 UNCOUNTED = ("Crate", "ExternalCrate", "Artifact", "Test")
 
@@ -131,7 +131,8 @@ def artifact_users(edges: DataFrame) -> DataFrame:
 
 def artifact_pairs(edges: DataFrame) -> DataFrame:
     """`artifact_users` with the first place (`ord`) among the edges, null where they have none."""
-    io = edges.where("relation IN ('Writes', 'Reads')")
+    # A user mostly has one edge to a file: a grouping within the tasks before would hold nearly every edge in memory.
+    io = dealt(edges.where("relation IN ('Writes', 'Reads')"), "target", "source")
     ord_ = F.col("ord") if "ord" in edges.columns else F.lit(None).cast("bigint")
     return io.groupBy(F.col("target").alias("artifact"), F.col("source").alias("user")).agg(F.min(ord_).alias("ord"), F.bool_or(F.col("relation") == "Writes").alias("writes"), F.bool_or(F.col("relation") == "Reads").alias("reads"))
 

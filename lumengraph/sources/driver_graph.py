@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.runtime import table
+from lumengraph.runtime import dealt, table
 
 
 @dataclass
@@ -47,8 +47,11 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     caller = functions.select(F.col("c_custkey").alias("a"), F.col("id").alias("source"))
     callee = functions.select(F.col("c_custkey").alias("b"), F.col("id").alias("target"))
     calls = orders.join(caller, F.col("o_custkey") == F.col("a")).join(callee, F.col("o_orderkey") % 1000 + 1 == F.col("b"))
-    writes = item.select("l_suppkey", "l_partkey").distinct().join(classes, F.col("l_suppkey") == F.col("s_suppkey"))
-    reads = item.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct().join(caller, F.col("o_custkey") == F.col("a"))
+    # Pairs hardly repeat, so they are dealt before they are made distinct, and by the key of the join that follows.
+    lines = item.count()  # from the files' footers
+    writes = dealt(item.select("l_suppkey", "l_partkey"), "l_suppkey", rows=lines).distinct().join(classes, F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = item.select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey")
+    reads = dealt(bought, "o_custkey", rows=lines).distinct().join(caller, F.col("o_custkey") == F.col("a"))
     goods = F.concat(F.lit("artifact:part"), F.col("l_partkey"), F.lit(".csv"))
     source = F.concat(F.lit("file:"), "path")
     edges = (
