@@ -25,7 +25,9 @@ def sql_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.12, G9: the edges of every file with their directions, by a lateral call of `neighbours`."""
     g = D.load(spark, sf_dir)
     session.register_graph(spark, g.nodes, g.edges)
-    return spark.sql("SELECT n.id, e.source, e.target, e.relation, e.direction FROM nodes AS n, LATERAL neighbours(n.id) AS e WHERE n.kind = 'File'")
+    # Written, so that their size is known: where they are few no edge is shuffled to meet them.
+    asked = durable(spark.sql("SELECT id FROM nodes WHERE kind = 'File'"), "asked")
+    return spark.sql("SELECT n.id, e.source, e.target, e.relation, e.direction FROM {asked} AS n, LATERAL neighbours(n.id) AS e", asked=asked)
 
 
 QUERIES = {f.__name__: f for f in (sql_search, sql_neighbours)}

@@ -75,10 +75,12 @@ def register_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> N
     prepare(spark)
     nodes.createOrReplaceTempView("nodes")
     edges.createOrReplaceTempView("edges")
-    # Two equalities, where "source or target" would meet every edge with every node.
+    # An equality with each end in turn, where "source or target" would meet every edge with every node; edges are read once.
     _define(spark, "neighbours", "node STRING", "source STRING, target STRING, relation STRING, direction STRING", """
-        SELECT source, target, relation, CASE WHEN source = target THEN 'loop' ELSE 'out' END FROM edges WHERE source = neighbours.node
-        UNION ALL SELECT source, target, relation, 'in' FROM edges WHERE target = neighbours.node AND source <> target""")
+        SELECT source, target, relation, direction FROM edges, LATERAL inline(CASE
+          WHEN source = target THEN array(named_struct('node', source, 'direction', 'loop'))
+          ELSE array(named_struct('node', source, 'direction', 'out'), named_struct('node', target, 'direction', 'in')) END) AS x(at, direction)
+        WHERE x.at = neighbours.node""")
     _define(spark, "trace_calls", "symbol STRING", "side STRING, id STRING, of STRING", """
         SELECT 'caller', source, target FROM edges WHERE relation = 'Calls' AND contains(target, trace_calls.symbol)
         UNION ALL SELECT 'callee', target, source FROM edges WHERE relation = 'Calls' AND contains(source, trace_calls.symbol)""")
