@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengraph.runtime import durable
+from lumengraph.runtime import dealt, durable
 
 #: Up to this many nodes and edges together the rank runs as one numeric kernel; beyond, as joins. The number is counted.
 KERNEL_SIZE = 200_000
@@ -74,8 +74,11 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
 
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose both ends exist; parallel edges stay."""
-    ids = nodes.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    ids, columns = nodes.select("id").distinct(), edges.columns
+    for end in ("source", "target"):
+        # Ids are distinct, so a join keeps what a semi join would, which would slip below the dealing.
+        edges = dealt(edges, end).join(ids.withColumnRenamed("id", end), end)
+    return edges.select(*columns)
 
 
 def _teleport(ids: list, seeds: dict) -> np.ndarray:
