@@ -64,7 +64,9 @@ def dependencies(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """
     one = placed.select(F.col("id").alias("source"), F.col("key").alias("from"), F.col("region").alias("own"))
     two = placed.select(F.col("id").alias("target"), F.col("key").alias("to"), F.col("name").alias("called"))
-    links = edges.where("relation <> 'Contains'").select("source", "target", "relation").join(one, "source").join(two, "target").where(F.col("from") != F.col("to"))
+    links = edges.where("relation <> 'Contains'").select("source", "target", "relation")
+    # Targets first: data files and what lies outside are in no module, and go before sources are met.
+    links = dealt(dealt(links, "target").join(two, "target"), "source").join(one, "source").where(F.col("from") != F.col("to"))
     links = durable(links, "module_links")
     definers = placed.where("kind IN ('Function', 'Method')").select("name", "region", "key").distinct()
     wide = definers.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("called"), F.lit(True).alias("ambiguous"))
