@@ -1,12 +1,18 @@
 """Phrase collocations by hierarchical pair naming.
 
-Texts become blocks: the words of some texts of one language as one row of local numbers, with a 0
-wherever a piece ends, beside the block's own dictionary. The words that occur often enough over all
-blocks get global names, and the blocks learn the names of theirs by a join on the word. From there
-on every level does the same: two adjacent frequent phrases of k - 1 words, which overlap in all but
-two, are a pair, numbered within the block, counted over all blocks and, if it is frequent, named
-by a join of its halves with the names of the level before. A place whose phrase is rare breaks the
-row, as no longer phrase there can be frequent.
+Words are counted first. A word's name is a keyed hash of its language and itself; that no other word
+has the name of a frequent one is checked over all words, and else another key is taken. Then texts
+become blocks: the frequent words of some texts of one language as one row of local numbers, with a 0
+wherever a piece or a run of frequent words ends, beside the names by number. From there on every
+level does the same: two adjacent frequent phrases of k - 1 words, which overlap in all but two, are a
+pair, numbered within the block, counted over all blocks and, if it is frequent, named by a join of its
+halves with the names of the level before. A place whose phrase is rare breaks the row, as no longer
+phrase there can be frequent.
+
+Most pairs of frequent words are rare. So a level is counted twice: first all phrases in a fixed number
+of counters, by a hash of their names, of which a task sends few bytes each, packed and in order; then
+exactly, and only those whose counter comes to the least count. A counter holds at least what each of
+its phrases does, so none that is frequent is missed.
 
 The pair that a name stands for is also its pointer to both parents. Following left pointers gives
 the counts of a phrase's beginnings, right pointers those of its ends, which is all that the cuts
@@ -14,10 +20,10 @@ need; followed from the longer phrase, they tell what it takes up. As a phrase i
 as any phrase that holds it, what some longer phrase takes up is taken up by one that is a word longer.
 
 A block's rows are bounded by `BLOCK` bytes of text: longer texts are cut where a piece ends (only a
-piece that is longer itself stays whole). What is shuffled is a row per block and distinct entry, once
-a level. From two words on the names needn't go back to the blocks: which of their phrases may be
-frequent they see from a bit map of fixed size over the hashes of the frequent ones. A false hit makes
-an entry that cannot reach the least count, as it holds a rarer phrase, or that the join drops.
+piece that is longer itself stays whole). Names needn't go back to the blocks: which of their words and
+phrases may be frequent they see from a bit map of fixed size over the hashes of the frequent ones. A
+false hit makes an entry that cannot reach the least count, as it holds a rarer phrase, or that the join
+drops.
 
 Edge cases: a null text is empty; a null language is `und`. Repeated rows count each. Ids and other
 columns are not read. Counts are exact integers, scores are cut down from exact quotients of decimals.
@@ -27,11 +33,13 @@ An empty table, or one without a frequent phrase, gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumengraph.llm.arrow import slices
@@ -43,13 +51,18 @@ UNKNOWN = "und"
 BLOCK, BLOCK_ROWS = 8 << 20, 1 << 16
 #: Bits of the map over frequent entries (2 MB), and candidates that are ranked together at first.
 BITS, RANKED = 1 << 24, 50_000
+#: Counters of a level (a bit each, 32 MB, comes back), those that are summed at a time, and phrases that a task gathers.
+COUNTERS, PAGE, GATHERED = 1 << 28, 1 << 18, 1 << 22
+#: Bits of a word's name.
+NAME = 64
 # Ends of pieces, and gaps between words.
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _KIND[list(b" \t")] = 1
 
-_ROW = "block bigint, seq binary, code int, lang string, word string, n bigint"
-_BLOCK = "block bigint, seq binary, ids binary"
+_WORD = "lang string, word string, n bigint"
+_BLOCK = "seq binary, ids binary"
+_COUNTS = "page bigint, low binary, mid binary, high binary, n binary"
 
 
 def _packed(seq: np.ndarray) -> bytes:
@@ -110,53 +123,50 @@ def _parts(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     yield data[at:]
 
 
-def _blocks(size: int):  # noqa: ANN202
-    """Rows (lang, text) to blocks: one row with `seq`, and one per distinct word."""
+def _encoded_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, np.ndarray, pa.Array, np.ndarray]]:
+    """Rows (lang, text) to blocks: language, row of local numbers, words by number, their counts."""
+    for part in slices(batches, 1, BLOCK_ROWS, size):
+        langs = part.column(0).dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            for data in _parts(part.column(1).filter(pc.equal(langs.indices, k)), size):
+                seq, words, counts = _encoded(data)
+                if len(words):
+                    yield lang, seq, words, counts
+
+
+def _words(size: int):  # noqa: ANN202
+    """Rows (lang, text) to the distinct words of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 33
-        for part in slices(batches, 1, BLOCK_ROWS, size):
-            langs = part.column(0).dictionary_encode()
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                some = part.column(1).filter(pc.equal(langs.indices, k))
-                for data in _parts(some, size):
-                    seq, words, counts = _encoded(data)
-                    if len(words):
-                        yield _batch(block, lang, seq, words.cast(pa.string()), counts)
-                        block += 1
+        for lang, _, words, counts in _encoded_parts(batches, size):
+            columns = [pa.array([lang] * len(counts), pa.string()), words.cast(pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
     return run
 
 
-def _batch(block: int, lang: str, seq: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    """A block's own row and those of its words."""
-    size = len(counts)
-    columns = [
-        pa.array(np.full(size + 1, block)),
-        pa.array([_packed(seq)] + [None] * size, pa.binary()),
-        pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(1, size + 1), pa.int32())]),
-        pa.array([lang] * (size + 1), pa.string()),
-        pa.concat_arrays([pa.nulls(1, pa.string()), words]),
-        pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "seq", "code", "lang", "word", "n"])
-
-
-def _learned(own: pa.Table, named: pa.Table) -> pa.Table:
-    """A block (block, seq) and the names (block, code, id) of its words: the block of frequent words, and their names by number."""
-    out = []
-    codes, ids = named.column("code").to_numpy(), named.column("id").to_numpy()
-    for block, packed in zip(own.column("block").to_pylist(), own.column("seq").to_pylist(), strict=True):
-        seq = _unpacked(packed)
-        short = np.zeros(int(seq.max(initial=0)) + 1, np.uint32)
-        short[codes] = np.arange(1, len(codes) + 1)
-        seq = _collapsed(short[seq])
-        if len(seq):
-            out.append((block, _packed(seq), ids.astype("<i8").tobytes()))
-    shape = (pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate(shape)], names=["block", "seq", "ids"])
+def _names(langs: pa.Array | pa.Scalar, words: pa.Array, key: int, bits: int) -> np.ndarray:
+    """Names of words, which hold no blanks themselves, of so many bits."""
+    kind = pa.large_binary()
+    whole = pc.binary_join_element_wise(langs.cast(kind), words.cast(kind), pa.scalar(b" ", kind))
+    hashed = pd.util.hash_array(whole.to_numpy(zero_copy_only=False), hash_key=f"{key:016x}", categorize=False)
+    return (hashed >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _blocks(size: int, key: int, name: int, bits: np.ndarray, spark: SparkSession):  # noqa: ANN202
+    """Rows (lang, text) to blocks of the words whose bit is set."""
+    held = spark.sparkContext.broadcast(bits)  # BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, seq, words, _ in _encoded_parts(batches, size):
+            ids = _names(pa.scalar(lang), words, key, name)
+            frequent = _held(held.value, [ids])
+            short = np.concatenate([[0], np.where(frequent, np.cumsum(frequent), 0)]).astype(np.uint32)
+            seq = _collapsed(short[seq])
+            if len(seq):
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(seq)], pa.binary()), pa.array([ids[frequent].astype("<i8").tobytes()], pa.binary())], names=["seq", "ids"])
+
+    return run
 
 
 def _places(columns: list[np.ndarray], bits: int) -> np.ndarray:
@@ -194,16 +204,40 @@ def _bits(entries: DataFrame) -> np.ndarray:
     return out
 
 
-def _likely(entries: DataFrame, hashed: Column, bits: np.ndarray) -> DataFrame:
-    """Entries whose bit is set: all frequent ones and few others."""
+def _likely(entries: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Entries (id) whose bit is set: all frequent ones and few others."""
     held = entries.sparkSession.sparkContext.broadcast(bits)  # BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            yield part.filter(pa.array(_held(held.value, [part.column(part.num_columns - 1).to_numpy()])))
+            yield part.filter(pa.array(_held(held.value, [part.column(0).to_numpy()])))
 
-    rows = entries.withColumn("\x1fh", hashed)
-    return rows.mapInArrow(run, rows.schema).drop("\x1fh")
+    return entries.mapInArrow(run, entries.schema)
+
+
+def _named_words(rows: DataFrame, least: int, block: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """Words per language (lang, n), frequent words (id, lang, word, a), the bits of their names, the names' key."""
+    spark, name = rows.sparkSession, NAME
+    counted = durable(rows.mapInArrow(_words(block), _WORD).groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+    place = written()[-1]
+    total = durable(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+    for key in count():
+
+        def run(batches: Iterator[pa.RecordBatch], key: int = key) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                ids = pa.array(_names(part.column(0), part.column(1), key, name))
+                yield pa.RecordBatch.from_arrays([ids, *part.columns], names=["id", "lang", "word", "a"])
+
+        named = counted.mapInArrow(run, "id bigint, lang string, word string, a bigint")
+        names = durable(named.where(F.col("a") >= least), "names1")
+        bits = _bits(names.select("id"))
+        # A frequent word's name that another word has, frequent or not; names that only rare words share do no harm.
+        twice = _likely(named.select("id"), bits).groupBy("id").count().where("count > 1")
+        if twice.join(names.select("id"), "id").isEmpty():
+            discard(spark, [place])
+            return total, names, bits, key
+        discard(spark, [written()[-1]])
+    raise AssertionError
 
 
 def _named(entries: DataFrame, key: list[str], least: int, level: int) -> DataFrame:
@@ -212,22 +246,80 @@ def _named(entries: DataFrame, key: list[str], least: int, level: int) -> DataFr
     return durable(counted.select(F.monotonically_increasing_id().alias("id"), *key, "a"), f"names{level}")
 
 
-def _pairs(blocks: DataFrame, size: int, bits: list[np.ndarray]) -> DataFrame:
-    """(w1, ..., n): per block its distinct phrases of `size` words both of whose halves may be frequent.
+def _phrases(batches: Iterator[pa.RecordBatch], size: int, bits: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Blocks (seq, ids) to their distinct phrases, one block at a time."""
+    for part in batches:
+        for row in range(part.num_rows):
+            packed, ids = (part.column(c)[row].as_buffer() for c in (0, 1))
+            yield _counted(_unpacked(packed), np.frombuffer(ids, "<i8"), size, bits)
+
+
+def _summed(some: list[tuple[np.ndarray, np.ndarray]], least: int, page: int) -> pa.RecordBatch:
+    """Counters and what they gain, put together: a row for each page, its counters in order as gaps, in three planes of bytes."""
+    places, counts = (np.concatenate(x) for x in zip(*some, strict=True))
+    order = np.argsort(places)
+    places = places[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    sums = np.minimum(np.add.reduceat(counts[order], first, dtype=np.int64), least)
+    places = places[first]
+    pages = places // page
+    start = np.flatnonzero(np.diff(pages, prepend=-1))
+    gaps = np.diff(places, prepend=0)
+    gaps[start] = places[start] % page
+    bounds = np.append(start, len(places)).astype(np.int32)
+    columns = [gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, k] for k in range(3)] + [sums.astype(_kind(least)).view(np.uint8)]
+    made = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds * (len(c) // len(places))), pa.py_buffer(np.ascontiguousarray(c))]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(pages[start]), *made], names=["page", "low", "mid", "high", "n"])
+
+
+def _kind(least: int) -> np.dtype:
+    """Bytes for a count up to `least`, which is all that is told apart."""
+    return np.min_scalar_type(least).newbyteorder("<")
+
+
+def _counters(blocks: DataFrame, size: int, bits: list[np.ndarray], least: int) -> np.ndarray:
+    """A bit for each counter: whether the phrases of `size` words that it stands for come to `least`."""
+    held = blocks.sparkSession.sparkContext.broadcast(bits)  # BITS bits a level
+    counters, page, gathered = COUNTERS, min(COUNTERS, PAGE), GATHERED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for columns, counts in _phrases(batches, size, held.value):
+            some.append((_places(columns, counters).astype(np.uint32), np.minimum(counts, least).astype(_kind(least))))
+            n += len(counts)
+            if n >= gathered:
+                yield _summed(some, least, page)
+                some, n = [], 0
+        if n:
+            yield _summed(some, least, page)
+
+    def joined(part: pa.Table) -> pa.Table:
+        total = np.zeros(page, np.int64)
+        for row in range(part.num_rows):
+            low, mid, high, n = (np.frombuffer(part.column(c)[row].as_buffer(), kind) for c, kind in zip(("low", "mid", "high", "n"), (np.uint8, np.uint8, np.uint8, _kind(least)), strict=True))
+            total[np.cumsum(low + (mid.astype(np.int64) << 8) + (high.astype(np.int64) << 16))] += n
+        return pa.table({"page": part.column("page").slice(0, 1), "held": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(counters // 8, np.uint8)
+    for row in blocks.mapInArrow(run, _COUNTS).groupBy("page").applyInArrow(joined, "page bigint, held binary").collect():  # COUNTERS bits at most
+        out[row.page * (page // 8) : (row.page + 1) * (page // 8)] = np.frombuffer(row.held, np.uint8)
+    return out
+
+
+def _pairs(blocks: DataFrame, size: int, bits: list[np.ndarray], counters: np.ndarray) -> DataFrame:
+    """(w1, ..., n): per block its distinct phrases of `size` words, both of whose halves and whose counter may be frequent.
 
     bits: of the frequent phrases of 2, 3, ... words; single words are all frequent.
     """
-    held = blocks.sparkSession.sparkContext.broadcast(bits)  # BITS bits a level
+    held = blocks.sparkSession.sparkContext.broadcast([*bits, counters])  # BITS bits a level, and COUNTERS bits
     names = [f"w{k}" for k in range(1, size + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for row in range(part.num_rows):  # one block at a time
-                packed, ids = (part.column(c)[row].as_buffer() for c in (0, 1))
-                columns, counts = _counted(_unpacked(packed), np.frombuffer(ids, "<i8"), size, held.value)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(counts)], names=[*names, "n"])
+        for columns, counts in _phrases(batches, size, held.value):
+            keep = _held(held.value[-1], columns)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), pa.array(counts[keep])], names=[*names, "n"])
 
-    return blocks.select("seq", "ids").mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "n")))
+    return blocks.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "n")))
 
 
 def _counted(seq: np.ndarray, ids: np.ndarray, size: int, bits: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -258,24 +350,15 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: st
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
-    made = durable(rows.mapInArrow(_blocks(block), _ROW), "words")
-    place = written()[-1]
-    words = made.where("code IS NOT NULL").select("block", "code", "lang", "word", "n")
-    total = durable(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    names = _named(words, ["lang", "word"], least, 1)
-    hashed = F.xxhash64("lang", "word")
-    likely = _likely(words.drop("n"), hashed, _bits(names.select(hashed.alias("h"))))
-    own = likely.join(names.drop("a"), ["lang", "word"]).select("block", "code", "id")
-    rows = made.where("code IS NULL").select("block", "seq")
-    blocks = durable(rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_learned, _BLOCK), "blocks")
-    discard(spark, [place])
+    total, names, held, key = _named_words(rows, least, block)
+    blocks = durable(rows.mapInArrow(_blocks(block, key, NAME, held, spark), _BLOCK), "blocks", compression="zstd")
     place = written()[-1]
     one = F.array("a")
     found = [names.select("id", F.array("id").alias("words"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", one.alias("heads"), one.alias("tails"))]
     bits: list[np.ndarray] = []
     for size in range(2, longest + 1):
         key = [f"w{k}" for k in range(1, size + 1)]
-        names = _named(_pairs(blocks, size, bits), key, least, size)
+        names = _named(_pairs(blocks, size, bits, _counters(blocks, size, bits, least)), key, least, size)
         if size < longest:
             bits.append(_bits(names.select(*key)))
         # A name is joined with those of its halves: its parents.

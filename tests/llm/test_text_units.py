@@ -118,6 +118,54 @@ def test_phrases_of_other_lengths(spark, monkeypatch):
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == phrases_by_hand(rows, 6, 4, 80, 30)
 
 
+def rows_of(got):
+    return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got)
+
+
+@pytest.mark.parametrize(("counters", "page", "gathered", "least"), [(1 << 8, 1 << 5, 50, 4), (1 << 12, 1 << 18, 1 << 22, 4), (1 << 28, 1 << 18, 700, 300)])
+def test_phrases_by_few_counters(spark, monkeypatch, counters, page, gathered, least):
+    for name, value in (("COUNTERS", counters), ("PAGE", page), ("GATHERED", gathered)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = some_texts(6, 80, ["to", "be", "or"]) + [(k, f"w{k} w{k + 1}", "en", "a") for k in range(3000)] + [(9, "as well as to be " * 400, "en", "a")]
+    want = phrases_by_hand(rows, 4, least, 80, 50)
+    assert want and rows_of(collocations.top_phrases(docs(spark, rows), least=least, top=50, block=2000).collect()) == want
+
+
+def test_counters_hold_what_their_phrases_do():
+    some = [(np.array([9, 2, 70, 2], np.uint32), np.array([200, 5, 1, 7], np.uint16)), (np.array([9, 64], np.uint32), np.array([200, 3], np.uint16))]
+    made = collocations._summed(some, 300, 64)
+    assert made.column("page").to_pylist() == [0, 1]
+    assert [np.frombuffer(x, "<u2").tolist() for x in made.column("n").to_pylist()] == [[12, 300], [3, 1]]
+    assert [list(x) for x in made.column("low").to_pylist()] == [[2, 7], [0, 6]]
+
+
+def test_words_that_share_a_name_get_other_names(spark, monkeypatch):
+    tried, names, bits = [], collocations._bits, 12
+    monkeypatch.setattr(collocations, "NAME", bits)
+    monkeypatch.setattr(collocations, "_bits", lambda entries: tried.append(0) or names(entries))
+    rows = some_texts(7, 80, ["to", "be", "or"]) + [(1, " ".join(f"s{k}" for k in range(100)), "en", "a")]
+    assert rows_of(collocations.top_phrases(docs(spark, rows), least=5).collect()) == phrases_by_hand(rows, 4, 5, 80, 2000)
+    assert len(tried) > 3  # a key more than the one for words, and two levels
+
+
+def test_rare_pairs_of_frequent_words_are_sent_packed(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(1000)), "en", "a") for k in range(100)]
+    table = docs(spark, rows).repartition(2)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    last = max((s.stageId() for s in stages(spark, store)), default=-1)
+    got = rows_of(collocations.top_phrases(table, least=30).collect())
+    assert got == phrases_by_hand(rows, 4, 30, 80, 2000)
+    pairs = len({(a, b) for _, text, *_ in rows for a, b in zip(text.split(), text.split()[1:], strict=False)})
+    assert sum(s.shuffleWriteRecords() for s in stages(spark, store) if s.stageId() > last) < pairs / 4
+
+
+def stages(spark, store):
+    gateway = spark.sparkContext._gateway
+    found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return [found.apply(k) for k in range(found.size())]
+
+
 def test_no_phrases(spark):
     assert collocations.top_phrases(docs(spark, [])).count() == 0
     assert collocations.top_phrases(docs(spark, [(1, None, None, None), (2, "", "en", "a"), (3, "...", "en", "a"), (4, "a b c", "en", "a")])).count() == 0
