@@ -11,7 +11,7 @@ phrase there can be frequent.
 
 Most pairs of frequent words are rare. So a level is counted twice: first all phrases in a fixed number
 of counters, by a hash of their names, of which a task sends few bytes each, packed and in order; then
-exactly, and only those whose counter comes to the least count. A counter holds at least what each of
+exactly, by their names, and only those whose counter comes to the least count. A counter holds at least what each of
 its phrases does, so none that is frequent is missed.
 
 The pair that a name stands for is also its pointer to both parents. Following left pointers gives
@@ -240,12 +240,6 @@ def _named_words(rows: DataFrame, least: int, block: int) -> tuple[DataFrame, Da
     raise AssertionError
 
 
-def _named(entries: DataFrame, key: list[str], least: int, level: int) -> DataFrame:
-    """Frequent entries (id, *key, a), written."""
-    counted = entries.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return durable(counted.select(F.monotonically_increasing_id().alias("id"), *key, "a"), f"names{level}")
-
-
 def _phrases(batches: Iterator[pa.RecordBatch], size: int, bits: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Blocks (seq, ids) to their distinct phrases, one block at a time."""
     for part in batches:
@@ -266,10 +260,16 @@ def _summed(some: list[tuple[np.ndarray, np.ndarray]], least: int, page: int) ->
     start = np.flatnonzero(np.diff(pages, prepend=-1))
     gaps = np.diff(places, prepend=0)
     gaps[start] = places[start] % page
-    bounds = np.append(start, len(places)).astype(np.int32)
-    columns = [gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, k] for k in range(3)] + [sums.astype(_kind(least)).view(np.uint8)]
-    made = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds * (len(c) // len(places))), pa.py_buffer(np.ascontiguousarray(c))]) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(pages[start]), *made], names=["page", "low", "mid", "high", "n"])
+    planes = gaps.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return _paged(pages, {"low": planes[:, 0], "mid": planes[:, 1], "high": planes[:, 2], "n": sums.astype(_kind(least))})
+
+
+def _paged(pages: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each page, equal ones together, with the bytes of its part of every column."""
+    start = np.flatnonzero(np.diff(pages, prepend=-1))
+    bounds = np.append(start, len(pages)).astype(np.int32)
+    made = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds * c.itemsize), pa.py_buffer(np.ascontiguousarray(c).view(np.uint8))]) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(pages[start]), *made], names=["page", *columns])
 
 
 def _kind(least: int) -> np.dtype:
@@ -306,20 +306,52 @@ def _counters(blocks: DataFrame, size: int, bits: list[np.ndarray], least: int)
     return out
 
 
-def _pairs(blocks: DataFrame, size: int, bits: list[np.ndarray], counters: np.ndarray) -> DataFrame:
-    """(w1, ..., n): per block its distinct phrases of `size` words, both of whose halves and whose counter may be frequent.
+def _merged(columns: list[np.ndarray], counts: np.ndarray, order: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Entries in an order, equal neighbours as one, with the sum of their counts, and where in the order they were first."""
+    columns = [c[order] for c in columns]
+    other = np.ones(len(order), bool)
+    other[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(other)
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first), first
+
+
+def _named(blocks: DataFrame, size: int, bits: list[np.ndarray], least: int) -> DataFrame:
+    """Frequent phrases of `size` words (id, w1, ..., a), written.
 
-    bits: of the frequent phrases of 2, 3, ... words; single words are all frequent.
+    bits: of the frequent phrases of 2, 3, ... words; single words are all frequent. A task puts its
+    blocks' phrases together, `GATHERED` / 4 at a time, and sends them in pages by a hash.
     """
-    held = blocks.sparkSession.sparkContext.broadcast([*bits, counters])  # BITS bits a level, and COUNTERS bits
-    names = [f"w{k}" for k in range(1, size + 1)]
+    held = blocks.sparkSession.sparkContext.broadcast([*bits, _counters(blocks, size, bits, least)])  # BITS bits a level, and COUNTERS bits
+    names, pages, gathered = [f"w{k}" for k in range(1, size + 1)], max(1, COUNTERS // PAGE), GATHERED // 4
+
+    def paged(some: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate([x[0][k] for x in some]) for k in range(size)]
+        places = _places(columns, 1 << 40)
+        order = np.argsort(places)
+        columns, counts, first = _merged(columns, np.concatenate([x[1] for x in some]), order)
+        return _paged(places[order][first] * pages >> 40, {c: x.astype("<i8") for c, x in zip([*names, "n"], [*columns, counts], strict=True)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
         for columns, counts in _phrases(batches, size, held.value):
             keep = _held(held.value[-1], columns)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), pa.array(counts[keep])], names=[*names, "n"])
+            some.append(([c[keep] for c in columns], counts[keep]))
+            n += len(some[-1][1])
+            if n >= gathered:
+                yield paged(some)
+                some, n = [], 0
+        if n:
+            yield paged(some)
+
+    def joined(part: pa.Table) -> pa.Table:
+        *columns, counts = (np.concatenate([np.frombuffer(part.column(c)[row].as_buffer(), "<i8") for row in range(part.num_rows)]) for c in (*names, "n"))
+        columns, counts, _ = _merged(columns, counts, np.lexsort(columns))
+        keep = counts >= least
+        return pa.table({c: x[keep] for c, x in zip([*names, "a"], [*columns, counts], strict=True)})
 
-    return blocks.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "n")))
+    sent = blocks.mapInArrow(run, ", ".join(["page bigint", *(f"{c} binary" for c in (*names, "n"))]))
+    found = sent.groupBy("page").applyInArrow(joined, ", ".join(f"{c} bigint" for c in (*names, "a")))
+    return durable(found.select(F.monotonically_increasing_id().alias("id"), *names, "a"), f"names{size}")
 
 
 def _counted(seq: np.ndarray, ids: np.ndarray, size: int, bits: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -358,7 +390,7 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: st
     bits: list[np.ndarray] = []
     for size in range(2, longest + 1):
         key = [f"w{k}" for k in range(1, size + 1)]
-        names = _named(_pairs(blocks, size, bits, _counters(blocks, size, bits, least)), key, least, size)
+        names = _named(blocks, size, bits, least)
         if size < longest:
             bits.append(_bits(names.select(*key)))
         # A name is joined with those of its halves: its parents.
