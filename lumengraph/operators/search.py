@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lumengraph.functions import text as T
-from lumengraph.runtime import durable
+from lumengraph.runtime import dealt, durable
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.001
@@ -91,7 +91,17 @@ def stored(index: Index) -> Index:
         rows = durable(index.rows, "documents")
         found, lengths = postings(rows), rows.select("id", "length")
     frequencies = durable(found.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    return Index(found, lengths, frequencies, lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")))
+    return Index(found, lengths, frequencies, lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")), None if index.rows is None else rows)
+
+
+def weighed(index: Index, terms: DataFrame) -> DataFrame:
+    """(term, id, w): the weights of `terms(term, df)` in their documents. Where the index has rows of documents, each brings its length along."""
+    if index.rows is None:
+        met = index.postings.join(terms, "term").join(index.lengths, "id")
+    else:
+        met = index.rows.select("id", "length", F.explode("terms").alias("x")).select("id", "length", "x.term", "x.tf").join(terms, "term")
+    one = weight(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("mean_length"))
+    return met.join(F.broadcast(index.totals.limit(1))).select("term", "id", one.alias("w"))  # one row
 
 
 def weight(tf: Column, df: Column, length: Column, documents: Column, mean: Column) -> Column:
@@ -147,31 +157,37 @@ def bm25_many(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, place, id, score): for each of `queries(query_id, query)` its k best documents.
 
     Repeated words of a query count as often; ties go by id. Scores are compared to six decimals.
-
-    Queries that come to the same words of the index are searched once. A search meets the documents of
-    its telling words alone, see `_telling`. A document's weights lie beside each of its postings, so
-    that its score is worked out where it is met and only the k best of a task are shuffled.
     """
     asked = T.nfc(queries.select("query_id", "query"), "query").select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = asked.join(index.frequencies.select("term"), "term", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("words"))
     asked = durable(asked, "asked")
+    return asked.join(best(index, asked, k), "words").select("query_id", "place", "id", "score")
+
+
+def best(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(words, place, id, score), written: the k best documents for each different array of (term, qtf) in `asked(words)`.
+
+    Each is searched once, whatever the number of queries that come to it. A search meets the documents of
+    its telling words alone, see `_telling`. A document's weights lie beside each of its postings, so
+    that its score is worked out where it is met and only the k best of a task are shuffled.
+    """
     sets = durable(asked.select("words").distinct().select(F.monotonically_increasing_id().alias("search"), "words"), "searches")
     terms = durable(sets.select(F.explode("words.term").alias("term")).distinct(), "terms")
-    totals = F.broadcast(index.totals.limit(1))  # one row
-    # A term's weight in a document is worked out once for all queries that ask for it.
-    weighed = index.postings.join(terms, "term", "left_semi").join(index.frequencies.join(terms, "term", "left_semi"), "term").join(index.lengths, "id").join(totals)
-    weighed = weighed.select("term", "id", weight(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("mean_length")).alias("w"))
-    held = durable(weighed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("held")), "held")
+    # A term's weight in a document is worked out once for all queries that ask for it. The terms are written, so that their size is known.
+    each = weighed(index, durable(index.frequencies.join(terms, "term", "left_semi"), "asked_terms"))
+    # Few weights make many scores: they are dealt over all tasks, however small.
+    each = dealt(each, "id").groupBy("id", "term").agg(F.sum("w").alias("w"))
+    held = durable(each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("held")), "held")
     postings = held.select("id", "held", F.explode("held").alias("term", "w"))
     searches = durable(_telling(sets, postings.select("term", "w"), k), "telling").withColumn("term", F.explode("telling"))
-    # A document that holds several telling words is met by each and counts at the first.
-    met = searches.join(postings.drop("w"), "term").where(F.col("term") == F.get(F.filter("telling", lambda t: F.map_contains_key("held", t)), F.lit(0)))
     score = F.aggregate("words", F.lit(0.0), lambda total, x: total + F.coalesce(F.try_element_at("held", x["term"]), F.lit(0.0)) * x["qtf"])
-    scores = met.select("search", "id", score.alias("score")).where(F.col("score") > LEAST_SCORE).withColumn("score", F.round("score", 6))
-    place = F.row_number().over(Window.partitionBy("search").orderBy(F.desc("score"), "id"))
-    best = durable(scores.withColumn("place", place).where(F.col("place") <= k).join(sets, "search").select("words", "place", "id", "score"), "best")
-    # Written first, so that the join can split the queries that come to the same words.
-    return asked.join(best, "words").select("query_id", "place", "id", "score")
+    met = searches.join(postings.drop("w"), "term").select("search", "id", score.alias("raw"))
+    # A document is met by each telling word that it holds, with one score, and so has one place. What scores too little comes
+    # last and goes after the ranking: a condition before it would work out each score twice.
+    place = F.dense_rank().over(Window.partitionBy("search").orderBy(F.round("raw", 6).desc(), (F.col("raw") > LEAST_SCORE).desc(), "id"))
+    first = met.withColumn("place", place).where((F.col("place") <= k) & (F.col("raw") > LEAST_SCORE)).distinct()
+    # Written, so that a join can split the queries that come to the same words.
+    return durable(first.join(sets, "search").select("words", "place", "id", F.round("raw", 6).alias("score")), "best")
 
 
 def _telling(sets: DataFrame, weights: DataFrame, k: int) -> DataFrame:

@@ -12,13 +12,15 @@ from lumengraph.sources import driver_graph as D
 
 
 def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.12: the three best documents for the address of every page, by a lateral call of `search_terms` for each set of words."""
-    session.register_search(spark, search.stored(search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")))
+    """2.12: the three best documents for the address of every page, by a lateral call of `best_of`, which searches once for each set of words."""
+    index = search.stored(search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    session.register_terms(spark, index)
     asked = durable(spark.sql("""
-        SELECT page_id, array_sort(collect_list(term)) AS words FROM {pages}, LATERAL query_terms(url)
-        LEFT SEMI JOIN index_terms USING (term) GROUP BY page_id""", pages=table(spark, sf_dir, "pages")), "asked")
-    found = durable(spark.sql("SELECT words, s.* FROM (SELECT DISTINCT words FROM {asked}), LATERAL search_terms(words, 3) AS s", asked=asked), "found")
-    return spark.sql("SELECT page_id, place, id AS doc_id, score FROM {asked} JOIN {found} USING (words)", asked=asked, found=found)
+        SELECT page_id, array_sort(collect_list(struct(term, qtf))) AS words FROM (
+          SELECT page_id, term, count(*) AS qtf FROM {pages}, LATERAL query_terms(url) LEFT SEMI JOIN index_terms USING (term) GROUP BY page_id, term)
+        GROUP BY page_id""", pages=table(spark, sf_dir, "pages")), "asked")
+    session.register_searches(spark, index, asked, 3)
+    return spark.sql("SELECT page_id, s.place, s.id AS doc_id, s.score FROM {asked} AS a, LATERAL best_of(a.words) AS s", asked=asked)
 
 
 def sql_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,21 +32,13 @@ def register_search(spark: SparkSession, index: search.Index) -> None:
     """`search(query, k)`: the k best (place, id, score) of an index, as `search.bm25_many` ranks them.
 
     An empty or null query finds nothing. The weights of the terms in their documents are written once, as the view
-    `term_weights(term, id, weight)`; a search meets the few rows of its terms. `index_terms(term)` are all terms,
-    `query_terms(query)` cuts a query, and `search_terms(words, k)` is the search for an array of terms: a statement
-    with many queries leaves out what no document holds and searches once for those that come to the same words.
+    `term_weights(term, id, weight)`; a search meets the few rows of its terms. `search_terms(words, k)` is the search for an
+    array of terms. Goes with `register_terms`; for a table of queries that is known, see `register_searches`.
     """
-    prepare(spark)
-    totals = F.broadcast(index.totals.limit(1))  # one row
-    rows = index.postings.join(index.frequencies, "term").join(index.lengths, "id").join(totals)
-    one = search.weight(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("mean_length"))
-    weights = rows.select("term", "id", one.alias("weight"))
+    register_terms(spark, index)
+    weights = search.weighed(index, index.frequencies).withColumnRenamed("w", "weight")
     # In the order of terms, so that a search reads the row groups that may hold its terms.
     durable(weights.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "weights").createOrReplaceTempView("term_weights")
-    spark.udf.register("composed", _composed)
-    kind = dict(weights.dtypes)["id"]
-    durable(index.frequencies.select("term"), "terms").createOrReplaceTempView("index_terms")
-    _define(spark, "query_terms", "query STRING", "term STRING", f"SELECT e.term FROM (SELECT composed(query_terms.query) AS q), LATERAL explode({T.spark_sql_tokens("q")}) AS e(term)")
     kind = dict(weights.dtypes)["id"]
     cut = f"SELECT term FROM (SELECT composed(search.query) AS q), LATERAL explode({T.spark_sql_tokens("q")}) AS e(term)"
     for name, taken, asked in (("search", "query STRING", cut), ("search_terms", "words ARRAY<STRING>", "SELECT explode(search_terms.words) AS term")):
@@ -59,6 +51,25 @@ def register_search(spark: SparkSession, index: search.Index) -> None:
         WHERE place <= {name}.k""")
 
 
+def register_terms(spark: SparkSession, index: search.Index) -> None:
+    """`query_terms(query)` cuts a query into terms; `index_terms(term)` are all that documents hold, so that a statement can leave out others."""
+    prepare(spark)
+    spark.udf.register("composed", _composed)
+    durable(index.frequencies.select("term"), "terms").createOrReplaceTempView("index_terms")
+    _define(spark, "query_terms", "query STRING", "term STRING", f"SELECT e.term FROM (SELECT composed(query_terms.query) AS q), LATERAL explode({T.spark_sql_tokens("q")}) AS e(term)")
+
+
+def register_searches(spark: SparkSession, index: search.Index, asked: DataFrame, k: int) -> None:
+    """`best_of(words)`: the k best (place, id, score) for an array of (term, qtf) in `asked(words)`, as `search` finds them.
+
+    For a table of queries that is known: all are searched at once, and no other term is weighed. What was found is the view `searched`.
+    """
+    found = search.best(index, asked, k)
+    found.createOrReplaceTempView("searched")
+    _define(spark, "best_of", "words ARRAY<STRUCT<term: STRING, qtf: BIGINT>>", f"place INT, id {dict(found.dtypes)["id"]}, score DOUBLE", """
+        SELECT place, id, score FROM searched WHERE searched.words = best_of.words""")
+
+
 @F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")

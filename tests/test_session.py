@@ -7,6 +7,7 @@ import pytest
 from lumengraph import session
 from lumengraph.functions import text as T
 from lumengraph.operators import graph, grep, search
+from lumengraph.runtime import written
 
 
 def rows(df):
@@ -84,3 +85,28 @@ def test_search_for_given_terms(spark):
     asked = spark.createDataFrame([(1, "OpenStore"), (2, ""), (3, None)], "n int, q string")
     got = spark.sql("SELECT n, term FROM {a}, LATERAL query_terms(q)", a=asked)
     assert rows(got) == [(1, "open"), (1, "store")]
+
+
+def test_known_searches_weigh_their_words_alone(spark):
+    rng = random.Random(4)
+    docs = [(k, " ".join(rng.choices(["aa", "bb", "cc", "other"], [9, 4, 2, 5], k=rng.randrange(20)) + [f"rare{k % 9}"] * (k % 2))) for k in range(150)]
+    index = search.stored(search.build_index(spark.createDataFrame(docs, "id int, text string"), "id", "text"))
+    session.register_search(spark, index)
+    asked = [["aa"], ["aa", "bb"], ["aa", "aa", "rare1"], ["bb", "rare1", "rare3"], ["nowhere"], []]
+    frame = spark.createDataFrame([(k, sorted((t, words.count(t)) for t in {*words})) for k, words in enumerate(asked)] * 3, "n int, words array<struct<term: string, qtf: bigint>>")
+    before = written()
+    session.register_searches(spark, index, frame, 4)
+    got = rows(spark.sql("SELECT DISTINCT n, s.* FROM {a} AS a, LATERAL best_of(a.words) AS s", a=frame))
+    want = [(k, *r) for k, words in enumerate(asked) if words for r in rows(spark.sql(f"SELECT * FROM search('{' '.join(words)}', 4)"))]
+    assert len(want) > 12 and got == sorted(want)
+    held = next(p for p in written() if p not in before and "/held-" in p)
+    assert {t for r in spark.read.parquet(held).collect() for t in r.held} == {"aa", "bb", "rare1", "rare3"}
+
+
+def test_best_with_a_score_at_the_least_and_documents_met_by_two_words(spark, monkeypatch):
+    weights = [("aa", "d1", 0.0009996), ("aa", "d2", 0.0010004), ("aa", "d3", 0.002), ("bb", "d3", 0.002), ("bb", "d9", 0.003)]
+    monkeypatch.setattr(search, "weighed", lambda index, terms: spark.createDataFrame(weights, "term string, id string, w double"))
+    index = search.Index(None, None, spark.createDataFrame([("aa", 3), ("bb", 2)], "term string, df bigint"), None)
+    asked = spark.createDataFrame([([("aa", 1)],), ([("aa", 1), ("bb", 1)],)], "words array<struct<term: string, qtf: bigint>>")
+    got = sorted((len(r.words), r.place, r.id, r.score) for r in search.best(index, asked, 2).collect())
+    assert got == [(1, 1, "d3", 0.002), (1, 2, "d2", 0.001), (2, 1, "d3", 0.004), (2, 2, "d9", 0.003)]
