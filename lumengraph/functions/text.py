@@ -67,16 +67,20 @@ def normalize(text: Column) -> Column:
 def split_camel(text: Column) -> Column:
     """A space before an upper-case letter if a lower-case one came since the last split."""
     gap = rf"[^\p{{IsUppercase}}\p{{IsLowercase}}{SEPARATORS}{SPACES}]*"
-    return F.regexp_replace(text, rf"(\p{{IsLowercase}}{gap})(\p{{IsUppercase}})", "$1 $2")
+    # The look ahead changes no match: it spares most letters the wide class, where neither it nor a capital can follow.
+    return F.regexp_replace(text, rf"(\p{{IsLowercase}}(?![a-z ]){gap})(\p{{IsUppercase}})", "$1 $2")
 
 
 def tokens(text: Column) -> Column:
     """Tokens of a composed text, in order, duplicates kept; those of one byte are dropped.
 
     Normalisation works by character and leaves separators alone, so the whole text is normalised
-    once and cut afterwards.
+    once and cut afterwards. A text of Latin-1 has no form that is unified but I, so that its lower case is all.
     """
-    parts = F.split(normalize(split_camel(F.coalesce(text, F.lit("")))), f"[{SEPARATORS}{SPACES}]+")
+    whole = F.coalesce(text, F.lit(""))
+    cut = split_camel(whole)
+    # As in `split_camel`, no letter has to be looked for among the separators.
+    parts = F.split(F.when(whole.rlike(r"[^\x00-\xff]"), normalize(cut)).otherwise(F.lower(cut)), f"(?![a-z])[{SEPARATORS}{SPACES}]+")
     return F.filter(parts, lambda t: F.octet_length(t) > 1)
 
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lumengraph.functions import text as T
 from lumengraph.operators import search
 from lumengraph.operators.text_index import TextIndex
 from lumengraph.sources.store import Store
@@ -68,3 +69,13 @@ def test_queries_of_the_same_words_are_searched_once_and_lose_nothing(spark):
     weights = spark.createDataFrame([("aa", 0.1 + k / 1000) for k in range(9)] + [("rare1", 2.0 + k) for k in range(4)] + [("lone", 3.0)], "term string, w double")
     telling = {r.search: sorted(r.telling) for r in search._telling(sets, weights, 3).collect()}
     assert telling == {1: ["aa", "lone"], 2: ["rare1"]}
+
+
+def test_tokens_of_any_text_are_those_of_the_plain_form(spark):
+    rng = random.Random(3)
+    letters = [*"aZbIiß.éÉµªºÿ 1-_9' \u0085 |!", "İ", "ı", "Σ", "σ", "ς", "أ", "ة", "ً", "字", "ǅ", "ⅷ", "Ⅷ", "\U0001d400"]
+    texts = ["".join(rng.choices(letters, [4] * 8 + [1] * (len(letters) - 8), k=rng.randrange(24))) for _ in range(3000)]
+    texts += ["".join(rng.choices("aBcI1 .|É", k=9)) for _ in range(1000)] + ["", None]
+    spark.createDataFrame([(t,) for t in texts], "q string").createOrReplaceTempView("odd_texts")
+    df = spark.sql(f"SELECT q, {T.spark_sql_tokens('q')} AS want FROM odd_texts").withColumn("got", T.tokens(F.col("q")))
+    assert [r for r in df.collect() if r.got != r.want] == []
