@@ -60,8 +60,8 @@ def fold_tr(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Arabic marks stripped, Arabic and Turkish forms unified, lower case."""
     marks = "".join(chr(c) for c in (*range(0x64B, 0x653), 0x670))
-    # What has no counterpart is deleted.
-    return lower_each(F.translate(text, FOLD_FROM + marks, FOLD_TO))
+    # What has no counterpart is deleted. The sigma of `lower_each` goes along: a translation is a pass over all characters.
+    return F.lower(F.translate(text, FOLD_FROM + "Σ" + marks, FOLD_TO + "σ"))
 
 
 def split_camel(text: Column) -> Column:
@@ -75,12 +75,10 @@ def tokens(text: Column) -> Column:
     """Tokens of a composed text, in order, duplicates kept; those of one byte are dropped.
 
     Normalisation works by character and leaves separators alone, so the whole text is normalised
-    once and cut afterwards. A text of Latin-1 has no form that is unified but I, so that its lower case is all.
+    once and cut afterwards.
     """
-    whole = F.coalesce(text, F.lit(""))
-    cut = split_camel(whole)
     # As in `split_camel`, no letter has to be looked for among the separators.
-    parts = F.split(F.when(whole.rlike(r"[^\x00-\xff]"), normalize(cut)).otherwise(F.lower(cut)), f"(?![a-z])[{SEPARATORS}{SPACES}]+")
+    parts = F.split(normalize(split_camel(F.coalesce(text, F.lit("")))), f"(?![a-z])[{SEPARATORS}{SPACES}]+")
     return F.filter(parts, lambda t: F.octet_length(t) > 1)
 
 

@@ -17,6 +17,8 @@ from lumengraph.runtime import dealt, durable
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.001
+#: Texts whose terms are counted at once.
+SLICE = 500
 #: Different words of one query.
 MOST_TERMS = 10_000
 
@@ -44,7 +46,8 @@ def counted(rows: DataFrame) -> DataFrame:
     terms = StructType().add("term", "string").add("tf", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        # By slices: the arrays of a whole batch's tokens would take many times its size.
+        for part in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             lists = part.column(len(rest))
             codes = lists.flatten().dictionary_encode()
             words, n = codes.dictionary, max(len(codes.dictionary), 1)

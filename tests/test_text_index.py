@@ -79,3 +79,11 @@ def test_tokens_of_any_text_are_those_of_the_plain_form(spark):
     spark.createDataFrame([(t,) for t in texts], "q string").createOrReplaceTempView("odd_texts")
     df = spark.sql(f"SELECT q, {T.spark_sql_tokens('q')} AS want FROM odd_texts").withColumn("got", T.tokens(F.col("q")))
     assert [r for r in df.collect() if r.got != r.want] == []
+
+
+def test_counted_terms_of_more_texts_than_a_slice(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd"], k=rng.randrange(6))) for _ in range(2 * search.SLICE + 7)]
+    rows = search.tokenized(spark.createDataFrame([*enumerate(texts)], "i bigint, t string").coalesce(1), "i", "t")
+    got = {r.id: (r.length, {x.term: x.tf for x in r.terms}) for r in search.counted(rows).collect()}
+    assert got == {k: (len(t.split()), {w: t.split().count(w) for w in t.split()}) for k, t in enumerate(texts)}
